@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, toxicity
+from . import language, packing, toxicity
 
 QUERIES = {
     "op1_byte_cnn_language": language.query,
+    "op4_cost_balanced_packing": packing.query,
     "op9_nnpu_toxicity": toxicity.query,
 }
 ORACLE: dict[str, str] = {}

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table, text_chunks, unit_hash
+from .common import fold, mix64, shingles, table, text_chunks, unit_hash
 
-#: Bounds of the training sample, of a sampled text's characters (from a hashed place), and of the features: those
-#: over twice as frequent in positives as in unlabelled texts, by four standard deviations at least.
-POSITIVES, UNLABELLED, CHARS_PER_DOC, FEATURES = 2000, 8000, 6000, 3000
+#: Bounds of the training sample, of a sampled text's characters (from a hashed place), and of the features: those in
+#: a hundredth of the positives at least, LIFT times as frequent there as in unlabelled texts.
+POSITIVES, UNLABELLED, CHARS_PER_DOC, FEATURES, LIFT = 2000, 8000, 20_000, 3000, 3
 STEM = 5
 #: ASCII letters lowered; digits and all bytes of other letters kept; the rest parts words.
 WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -51,13 +51,13 @@ class PuModel:
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
-def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 30, batch: int = 500, rate: float = 0.02, seed: int = 1) -> PuModel:
+def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 60, batch: int = 500, rate: float = 0.03, seed: int = 1) -> PuModel:
     pos, unl = [features(t) for t in positive], [features(t) for t in unlabelled]
     cp, cu = _count(pos), _count(unl)
     lift = {}
     for w, n in cp.items():
         usual = (cu.get(w, 0) + 0.5) * len(pos) / len(unl)
-        if n >= 3 and n > 2 * usual and n - usual > 4 * np.sqrt(usual):
+        if n >= max(3, 0.01 * len(pos)) and n > LIFT * usual:
             lift[w] = (n - usual) / np.sqrt(usual)
     chosen = sorted(lift, key=lambda w: (-lift[w], w))[:FEATURES]
     index = {w: i for i, w in enumerate(chosen)}
@@ -86,12 +86,33 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs:
             else:
                 dp, du = gp_neg, -gu
             g = np.append(dp @ p + du @ u, dp.sum() + du.sum())
-            g[:-1] += 1e-4 * w[:-1]
+            g[:-1] += 1e-5 * w[:-1]
             step += 1
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return PuModel({k: float(x) for k, x in zip(chosen, w, strict=False) if abs(x) > 1e-3}, float(w[-1]))
+    # the cut of least zero-one risk under the same estimator, without negatives, becomes 0
+    zp, zu = np.sort(xp.astype(np.float32) @ w[:-1] + w[-1]), np.sort(xu.astype(np.float32) @ w[:-1] + w[-1])
+    cuts = np.unique(np.concatenate((zp, zu)))
+    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
+    hit, alarm = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
+    risk = prior * (1 - hit) + np.maximum(0, alarm - prior * hit)
+    cut = float(cuts[np.flatnonzero(risk <= risk.min() + 1e-12)].mean())
+    return PuModel({k: float(x) for k, x in zip(chosen, w, strict=False) if abs(x) > 1e-3}, float(w[-1]) - cut)
+
+
+def distinct(texts: list[bytes]) -> list[bytes]:
+    """The texts of a sample of which no earlier one shares any of 12 min-hashes over five-word shingles."""
+    out, seen = [], set()
+    for t in texts:
+        h, _ = shingles([t])
+        if len(h):
+            mine = {(k, int(mix64(h + np.uint64(k + 1)).min())) for k in range(12)}
+            if mine & seen:
+                continue
+            seen |= mine
+        out.append(t)
+    return out
 
 
 def _count(sets: list[set[bytes]]) -> dict[bytes, int]:
@@ -113,11 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> PuModel | None:
     part = docs.where("doc_id is not null and text is not null").select("doc_id", F.substring(F.col("text"), start, F.lit(CHARS_PER_DOC)).alias("text"))
     some = lambda df, most, of, salt: sorted((r["doc_id"], r["text"]) for r in df.where(unit_hash("doc_id", salt=salt) < 1.2 * most / of).limit(2 * most).collect())[:most]
     ids = known.where("toxic = 1").where(unit_hash("doc_id", salt="toxic") < 1.2 * POSITIVES / toxic).select("doc_id").limit(2 * POSITIVES)
+    # near copies would make a document's own words look like signs of its class
     positive = some(part.join(F.broadcast(ids), "doc_id", "left_semi"), POSITIVES, toxic, "toxic")  # ids: 2 * POSITIVES at most
     unlabelled = some(part, UNLABELLED, every, "unlabelled")
     if not positive:
         return None
-    return train([t.encode() for _, t in positive], [t.encode() for _, t in unlabelled], toxic / n)
+    return train(distinct([t.encode() for _, t in positive]), distinct([t.encode() for _, t in unlabelled]), toxic / n)
 
 
 def score(docs: DataFrame, model: PuModel | None) -> DataFrame:
