@@ -30,7 +30,7 @@ from .common import table, text_chunks
 
 CAPACITY, END = 4096, 2
 POOL_TOKENS = 1 << 21
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 #: Cost of a token, and of a pair of tokens in a piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -52,7 +52,11 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.memo = Tokenizer.from_file(path).encode_batch, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.memo = tokenizer.encode_batch, {}
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordCache:
@@ -63,15 +67,36 @@ class WordCache:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
+    def learn(self, words: set[str]) -> None:
+        """Memoize words. Plain ones, Latin letters and one mark after them perhaps, come from their lower-case
+        letters, which are encoded in one run and parted at the ids that end a word."""
+        memo, plain, odd = self.memo, {}, []
+        for w in words:
+            base, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
+            if base.isalpha() and max(base) < "\u0100":
+                plain[w] = base.lower(), mark
+            else:
+                odd.append(w)
+        odd += [m for m in ".,;:!?" if m not in memo]
+        memo.update(zip(odd, self.raw(odd), strict=True))
+        bases = list({b for b, _ in plain.values() if b not in memo})
+        for lo in range(0, len(bases), 5000):
+            part = bases[lo : lo + 5000]
+            ids = np.frombuffer(self.raw([" ".join(part)])[0], np.uint32)
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            whole, at = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                memo[w] = whole[at:end]
+                at = end
+        for w, (base, mark) in plain.items():
+            memo[w] = memo[base] + memo[mark] if mark else memo[base]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [None if self.odd.search(t) else t.split() for t in texts]
         if len(self.memo) > CACHE_WORDS:
             self.memo.clear()
         memo = self.memo
-        missing = list({w for words in split if words for w in words if w not in memo})
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo : lo + 20_000]
-            memo.update(zip(part, self.raw(part), strict=True))
+        self.learn({w for words in split if words for w in words if w not in memo})
         get = memo.__getitem__
         return [b"".join(map(get, words)) if words is not None else self.raw([t])[0] for t, words in zip(texts, split, strict=True)]
 
