@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, packing, toxicity
+from . import chat, language, packing, pseudonyms, secret_scan, toxicity
 
 QUERIES = {
     "op1_byte_cnn_language": language.query,
+    "op2_snapshot_collapse": chat.query,
     "op4_cost_balanced_packing": packing.query,
+    "op7_entropy_secrets": secret_scan.query,
+    "op8_feistel_pseudonyms": pseudonyms.query,
     "op9_nnpu_toxicity": toxicity.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_snapshot_collapse": chat.SQL}
