@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, language, line_crf, packing, pseudonyms, quality_rules, secret_scan, toxicity
+from . import chat, language, line_crf, ngram_join, packing, pseudonyms, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_byte_cnn_language": language.query,
     "op2_snapshot_collapse": chat.query,
     "op3_risk_controlled_rules": quality_rules.query,
     "op4_cost_balanced_packing": packing.query,
+    "op5_prefix_tree_join": ngram_join.query,
     "op6_line_crf_quality": line_crf.query,
     "op7_entropy_secrets": secret_scan.query,
     "op8_feistel_pseudonyms": pseudonyms.query,
