@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, line_crf, ngram_join, packing, pseudonyms, quality_rules, secret_scan, toxicity
+from . import chat, decontaminate, language, line_crf, ngram_join, packing, pseudonyms, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_byte_cnn_language": language.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_entropy_secrets": secret_scan.query,
     "op8_feistel_pseudonyms": pseudonyms.query,
     "op9_nnpu_toxicity": toxicity.query,
+    "op10_latent_decontamination": decontaminate.query,
 }
 ORACLE: dict[str, str] = {"op2_snapshot_collapse": chat.SQL}
