@@ -31,17 +31,19 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges: (a, b), longs. (node, root) of every node. In each round every node points at the one of smallest hash
-    among its neighbours and itself, and edges move to what their ends point at; a fresh hash each round makes the
-    number of nodes fall by a constant factor whatever the graph. Degrees only meet partial aggregates and joins that
-    adaptive execution can split."""
+    among its neighbours and itself, and edges move to what their ends point at. In even rounds the number itself is the
+    hash, which ends a star around its smallest node at once; in odd rounds a fresh hash makes the number of nodes fall
+    by a constant factor whatever the graph. Degrees only meet partial aggregates and joins that adaptive execution can
+    split."""
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     pointers: list[DataFrame] = []
     for k in range(most_rounds):
         if edges.isEmpty():
             break
-        pair = lambda u, v, k=k: edges.select(F.col(u).alias("node"), F.struct(F.xxhash64(F.lit(k), v).alias("h"), F.col(v).alias("to")).alias("p"))
+        rank = lambda c, k=k: F.xxhash64(F.lit(k), c) if k % 2 else F.col(c)
+        pair = lambda u, v, rank=rank: edges.select(F.col(u).alias("node"), F.struct(rank(v).alias("h"), F.col(v).alias("to")).alias("p"))
         best = pair("a", "b").unionByName(pair("b", "a")).groupBy("node").agg(F.min("p").alias("p"))
-        own = F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node").alias("to"))
+        own = F.struct(rank("node").alias("h"), F.col("node").alias("to"))
         step = stored(best.select("node", F.least("p", own)["to"].alias("to")), "pointers")
         pointers.append(step)
         moved = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")

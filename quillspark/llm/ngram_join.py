@@ -4,17 +4,18 @@ A text's set is its distinct five-word shingles (words of bytes but 0x20 and 0x0
 Two texts link when 100 * |A and B| >= 75 * |A or B|. Steps, each exact:
 
 1. Texts of equal sets are one class (64-bit fingerprint of set and size); copies never meet each other again.
-2. A global order puts frequent shingles last: every task reports the shingles that HEAVY or more of its own classes
-   have, and their counts are summed into a fixed table of CELLS levels. All texts are covered. The order only decides
-   how much work there is; any order gives the same links.
+2. Document frequencies of all shingles of all classes are counted, and those of OFTEN or more make a table of CELLS
+   levels (one byte each). The global order is by level, then hash: shingles of shared passages come last. The table is
+   of fixed size; it only decides how much work there is, and any order gives the same links.
 3. Classes that link share a shingle among the first floor(n / 4) + 1 of the order. Each task joins its own classes on
    such shingles and passes on one representative a shingle, so a shingle shared by a third of all classes sends a row a
    task; the shuffle carries packed arrays by hash range. This gives candidate components.
 4. The texts of candidate classes go to their component. A component of over BLOCK classes of near sizes is cut into
    blocks, and pairs of blocks are compared, so no task holds an unbounded group.
-5. Within a group the sets are stored, ordered by the group's frequency, in a path-compressed trie. A class walks the
-   trie once: the overlap with a shared path is counted once for all sets below it, and a subtree is pruned when its
-   sizes, or the overlap plus what can remain, rule out a link, or when all of it is in the class's component already.
+5. Within a group the sets are stored, rare shingles first, in a path-compressed trie whose paths are also cut where a
+   set's prefix ends. A class walks the trie once: the overlap with a shared path is counted once for all sets below it,
+   and a subtree is pruned when its sizes, or the overlap plus what can remain, rule out a link, or when all of it is in
+   the class's component already. The first level, the widest by far, is taken in one vectorised step.
 6. The links found (a spanning forest of each component) give the components.
 
 Cases: null or blank text: no shingle, linked with nothing, its own component. Fewer than five words: the sequence is
@@ -35,8 +36,8 @@ from .common import col, mix64, shingles, signed, stored, table, text_chunks
 from .graph import components, local_roots
 
 WIDTH, PERCENT = 5, 75
-#: Classes of a task that make a shingle heavy; cells of the level table; bits of the table of candidates.
-HEAVY, CELLS, CANDIDATE_BITS = 3, 1 << 20, 22
+#: Classes that make a shingle frequent; cells of the level table; bits of the table of candidates.
+OFTEN, CELLS, CANDIDATE_BITS = 3, 1 << 22, 22
 BLOCK = 1500
 #: Values held by a task before they are joined and passed on.
 HELD = 3_000_000
@@ -69,41 +70,117 @@ def new_classes(ids: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarra
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls of every row; and rows with a cell and its count of heavy shingles."""
-
-    def heavy(parts: list[np.ndarray]) -> pa.RecordBatch:
-        v, c = np.unique(np.concatenate(parts), return_counts=True)
-        cell = (v[c >= HEAVY] % np.uint64(CELLS)).astype(np.int64)
-        top = np.zeros(CELLS, np.int64)
-        np.maximum.at(top, cell, c[c >= HEAVY])
-        at = np.flatnonzero(top)
-        none = pa.nulls(len(at), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(top[at])], ["doc_id", "n", "cls", "cell", "df"])
+    """doc_id, n, cls of every row; cls is null for an empty set."""
 
     def apply(batches):
+        for batch, texts in text_chunks(batches):
+            values, offsets = shingles(texts)
+            n = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array(n), pa.array(class_ids(values, offsets).view(np.int64), mask=n == 0)], ["doc_id", "n", "cls"])
+
+    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, cls long")
+
+
+def places(values: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash range of each shingle, and its 40 bits within it."""
+    h = mix64(values + np.uint64(0xC0FFEE))
+    return (h % np.uint64(ranges)).astype(np.int64), h >> np.uint64(24)
+
+
+def n_ranges(spark: SparkSession) -> int:
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_range(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list[bytes]]]:
+    """The blobs of each range, column by column; batches are sorted by range."""
+    now, rows = None, [[] for _ in range(width)]
+    for batch in batches:
+        for r, *blobs in zip(*[batch.column(k).to_pylist() for k in range(width + 1)], strict=True):
+            if r != now and now is not None:
+                yield rows
+                rows = [[] for _ in range(width)]
+            now = r
+            for x, y in zip(rows, blobs, strict=True):
+                x.append(y)
+    if now is not None:
+        yield rows
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """cell, df of every shingle that three classes or more have; all texts are counted. The shuffle carries five bytes
+    a shingle, and its count where a task has it more than once."""
+    ranges = n_ranges(docs.sparkSession)
+
+    def packed(parts):
+        v, c = np.unique(np.concatenate(parts), return_counts=True)
+        r, bits = places(v, ranges)
+        order = np.argsort(r, kind="stable")
+        bits, c = bits[order], c[order]
+        cut = np.searchsorted(r[order], np.arange(ranges + 1))
+        for k in range(ranges):
+            x, n = bits[cut[k] : cut[k + 1]], c[cut[k] : cut[k + 1]]
+            more = np.flatnonzero(n > 1)
+            blobs = [x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8), more.astype(np.uint32), n[more].astype(np.uint32), np.array([len(x)], np.uint32)]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *[pa.array([y.tobytes()], pa.binary()) for y in blobs]], ["r", "low", "high", "more", "n", "size"])
+
+    def count(batches):
         seen: set[int] = set()
         held, size = [], 0
-        for batch, texts in text_chunks(batches):
+        for _, texts in text_chunks(batches):
             values, offsets = shingles(texts)
-            ids, n = class_ids(values, offsets), np.diff(offsets)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array(n), signed(ids), none, none], ["doc_id", "n", "cls", "cell", "df"])
-            held.append(gather(values, offsets, new_classes(ids, n, seen))[0])
+            held.append(gather(values, offsets, new_classes(class_ids(values, offsets), np.diff(offsets), seen))[0])
             size += len(held[-1])
             if size > HELD:
-                yield heavy(held)
+                yield from packed(held)
                 held, size = [], 0
         if held:
-            yield heavy(held)
-
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, cls long, cell long, df long")
-
+            yield from packed(held)
 
-def levels(rows: DataFrame) -> np.ndarray:
-    """The level, log2 of the summed counts, of each cell; CELLS rows at most reach the driver."""
+    def merge(batches):
+        for low, high, more, n, size in by_range(batches, 5):
+            bits = np.frombuffer(b"".join(low), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(high), np.uint8).astype(np.uint64) << np.uint64(32)
+            times = np.ones(len(bits), np.int64)
+            first = np.cumsum([0] + [int.from_bytes(x, "little") for x in size[:-1]])
+            at = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + f for x, f in zip(more, first, strict=True)])
+            times[at] = np.frombuffer(b"".join(n), np.uint32)
+            order = np.argsort(bits)
+            bits, times = bits[order], times[order]
+            start = np.flatnonzero(np.concatenate(([True], bits[1:] != bits[:-1]))) if len(bits) else np.zeros(0, np.int64)
+            df = np.add.reduceat(times, start) if len(bits) else times
+            often = df >= OFTEN
+            yield pa.RecordBatch.from_arrays([signed(bits[start][often] % np.uint64(CELLS)), pa.array(df[often])], ["cell", "df"])
+
+    blobs = docs.select("text").mapInArrow(count, "r long, low binary, high binary, more binary, n binary, size binary")
+    return blobs.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(merge, "cell long, df long")
+
+
+def levels(counted: DataFrame) -> np.ndarray:
+    """The level, log2 of the largest frequency, of each cell; CELLS bytes in all. Frequencies below a power of two are
+    left out as needed for a quarter of the cells at most to be taken, so rare shingles keep apart from frequent ones."""
+    spark = counted.sparkSession
+    span = CELLS // 64
+
+    def pack(batches):
+        level: dict[int, np.ndarray] = {}
+        for b in batches:
+            cell = b.column(0).to_numpy()
+            for k in np.unique(cell // span).tolist():
+                keep = cell // span == k
+                level.setdefault(k, np.zeros(span, np.uint8))[cell[keep] % span] = b.column(1).to_numpy()[keep]
+        for k, v in level.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["k", "v"])
+
+    cells = stored(counted.groupBy("cell").agg(F.max("df").alias("df")).select("cell", F.floor(F.log2("df")).alias("level")), "cells")
+    taken, least = 0, 99
+    for r in cells.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row for each power of two
+        taken += r["count"]
+        if taken > CELLS // 4:
+            break
+        least = r["level"]
+    parts = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros(CELLS, np.uint8)
-    for b in rows.where("cell is not null").groupBy("cell").agg(F.sum("df").alias("df")).select("cell", F.floor(F.log2("df")).alias("level")).toArrow().to_batches():
-        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    for r in cells.where(F.col("level") >= least).repartition(parts, F.floor(F.col("cell") / span)).mapInArrow(pack, "k long, v binary").collect():
+        out[r["k"] * span : (r["k"] + 1) * span] = np.frombuffer(r["v"], np.uint8)
     return out
 
 
@@ -115,7 +192,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
     """(a, b): classes that share a shingle of their prefixes, as stars around the smallest class."""
     spark = docs.sparkSession
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = n_ranges(spark)
     shared = spark.sparkContext.broadcast(level)  # CELLS bytes
 
     def stars(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +225,8 @@ def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
             ids, n = class_ids(values, offsets), np.diff(offsets)
             new = new_classes(ids, n, seen)
             v, owner = gather(values, offsets, new)
-            v = v[np.lexsort((v, shared.value[(v % np.uint64(CELLS)).astype(np.int64)], owner))]  # owner stays sorted
+            _, bits = places(v, ranges)
+            v = v[np.lexsort((v, shared.value[(bits % np.uint64(CELLS)).astype(np.int64)], owner))]  # owner stays sorted
             n = n[new]
             place = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
             keep = place < np.repeat(prefix_size(n), n)
@@ -170,16 +248,7 @@ def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 a, b = roots[nodes != roots], nodes[nodes != roots]
             return pa.RecordBatch.from_arrays([signed(a), signed(b)], ["a", "b"])
 
-        now, rows = None, ([], [], [], [])
-        for batch in batches:
-            for r, *blobs in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if r != now and now is not None:
-                    yield joined(rows)
-                    rows = ([], [], [], [])
-                now = r
-                for x, y in zip(rows, blobs, strict=True):
-                    x.append(y)
-        if now is not None:
+        for rows in by_range(batches, 4):
             yield joined(rows)
 
     blobs = docs.select("text").mapInArrow(prefixes, "r long, token binary, cls binary, a binary, b binary")
@@ -197,7 +266,13 @@ class Trie:
         self.label = np.arange(len(sets))
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         self.order = np.array(order)
-        self.root = self._build(0, len(order), 0)
+        root = self._build(0, len(order), 0)
+        self.top = root[7] if not len(root[0]) and root[6] < 0 else [root]
+        self.paths = np.concatenate([t[0] for t in self.top])
+        self.starts = np.cumsum([0] + [len(t[0]) for t in self.top[:-1]])
+        self.last = np.array([t[0][-1] for t in self.top])
+        self.alone = np.array([order[t[1]] if t[2] - t[1] == 1 else -1 for t in self.top])
+        self.deep, self.small, self.large = (np.array([t[k] for t in self.top]) for k in (3, 4, 5))
 
     def _build(self, lo: int, hi: int, depth: int):
         """Iteratively: (path below depth, lo, hi, depth at its end, smallest and largest size, set that ends here or -1, children)."""
@@ -211,6 +286,12 @@ class Trie:
             differ = np.flatnonzero(first[depth:m] != last[depth:m])
             end = depth + int(differ[0]) if len(differ) else m
             size = self.size[order[lo:hi]]
+            cut = int(prefix_size(size.max()))
+            if depth < cut < end:
+                children = []
+                into.append((first[depth:cut], lo, hi, cut, int(size.min()), int(size.max()), -1, children))
+                work.append((lo, hi, cut, children))
+                continue
             children: list = []
             ends = -1
             at = lo
@@ -231,8 +312,13 @@ class Trie:
         mask = np.zeros(self.words + 1, np.int32)
         mask[mine] = 1
         left = np.concatenate((np.cumsum(mask[::-1])[::-1], [0]))  # of x, from a rank on
-        found, stack = [], [(self.root, 0)]
         label, order = self.label, self.order
+        overlaps = np.add.reduceat(mask[self.paths], self.starts)
+        best = overlaps + np.minimum(self.large - self.deep, left[self.last + 1])
+        open_ = ((100 + PERCENT) * best >= PERCENT * (n + self.small)) & (100 * n >= PERCENT * self.small) & (100 * self.large >= PERCENT * n)
+        if not everything:
+            open_ &= (self.alone < 0) | (label[self.alone] != label[x])
+        found, stack = [], [((self.top[k][0][:0], *self.top[k][1:]), int(overlaps[k])) for k in np.flatnonzero(open_).tolist()]
         while stack:
             (path, lo, hi, depth, small, large, ends, children), overlap = stack.pop()
             if 100 * n < PERCENT * small or 100 * large < PERCENT * n:
@@ -242,11 +328,8 @@ class Trie:
             if len(path):
                 overlap += int(mask[path].sum())
                 rest = int(left[path[-1] + 1])
-            else:
-                rest = n
-            best = overlap + min(large - depth, rest)
-            if (100 + PERCENT) * best < PERCENT * (n + small):
-                continue
+                if (100 + PERCENT) * (overlap + min(large - depth, rest)) < PERCENT * (n + small):
+                    continue
             if ends >= 0 and ends != x and (everything or label[ends] != label[x]) and (100 + PERCENT) * overlap >= PERCENT * (n + self.size[ends]):
                 found.append(ends)
                 label[label == label[ends]] = label[x]
@@ -258,7 +341,7 @@ def forest(values: list[np.ndarray], probe: np.ndarray) -> list[tuple[int, int]]
     """Links that join what links among sets of hashes; only sets where probe holds walk the trie."""
     v, at, df = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     rank = np.empty(len(v), np.int64)
-    rank[np.lexsort((v, -df))] = np.arange(len(v))
+    rank[np.lexsort((v, df))] = np.arange(len(v))
     bounds = np.cumsum([len(x) for x in values])[:-1]
     trie = Trie([np.sort(x) for x in np.split(rank[at], bounds)])
     out = []
@@ -346,8 +429,7 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal sets; null for empty ones) and component_id of every row of docs."""
     docs = docs.select("doc_id", "text")
     rows = stored(signatures(docs), "signatures")
-    level = levels(rows)
-    rows = rows.where("cell is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+    level = levels(frequencies(docs))
     roots = components(candidate_edges(docs, level))
     classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"))
     groups = stored(candidate_groups(classes.select("cls", "n"), roots), "groups")
