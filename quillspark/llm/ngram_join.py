@@ -37,7 +37,7 @@ from .graph import components, local_roots
 
 WIDTH, PERCENT = 5, 75
 #: Classes that make a shingle frequent; cells of the level table; bits of the table of candidates.
-OFTEN, CELLS, CANDIDATE_BITS = 3, 1 << 22, 22
+OFTEN, CELLS, CANDIDATE_BITS = 2, 1 << 24, 22
 BLOCK = 1500
 #: Values held by a task before they are joined and passed on.
 HELD = 3_000_000
@@ -107,7 +107,7 @@ def by_range(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[lis
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
-    """cell, df of every shingle that three classes or more have; all texts are counted. The shuffle carries five bytes
+    """cell, df of every shingle that OFTEN classes or more have; all texts are counted. The shuffle carries five bytes
     a shingle, and its count where a task has it more than once."""
     ranges = n_ranges(docs.sparkSession)
 
@@ -155,8 +155,8 @@ def frequencies(docs: DataFrame) -> DataFrame:
 
 
 def levels(counted: DataFrame) -> np.ndarray:
-    """The level, log2 of the largest frequency, of each cell; CELLS bytes in all. Frequencies below a power of two are
-    left out as needed for a quarter of the cells at most to be taken, so rare shingles keep apart from frequent ones."""
+    """The level, twice the log2 of the largest frequency, of each cell; CELLS bytes in all. Frequencies below some level are
+    left out as needed for half of the cells at most to be taken, so rare shingles keep apart from frequent ones."""
     spark = counted.sparkSession
     span = CELLS // 64
 
@@ -170,11 +170,11 @@ def levels(counted: DataFrame) -> np.ndarray:
         for k, v in level.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["k", "v"])
 
-    cells = stored(counted.groupBy("cell").agg(F.max("df").alias("df")).select("cell", F.floor(F.log2("df")).alias("level")), "cells")
+    cells = stored(counted.groupBy("cell").agg(F.max("df").alias("df")).select("cell", F.floor(2 * F.log2("df")).alias("level")), "cells")
     taken, least = 0, 99
-    for r in cells.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row for each power of two
+    for r in cells.groupBy("level").count().orderBy(F.desc("level")).collect():  # two rows for each power of two
         taken += r["count"]
-        if taken > CELLS // 4:
+        if taken > CELLS // 2:
             break
         least = r["level"]
     parts = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
