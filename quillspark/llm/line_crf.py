@@ -23,7 +23,7 @@ from .common import SPACE, fold, span_hashes, table, text_chunks, unit_hash, wor
 
 THRESHOLD = 0.7
 #: Bounds of the training sample: documents of a class, characters of a document (from its start).
-DOCS_PER_CLASS, CHARS_PER_DOC = 2000, 30_000
+DOCS_PER_CLASS, CHARS_PER_DOC = 800, 12_000
 
 
 def _class(*chars: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def marginals(emit: np.ndarray, trans: np.ndarray, count: np.ndarray) -> tuple[n
     return good, edge
 
 
-def padded(doc: np.ndarray, values: np.ndarray, most: int = 1 << 20):
+def padded(doc: np.ndarray, values: np.ndarray, most: int = 1 << 17):
     """Blocks of documents of similar line counts: (documents, their line counts, values padded, rows of the lines)."""
     count = np.bincount(doc)
     first = np.cumsum(count) - count
