@@ -1,16 +1,456 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with DuckDB SQL where SQL can state it.
+
+`documents` stands for the corpus (lang for domain), `benchmark` for evaluation texts, consecutive user and assistant
+turns of `conversations` for reference and hypothesis, slices of `embeddings` for low-rank factors; pipe tables are
+rendered from `nation` and `region`. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import image as I
+from ..functions import text as T
+from ..operators import corpus, linalg, metrics, mix, pairs, tables
+from ..sources import readers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source", "lang").agg(F.count("*").alias("n"))
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark, d):
+    return read(spark, d, "documents")
+
+
+def as_rows(spark, d):
+    return docs(spark, d).select("doc_id", F.col("text").alias("response"), "source", F.col("lang").alias("domain"))
+
+
+WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x1c-\x1f\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+COLLAPSED = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Repair, validity, decontamination, holdout, then counts by source and domain of the training rows."""
+    rows = as_rows(spark, d).withColumn("response", T.source_norm(F.col("response"))).where(corpus.valid(F.col("response")))
+    clean = corpus.decontaminate(rows, read(spark, d, "benchmark"), "doc_id", "response")
+    return corpus.counts(corpus.with_holdout(clean, "domain", "doc_id").where("split = 'train'"))
+
+
+@query(rf"SELECT doc_id, {COLLAPSED} AS body FROM documents")
+def text_normalize(spark, d):
+    return docs(spark, d).select("doc_id", T.eval_norm(F.col("text")).alias("body"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '<b>(.*?)</b>', '**\1**', 'gs'), '<i>(.*?)</i>', '*\1*', 'gs'), '</?u>', '', 'g'), '</p>\s*<p>', chr(10) || chr(10), 'g'), '</?p>', '', 'g'), '^\s+|\s+$', '', 'g') AS md FROM pages""")
+def html_markup_to_md(spark, d):
+    return read(spark, d, "pages").select("page_id", T.html_to_md(F.col("html")).alias("md"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace('![a](b.png)' || replace(text, chr(10), chr(10) || chr(10) || chr(10)), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS body FROM documents")
+def strip_refs_squeeze(spark, d):
+    c = F.concat(F.lit("![a](b.png)"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n\n")))
+    return docs(spark, d).select("doc_id", T.squeeze_blank_lines(T.drop_images(c)).alias("body"))
+
+
+@query(rf"SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') ELSE text END AS body FROM documents")
+def unwrap_fence(spark, d):
+    fenced = F.when(F.length("text") % 2 == 0, F.concat(F.lit("```markdown\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    return docs(spark, d).select("doc_id", T.unwrap_fence(fenced).alias("body"))
+
+
+@query("SELECT doc_id, array_to_string(list_reverse(string_split(text, '')), '') AS body FROM documents")
+def reverse_text(spark, d):
+    return docs(spark, d).select("doc_id", F.reverse("text").alias("body"))
+
+
+PROMPT_SQL = "[" + ", ".join(f"'{p}'" for p in T.PROMPTS) + "]"
+
+
+@query(f"SELECT doc_id, {PROMPT_SQL}[doc_id % 5 + 1] AS prompt FROM documents WHERE length(text) >= 2")
+def assign_prompts_pre(spark, d):
+    return docs(spark, d).where(corpus.valid(F.col("text"))).select("doc_id", T.prompt(F.col("doc_id")).alias("prompt"))
+
+
+@query(f"SELECT doc_id, {PROMPT_SQL}[row_number() OVER (ORDER BY doc_id) % 5 + 1] AS prompt FROM documents WHERE length(text) >= 2 AND contains(text, '.')")
+def assign_prompts_post(spark, d):
+    rows = docs(spark, d).where(corpus.valid(F.col("text")) & F.contains("text", F.lit("."))).select("doc_id")
+    return corpus.with_counter(rows, "doc_id").select("doc_id", T.prompt(F.col("i")).alias("prompt"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE text IS NOT NULL AND length(text) >= 2 AND NOT contains(coalesce(source, ''), 'src1')")
+def valid_rows(spark, d):
+    return docs(spark, d).where(corpus.valid(F.col("text")) & ~F.contains(F.coalesce("source", F.lit("")), F.lit("src1"))).select("doc_id", "source")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 72 = 0")
+def every_kth(spark, d):
+    """The operator itself is the sampling of every 72nd row."""
+    return corpus.nth(docs(spark, d), "doc_id").select("doc_id")
+
+
+@query("""SELECT p_partkey, coalesce(map {'Newspaper': 'newspaper', 'Book': 'doc_markdown', 'Map': 'line_real'}[c], 'line_real') AS domain
+FROM (SELECT p_partkey, ['Newspaper', 'Book', 'Map', 'Other'][p_size % 4 + 1] AS c FROM part)""")
+def category_domain_lookup(spark, d):
+    name = F.concat(F.element_at(F.array(*map(F.lit, ["Newspaper", "Book", "Map", "Other"])), F.col("p_size") % 4 + 1), F.lit("-00001-of-00002.parquet"))
+    return read(spark, d, "part").select("p_partkey", readers.category_domain(readers.category(name)).alias("domain"))
+
+
+@query("""SELECT p_partkey, CASE WHEN a > b THEN greatest(28, trunc(w * sqrt(b::double / a::double))::int) ELSE w END AS w,
+ CASE WHEN a > b THEN greatest(28, trunc(h * sqrt(b::double / a::double))::int) ELSE h END AS h
+FROM (SELECT p_partkey, w, h, w::bigint * h::bigint AS a, CASE WHEN p_size % 2 = 0 THEN 1003520 ELSE 501760 END AS b
+      FROM (SELECT p_partkey, p_size, (p_partkey % 3000 + 20)::int AS w, (p_size * 60)::int AS h FROM part))""")
+def pixel_budget(spark, d):
+    p = read(spark, d, "part").withColumns({"w": (F.col("p_partkey") % 3000 + 20).cast("int"), "h": (F.col("p_size") * 60).cast("int")})
+    domain = F.when(F.col("p_size") % 2 == 0, "manuscript").otherwise("newspaper")
+    return p.select("p_partkey", I.fit(F.col("w"), F.col("h"), I.budget(domain)).alias("s")).select("p_partkey", "s.w", "s.h")
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(0.0, least(l_quantity - 10, l_tax * 100))::double AS x0, greatest(0.0, least(l_discount * 100, l_quantity))::double AS y0,
+ least(40.0, greatest(l_quantity - 10, l_tax * 100))::double AS x1, least(30.0, greatest(l_discount * 100, l_quantity))::double AS y1 FROM lineitem""")
+def bbox_clamp(spark, d):
+    pts = F.array(F.array(F.col("l_quantity") - 10, F.col("l_discount") * 100), F.array(F.col("l_tax") * 100, F.col("l_quantity")))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", I.box(pts, F.lit(40.0), F.lit(30.0)).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
+
+
+@query("SELECT n_nationkey, n_name AS transcription, least(n_nationkey, 3)::double AS x0 FROM nation WHERE n_name <> ''")
+def annotation_extract(spark, d):
+    tag = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
+    pts = F.struct(F.array(F.array(F.col("n_nationkey").cast("double"), F.lit(1.0)), F.array(F.lit(3.0), F.lit(2.0))).alias("exterior"))
+    obj = F.struct(F.array(tag("Kind", F.lit("x")), tag("Transcription", F.col("n_name"))).alias("tags"), pts.alias("points"))
+    none = F.struct(F.array(tag("Kind", F.lit("y"))).alias("tags"), pts.alias("points"))
+    a = read(spark, d, "nation").withColumn("annotation", F.to_json(F.struct(F.array(obj, none).alias("objects"))))
+    return readers.regions(a).select("n_nationkey", "transcription", I.box(F.col("points"), F.lit(50.0), F.lit(50.0))["x0"].alias("x0"))
+
+
+PROBES = rf"SELECT DISTINCT left({COLLAPSED}, 40) AS probe FROM benchmark"
+DIRTY = rf"EXISTS (SELECT 1 FROM ({PROBES}) p WHERE probe <> '' AND contains(body, probe))"
+
+
+@query(rf"SELECT doc_id FROM (SELECT doc_id, {COLLAPSED} AS body FROM documents) WHERE NOT {DIRTY}")
+def decontaminate_rows(spark, d):
+    return corpus.decontaminate_by_probe(docs(spark, d), read(spark, d, "benchmark"), "text").select("doc_id")
+
+
+@query(rf"SELECT doc_id FROM (SELECT doc_id, {COLLAPSED} AS body FROM documents) WHERE NOT {DIRTY}")
+def decontaminate_shingles(spark, d):
+    return corpus.decontaminate(docs(spark, d).select("doc_id", "text"), read(spark, d, "benchmark"), "doc_id", "text").select("doc_id")
+
+
+@query(rf"""WITH g AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id),
+bad AS (SELECT conv_id FROM (SELECT conv_id, {COLLAPSED} AS body FROM g) WHERE {DIRTY})
+SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM bad)""")
+def decontaminate_groups(spark, d):
+    c = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    return corpus.decontaminate_groups(c, read(spark, d, "benchmark"), "conv_id", "turn", "text").select("conv_id", "turn")
+
+
+def _order(seed):
+    return f"md5('{seed}:' || doc_id), doc_id"
+
+
+@query(f"SELECT doc_id, lang AS domain, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {_order(42)}) <= 400 THEN 'val' ELSE 'train' END AS split FROM documents")
+def stratified_holdout(spark, d):
+    return corpus.with_holdout(as_rows(spark, d).select("doc_id", "domain"), "domain", "doc_id")
+
+
+@query("SELECT source, domain, n FROM (SELECT source, lang AS domain, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source), (lang), ()))")
+def corpus_stats(spark, d):
+    return corpus.counts(as_rows(spark, d))
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY substr(md5('42:' || doc_id), 1, 15), doc_id) AS place FROM documents")
+def seeded_shuffle(spark, d):
+    h = F.conv(F.substring(corpus.seeded(42, F.col("doc_id")), 1, 15), 16, 10).cast("long")
+    return corpus.with_counter(docs(spark, d).select("doc_id", h.alias("h")), "h", "place").select("doc_id", "place")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_order(42)}) AS r, count(*) OVER () AS n FROM documents) WHERE r <= trunc(n * 0.29::double)")
+def exact_sample(spark, d):
+    return mix.exact_sample(docs(spark, d).select("doc_id"), 0.29, "doc_id")
+
+
+def _mix_sql(weights, seed, group="lang", table="documents"):
+    cases = " ".join(f"WHEN '{k}' THEN {v}::double" for k, v in weights.items())
+    return f"""WITH w AS (SELECT *, CASE {group} {cases} END AS wt, {group} AS part FROM {table}),
+r AS (SELECT *, count(*) OVER (PARTITION BY part) AS n, row_number() OVER (PARTITION BY part ORDER BY {_order(seed)}) AS r FROM w WHERE wt > 0),
+k AS (SELECT *, floor(wt)::bigint + CASE WHEN r <= floor(n * (wt - floor(wt))) THEN 1 ELSE 0 END AS k FROM r)
+SELECT doc_id, unnest(range(1, k + 1))::int AS copy FROM k WHERE k > 0"""
+
+
+@query(_mix_sql({"en": 2.5, "fr": 2.5, "de": 2.5, "es": 2.5}, 42))
+def oversample(spark, d):
+    return mix.weighted(docs(spark, d).select("doc_id", "lang"), F.lit(2.5), "lang", "doc_id", 42).select("doc_id", "copy")
+
+
+DOMAIN_OF = {"en": "doc_markdown", "fr": "newspaper", "de": "line_real", "es": "line_synth"}
+DOMAIN_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DOMAIN_OF.items()) + " END"
+
+
+def domains(spark, d):
+    c = F.col("lang")
+    m = F.create_map(*[F.lit(x) for kv in DOMAIN_OF.items() for x in kv])
+    return docs(spark, d).select("doc_id", F.when(F.col("source") == "src3", "img2md").otherwise(F.col("source")).alias("source"), F.try_element_at(m, c).alias("domain"), "text")
+
+
+@query(_mix_sql(mix.RECIPES["1"].domains, 42, "domain", f"(SELECT doc_id, {DOMAIN_SQL} AS domain FROM documents)"))
+def domain_mix(spark, d):
+    return mix.mix(domains(spark, d), mix.RECIPES["1"], "doc_id").select("doc_id", "copy")
+
+
+@query(_mix_sql(mix.RECIPES["5"].domains | {"s:img2md": 1.0}, 45, "domain", f"(SELECT doc_id, CASE WHEN source = 'src3' THEN 's:img2md' ELSE {DOMAIN_SQL} END AS domain FROM documents)"))
+def source_override_mix(spark, d):
+    return mix.mix(domains(spark, d), mix.RECIPES["5"], "doc_id").select("doc_id", "copy")
+
+
+def pipe_tables(spark, d):
+    """A page for each region with a pipe table of its nations."""
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("| "), x["n_nationkey"].cast("string"), F.lit(" | "), x["n_name"], F.lit(" |")))
+    page = F.concat(F.lit("Table of "), "r_name", F.lit("\n| id | nation |\n| --- | --- |\n"), F.array_join(rows, "\n"), F.lit("\nend | of table"))
+    return n.groupBy("r_regionkey", "r_name").agg(page.alias("text"))
+
+
+PIPE_SQL = """SELECT r_regionkey, r_name, 'Table of ' || r_name || chr(10) || '| id | nation |' || chr(10) || '| --- | --- |' || chr(10) ||
+ string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) || chr(10) || 'end | of table' AS text
+ FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"""
+HTML_SQL = """'<table>' || chr(10) || '<tr><td>id</td><td>nation</td></tr>' || chr(10) ||
+ string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', chr(10) ORDER BY n_nationkey) || chr(10) || '</table>'"""
+
+
+@query(_mix_sql({"t": 2.0} | mix.RECIPES["6"].domains, 48, "domain", f"(SELECT doc_id, {DOMAIN_SQL} AS domain FROM documents UNION ALL SELECT r_regionkey - 100 AS doc_id, 't' AS domain FROM region)"))
+def table_mix(spark, d):
+    pages = pipe_tables(spark, d).select((F.col("r_regionkey").cast("long") - 100).alias("doc_id"), F.lit("tables").alias("source"), F.lit("none").alias("domain"), "text")
+    rows = domains(spark, d).unionByName(pages)
+    return mix.mix(rows, mix.RECIPES["6"], "doc_id", T.has_md_table(F.col("text"))).select("doc_id", "copy")
+
+
+@query("""WITH a AS (SELECT *, doc_id % 18 AS m, doc_id // 18 AS q FROM documents),
+g AS (SELECT doc_id, text, q * 4 + CASE WHEN m < 3 THEN 0 WHEN m < 7 THEN 1 WHEN m < 12 THEN 2 ELSE 3 END AS grp, CASE WHEN m < 3 THEN 3 WHEN m < 7 THEN 4 WHEN m < 12 THEN 5 ELSE 6 END AS want FROM a)
+SELECT grp, count(*) AS n, string_agg(text, chr(10) ORDER BY doc_id) AS text, 10 * (count(*) + 1) + sum(20)::bigint AS h FROM g GROUP BY grp, want HAVING count(*) = want""")
+def stacked_groups(spark, d):
+    g = corpus.stacks(docs(spark, d).select("doc_id", "text"), "doc_id")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    size = I.stack(F.transform(F.collect_list("pos"), lambda _: F.lit(100)), F.transform(F.collect_list("pos"), lambda _: F.lit(20)))
+    out = g.groupBy("grp", "want").agg(F.count("*").alias("n"), said.alias("text"), size["h"].alias("h")).where("n = want")
+    return out.select("grp", "n", "text", "h")
+
+
+def turn_pairs(spark, d):
+    """Reference: a user turn; hypothesis: the assistant turn after it."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = read(spark, d, "conversations").withColumns({"next_role": F.lead("role").over(w), "next": F.lead("text").over(w)})
+    c = c.where("role = 'user' and next_role = 'assistant'")
+    return c.select("conv_id", "turn", F.concat(F.lit("s"), (F.col("conv_id") % 5).cast("string")).alias("suite"), T.eval_norm(F.col("text")).alias("ref"), T.eval_norm(F.col("next")).alias("hyp"))
+
+
+#: DuckDB counts bytes; letters beyond ASCII are mapped one to one on unused single bytes.
+ODD = "éèêçàâîôûùëïüöäßñáíóúÉÈÊÇÀÂÎÔÛÙËÏÜÖÄÑÁÍÓÚ"
+SPARE = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32), *map(ord, "~`^{}[]\\<>@_;+")][: len(ODD)])
+PAIRS_SQL = f"""p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT conv_id, turn, 's' || (conv_id % 5) AS suite, {COLLAPSED} AS ref, {COLLAPSED.replace("text", "next")} AS hyp FROM p WHERE role = 'user' AND next_role = 'assistant'),
+e AS (SELECT *, levenshtein(translate(ref, '{ODD}', {SPARE}), translate(hyp, '{ODD}', {SPARE})) AS edits FROM q WHERE ref <> '')"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT suite, sum(edits)::bigint AS char_edits, sum(length(ref))::bigint AS chars, count(*) AS n FROM e GROUP BY suite")
+def corpus_cer(spark, d):
+    return metrics.corpus_rates(turn_pairs(spark, d), ["suite"], word_rate=False).select("suite", "char_edits", "chars", "n")
+
+
+@query()
+def corpus_wer(spark, d):
+    return metrics.corpus_rates(turn_pairs(spark, d), ["suite"]).select("suite", "word_edits", "words", "n")
+
+
+RATIO = "length(hyp)::double / greatest(length(ref), 1)"
+BUCKET = f"CASE WHEN {RATIO} > 20 THEN 'looper' WHEN {RATIO} BETWEEN 0.8 AND 1.2 THEN 'good' END"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT CASE WHEN {RATIO} > 2 THEN 'looper' WHEN {RATIO} BETWEEN 0.8 AND 1.2 THEN 'good' END AS bucket, count(*) AS n, sum(floor(1e6 * edits / greatest(length(ref), 1)))::bigint AS cer_ppm FROM e GROUP BY 1")
+def mean_cer_by_bucket(spark, d):
+    p = turn_pairs(spark, d).where("ref <> ''")
+    each = F.floor(F.lit(1e6) * metrics.char_edits(F.col("ref"), F.col("hyp")) / F.greatest(F.length("ref"), F.lit(1)))
+    return p.groupBy(metrics.bucket(T.length_ratio(F.col("ref"), F.col("hyp"))).alias("bucket")).agg(F.count("*").alias("n"), F.sum(each).alias("cer_ppm"))
+
+
+@query(f"""WITH {PAIRS_SQL}, b AS (SELECT conv_id, turn, CASE WHEN {RATIO} > 2 THEN 'looper' WHEN {RATIO} BETWEEN 0.8 AND 1.2 THEN 'good' END AS bucket FROM q)
+SELECT * FROM (SELECT conv_id, turn, bucket, row_number() OVER (PARTITION BY bucket ORDER BY conv_id * 1000 + turn) AS rn FROM b WHERE bucket IS NOT NULL) WHERE rn <= 6""")
+def loop_triage(spark, d):
+    p = turn_pairs(spark, d).withColumn("i", F.col("conv_id") * 1000 + F.col("turn"))
+    return metrics.triage(p, T.length_ratio(F.col("ref"), F.col("hyp")), "i").select("conv_id", "turn", "bucket", "rn")
+
+
+def run_summary(spark, d, which: int):
+    """A summary by language; `which` varies the figures and the languages covered."""
+    s = docs(spark, d).groupBy(F.col("lang").alias("suite")).agg(F.count("*").alias("n"))
+    return s.where(F.col("suite") != ("es" if which else "fr")).withColumn("cer", (F.col("n") % (7 + which)) / 10.0)
+
+
+def _summary_sql(which):
+    return f"(SELECT lang AS suite, count(*) AS n, (count(*) % {7 + which}) / 10.0::double AS cer FROM documents WHERE lang <> '{'es' if which else 'fr'}' GROUP BY lang)"
+
+
+@query(f"SELECT suite, n, cer FROM {_summary_sql(0)} WHERE suite NOT IN (SELECT suite FROM {_summary_sql(1)}) UNION ALL SELECT suite, n, cer FROM {_summary_sql(1)}")
+def summary_upsert(spark, d):
+    return metrics.upsert(run_summary(spark, d, 0), run_summary(spark, d, 1), ["suite"])
+
+
+@query(f"SELECT a.suite, CASE WHEN b.cer = 0 THEN 'infinity'::double ELSE a.cer / b.cer END AS ratio FROM {_summary_sql(0)} a LEFT JOIN {_summary_sql(1)} b USING (suite)")
+def baseline_ratio(spark, d):
+    b = run_summary(spark, d, 1).select("suite", F.col("cer").alias("base"))
+    return run_summary(spark, d, 0).join(b, "suite", "left").select("suite", metrics.ratio_to(F.col("cer"), F.col("base")).alias("ratio"))
+
+
+@query(f"SELECT a.suite, a.cer > coalesce(4.0::double * b.cer, 0.2::double) AS aborted FROM {_summary_sql(0)} a LEFT JOIN {_summary_sql(1)} b USING (suite)")
+def canary_gate(spark, d):
+    b = run_summary(spark, d, 1).select("suite", F.col("cer").alias("base"))
+    return run_summary(spark, d, 0).join(b, "suite", "left").select("suite", metrics.canary(F.col("cer"), F.col("base")).alias("aborted"))
+
+
+@query(f"SELECT a.suite, a.cer, b.cer AS base_cer, coalesce(a.cer > b.cer, false) AS regressed, row_number() OVER (ORDER BY a.cer DESC, a.suite) AS place FROM {_summary_sql(1)} a LEFT JOIN {_summary_sql(0)} b USING (suite)")
+def leaderboard(spark, d):
+    """A row a suite: the window is over a handful."""
+    out = metrics.leaderboard(run_summary(spark, d, 1), run_summary(spark, d, 0))
+    return out.select("suite", "cer", "base_cer", "regressed", F.row_number().over(W.orderBy(F.desc("cer"), "suite")).alias("place"))
+
+
+#: The long-output pages of the development slices.
+LOOP_PAGES = [32, 35, 47, 63, 79, 81, 108, 138, 158, 179, 198, 210, 216, 221, 238, 273, 315, 318, 328, 346, 365, 382, 385, 398]
+
+
+@query(f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT doc_id, lang || '[norm]' AS slice FROM r WHERE i < 30 UNION ALL SELECT doc_id, lang || '[loop]' FROM r WHERE i IN ({", ".join(map(str, LOOP_PAGES))})""")
+def dev_slices(spark, d):
+    """The operator itself takes the first 30 rows of a suite, and listed ones."""
+    r = docs(spark, d).select("doc_id", "lang", (F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1).alias("i"))
+    normal = r.where("i < 30").select("doc_id", F.concat("lang", F.lit("[norm]")).alias("slice"))
+    return normal.unionByName(r.where(F.col("i").isin(LOOP_PAGES)).select("doc_id", F.concat("lang", F.lit("[loop]")).alias("slice")))
+
+
+@query(f"""SELECT -1 - r_regionkey::bigint AS id, 'Table of ' || r_name || chr(10) || {HTML_SQL} || chr(10) || 'end | of table' AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name
+UNION ALL SELECT doc_id AS id, text FROM documents""")
+def md_tables_to_html(spark, d):
+    pages = pipe_tables(spark, d).select((-1 - F.col("r_regionkey").cast("long")).alias("id"), "text").unionByName(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
+    return pages.select("id", tables.md_tables_to_html(F.col("text")).alias("text"))
+
+
+@query(f"SELECT r_regionkey, text FROM ({PIPE_SQL})")
+def html_tables_to_md(spark, d):
+    return pipe_tables(spark, d).select("r_regionkey", tables.html_tables_to_md(tables.md_tables_to_html(F.col("text"))).alias("text"))
+
+
+@query("SELECT -1 - r_regionkey::bigint AS id, true AS is_table FROM region UNION ALL SELECT doc_id AS id, len(regexp_extract_all(text, '(?m)^[ \\t]*\\|.*\\|[ \\t]*$')) >= 2 AS is_table FROM documents")
+def has_md_table(spark, d):
+    pages = pipe_tables(spark, d).select((-1 - F.col("r_regionkey").cast("long")).alias("id"), "text").unionByName(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
+    return pages.select("id", T.has_md_table(F.col("text")).alias("is_table"))
+
+
+@query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_name = b.n_name THEN 0.0::double ELSE levenshtein(a.n_name, b.n_name)::double / greatest(length(a.n_name), length(b.n_name)) END AS distance
+FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey""")
+def table_content_distance(spark, d):
+    n = read(spark, d, "nation")
+    a, b = n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"), "n_regionkey"), n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"), "n_regionkey")
+    return a.join(b, "n_regionkey").select("a", "b", tables.content_distance(F.col("x"), F.col("y")).alias("distance"))
+
+
+@query("SELECT r_regionkey, 1.0::double AS same, 0.0::double AS missing FROM region")
+def table_similarity(spark, d):
+    html = pipe_tables(spark, d).select("r_regionkey", tables.md_tables_to_html(F.col("text")).alias("html"))
+    return html.select("r_regionkey", tables.table_similarity("html", "html").alias("same"), tables.table_similarity(F.lit("none"), "html").alias("missing"))
+
+
+@query(f"""WITH {PAIRS_SQL}, k AS (SELECT conv_id * 1000 + turn AS doc_id, ref, hyp FROM q)
+SELECT doc_id FROM (SELECT doc_id, ref, hyp, row_number() OVER (ORDER BY substr(md5('42:' || doc_id), 1, 15), doc_id) AS r FROM k) WHERE r <= 100 AND ref <> '' AND hyp <> '' AND ref <> hyp""")
+def preference_pairs(spark, d):
+    """The operator itself takes a number of shuffled pairs before it filters."""
+    p = turn_pairs(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("ref").alias("rejected"), F.col("hyp").alias("chosen"))
+    return pairs.preference_pairs(p, "doc_id", 100).select("doc_id")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT conv_id, turn, 'user' AS first_role, 'assistant' AS last_role, 3 AS parts, {PROMPT_SQL}[conv_id % 5 + 1] AS prompt, hyp AS answer FROM q")
+def chat_template(spark, d):
+    p = turn_pairs(spark, d).select("conv_id", "turn", pairs.messages(T.prompt(F.col("conv_id")), F.col("hyp")).alias("m"))
+    parts = F.size(F.flatten(F.transform("m", lambda x: x["content"])))
+    return p.select("conv_id", "turn", F.col("m")[0]["role"].alias("first_role"), F.col("m")[1]["role"].alias("last_role"), parts.alias("parts"), F.col("m")[0]["content"][1]["text"].alias("prompt"), F.col("m")[1]["content"][0]["text"].alias("answer"))
+
+
+RANK, SIDE = 4, 12
+
+
+def adapters(spark, d):
+    """Two adapters of small integers: the first and the next twelve embeddings give A and B of two modules."""
+    e = read(spark, d, "embeddings").where(F.col("vec_id") < 4 * SIDE).select("vec_id", F.posexplode(F.slice("embedding", 1, RANK)).alias("k", "x"))
+    v, side, which = F.round(F.col("x") * 100).cast("double"), F.col("vec_id") % SIDE, F.floor(F.col("vec_id") / SIDE)
+    a = e.where(which % 2 == 0).select(F.concat(F.lit("a"), (which / 2).cast("int").cast("string")).alias("adapter"), F.lit("m").alias("module"), F.lit("A").alias("factor"), F.col("k").cast("long").alias("i"), side.alias("j"), v.alias("v"))
+    b = e.where(which % 2 == 1).select(F.concat(F.lit("a"), ((which - 1) / 2).cast("int").cast("string")).alias("adapter"), F.lit("m").alias("module"), F.lit("B").alias("factor"), side.alias("i"), F.col("k").cast("long").alias("j"), v.alias("v"))
+    config = spark.createDataFrame([("a0", RANK, 8.0, 0.5), ("a1", RANK, 8.0, 0.5)], "adapter string, r int, alpha double, coeff double")
+    return a.unionByName(b), config
+
+
+ADAPTER_SQL = f"""e AS (SELECT vec_id, unnest(range(0, {RANK})) AS k, unnest(embedding[1:{RANK}]) AS x FROM embeddings WHERE vec_id < {4 * SIDE}),
+f AS (SELECT vec_id // {SIDE} AS w, vec_id % {SIDE} AS s, k, round(x::double * 100) AS v FROM e),
+p AS (SELECT b.s AS i, a.s AS j, sum(0.5::double * b.v * a.v) AS v FROM f a JOIN f b ON b.w = a.w + 1 AND a.w % 2 = 0 AND a.k = b.k GROUP BY ALL)"""
+
+
+@query(f"WITH {ADAPTER_SQL} SELECT i, j, v FROM p")
+def adapter_soup(spark, d):
+    factors, _ = linalg.soup(*adapters(spark, d))
+    return linalg.product(factors).select("i", "j", "v")
+
+
+@query(f"WITH {ADAPTER_SQL} SELECT i, j, (1000.0::double + 2.0::double * v)::float::double AS v, v <> 0 AS changed FROM p")
+def adapter_merge(spark, d):
+    factors, _ = linalg.soup(*adapters(spark, d))
+    base = linalg.product(factors).select("module", "i", "j", F.lit(1000.0).alias("v"))
+    return linalg.merge(base, factors, 2.0).select("i", "j", "v", "changed")
+
+
+@query("SELECT 2::bigint AS adapters, false AS bad_sum, false AS bad_scale, 0::bigint AS incomplete, 0::bigint AS unshared")
+def adapter_guards(spark, d):
+    return linalg.guards(*adapters(spark, d))
+
+
+@query("SELECT 'checkpoint-' || max(n_nationkey) AS latest FROM nation")
+def latest_checkpoint(spark, d):
+    names = read(spark, d, "nation").select(F.concat(F.lit("checkpoint-"), F.col("n_nationkey").cast("string")).alias("name"))
+    return names.agg(F.max_by("name", F.split("name", "-")[1].cast("int")).alias("latest"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'model.' || lower(n_name) ELSE NULL END AS module FROM nation")
+def tensor_names(spark, d):
+    n = F.concat(F.lit("base_model.model.model.language_model."), F.lower("n_name"))
+    return read(spark, d, "nation").select("n_nationkey", T.tensor_name(F.when(F.col("n_nationkey") % 2 == 0, F.concat(n, F.lit(".lora_A.weight"))).otherwise(n)).alias("module"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS big FROM events GROUP BY event_type")
+def dropped_counters(spark, d):
+    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("big"))
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def keyed_join(spark, d):
+    return read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+@query(f"SELECT source, domain, n FROM (WITH c AS (SELECT doc_id, source, lang AS domain FROM (SELECT *, {COLLAPSED} AS body FROM documents) WHERE length(body) >= 2 AND NOT {DIRTY}), h AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {_order(42)}) AS r FROM c) SELECT source, domain, count(*) AS n FROM h WHERE r > 400 GROUP BY GROUPING SETS ((source), (domain), ()))")
+def corpus_build(spark, d):
+    return flagship(spark, d)
