@@ -213,6 +213,18 @@ def score(docs: DataFrame, model: LineCrf | None) -> DataFrame:
     return docs.mapInArrow(apply, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: LineCrf | None) -> DataFrame:
+    """The rows of docs, all columns, that score THRESHOLD or more; all of them without a model."""
+    if model is None:
+        return docs
+
+    def apply(batches):
+        for batch, texts in text_chunks(batches):
+            yield batch.filter(pa.array(model.score(texts) >= THRESHOLD))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))

@@ -441,5 +441,13 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, that of its smallest id, with all columns; of repeated rows one. Rows without an id
+    stay."""
+    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ class WordCache:
         memo, plain, odd = self.memo, {}, []
         for w in words:
             base, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-            if base.isalpha() and max(base) < "\u0100":
+            if base.isalpha() and (base.isascii() or max(base) < "\u0100"):
                 plain[w] = base.lower(), mark
             else:
                 odd.append(w)
@@ -94,9 +95,9 @@ class WordCache:
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [None if self.odd.search(t) else t.split() for t in texts]
         if len(self.memo) > CACHE_WORDS:
-            self.memo.clear()
+            self.memo = {w: x for w, x in self.memo.items() if len(w) <= 8}  # the short ones come back most
         memo = self.memo
-        self.learn({w for words in split if words for w in words if w not in memo})
+        self.learn(set(chain.from_iterable(x for x in split if x)).difference(memo))
         get = memo.__getitem__
         return [b"".join(map(get, words)) if words is not None else self.raw([t])[0] for t, words in zip(texts, split, strict=True)]
 
