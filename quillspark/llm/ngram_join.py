@@ -256,26 +256,31 @@ def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 class Trie:
-    """Distinct sets of ranks in a path-compressed trie, and the components of their links."""
+    """Distinct sets of ranks, some of them in a path-compressed trie, and the components of their links."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        """sets: sorted ranks."""
+    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
+        """sets: sorted ranks, each with one at least; members: those in the trie."""
         self.sets = sets
         self.size = np.array([len(s) for s in sets])
-        self.words = 1 + max((int(s[-1]) for s in sets if len(s)), default=0)
+        self.words = 1 + max(int(s[-1]) for s in sets)
         self.label = np.arange(len(sets))
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        order = sorted(members.tolist(), key=lambda i: sets[i].astype(">u4").tobytes())
         self.order = np.array(order)
         root = self._build(0, len(order), 0)
         self.top = root[7] if not len(root[0]) and root[6] < 0 else [root]
+        # the first level, and the whole sets of those of its nodes that hold one set alone, as flat arrays
         self.paths = np.concatenate([t[0] for t in self.top])
         self.starts = np.cumsum([0] + [len(t[0]) for t in self.top[:-1]])
         self.last = np.array([t[0][-1] for t in self.top])
         self.alone = np.array([order[t[1]] if t[2] - t[1] == 1 else -1 for t in self.top])
         self.deep, self.small, self.large = (np.array([t[k] for t in self.top]) for k in (3, 4, 5))
+        tails = [sets[i][d:] if i >= 0 else t[0][:0] for i, d, t in zip(self.alone.tolist(), self.deep.tolist(), self.top, strict=True)]
+        self.tails = np.concatenate(tails)
+        self.tail_at = np.cumsum([0] + [len(t) for t in tails])
 
     def _build(self, lo: int, hi: int, depth: int):
-        """Iteratively: (path below depth, lo, hi, depth at its end, smallest and largest size, set that ends here or -1, children)."""
+        """Nodes: (path from the parent's depth, lo, hi, depth at its end, smallest and largest size, set that ends here
+        or -1, children). A path is cut where the largest set's prefix ends."""
         sets, order = self.sets, self.order
         top: list = []
         work = [(lo, hi, depth, top)]
@@ -286,15 +291,13 @@ class Trie:
             differ = np.flatnonzero(first[depth:m] != last[depth:m])
             end = depth + int(differ[0]) if len(differ) else m
             size = self.size[order[lo:hi]]
+            children: list = []
             cut = int(prefix_size(size.max()))
             if depth < cut < end:
-                children = []
                 into.append((first[depth:cut], lo, hi, cut, int(size.min()), int(size.max()), -1, children))
                 work.append((lo, hi, cut, children))
                 continue
-            children: list = []
-            ends = -1
-            at = lo
+            ends, at = -1, lo
             if len(first) == end:
                 ends, at = int(order[lo]), lo + 1
             into.append((first[depth:end], lo, hi, end, int(size.min()), int(size.max()), ends, children))
@@ -306,19 +309,39 @@ class Trie:
         return top[0]
 
     def link(self, x: int, everything: bool = False) -> list[int]:
-        """Sets that link with set x; without `everything`, only as many as join its component to each other one."""
-        mine = self.sets[x]
-        n = len(mine)
-        mask = np.zeros(self.words + 1, np.int32)
+        """Members that link with set x; without `everything`, only as many as join its component to each other one."""
+        mine, label, order = self.sets[x], self.label, self.order
+        n, most = len(mine), 100 + PERCENT
+        mask = np.zeros(self.words + 1, np.uint8)
         mask[mine] = 1
-        left = np.concatenate((np.cumsum(mask[::-1])[::-1], [0]))  # of x, from a rank on
-        label, order = self.label, self.order
-        overlaps = np.add.reduceat(mask[self.paths], self.starts)
-        best = overlaps + np.minimum(self.large - self.deep, left[self.last + 1])
-        open_ = ((100 + PERCENT) * best >= PERCENT * (n + self.small)) & (100 * n >= PERCENT * self.small) & (100 * self.large >= PERCENT * n)
+        left = n - np.searchsorted(mine, self.last, "right")  # of x, after a path's last rank
+        overlaps = np.add.reduceat(mask[self.paths].astype(np.int32), self.starts)
+        best = overlaps + np.minimum(self.large - self.deep, left)
+        walk = (most * best >= PERCENT * (n + self.small)) & (100 * n >= PERCENT * self.small) & (100 * self.large >= PERCENT * n)
+        single = self.alone >= 0
         if not everything:
-            open_ &= (self.alone < 0) | (label[self.alone] != label[x])
-        found, stack = [], [((self.top[k][0][:0], *self.top[k][1:]), int(overlaps[k])) for k in np.flatnonzero(open_).tolist()]
+            walk &= ~single | (label[self.alone] != label[x])
+        found = []
+
+        def meet(y: int) -> None:
+            if y != x and (everything or label[y] != label[x]):
+                found.append(y)
+                label[label == label[y]] = label[x]
+
+        at = np.flatnonzero(walk & single)
+        if len(at):
+            size = self.tail_at[at + 1] - self.tail_at[at]
+            if len(at) * 3 > len(self.top):
+                total = np.concatenate(([0], np.cumsum(mask[self.tails], dtype=np.int32)))
+                rest = total[self.tail_at[at + 1]] - total[self.tail_at[at]]
+            else:
+                flat = np.arange(size.sum()) + np.repeat(self.tail_at[at] - (np.cumsum(size) - size), size)
+                total = np.concatenate(([0], np.cumsum(mask[self.tails[flat]], dtype=np.int32)))
+                stop = np.cumsum(size)
+                rest = total[stop] - total[stop - size]
+            for y in self.alone[at[most * (overlaps[at] + rest) >= PERCENT * (n + self.large[at])]].tolist():
+                meet(y)
+        stack = [((self.top[k][0][:0], *self.top[k][1:]), int(overlaps[k])) for k in np.flatnonzero(walk & ~single).tolist()]
         while stack:
             (path, lo, hi, depth, small, large, ends, children), overlap = stack.pop()
             if 100 * n < PERCENT * small or 100 * large < PERCENT * n:
@@ -327,27 +350,30 @@ class Trie:
                 continue
             if len(path):
                 overlap += int(mask[path].sum())
-                rest = int(left[path[-1] + 1])
-                if (100 + PERCENT) * (overlap + min(large - depth, rest)) < PERCENT * (n + small):
+                rest = n - int(np.searchsorted(mine, path[-1], "right"))
+                if most * (overlap + min(large - depth, rest)) < PERCENT * (n + small):
                     continue
-            if ends >= 0 and ends != x and (everything or label[ends] != label[x]) and (100 + PERCENT) * overlap >= PERCENT * (n + self.size[ends]):
-                found.append(ends)
-                label[label == label[ends]] = label[x]
+            if ends >= 0 and most * overlap >= PERCENT * (n + self.size[ends]):
+                meet(ends)
             stack += [(c, overlap) for c in children]
         return found
 
 
 def forest(values: list[np.ndarray], probe: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what links among sets of hashes; only sets where probe holds walk the trie."""
+    """Links that join what links among sets of hashes: of every two sets if probe holds for all, else of a set where
+    it holds with one where it doesn't."""
     v, at, df = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     rank = np.empty(len(v), np.int64)
     rank[np.lexsort((v, df))] = np.arange(len(v))
     bounds = np.cumsum([len(x) for x in values])[:-1]
-    trie = Trie([np.sort(x) for x in np.split(rank[at], bounds)])
+    members = np.flatnonzero(~probe) if not probe.all() else np.arange(len(values))
+    if not probe.any():
+        return []
+    trie = Trie([np.sort(x) for x in np.split(rank[at], bounds)], members)
     out = []
     for x in np.flatnonzero(probe).tolist():
-        if (trie.label == trie.label[x]).all():
-            break
+        if (trie.label[members] == trie.label[x]).all():
+            continue
         out += [(x, y) for y in trie.link(x)]
     return out
 
