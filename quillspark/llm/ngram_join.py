@@ -197,6 +197,8 @@ def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
 
     def stars(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct tokens, the smallest class of each, and the forest of the edges between classes of one token."""
+        if not len(token):
+            return token, cls, token, cls
         order = np.lexsort((cls, token))
         token, cls = token[order], cls[order]
         first = np.concatenate(([True], token[1:] != token[:-1]))
