@@ -69,9 +69,15 @@ def decontaminate_groups(lines: DataFrame, benchmark: DataFrame, group: str, pos
 
 
 def with_holdout(df: DataFrame, domain: str, key: str, seed: int = 42, rows: int = HOLDOUT) -> DataFrame:
-    """`split`: val for the first `rows` of each domain in seeded order, train for the others. One shuffle, by domain."""
-    order = W.partitionBy(domain).orderBy(seeded(seed, F.col(key)), F.col(key))
-    return df.withColumn("split", F.when(F.row_number().over(order) <= rows, "val").otherwise("train"))
+    """`split`: val for the first `rows` of each domain in seeded order, train for the others. Only the first rows of
+    each domain meet (a window with a group limit, so each task passes on `rows` of a domain at most); the last of them
+    is the domain's cut, and every row is held against it. Keys are unique."""
+    place = F.struct(seeded(seed, F.col(key)).alias("h"), F.col(key).alias("k"))
+    first = df.select(F.col(domain).alias("_d"), place.alias("_p"))
+    first = first.withColumn("_r", F.row_number().over(W.partitionBy("_d").orderBy("_p"))).where(F.col("_r") <= rows)
+    cut = first.groupBy("_d").agg(F.max("_p").alias("_cut"))
+    joined = df.join(F.broadcast(cut), F.col(domain).eqNullSafe(F.col("_d")))  # a row a domain
+    return joined.withColumn("split", F.when(place <= F.col("_cut"), "val").otherwise("train")).drop("_d", "_cut")
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -83,16 +89,28 @@ def nth(df: DataFrame, key: str, k: int = 72) -> DataFrame:
     return df.where(F.col(key) % k == 0)
 
 
-def with_counter(df: DataFrame, order: str, name: str = "i") -> DataFrame:
-    """1, 2, ... over the whole table in the order of a unique long column, without one task holding it: ranges are
-    numbered by their sizes."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranged.join(F.broadcast(before), "_p").withColumn(name, (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_r", "_b")  # a row a partition
+def hashed(seed: int, key: Column) -> Column:
+    """The first 60 bits of the seeded order, as a long."""
+    return F.conv(F.substring(seeded(seed, key), 1, 15), 16, 10).cast("long")
+
+
+HASH_END = (1 << 60) - 1
+BUCKETS = 1024
+
+
+def with_counter(df: DataFrame, order: str, name: str = "i", group: str | None = None, span: tuple[int, int] | None = None, tie: str | None = None) -> DataFrame:
+    """1, 2, ... over the table, or over each group, in the order of a long column, with no task that holds it all:
+    the column's span is cut into equal buckets, rows are numbered in each, and the sizes of the buckets below are
+    added. `span` is looked up where it isn't given. Rows with a null group go."""
+    low, high = span or df.agg(F.min(order), F.max(order)).first()
+    width = ((high - low) // BUCKETS + 1) if low is not None else 1
+    keys = ["_b"] + ([group] if group else [])
+    rows = df.withColumn("_b", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("long"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    below = W.orderBy("_b") if group is None else W.partitionBy(group).orderBy("_b")
+    before = sizes.select(*keys, F.coalesce(F.sum("_n").over(below.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(order, *([tie] if tie else [])))
+    return rows.join(F.broadcast(before), keys).withColumn(name, (F.col("_before") + place).cast("long")).drop("_b", "_before")  # BUCKETS rows a group
 
 
 def stacks(df: DataFrame, order: str, sizes: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
