@@ -10,6 +10,7 @@ from ..functions import text as T
 
 #: Least text length and image side, holdout rows a domain, length of a probe.
 LEAST_TEXT, LEAST_SIDE, HOLDOUT, PROBE = 2, 12, 400, 40
+HEAD = 16
 
 
 def valid(text: Column, w: Column | None = None, h: Column | None = None) -> Column:
@@ -31,21 +32,24 @@ def probes(benchmark: DataFrame, text: str = "text", size: int = PROBE) -> DataF
     return benchmark.select(T.probe(F.col(text), size).alias("probe")).where("probe <> ''").distinct()
 
 
-def contaminated_ids(docs: DataFrame, found: DataFrame, key: str, text: str, size: int = PROBE) -> DataFrame:
+def contaminated_ids(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """Keys of documents whose collapsed text contains a probe.
 
-    Full-length probes meet the document's distinct windows of that length in a semi-join on the window, which neither
-    long documents nor long probe lists make quadratic. Shorter probes, whole texts of fewer characters, have their own
-    branch, a semi-join on containment.
+    A text that contains a probe has, after some space, the HEAD characters that follow the probe's first space. These
+    meet in an equi-join, which neither long documents nor long probe lists make quadratic, and only the pairs that meet
+    are checked for the whole probe. Probes without such a head, short or of one long word, have their own branch.
     """
     body = docs.select(key, T.collapse(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    long_ = found.where(F.length("probe") == size)
-    windows = body.select(key, F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))).alias("probe"))
-    hits = windows.join(long_, "probe", "left_semi").select(key)
-    short = found.where(F.length("probe") < size)
-    if short.isEmpty():
+    space = F.instr("probe", " ")
+    headed = found.select("probe", F.substring(F.col("probe"), space + 1, F.lit(HEAD)).alias("head"), (space > 0).alias("spaced"))
+    fast = headed.where(F.col("spaced") & (F.length("head") == HEAD)).select("probe", "head")
+    heads = F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s) (?=(.{{{HEAD}}}))"), F.lit(1)))
+    met = body.select(key, F.explode(heads).alias("head")).join(fast, "head").select(key, "probe").distinct()
+    hits = body.join(met, key).where(F.contains("body", "probe")).select(key)
+    rest = headed.where(~F.col("spaced") | (F.length("head") < HEAD)).select("probe")
+    if rest.isEmpty():
         return hits.distinct()
-    return hits.unionByName(body.join(short, F.contains("body", "probe"), "left_semi").select(key)).distinct()
+    return hits.unionByName(body.join(rest, F.contains("body", "probe"), "left_semi").select(key)).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
