@@ -48,11 +48,11 @@ WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x1c-\x1f\x{2000}-\x{200A}\x{2028}\x{2029}\x{20
 COLLAPSED = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
+def flagship(spark: SparkSession, d: str, holdout: int = corpus.HOLDOUT) -> DataFrame:
     """Repair, validity, decontamination, holdout, then counts by source and domain of the training rows."""
     rows = as_rows(spark, d).withColumn("response", T.source_norm(F.col("response"))).where(corpus.valid(F.col("response")))
     clean = corpus.decontaminate(rows, read(spark, d, "benchmark"), "doc_id", "response")
-    return corpus.counts(corpus.with_holdout(clean, "domain", "doc_id").where("split = 'train'"))
+    return corpus.counts(corpus.with_holdout(clean, "domain", "doc_id", rows=holdout).where("split = 'train'"))
 
 
 @query(rf"SELECT doc_id, {COLLAPSED} AS body FROM documents")
