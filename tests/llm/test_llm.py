@@ -416,6 +416,15 @@ def test_leaks(spark, odd, docs, texts):
     assert decontaminate.clean(odd.limit(0), bench).count() == 0
 
 
+def test_leaks_without_the_rarest_word(spark):
+    rng = random.Random(11)
+    usual = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join([*rng.choices(usual, k=15), f"rare{k}", *rng.choices(usual, k=15)])) for k in range(10)]
+    made = [(k, " ".join(usual[::-1])) for k in range(200)] + [(1000 + k, t.replace(f"rare{k}", "w0")) for k, t in items]
+    got = decontaminate.leaks(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1000 + k, k) for k, _ in items}
+
+
 # the pipeline
 
 
