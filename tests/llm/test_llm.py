@@ -425,6 +425,20 @@ def test_leaks_without_the_rarest_word(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1000 + k, k) for k, _ in items}
 
 
+def test_leaks_of_thousands_of_items(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(20_000)]
+    some = lambda n: rng.choices(vocabulary, k=n)
+    items = [some(rng.randint(15, 60)) for _ in range(3000)]
+    made = []
+    for k in range(300):  # even: whole copies; odd: every sixth word is another
+        copy = [x if k % 2 == 0 or j % 6 else "changed" for j, x in enumerate(items[k * 10])]
+        made.append((k, " ".join([*some(rng.randint(0, 150)), *copy, *some(rng.randint(0, 150))])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, k * 10) for k in range(300)}
+
+
 # the pipeline
 
 
