@@ -439,6 +439,14 @@ def test_leaks_of_thousands_of_items(spark):
     assert got == {(k, k * 10) for k in range(300)}
 
 
+def test_leaks_of_short_items_and_without_id(spark):
+    items = [(None, "an item that has no id but quite enough of words to count"), (1, "Only four words, here"), (2, "")]
+    made = [(1, f"before it {items[0][1]} and after"), (2, "see: only FOUR words here."), (3, "only four other words here"), (4, "nothing of it")]
+    docs, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(1, None), (2, 1)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {3, 4}
+
+
 # the pipeline
 
 
