@@ -2,7 +2,8 @@
 
 `documents` stands for the corpus (lang for domain), `benchmark` for evaluation texts, consecutive user and assistant
 turns of `conversations` for reference and hypothesis, slices of `embeddings` for low-rank factors; pipe tables are
-rendered from `nation` and `region`. Every query reads its whole tables.
+rendered from `nation` and `region`. Every query reads its whole tables, except the adapter queries: they and their SQL
+read the first 48 embeddings alone.
 """
 
 from __future__ import annotations
