@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fold, span_hashes, table, text_chunks, unit_hash, words_of
+from .common import SPACE, fold, span_hashes, stored, table, text_chunks, unit_hash, words_of
 
 THRESHOLD = 0.7
-#: Bounds of the training sample: documents of a class, characters of a document (from its start).
+#: Bounds of the training sample: documents of a class, characters of a document on average. Whole texts are taken as
+#: long as they fit, then of the longest ones a run of lines at a hashed place.
 DOCS_PER_CLASS, CHARS_PER_DOC = 800, 12_000
 
 
@@ -184,6 +185,23 @@ def train(texts: list[bytes], labels: list[int], prior: float, steps: int = 150,
     return model
 
 
+def longest_run(lengths: list[int]) -> int:
+    """The most characters to take of each text so that all come to CHARS_PER_DOC a text at most."""
+    left = CHARS_PER_DOC * len(lengths)
+    for k, n in enumerate(sorted(lengths)):
+        if n > left // (len(lengths) - k):
+            return left // (len(lengths) - k)
+        left -= n
+    return max([*lengths, 1])
+
+
+def whole_lines(text: str, before: bool, after: bool) -> str:
+    """A run without the broken lines at its ends, where text stands before or after it; a part of one line as it is."""
+    inner = text[text.find("\n") + 1 if before else 0 :]
+    inner = inner[: inner.rfind("\n")] if after and "\n" in inner else inner
+    return inner if inner.strip() else text
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> LineCrf | None:
     """Learn from rows (doc_id, text) of docs and (doc_id, quality) of labels."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -192,8 +210,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineCrf | None:
         return None
     share = F.when(F.col("quality") == 1, 1.2 * DOCS_PER_CLASS / counts[1]).otherwise(1.2 * DOCS_PER_CLASS / counts[0])
     ids = known.where(unit_hash("doc_id", salt="quality") < share).limit(4 * DOCS_PER_CLASS)
-    part = docs.where("doc_id is not null and text is not null").select("doc_id", F.substring("text", 1, CHARS_PER_DOC).alias("text"))
-    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in part.join(F.broadcast(ids), "doc_id").limit(8 * DOCS_PER_CLASS).collect())  # ids: 4 * DOCS_PER_CLASS at most
+    part = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    sample = stored(part.join(F.broadcast(ids), "doc_id").limit(8 * DOCS_PER_CLASS), "quality")  # ids: 4 * DOCS_PER_CLASS at most
+    longest = longest_run([r[0] for r in sample.select(F.length("text")).collect()])
+    before = F.floor(unit_hash("doc_id", salt="where") * F.greatest(F.lit(0), F.length("text") - longest)).cast("int")
+    after = F.length("text") > before + longest
+    runs = sample.select("doc_id", F.substring(F.col("text"), before + 1, F.lit(longest)).alias("text"), "quality", (before > 0).alias("before"), after.alias("after"))
+    rows = sorted((r["doc_id"], whole_lines(r["text"], r["before"], r["after"]), r["quality"]) for r in runs.collect())  # CHARS_PER_DOC a row
     picked = [r for k in (0, 1) for r in [r for r in rows if r[2] == k][:DOCS_PER_CLASS]]
     if len({r[2] for r in picked}) < 2:
         return None

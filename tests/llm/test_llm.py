@@ -74,6 +74,21 @@ def test_quality(spark, odd):
     assert line_crf.fit(odd.limit(0), table(spark, SF, "labels").limit(0)) is None and line_crf.accepted(odd, None).count() == len(ODD)
 
 
+def test_quality_learns_beyond_the_first_characters(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(line_crf, "train", lambda texts, labels, prior: taken.append(dict(zip(texts, labels, strict=True))))
+    lines = lambda d, n: "\n".join(f"line {k} of {d}" for k in range(n))
+    labels = spark.createDataFrame([(d, d % 2) for d in range(20)], "doc_id long, quality int")
+    few = {d: lines(d, 3000 if d == 0 else 5) for d in range(20)}
+    line_crf.fit(spark.createDataFrame(list(few.items()), "doc_id long, text string"), labels)
+    assert taken[0] == {t.encode(): d % 2 for d, t in few.items()}
+    many = {d: lines(d, 3000) for d in range(20)}
+    line_crf.fit(spark.createDataFrame(list(many.items()), "doc_id long, text string"), labels)
+    at = [int(t.split()[1]) for t in taken[1]]
+    assert len(set(at)) > 10 and max(at) > 1000 and sum(map(len, taken[1])) <= 20 * line_crf.CHARS_PER_DOC
+    assert all(set(t.decode().split("\n")) <= set(many[int(t.split()[3])].split("\n")) for t in taken[1])
+
+
 def test_line_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     emit, trans = rng.standard_normal((2, 5)), rng.standard_normal((2, 2))
