@@ -5,8 +5,9 @@ lengths of what `split` leaves between the matches. The method adds entropy span
 characters or more get a window of WINDOW characters slid over them; the sum of c*log2(c) over the window's character
 counts is updated for the one character that enters and the one that leaves, which gives the window's Shannon entropy
 log2(WINDOW) - sum / WINDOW. A window at or over the threshold of the candidate's character class marks its characters;
-the span runs from the first to the last marked one. Allow-listed candidates, and spans that overlap a base span, are
-suppressed. There is no shuffle.
+the span runs from the first to the last marked one. Allow-listed candidates are suppressed: those without a digit, those
+of digits alone (their threshold is out of reach), UUIDs, and those where stand-ins and rulers leave no window free. Of a
+candidate that overlaps base spans the parts between them are scanned. There is no shuffle.
 
 Cases: null text is empty. A null id is kept. Repeated rows give repeated rows; extra columns are ignored.
 """
@@ -32,8 +33,8 @@ CLASSES = {"digits": (r"^[0-9_=+/-]+$", 9.0), "hex": (r"^[0-9a-fA-F]+$", 2.9), "
 ALLOWED = [
     r"^[A-Za-z+/_=-]+$",  # words and paths without a digit
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
-    r"(?i)example|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh",
-    r"(.)\1{7}",  # rulers
+    # stand-ins and rulers, in candidates where they leave no window free
+    r"(?i)^.{0,15}((example|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh|(.)\3{7}).{0,15})+$",
 ]
 SPAN = "array<struct<s:int,rank:int,e:int,kind:string>>"
 
@@ -95,6 +96,20 @@ def bits_of(x: Column) -> Column:
     return out
 
 
+def outside(x: Column, base: Column) -> Column:
+    """s, text and threshold of the parts of a candidate between base spans (in order) where a window fits."""
+    part = lambda s, e: F.struct(s.alias("s"), F.substring(x["x"], s - x["s"] + 1, e - s).alias("x"), bits_of(x["x"]).alias("bits"))
+    zero = F.struct(x["s"].alias("at"), F.array().cast("array<struct<s:int,x:string,bits:double>>").alias("out"))
+
+    def more(acc, end):
+        return F.when(end - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(part(acc["at"], end)))).otherwise(acc["out"])
+
+    def step(acc, b):
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), more(acc, F.least(b["s"], x["e"])).alias("out"))
+
+    return F.aggregate(base, zero, step, lambda acc: more(acc, x["e"]))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base` and `spans`, arrays of struct(s, rank, e, kind) in order of start and kind."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -103,11 +118,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     odd = F.filter(matches(t, "entropy", CANDIDATE), lambda x: ~_allowed(x["x"]))
     docs = docs.withColumn("_odd", odd)
     docs = docs.withColumn("base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in BASE])))
-    found = F.transform("_odd", lambda x: F.struct(x["s"].alias("at"), hot_part(x["x"], bits_of(x["x"])).alias("p")))
+    docs = docs.withColumn("_odd", F.flatten(F.transform("_odd", lambda x: outside(x, F.col("base")))))
+    found = F.transform("_odd", lambda x: F.struct(x["s"].alias("at"), hot_part(x["x"], x["bits"]).alias("p")))
     found = F.transform(F.filter(found, lambda x: x["p"]["first"].isNotNull()), lambda x: F.struct((x["at"] + x["p"]["first"]).alias("s"), F.lit(3).alias("rank"), (x["at"] + x["p"]["end"]).alias("e"), F.lit("entropy").alias("kind")))
     docs = docs.withColumn("_found", F.when(F.size("_odd") > 0, found).otherwise(F.array().cast(SPAN)))
-    apart = F.filter("_found", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    docs = docs.withColumn("spans", F.array_sort(F.concat(F.col("base"), apart)))
+    docs = docs.withColumn("spans", F.array_sort(F.concat(F.col("base"), F.col("_found"))))
     return docs.drop("_odd", "_found", *[f"_{k}" for k in BASE])
 
 
