@@ -113,6 +113,15 @@ def test_toxicity(spark, odd):
     assert len({r["score"] for r in toxicity.score(odd, model).collect()}) == 1 and model.score(b"So BAD!") > 0.5
 
 
+def test_toxicity_keeps_texts_with_a_common_passage():
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    passage = some(40)
+    texts = [" ".join([*some(60), *passage, *some(60)]).encode() for _ in range(200)]
+    copies = [t.rsplit(b" ", 1)[0] + b" other" for t in texts[:50]]
+    assert toxicity.distinct(texts + copies) == texts
+
+
 # 2
 
 
