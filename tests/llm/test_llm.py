@@ -195,10 +195,18 @@ def test_packing(spark, odd, texts):
     assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in got if r["start"] == 0)[1:4] == [(1, 1), (2, 1), (3, 1)] and packing.pack(odd.limit(0)).count() == 0
 
 
-def test_words_encode_as_texts():
-    cache = packing.WordCache.of(packing.default_vocabulary())
-    said = ["It's A TEST.. of x86, Größe & ÉCOLE!? <|endoftext|> a\x1cb", "", "İstanbul Σας 'tis né́e 12.5%", "tokens, tokens; tokens: Tokens"]
-    assert cache.ids(said) == cache.raw(said)
+def test_pieces_encode_as_texts():
+    """Exact ids whatever the characters, also where the memo is full again and again."""
+    from tokenizers import Tokenizer
+
+    path, rng = packing.default_vocabulary(), random.Random(5)
+    whole, small = Tokenizer.from_file(path), packing.PieceIds(path, most=300)
+    parts = [*"abAB .,'$!?<|>129\n\t\x1c\x85\xa0éÉß×÷n\u0323\u0303\u0301HİΣς…—’😀中 \x00µªK", "'s", "'re", "<|endoftext|>", "<|EndOfText|>", "the ", "It's "]
+    said = [["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(4)] for _ in range(400)]
+    said += [["It's A TEST.. of x86, Größe & ÉCOLE!?", "", "İstanbul Σας 'tis né\u0301e 12.5%", "tokens, tokens; Tokens"], [" ".join("x" * k + " é" * (k % 3) + "é" * (k // 2) for k in range(70)), "b" * 20_000]]
+    for texts in said:
+        ids, offsets = small([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, offsets[1:-1])] == [[*whole.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
 
 
 def test_bins_balance_cost():
