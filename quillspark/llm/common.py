@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +54,25 @@ def unit_hash(*cols: Column | str, salt: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches with their column `text` as bytes (null: empty), each of about `limit` bytes at most."""
+def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, least: int = 0) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with their column `text` as bytes (null: empty), each of about `limit` bytes at most, where a
+    text counts as `least` bytes or more. Only a slice's texts are copied out of the batch. At the end the memory that
+    numpy and Arrow have freed goes back to the system, for a worker lives on."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
-        lo = size = 0
-        for i, x in enumerate(texts):
-            if size + len(x) > limit and i > lo:
-                yield batch.slice(lo, i - lo), texts[lo:i]
-                lo, size = i, 0
-            size += len(x)
-        if texts:
-            yield batch.slice(lo), texts[lo:]
+        column = col(batch, "text")
+        size = np.maximum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), least)
+        ends, lo = np.cumsum(size), 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+            yield batch.slice(lo, hi - lo), [x or b"" for x in column.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+            lo = hi
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -26,6 +26,8 @@ WIDTHS = (2, 3, 4)
 #: Bounds of the training sample: documents of a language, characters of a document, windows of a document.
 DOCS_PER_LANG, CHARS_PER_DOC, WINDOWS_PER_DOC = 500, 3000, 4
 UNKNOWN = "und"
+#: Windows that are worked on at once; a text of many is taken in several turns.
+BLOCK = 2048
 
 
 def byte_classes() -> np.ndarray:
@@ -70,11 +72,20 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(tables: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
-    c = np.concatenate((classes, np.zeros(3, np.uint8))).astype(np.int32)
-    two = c[:-1] * 64 + c[1:]
-    n = len(classes)
-    three = (two[:n] * 64 + c[2 : n + 2]).reshape(-1, WINDOW).T
-    first, second = two[:n].reshape(-1, WINDOW).T, two[2 : n + 2].reshape(-1, WINDOW).T
+    """The largest response of each filter in each window, for BLOCK windows at a time."""
+    c = np.concatenate((classes, np.zeros(3, np.uint8)))
+    n, size = len(classes), BLOCK * WINDOW
+    out = np.empty((n // WINDOW, len(WIDTHS), FILTERS), np.float32)
+    for lo in range(0, n, size):
+        out[lo // WINDOW : (lo + size) // WINDOW] = _pooled(tables, c[lo : min(lo + size, n) + 3])
+    return out.reshape(len(out), -1)
+
+
+def _pooled(tables: list[np.ndarray], c: np.ndarray) -> np.ndarray:
+    n = len(c) - 3
+    two = c[:-1].astype(np.uint16) * np.uint16(64) + c[1:]
+    three = (two[:n].astype(np.int32) * 64 + c[2 : n + 2]).reshape(-1, WINDOW).T
+    first, second = two[:n].reshape(-1, WINDOW).T, two[2:].reshape(-1, WINDOW).T
     out = np.full((3, n // WINDOW, FILTERS), -1e9, np.float32)
     for j in range(WINDOW):
         np.maximum(out[0], tables[0].take(first[j], axis=0), out=out[0])
@@ -82,7 +93,7 @@ def pooled(tables: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
         wide = tables[2].take(first[j], axis=0)
         wide += tables[3].take(second[j], axis=0)
         np.maximum(out[2], wide, out=out[2])
-    return np.maximum(out, 0).transpose(1, 0, 2).reshape(n // WINDOW, -1)
+    return np.maximum(out, 0).transpose(1, 0, 2)
 
 
 def train(texts: list[bytes], labels: list[str], epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 1) -> ByteCnn:
@@ -162,7 +173,7 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
 
     def apply(batches):
         tables = model.tables()
-        for batch, texts in text_chunks(batches, 1 << 20):
+        for batch, texts in text_chunks(batches, 1 << 20, WINDOW):
             classes, doc = windows(texts)
             z = pooled(tables, classes) @ model.dense + model.bias
             z -= z.max(1, keepdims=True)
