@@ -25,6 +25,20 @@ PROMPTS = [
     "Extract the text from this image.",
     "Convert this document image to markdown.",
 ]
+#: What wraps the names of adapter tensors; short names of the suites.
+WRAPPER = "base_model.model."
+SUITE_LABELS = {
+    "arocrbench_patsocr": "patsocr",
+    "arocrbench_arabicocr": "arabicocr",
+    "arocrbench_synthesizear": "synthesizear",
+    "arocrbench_isippt": "isippt",
+    "arocrbench_hindawi": "hindawi",
+    "nakba_test": "nakba (newspaper)",
+    "sedra_handwritten": "sedra (handwriting)",
+    "arocrbench_historyar": "historyar",
+    "misraj_dococr": "misraj_dococr",
+    "arocrbench_khattparagraph": "khatt (handwritten ¶)",
+}
 #: A line that starts and ends with a pipe; (?d): only \n ends a line.
 PIPE_LINE = r"(?md)^[\s\x1c-\x1f]*\|.*\|[\s\x1c-\x1f]*$"
 
@@ -73,7 +87,7 @@ def squeeze_blank_lines(c: Column) -> Column:
 
 def unwrap_fence(c: Column) -> Column:
     """The inside of a text that is one plain or markdown code fence; other texts unchanged."""
-    p = r"(?s)^```(?:markdown)?\s*\n(.*)\n```\s*\z"
+    p = r"(?sU)^```(?:markdown)?[\s\x1c-\x1f]*\n(.*?)\n?```[\s\x1c-\x1f]*\z"
     return F.when(c.rlike(p), strip(F.regexp_extract(c, p, 1))).otherwise(c)
 
 
@@ -106,7 +120,22 @@ def length_ratio(ref: Column, hyp: Column) -> Column:
 
 
 def tensor_name(c: Column) -> Column:
-    """Module of a low-rank factor's tensor; null if it is not one."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\.lora_[AB]\.weight$", ""), r"^base_model\.model\.", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^model\.language_model\.", "model."), r"^model\.visual\.", "visual.")
-    return F.when(c.rlike(r"\.lora_[AB]\.weight$"), bare)
+    """The base tensor that a low-rank factor's tensor patches; null if it is not one. The wrapper's name goes once,
+    wherever it stands; language and vision parts lose one level of their names."""
+    factor = r"\.lora_[AB]\.weight"
+    bare = F.regexp_replace(c, factor, "")
+    at = F.instr(bare, WRAPPER)
+    bare = F.when(at > 0, F.concat(F.left(bare, at - 1), F.substring(bare, at + len(WRAPPER), F.length(bare)))).otherwise(bare)
+    moved = F.when(bare.startswith("model.language_model."), F.concat(F.lit("model."), F.substring(bare, F.lit(22), F.length(bare))))
+    moved = moved.when(bare.startswith("model.visual."), F.substring(bare, F.lit(7), F.length(bare))).otherwise(bare)
+    return F.when(c.rlike(factor), F.concat(moved, F.lit(".weight")))
+
+
+def mix_part(spec: Column) -> Column:
+    """struct(name, coeff) of `name:coeff`, parted at the last colon."""
+    return F.struct(F.regexp_extract(spec, r"(?s)^(.*):([^:]*)$", 1).alias("name"), F.regexp_extract(spec, r"(?s)^(.*):([^:]*)$", 2).try_cast("double").alias("coeff"))
+
+
+def suite_label(c: Column) -> Column:
+    """The short name of a suite; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in SUITE_LABELS.items() for x in kv]), c)

@@ -1,12 +1,15 @@
-"""Corpus assembly: validity, decontamination, shuffle, stratified holdout, counts."""
+"""Corpus assembly: validity, decontamination, shuffle, stratified holdout, counts, counters, groups of rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 
 #: Least text length and image side, holdout rows a domain, length of a probe.
 LEAST_TEXT, LEAST_SIDE, HOLDOUT, PROBE = 2, 12, 400, 40
@@ -23,108 +26,194 @@ def seeded(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def hashed(seed: int, key: Column) -> Column:
+    """The first 60 bits of the seeded order, as a long."""
+    return F.conv(F.substring(seeded(seed, key), 1, 15), 16, 10).cast("long")
+
+
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(seeded(seed, F.col(key)), F.col(key))
 
 
+# decontamination
+
+
 def probes(benchmark: DataFrame, text: str = "text", size: int = PROBE) -> DataFrame:
     """Distinct probes; empty ones are rejected, for every text contains them."""
     return benchmark.select(T.probe(F.col(text), size).alias("probe")).where("probe <> ''").distinct()
 
 
-def contaminated_ids(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    """Keys of documents whose collapsed text contains a probe.
+def text_id(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def contaminated(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """The text_id, as `_id`, of every text of docs that contains a probe once its white space is collapsed.
 
     A text that contains a probe has, after some space, the HEAD characters that follow the probe's first space. These
     meet in an equi-join, which neither long documents nor long probe lists make quadratic, and only the pairs that meet
-    are checked for the whole probe. Probes without such a head, short or of one long word, have their own branch.
+    are checked for the whole probe. Probes without such a head, short ones and those of one long word, meet by their own
+    first characters, HEAD or all of them, wherever these stand in a text.
     """
-    body = docs.select(key, T.collapse(F.coalesce(F.col(text), F.lit(""))).alias("body"))
+    body = docs.select(text_id(F.col(text)).alias("_id"), T.collapse(F.coalesce(F.col(text), F.lit(""))).alias("body"))
     space = F.instr("probe", " ")
-    headed = found.select("probe", F.substring(F.col("probe"), space + 1, F.lit(HEAD)).alias("head"), (space > 0).alias("spaced"))
-    fast = headed.where(F.col("spaced") & (F.length("head") == HEAD)).select("probe", "head")
-    heads = F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s) (?=(.{{{HEAD}}}))"), F.lit(1)))
-    met = body.select(key, F.explode(heads).alias("head")).join(fast, "head").select(key, "probe").distinct()
-    hits = body.join(met, key).where(F.contains("body", "probe")).select(key)
-    rest = headed.where(~F.col("spaced") | (F.length("head") < HEAD)).select("probe")
-    if rest.isEmpty():
-        return hits.distinct()
-    return hits.unionByName(body.join(rest, F.contains("body", "probe"), "left_semi").select(key)).distinct()
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.join(contaminated_ids(docs, probes(benchmark), key, text), key, "left_anti")
+    after = F.substring(F.col("probe"), space + 1, F.lit(HEAD))
+    spaced = (space > 0) & (F.length(after) == HEAD)
+    size = F.when(spaced, HEAD).otherwise(F.least(F.length("probe"), F.lit(HEAD)))
+    headed = found.select("probe", spaced.alias("spaced"), size.alias("size"), F.when(spaced, after).otherwise(F.left("probe", size)).alias("head"))
+    out = docs.sparkSession.createDataFrame([], "_id binary")
+    for kind in headed.select("spaced", "size").distinct().collect():  # HEAD + 1 kinds at most
+        pattern = rf"(?s){' ' if kind['spaced'] else ''}(?=(.{{{kind['size']}}}))"
+        own = headed.where((F.col("spaced") == kind["spaced"]) & (F.col("size") == kind["size"])).select("head", "probe")
+        heads = body.select("_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)))).alias("head"))
+        met = heads.join(own, "head").select("_id", "probe").distinct()
+        out = out.unionByName(body.join(met, "_id").where(F.contains("body", "probe")).select("_id"))
+    return out.distinct()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
+    """docs without the rows whose text contains a probe. Rows are judged by their text alone: they need no key, and
+    neither a null key nor one that occurs twice matters. A null text is clean."""
+    bad = contaminated(docs, probes(benchmark), text)
+    return docs.join(bad, text_id(docs[text]) == bad["_id"], "left_anti")
 
 
 def decontaminate_by_probe(docs: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
-    """The same by a nested loop over a small probe list; for comparison."""
+    """The same by a nested loop over a small probe list; for comparison in tests."""
     return docs.join(probes(benchmark), F.contains(T.collapse(F.col(text)), F.col("probe")), "left_anti")
 
 
-def group_texts(lines: DataFrame, group: str, pos: str, text: str) -> DataFrame:
+def group_texts(lines: DataFrame, group: list[str], pos: str, text: str) -> DataFrame:
     """The lines of a group, in order, joined by spaces."""
     said = F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"))
-    return lines.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]), " ").alias("text"))
+    return lines.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]), " ").alias("_text"))
+
+
+def decontaminate_groups(lines: DataFrame, benchmark: DataFrame, group: str | list[str], pos: str, text: str) -> DataFrame:
+    """All lines of a group go if the joined group contains a probe. Lines whose group is null are a group."""
+    group = [group] if isinstance(group, str) else group
+    whole = group_texts(lines, group, pos, text)
+    bad = contaminated(whole, probes(benchmark), "_text")
+    dirty = whole.join(bad, text_id(whole["_text"]) == bad["_id"], "left_semi").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
+    same = [lines[g].eqNullSafe(dirty[f"_g{i}"]) for i, g in enumerate(group)]
+    return lines.join(dirty, same, "left_anti")
+
 
+# exact counts in seeded order
 
-def decontaminate_groups(lines: DataFrame, benchmark: DataFrame, group: str, pos: str, text: str) -> DataFrame:
-    """All lines of a group go if the joined group contains a probe."""
-    return lines.join(contaminated_ids(group_texts(lines, group, pos, text), probes(benchmark), group, "text"), group, "left_anti")
+#: Bits of the hash by which cuts are narrowed in one pass, and rows that may be ranked in one task.
+BITS, FEW = 10, 100_000
+
+
+def cuts(df: DataFrame, group: Column, key: str, seed: int, want: Callable[[Column, Column], Column], value: Column | None = None) -> DataFrame:
+    """A row for each group: `_g`, `_n` (its rows), `_v` (the largest `value`) and `_cut`, the place(seed, key) of the
+    want(_n, _v)-th row in seeded order, null if want is 0 or less; the last row's if want is over _n.
+
+    Nothing is sorted but the rows around the cut: rows are counted by the first BITS bits of their hash, the range that
+    holds the cut is counted by its next bits, and so on until FEW rows are left of a group. Passes read the key, group
+    and value alone."""
+    keyed = df.select(group.alias("_g"), hashed(seed, F.col(key)).alias("_h"), place(seed, key).alias("_p"), (F.lit(None).cast("double") if value is None else value.cast("double")).alias("_v"))
+
+    def narrowed(counted: DataFrame) -> DataFrame:
+        w = W.partitionBy("_g").orderBy("_b")
+        c = counted.withColumn("_below", F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        c = c.where((F.col("_below") < F.col("_want")) & (F.col("_want") <= F.col("_below") + F.col("_c")))
+        return c.select("_g", "_b", (F.col("_want") - F.col("_below")).alias("_want"), "_c")
+
+    def of(bits: int) -> Column:
+        return F.shiftright("_h", 60 - bits)
+
+    counted = keyed.groupBy("_g", of(BITS).alias("_b")).agg(F.count("*").alias("_c"), F.max("_v").alias("_v"))  # 2 ** BITS rows a group
+    every = W.partitionBy("_g")
+    counted = counted.withColumns({"_n": F.sum("_c").over(every), "_v": F.max("_v").over(every)})
+    counted = stored(counted.withColumn("_want", F.least(want(F.col("_n"), F.col("_v")), F.col("_n")).cast("long")), "sizes")
+    sizes, at, bits = counted.select("_g", "_n", "_v").distinct(), stored(narrowed(counted), "cuts"), BITS
+    while bits + BITS <= 60 and (at.agg(F.max("_c")).first()[0] or 0) > FEW:
+        inside = keyed.join(at.select(F.col("_g").alias("_k"), F.col("_b").alias("_at"), "_want"), F.col("_g").eqNullSafe(F.col("_k")) & (of(bits) == F.col("_at")))
+        bits += BITS
+        at = stored(narrowed(inside.groupBy("_g", of(bits).alias("_b"), "_want").agg(F.count("*").alias("_c"))), "cuts")
+    near = keyed.join(at.select(F.col("_g").alias("_k"), F.col("_b").alias("_at"), "_want"), F.col("_g").eqNullSafe(F.col("_k")) & (of(bits) == F.col("_at")))
+    ranked = near.withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy("_p"))).where(F.col("_r") == F.col("_want"))
+    last = ranked.select(F.col("_g").alias("_k"), F.col("_p").alias("_cut"))
+    return sizes.join(last, F.col("_g").eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
+def place(seed: int, key: str) -> Column:
+    """Where a row stands in seeded order."""
+    return F.struct(seeded(seed, F.col(key)).alias("h"), F.col(key).alias("k"))
 
 
 def with_holdout(df: DataFrame, domain: str, key: str, seed: int = 42, rows: int = HOLDOUT) -> DataFrame:
-    """`split`: val for the first `rows` of each domain in seeded order, train for the others. Only the first rows of
-    each domain meet (a window with a group limit, so each task passes on `rows` of a domain at most); the last of them
-    is the domain's cut, and every row is held against it. Keys are unique."""
-    place = F.struct(seeded(seed, F.col(key)).alias("h"), F.col(key).alias("k"))
-    first = df.select(F.col(domain).alias("_d"), place.alias("_p"))
-    first = first.withColumn("_r", F.row_number().over(W.partitionBy("_d").orderBy("_p"))).where(F.col("_r") <= rows)
-    cut = first.groupBy("_d").agg(F.max("_p").alias("_cut"))
-    joined = df.join(F.broadcast(cut), F.col(domain).eqNullSafe(F.col("_d")))  # a row a domain
-    return joined.withColumn("split", F.when(place <= F.col("_cut"), "val").otherwise("train")).drop("_d", "_cut")
+    """`split`: val for the first `rows` of each domain in seeded order, train for the others. Keys are unique. df is
+    read several times, by its keys alone but for the last."""
+    cut = cuts(df, F.col(domain), key, seed, lambda n, _: F.lit(rows)).select("_g", "_cut")
+    joined = df.join(cut, F.col(domain).eqNullSafe(F.col("_g")), "left")
+    return joined.withColumn("split", F.when(place(seed, key) <= F.col("_cut"), "val").otherwise("train")).drop("_g", "_cut")
 
 
 def counts(df: DataFrame) -> DataFrame:
-    """Rows by source, by domain and in all, in one pass."""
-    return df.groupingSets([[F.col("source")], [F.col("domain")], []], "source", "domain").agg(F.count("*").alias("n"))
+    """Rows by source, by domain and in all, in one pass; an empty table has a total of 0."""
+    one = df.select("source", "domain", F.lit(1).cast("long").alias("one"))
+    zero = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("domain"), F.lit(0).cast("long").alias("one"))
+    out = one.unionByName(zero).groupingSets([[F.col("source")], [F.col("domain")], []], "source", "domain").agg(F.sum("one").alias("n"), F.grouping_id().alias("set"))
+    return out.where("n > 0 or set = 3").select("source", "domain", "n")
 
 
-def nth(df: DataFrame, key: str, k: int = 72) -> DataFrame:
-    return df.where(F.col(key) % k == 0)
+def totals(df: DataFrame) -> DataFrame:
+    """One row: rows of the train and of the val split."""
+    return df.agg(F.count_if(F.col("split") == "train").alias("total_train"), F.count_if(F.col("split") == "val").alias("total_val"))
 
 
-def hashed(seed: int, key: Column) -> Column:
-    """The first 60 bits of the seeded order, as a long."""
-    return F.conv(F.substring(seeded(seed, key), 1, 15), 16, 10).cast("long")
+def nth(df: DataFrame, key: str, k: int = 72) -> DataFrame:
+    return df.where(F.col(key) % k == 0)
 
 
-HASH_END = (1 << 60) - 1
-BUCKETS = 1024
-
-
-def with_counter(df: DataFrame, order: str, name: str = "i", group: str | None = None, span: tuple[int, int] | None = None, tie: str | None = None) -> DataFrame:
-    """1, 2, ... over the table, or over each group, in the order of a long column, with no task that holds it all:
-    the column's span is cut into equal buckets, rows are numbered in each, and the sizes of the buckets below are
-    added. `span` is looked up where it isn't given. Rows with a null group go."""
-    low, high = span or df.agg(F.min(order), F.max(order)).first()
-    width = ((high - low) // BUCKETS + 1) if low is not None else 1
-    keys = ["_b"] + ([group] if group else [])
-    rows = df.withColumn("_b", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("long"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    below = W.orderBy("_b") if group is None else W.partitionBy(group).orderBy("_b")
-    before = sizes.select(*keys, F.coalesce(F.sum("_n").over(below.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(order, *([tie] if tie else [])))
-    return rows.join(F.broadcast(before), keys).withColumn(name, (F.col("_before") + place).cast("long")).drop("_b", "_before")  # BUCKETS rows a group
-
-
-def stacks(df: DataFrame, order: str, sizes: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
-    """`grp`, `pos`: consecutive rows in groups whose sizes cycle through `sizes`; `order` counts from 0. Rows of an
-    incomplete last group are dropped by `grp_size` < its size."""
-    total = sum(sizes)
-    bounds = [sum(sizes[: k + 1]) for k in range(len(sizes))]
-    at = F.pmod(F.col(order), F.lit(total))
-    k, start = F, F
-    for i, b in enumerate(bounds):
-        k, start = k.when(at < b, i), start.when(at < b, b - sizes[i])
-    size = F.element_at(F.array(*map(F.lit, sizes)), k + 1)
-    return df.withColumns({"grp": F.floor(F.col(order) / total) * len(sizes) + k, "pos": at - start, "want": size})
+def with_counter(df: DataFrame, order: str | list[str], name: str = "i") -> DataFrame:
+    """1, 2, ... over the table in the order of some columns. The table is written by ranges of them, which Spark samples
+    so that they are of like size whatever the values, each range sorted; a row's number is its place in its range's file
+    and the rows of the files before. No task holds more than its range."""
+    order = [order] if isinstance(order, str) else order
+    table = stored(df.repartitionByRange(*order).sortWithinPartitions(*order), "ranges")
+    at = table.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = at.groupBy("_file").agg(F.max("_row").alias("_last"))  # a row a file; files are numbered by range
+    before = sizes.select("_file", F.coalesce(F.sum(F.col("_last") + 1).over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return at.join(before, "_file").withColumn(name, (F.col("_before") + F.col("_row") + 1).cast("long")).select(*df.columns, name)
+
+
+def exact_sample(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
+    """floor(n * share) rows of the whole table, the first in seeded order; in binary doubles, as int(n * share)."""
+    cut = cuts(df, F.lit(0), key, seed, lambda n, _: F.floor(n * F.lit(float(share)))).select("_cut")
+    return df.join(cut, place(seed, key) <= F.col("_cut"), "left_semi")  # a table of one row
+
+
+# groups of consecutive rows
+
+LINES, SPAN = (3, 6), 1 << 16
+
+
+def stack_plan(spark, rows: int, seed: int = 42, sizes: tuple[int, int] = LINES) -> DataFrame:
+    """`at` (from 0), `grp`, `pos` and `want` of each of the first `rows` rows: group sizes are drawn anew for each group
+    by a seeded hash of its number. Sizes are summed up within spans of SPAN groups and over the spans, so no task sees
+    more than a span or a row a span."""
+    low, high = sizes
+    g = spark.range(-(-rows // low)).select(F.col("id").alias("grp"), (F.pmod(hashed(seed, F.col("id")), F.lit(high - low + 1)) + low).cast("int").alias("want"))
+    g = g.withColumn("span", F.floor(F.col("grp") / SPAN))
+    inner = g.withColumn("inner", F.coalesce(F.sum("want").over(W.partitionBy("span").orderBy("grp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    whole = g.groupBy("span").agg(F.sum("want").alias("all"))
+    before = whole.select("span", F.coalesce(F.sum("all").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    start = inner.join(before, "span").select("grp", "want", (F.col("before") + F.col("inner")).alias("start")).where(F.col("start") < rows)
+    return start.select(F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("want") - 1)).alias("pos", "at"), "grp", "want").where(F.col("at") < rows)
+
+
+def stacks(df: DataFrame, order: str, text: str, seed: int = 42, sizes: tuple[int, int] = LINES) -> DataFrame:
+    """`grp`, `n`, `text` (joined by line ends) and, where df has w and h, `widths` and `heights` of groups of consecutive
+    rows; a last group that is not full is left out."""
+    numbered = with_counter(df, order, "_i")
+    sized = {"w", "h"} <= set(df.columns)
+    plan = stack_plan(df.sparkSession, df.count(), seed, sizes)
+    rows = numbered.withColumn("at", F.col("_i") - 1).join(plan, "at")
+    line = F.struct("pos", F.col(text).alias("text"), *([F.col("w"), F.col("h")] if sized else []))
+    g = rows.groupBy("grp", "want").agg(F.array_sort(F.collect_list(line)).alias("lines")).where(F.size("lines") == F.col("want"))  # sizes[1] rows at most
+    each = lambda name: F.transform("lines", lambda x: x[name])
+    return g.select("grp", F.size("lines").cast("long").alias("n"), F.array_join(each("text"), "\n").alias("text"), *([each("w").alias("widths"), each("h").alias("heights")] if sized else []))

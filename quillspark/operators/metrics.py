@@ -1,51 +1,41 @@
-"""Scores: character and word error rates over a corpus, triage, summaries, gates."""
+"""Scores: character and word error rates over a corpus, table similarity, triage, sweeps, summaries, gates."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
-#: Looper over 2, good from 0.8 to 1.2; canary limits.
+from .tables import table_similarity
+
+#: Looper over 2, good from 0.8 to 1.2; canary limits; decimal places of rates and of table similarity.
 LOOPER, GOOD = 2.0, (0.8, 1.2)
 CANARY_ABSOLUTE, CANARY_TIMES = 0.20, 4.0
-#: Words of a pair that fit the native word distance.
-NATIVE_WORDS = 40_000
+RATE_PLACES, TEDS_PLACES = 4, 2
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp).cast("long")
 
 
-@F.pandas_udf(T_.LongType())
-def _word_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    return pd.Series([edits(a.split(" "), b.split(" ")) for a, b in zip(ref, hyp, strict=True)])
-
-
 def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Word edits of normalized texts, native: words become code points of a private alphabet, strings are compared."""
+    """Word edits of normalized texts: the words of a pair become code points from U+10000 on, and the strings of these
+    are compared. A pair may have a million distinct words; the comparison is quadratic in the words, so one that had
+    more would not end anyway, and fails."""
     a, b = words(ref), words(hyp)
     both = F.array_distinct(F.concat(a, b))
 
     def coded(side):
-        char = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(13312) + F.array_position(both, w)), 4, "0")), "UTF-16BE")
+        char = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0xFFFF) + F.array_position(both, w)), 8, "0")), "UTF-32")
         return F.array_join(F.transform(side, char), "")
 
-    return F.when(F.size(both) < NATIVE_WORDS, F.levenshtein(coded(a), coded(b)).cast("long")).otherwise(_word_edits(ref, hyp))
+    return F.levenshtein(coded(a), coded(b)).cast("long")
 
 
 def corpus_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "hyp", word_rate: bool = True) -> DataFrame:
@@ -59,6 +49,19 @@ def corpus_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "
     return out.withColumn("wer", F.col("word_edits") / F.col("words")) if word_rate else out
 
 
+def table_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """teds (times 100) and teds_n of each group, over the pages where either side has a table; raw texts."""
+    each = pairs.select(*by, table_similarity(F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit(""))).alias("_s"))
+    return each.groupBy(*by).agg((100 * F.avg("_s")).alias("teds"), F.count("_s").alias("teds_n")).where("teds_n > 0")
+
+
+def summary(normalized: DataFrame, raw: DataFrame, by: list[str]) -> DataFrame:
+    """cer, wer, n, teds, teds_n of each group, rounded; the rates from normalized texts, teds from raw ones, null where
+    no page has a table."""
+    rates = corpus_rates(normalized, by).select(*by, F.round("cer", RATE_PLACES).alias("cer"), F.round("wer", RATE_PLACES).alias("wer"), "n")
+    return rates.join(table_rates(raw, by).withColumn("teds", F.round("teds", TEDS_PLACES)), by, "left")
+
+
 def bucket(ratio: Column) -> Column:
     return F.when(ratio > LOOPER, "looper").when(ratio.between(*GOOD), "good")
 
@@ -69,6 +72,20 @@ def triage(pairs: DataFrame, ratio: Column, order: str, most: int = 6) -> DataFr
     return b.withColumn("rn", F.row_number().over(W.partitionBy("bucket").orderBy(order))).where(F.col("rn") <= most)
 
 
+def sweep(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """mean_cer, mean_ratio and n of each group: means of the rows' own rates, on texts as they are. A row without a
+    reference has no rate, so its group's mean is NaN."""
+    size = F.greatest(F.length(ref), F.lit(1))
+    cer = F.when(F.length(ref) == 0, F.lit(float("nan"))).otherwise(char_edits(F.col(ref), F.col(hyp)) / size)
+    return pairs.groupBy(*by).agg(F.avg(cer).alias("mean_cer"), F.avg(F.length(hyp) / size).alias("mean_ratio"), F.count("*").alias("n"))
+
+
+def first_rows(rows: DataFrame, by: str, order: str, most: int, name: str = "i") -> DataFrame:
+    """The first rows of each group, numbered from 0; tasks pass on `most` of a group each."""
+    rn = F.row_number().over(W.partitionBy(by).orderBy(order))
+    return rows.withColumn(name, rn).where(F.col(name) <= most).withColumn(name, F.col(name) - 1)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new)
 
@@ -77,9 +94,39 @@ def ratio_to(value: Column, base: Column) -> Column:
     return F.when(base == 0, F.lit(float("inf"))).otherwise(value / base)
 
 
+def canary_limit(base: Column) -> Column:
+    return F.coalesce(CANARY_TIMES * base, F.lit(CANARY_ABSOLUTE))
+
+
 def canary(value: Column, base: Column) -> Column:
     """True where the candidate is to be aborted."""
-    return value > F.coalesce(CANARY_TIMES * base, F.lit(CANARY_ABSOLUTE))
+    return value > canary_limit(base)
+
+
+def canary_reason(value: Column, base: Column) -> Column:
+    """Why the candidate is to be aborted; null where it is not."""
+    said = lambda c: F.format_string("%.4f", c)
+    return F.when(canary(value, base), F.concat(F.lit("canary CER "), said(value), F.lit(" > "), said(canary_limit(base))))
+
+
+def dev_run(adapter: str, slices: Iterable[tuple[str, DataFrame]], base: dict[str, float] | None = None) -> dict:
+    """The record of a development run over slices of normalized (ref, hyp), cheapest first; the first one is the canary.
+    A slice is only evaluated once those before it have passed. base: cer of an earlier run by label."""
+    out: dict = {"adapter": adapter, "suites": {}, "aborted": False}
+    for k, (label, pairs) in enumerate(slices):
+        row = corpus_rates(pairs.withColumn("_all", F.lit(0)), ["_all"]).first()
+        if row is None:  # no row has a reference
+            out["suites"][label] = {"cer": None, "wer": None, "n": 0}
+            continue
+        out["suites"][label] = {"cer": round(row["cer"], RATE_PLACES), "wer": round(row["wer"], RATE_PLACES), "n": row["n"]}
+        was = (base or {}).get(label)
+        if was is not None:
+            out["suites"][label]["ratio"] = row["cer"] / was if was else float("inf")
+        limit = CANARY_ABSOLUTE if was is None else CANARY_TIMES * was
+        if k == 0 and row["cer"] > limit:
+            out |= {"aborted": True, "abort_reason": f"canary CER {row['cer']:.4f} > {limit:.4f}"}
+            break
+    return out
 
 
 def leaderboard(run: DataFrame, base: DataFrame, key: str = "suite") -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .corpus import seeded
+from .corpus import cuts, exact_sample, place  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -35,15 +34,16 @@ RECIPES = {
 
 def weighted(df: DataFrame, weight: Column, group: str, key: str, seed: int) -> DataFrame:
     """Every row floor(w) times, and floor(n * (w - floor(w))) rows of each group once more, the first in seeded order.
-    A weight of 1 passes through; rows with a null or non-positive weight go. `copy` numbers a row's copies. Under one
-    the sampled count is floor(n * w) in binary doubles, as int(n * w) would have it."""
+    A weight of 1 passes through; rows with a null or non-positive weight go; a group has one weight. `copy` numbers a
+    row's copies. Under one the sampled count is floor(n * w) in binary doubles, as int(n * w) would have it. Rows are
+    neither sorted nor moved but to meet the cut of their group; df is read several times, by its keys alone but for the
+    last."""
     df = df.withColumn("_w", weight).where("_w > 0")
-    place = W.partitionBy(group).orderBy(seeded(seed, F.col(key)), F.col(key))
-    df = df.withColumn("_n", F.count("*").over(W.partitionBy(group))).withColumn("_r", F.row_number().over(place))
-    whole = F.floor("_w")
-    more = (F.col("_r") <= F.floor(F.col("_n") * (F.col("_w") - whole))).cast("long")
-    df = df.withColumn("_k", (whole + more).cast("int")).where("_k > 0")
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_w", "_n", "_r", "_k")
+    cut = cuts(df, F.col(group), key, seed, lambda n, w: F.floor(n * (w - F.floor(w))), F.col("_w")).select("_g", "_cut")
+    df = df.join(cut, F.col(group).eqNullSafe(F.col("_g")), "left")
+    more = F.when(place(seed, key) <= F.col("_cut"), 1).otherwise(0)
+    df = df.withColumn("_k", (F.floor("_w") + more).cast("int")).where("_k > 0")
+    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_w", "_g", "_cut", "_k")
 
 
 def lookup(weights: dict[str, float], c: Column) -> Column:
@@ -66,10 +66,7 @@ def mix(df: DataFrame, recipe: Recipe, key: str, is_table: Column | None = None)
     return weighted(df.withColumn("part", group), weight, "part", key, recipe.seed)
 
 
-def exact_sample(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
-    """floor(n * share) rows of the whole table: a two-sided count and rank by hash ranges, no single-task window."""
-    n = df.count()
-    from .corpus import with_counter
-
-    hashed = df.withColumn("_h", F.conv(F.substring(seeded(seed, F.col(key)), 1, 15), 16, 10).cast("long"))
-    return with_counter(hashed, "_h", "_i").where(F.col("_i") <= int(n * share)).drop("_h", "_i")
+def smoke(df: DataFrame, key: str, seed: int = 42, rows: int = 2000) -> DataFrame:
+    """The first `rows` rows in seeded order, or all where there are fewer."""
+    cut = cuts(df, F.lit(0), key, seed, lambda n, _: F.lit(rows)).select("_cut")
+    return df.join(cut, place(seed, key) <= F.col("_cut"), "left_semi")  # a table of one row

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .corpus import seeded, with_counter
+from .corpus import cuts, place
 
 
 def sane(chosen: Column, rejected: Column) -> Column:
@@ -15,9 +15,12 @@ def sane(chosen: Column, rejected: Column) -> Column:
 
 
 def preference_pairs(pairs: DataFrame, key: str, limit: int, seed: int = 42) -> DataFrame:
-    """Shuffle, take `limit`, and only then drop unfit pairs, so fewer than `limit` may stay."""
-    hashed = pairs.withColumn("_h", F.conv(F.substring(seeded(seed, F.col(key)), 1, 15), 16, 10).cast("long"))
-    return with_counter(hashed, "_h", "_i").where(F.col("_i") <= limit).where(sane(F.col("chosen"), F.col("rejected"))).drop("_h", "_i")
+    """Shuffle, take `limit`, and only then drop unfit pairs, so fewer than `limit` may stay. Where pairs have a column
+    `image`, its bytes, a pair without them is unfit."""
+    cut = cuts(pairs, F.lit(0), key, seed, lambda n, _: F.lit(limit)).select("_cut")
+    first = pairs.join(cut, place(seed, key) <= F.col("_cut"), "left_semi")  # a table of one row
+    fit = sane(F.col("chosen"), F.col("rejected"))
+    return first.where(fit & (F.coalesce(F.length("image"), F.lit(0)) > 0) if "image" in pairs.columns else fit)
 
 
 def messages(prompt: Column, response: Column) -> Column:

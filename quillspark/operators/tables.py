@@ -1,18 +1,25 @@
-"""Table markup: pipe tables to HTML (native), HTML to pipe tables and tree-edit similarity (Arrow UDFs)."""
+"""Table markup: pipe tables to HTML (native), HTML to pipe tables and tree-edit similarity (Arrow UDFs).
+
+Very long texts: HTML is parsed and trees are compared without recursion; a tree's memory grows with its nodes, the
+distance of two trees with the product of theirs.
+"""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from ..functions.text import SPACE, safe_int, strip  # noqa: F401
+from ..functions.text import collapse, strip
 
-SEPARATOR = r"^\s*\|?[\s:\-]+\|[\s:\-\|]*$"
+_S = r"[\s\x1c-\x1f]"
+SEPARATOR = rf"(?U)^{_S}*\|?(?:{_S}|[:\-])+\|(?:{_S}|[:\-|])*\z"
 
 
 def md_tables_to_html(text: Column) -> Column:
@@ -41,145 +48,163 @@ def md_tables_to_html(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("|")), done).otherwise(text)
 
 
-def _table_md(match: re.Match) -> str:
-    rows = []
-    for row in re.findall(r"(?is)<tr\b[^>]*>(.*?)</tr>", match[0]):
-        cells = [re.sub(r"(?s)<[^>]+>", "", c).strip() for c in re.findall(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>", row)]
-        if cells:
-            rows.append(cells)
-    if not rows:
-        return match[0]
-    width = max(map(len, rows))
-    said = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    said.insert(1, "|" + " --- |" * width)
-    return "\n".join(said)
+def _pipe_table(block: re.Match) -> str:
+    """The pipe table of one HTML table; the block itself if it has no cell."""
+    grid = []
+    for row in re.finditer(r"(?is)<tr[^>]*>(.*?)</tr>", block[1]):
+        grid.append([re.sub(r"<[^>]+>", "", cell[1]).strip() for cell in re.finditer(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", row[1])])
+    grid = [row for row in grid if row]
+    if not grid:
+        return block[0]
+    width = max(len(row) for row in grid)
+    head, *rest = (f"| {' | '.join(row + [''] * (width - len(row)))} |" for row in grid)
+    return "\n".join([head, "|" + "---|" * width, *rest])
 
 
 @F.pandas_udf(T_.StringType())
 def html_tables_to_md(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else re.sub(r"(?is)<table\b[^>]*>.*?</table>", _table_md, t))
+    return texts.map(lambda t: t if t is None else re.sub(r"(?is)<table[^>]*>(.*?)</table>", _pipe_table, t))
 
 
 def content_distance(a: Column, b: Column) -> Column:
     """0 for equal cells, 1 if one is empty, else edits over the longer length; white space collapsed."""
-    from ..functions.text import collapse
-
     a, b = collapse(a), collapse(b)
     return F.when(a == b, 0.0).when((a == "") | (b == ""), 1.0).otherwise(F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-class Node:
-    __slots__ = ("tag", "colspan", "rowspan", "text", "children")
+Label = tuple[str, int, int, str]  # tag, colspan, rowspan, white-space-collapsed text (of cells)
+
+
+@dataclass
+class Tree:
+    """A table as arrays in postorder: the label of each node, and the number of its leftmost leaf."""
 
-    def __init__(self, tag, colspan=1, rowspan=1):
-        self.tag, self.colspan, self.rowspan, self.text, self.children = tag, colspan, rowspan, "", []
+    labels: list[Label]
+    left: np.ndarray
 
 
-class _Tables(HTMLParser):
-    """Tables of a page as trees table > tr > td; head and body sections are flattened, th is td."""
+class _Reader(HTMLParser):
+    """Collects elements in the order of their start tags: kind, spans, text, and the one that each is in."""
+
+    KINDS = {"table": "table", "tr": "tr", "td": "td", "th": "td"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tables, self.open = [], []
+        self.kind, self.spans, self.text, self.inside, self.open = [], [], [], [], []
 
     def handle_starttag(self, tag, attrs):
-        tag = "td" if tag == "th" else tag
-        if tag == "table":
-            node = Node("table")
-            self.tables.append(node)
-            self.open.append(node)
-        elif tag in ("tr", "td") and self.open:
-            spans = []
-            for name in ("colspan", "rowspan"):
-                try:
-                    spans.append(int(dict(attrs).get(name)))
-                except (TypeError, ValueError):
-                    spans.append(1)
-            node = Node(tag, *(spans if tag == "td" else (1, 1)))
-            self.open[-1].children.append(node)
-            self.open.append(node)
+        kind = self.KINDS.get(tag)
+        if kind is None or (kind != "table" and not self.open):
+            return
+        given = dict(attrs)
+        spans = [given.get("colspan"), given.get("rowspan")]
+        self.inside.append(-1 if kind == "table" else self.open[-1])
+        self.open.append(len(self.kind))
+        self.kind.append(kind)
+        self.spans.append([_whole(x) for x in spans])
+        self.text.append([])
 
     def handle_endtag(self, tag):
-        tag = "td" if tag == "th" else tag
-        if any(n.tag == tag for n in self.open):
-            while self.open.pop().tag != tag:
-                pass
+        kind = self.KINDS.get(tag)
+        depth = len(self.open) - 1
+        while kind and depth >= 0 and self.kind[self.open[depth]] != kind:
+            depth -= 1
+        if kind and depth >= 0:
+            self.open = self.open[:depth]
 
     def handle_data(self, data):
-        if self.open and self.open[-1].tag == "td":
-            self.open[-1].text += data
-
-
-def parse_tables(html: str) -> list[Node]:
-    p = _Tables()
-    p.feed(html or "")
-    p.close()
-    return p.tables
-
-
-def _cell_distance(a: str, b: str) -> float:
-    a, b = " ".join(a.split()), " ".join(b.split())
-    if a == b:
-        return 0.0
-    if not a or not b:
+        if self.open and self.kind[self.open[-1]] == "td":
+            self.text[self.open[-1]].append(data)
+
+
+def _whole(x: str | None) -> int:
+    try:
+        return int(x)
+    except (TypeError, ValueError):
+        return 1
+
+
+def parse_tables(html: str) -> list[Tree]:
+    """The tables of a page, by their start tags, as trees table > tr > td. Head and body sections are flattened, th is
+    td; what is not closed swallows what follows; a nested table stands in the list, not in its cell."""
+    r = _Reader()
+    r.feed(html or "")
+    r.close()
+    children: list[list[int]] = [[] for _ in r.kind]
+    for i, parent in enumerate(r.inside):
+        if parent >= 0:
+            children[parent].append(i)
+    out = []
+    for root in [i for i, parent in enumerate(r.inside) if parent < 0]:
+        order, work = [], [root]
+        while work:  # each node before its children, the last child first; reversed, that is postorder
+            order.append(work.pop())
+            work += children[order[-1]]
+        order.reverse()
+        number = {i: k for k, i in enumerate(order)}
+        left = np.zeros(len(order), np.int64)
+        for k, i in enumerate(order):
+            left[k] = left[number[children[i][0]]] if children[i] else k
+        out.append(Tree([(r.kind[i], *r.spans[i], " ".join("".join(r.text[i]).split())) for i in order], left))
+    return out
+
+
+def _edits(a: str, b: str) -> int:
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    at = np.arange(len(y) + 1)
+    row = at
+    for i, c in enumerate(x, 1):
+        step = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (y != c))))
+        row = at + np.minimum.accumulate(step - at)
+    return int(row[-1])
+
+
+def rename_cost(a: Label, b: Label) -> float:
+    if a[:3] != b[:3]:
         return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] / max(len(a), len(b))
-
-
-def _rename(a: Node, b: Node) -> float:
-    if (a.tag, a.colspan, a.rowspan) != (b.tag, b.colspan, b.rowspan):
-        return 1.0
-    return _cell_distance(a.text, b.text) if a.tag == "td" and (a.text or b.text) else 0.0
-
-
-def _ordered(root: Node) -> tuple[list[Node], list[int]]:
-    """Nodes in postorder, and the postorder number of each one's leftmost leaf."""
-    nodes, left = [], []
-
-    def visit(n):
-        first = len(nodes)
-        for c in n.children:
-            visit(c)
-        nodes.append(n)
-        left.append(first)
-
-    visit(root)
-    return nodes, left
-
-
-def tree_distance(a: Node, b: Node) -> float:
-    """Ordered tree edit distance over keyroot pairs; insert and delete cost 1."""
-    (na, la), (nb, lb) = _ordered(a), _ordered(b)
-    roots = lambda left: sorted({x: i for i, x in enumerate(left)}.values())
-    dist = [[0.0] * len(nb) for _ in na]
-    for i in roots(la):
-        for j in roots(lb):
-            oi, oj = la[i], lb[j]
-            m, n = i - oi + 2, j - oj + 2
-            f = [[0.0] * n for _ in range(m)]
-            for x in range(1, m):
-                f[x][0] = f[x - 1][0] + 1
-            for y in range(1, n):
-                f[0][y] = f[0][y - 1] + 1
-            for x in range(1, m):
-                p = oi + x - 1
-                for y in range(1, n):
-                    q = oj + y - 1
-                    cut = min(f[x - 1][y], f[x][y - 1]) + 1
-                    if la[p] == oi and lb[q] == oj:
-                        f[x][y] = dist[p][q] = min(cut, f[x - 1][y - 1] + _rename(na[p], nb[q]))
-                    else:
-                        f[x][y] = min(cut, f[la[p] - oi][lb[q] - oj] + dist[p][q])
-    return dist[-1][-1]
-
-
-def _size(n: Node) -> int:
-    return 1 + sum(map(_size, n.children))
+    if a[0] != "td" or a[3] == b[3]:
+        return 0.0
+    return _edits(a[3], b[3]) / max(len(a[3]), len(b[3])) if a[3] and b[3] else 1.0
+
+
+def _costs(a: list[Label], b: list[Label]) -> np.ndarray:
+    """Rename costs of all pairs of nodes, from those of their distinct labels."""
+    kinds_a, kinds_b = {x: i for i, x in enumerate(dict.fromkeys(a))}, {x: i for i, x in enumerate(dict.fromkeys(b))}
+    table = np.array([[rename_cost(x, y) for y in kinds_b] for x in kinds_a])
+    return table[np.ix_([kinds_a[x] for x in a], [kinds_b[y] for y in b])]
+
+
+def _last_of_each(left: np.ndarray) -> np.ndarray:
+    """The highest node of each leftmost leaf, ascending."""
+    _, back = np.unique(left[::-1], return_index=True)
+    return np.sort(len(left) - 1 - back)
+
+
+def tree_distance(a: Tree, b: Tree) -> float:
+    """Ordered tree edit distance, insert and delete 1, by pairs of subtrees that have a left sibling (or are whole); the
+    forests of a pair are compared a row at a time: what comes from above and from the diagonal first, then insertions
+    as a running minimum."""
+    cost = _costs(a.labels, b.labels)
+    trees = np.zeros(cost.shape)
+    for i in _last_of_each(a.left):
+        first = a.left[i]
+        for j in _last_of_each(b.left):
+            begin = b.left[j]
+            cols = np.arange(begin, j + 1)
+            whole = b.left[cols] == begin  # columns whose forest is one tree
+            back = b.left[cols] - begin
+            at = np.arange(len(cols) + 1.0)
+            rows = np.empty((i - first + 2, len(cols) + 1))
+            rows[0] = at
+            for x, p in enumerate(range(first, i + 1), 1):
+                diagonal = rows[a.left[p] - first][back] + trees[p, cols]
+                if a.left[p] == first:
+                    diagonal[whole] = (rows[x - 1][:-1] + cost[p, cols])[whole]
+                step = np.concatenate(([float(x)], np.minimum(rows[x - 1][1:] + 1, diagonal)))
+                rows[x] = at + np.minimum.accumulate(step - at)
+                if a.left[p] == first:
+                    trees[p, cols[whole]] = rows[x][1:][whole]
+    return float(trees[-1, -1])
 
 
 def similarity(pred: str, truth: str) -> float | None:
@@ -187,7 +212,7 @@ def similarity(pred: str, truth: str) -> float | None:
     a, b = parse_tables(pred), parse_tables(truth)
     if not a and not b:
         return None
-    scores = [max(0.0, 1 - tree_distance(x, y) / max(_size(x), _size(y))) for x, y in zip(a, b, strict=False)]
+    scores = [max(0.0, 1 - tree_distance(x, y) / max(len(x.labels), len(y.labels))) for x, y in zip(a, b, strict=False)]
     return sum(scores) / max(len(a), len(b))
 
 

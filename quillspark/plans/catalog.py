@@ -2,12 +2,13 @@
 
 `documents` stands for the corpus (lang for domain), `benchmark` for evaluation texts, consecutive user and assistant
 turns of `conversations` for reference and hypothesis, slices of `embeddings` for low-rank factors; pipe tables are
-rendered from `nation` and `region`. Every query reads its whole tables, except the adapter queries: they and their SQL
-read the first 48 embeddings alone.
+rendered from `nation` and `region`. Every query reads its whole tables; rows are left out only where the operator itself
+takes some (the first of a suite, every 72nd, listed pages).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import image as I
 from ..functions import text as T
 from ..operators import corpus, linalg, metrics, mix, pairs, tables
-from ..sources import readers
+from ..sources import builders, readers, scratch, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,9 +51,11 @@ COLLAPSED = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{WS}+', ' ', '
 
 
 def flagship(spark: SparkSession, d: str, holdout: int = corpus.HOLDOUT) -> DataFrame:
-    """Repair, validity, decontamination, holdout, then counts by source and domain of the training rows."""
+    """Repair, validity, decontamination, holdout, then counts by source and domain of the training rows. The clean rows'
+    keys are written once, as the shards of a build are; their texts are not needed after that."""
     rows = as_rows(spark, d).withColumn("response", T.source_norm(F.col("response"))).where(corpus.valid(F.col("response")))
-    clean = corpus.decontaminate(rows, read(spark, d, "benchmark"), "doc_id", "response")
+    clean = corpus.decontaminate(rows, read(spark, d, "benchmark"), "response").select("doc_id", "source", "domain")
+    clean = scratch.stored(clean, "clean")
     return corpus.counts(corpus.with_holdout(clean, "domain", "doc_id", rows=holdout).where("split = 'train'"))
 
 
@@ -147,14 +150,16 @@ PROBES = rf"SELECT DISTINCT left({COLLAPSED}, 40) AS probe FROM benchmark"
 DIRTY = rf"EXISTS (SELECT 1 FROM ({PROBES}) p WHERE probe <> '' AND contains(body, probe))"
 
 
-@query(rf"SELECT doc_id FROM (SELECT doc_id, {COLLAPSED} AS body FROM documents) WHERE NOT {DIRTY}")
+@query(rf"SELECT id FROM (SELECT CASE WHEN copy = 1 THEN doc_id END AS id, {COLLAPSED} AS body FROM documents, range(2) r(copy)) WHERE NOT {DIRTY}")
 def decontaminate_rows(spark, d):
-    return corpus.decontaminate_by_probe(docs(spark, d), read(spark, d, "benchmark"), "text").select("doc_id")
+    """Every document twice, once without its id: rows are judged by their texts."""
+    twice = docs(spark, d).select(F.explode(F.array(F.lit(None).cast("long"), F.col("doc_id"))).alias("id"), "text")
+    return corpus.decontaminate(twice, read(spark, d, "benchmark"), "text").select("id")
 
 
 @query(rf"SELECT doc_id FROM (SELECT doc_id, {COLLAPSED} AS body FROM documents) WHERE NOT {DIRTY}")
 def decontaminate_shingles(spark, d):
-    return corpus.decontaminate(docs(spark, d).select("doc_id", "text"), read(spark, d, "benchmark"), "doc_id", "text").select("doc_id")
+    return corpus.decontaminate(docs(spark, d).select("doc_id", "text"), read(spark, d, "benchmark"), "text").select("doc_id")
 
 
 @query(rf"""WITH g AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id),
@@ -179,15 +184,21 @@ def corpus_stats(spark, d):
     return corpus.counts(as_rows(spark, d))
 
 
-@query(f"SELECT doc_id, row_number() OVER (ORDER BY substr(md5('42:' || doc_id), 1, 15), doc_id) AS place FROM documents")
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_order(42)}) AS place FROM documents")
 def seeded_shuffle(spark, d):
-    h = F.conv(F.substring(corpus.seeded(42, F.col("doc_id")), 1, 15), 16, 10).cast("long")
-    return corpus.with_counter(docs(spark, d).select("doc_id", h.alias("h")), "h", "place").select("doc_id", "place")
+    keyed = docs(spark, d).select("doc_id", corpus.seeded(42, F.col("doc_id")).alias("h"))
+    return corpus.with_counter(keyed, ["h", "doc_id"], "place").select("doc_id", "place")
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_order(42)}) AS r, count(*) OVER () AS n FROM documents) WHERE r <= trunc(n * 0.29::double)")
 def exact_sample(spark, d):
-    return mix.exact_sample(docs(spark, d).select("doc_id"), 0.29, "doc_id")
+    return corpus.exact_sample(docs(spark, d).select("doc_id"), 0.29, "doc_id")
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {_order(42)} LIMIT 2000")
+def smoke_subset(spark, d):
+    """The operator itself takes 2,000 rows."""
+    return mix.smoke(docs(spark, d).select("doc_id"), "doc_id")
 
 
 def _mix_sql(weights, seed, group="lang", table="documents"):
@@ -245,15 +256,19 @@ def table_mix(spark, d):
     return mix.mix(rows, mix.RECIPES["6"], "doc_id", T.has_md_table(F.col("text"))).select("doc_id", "copy")
 
 
-@query("""WITH a AS (SELECT *, doc_id % 18 AS m, doc_id // 18 AS q FROM documents),
-g AS (SELECT doc_id, text, q * 4 + CASE WHEN m < 3 THEN 0 WHEN m < 7 THEN 1 WHEN m < 12 THEN 2 ELSE 3 END AS grp, CASE WHEN m < 3 THEN 3 WHEN m < 7 THEN 4 WHEN m < 12 THEN 5 ELSE 6 END AS want FROM a)
-SELECT grp, count(*) AS n, string_agg(text, chr(10) ORDER BY doc_id) AS text, 10 * (count(*) + 1) + sum(20)::bigint AS h FROM g GROUP BY grp, want HAVING count(*) = want""")
+#: A group's size is 3 to 6 by a hash of its number; starts are the running sums.
+STACK_SQL = """sz AS (SELECT g AS grp, 3 + ('0x' || substr(md5('42:' || g), 1, 15))::bigint % 4 AS want FROM range((SELECT count(*) FROM src)) r(g)),
+st AS (SELECT grp, want, coalesce(sum(want) OVER (ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM sz),
+pl AS (SELECT grp, want, unnest(range(start, start + want)) AS nr FROM st),
+ln AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS nr FROM src),
+sk AS (SELECT grp, count(*) AS n, string_agg(text, chr(10) ORDER BY id) AS text, max(w) AS widest, list(w ORDER BY id) AS ws, list(h ORDER BY id) AS hs FROM ln JOIN pl USING (nr) GROUP BY grp, want HAVING count(*) = want),
+ss AS (SELECT grp, n, text, (widest + 20)::bigint AS w, (list_sum([greatest(1, floor(hs[k] * widest / ws[k]))::bigint for k in range(1, n + 1)]) + 10 * (n + 1))::bigint AS h FROM sk)"""
+
+
+@query(f"WITH src AS (SELECT doc_id AS id, text, (doc_id % 70 + 30)::int AS w, (doc_id % 9 + 1)::int AS h FROM documents), {STACK_SQL} SELECT grp, n, text, w, h FROM ss")
 def stacked_groups(spark, d):
-    g = corpus.stacks(docs(spark, d).select("doc_id", "text"), "doc_id")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    size = I.stack(F.transform(F.collect_list("pos"), lambda _: F.lit(100)), F.transform(F.collect_list("pos"), lambda _: F.lit(20)))
-    out = g.groupBy("grp", "want").agg(F.count("*").alias("n"), said.alias("text"), size["h"].alias("h")).where("n = want")
-    return out.select("grp", "n", "text", "h")
+    rows = docs(spark, d).select("doc_id", "text", (F.col("doc_id") % 70 + 30).cast("int").alias("w"), (F.col("doc_id") % 9 + 1).cast("int").alias("h"))
+    return corpus.stacks(rows, "doc_id", "text").select("grp", "n", "text", I.stack(F.col("widths"), F.col("heights")).alias("s")).select("grp", "n", "text", "s.w", "s.h")
 
 
 def turn_pairs(spark, d):
@@ -277,13 +292,30 @@ def corpus_cer(spark, d):
     return metrics.corpus_rates(turn_pairs(spark, d), ["suite"], word_rate=False).select("suite", "char_edits", "chars", "n")
 
 
-@query()
+#: Word edits row by row of the table of distances: what comes from above and from the diagonal, then insertions as a
+#: running minimum along the row.
+WORDS_SQL = f"""{PAIRS_SQL}, tw AS (SELECT conv_id * 1000 + turn AS id, suite, string_split(ref, ' ') AS r, CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END AS h FROM q WHERE ref <> ''),
+ed AS (SELECT id, 0 AS i, j, j AS v FROM tw, unnest(range(0, len(h) + 1)) u(j)
+ UNION ALL SELECT id, i + 1, j, j + min(t - j) OVER (PARTITION BY id ORDER BY j) FROM (
+  SELECT ed.id, ed.i, ed.j, CASE WHEN ed.j = 0 THEN ed.v + 1 ELSE least(ed.v + 1, lag(ed.v) OVER (PARTITION BY ed.id ORDER BY ed.j) + (tw.r[ed.i + 1] <> tw.h[ed.j])::int) END AS t
+  FROM ed JOIN tw ON ed.id = tw.id WHERE ed.i < len(tw.r)) s),
+we AS (SELECT tw.suite, ed.v, len(tw.r) AS words FROM ed JOIN tw ON ed.id = tw.id AND ed.i = len(tw.r) AND ed.j = len(tw.h))"""
+
+
+@query(f"WITH RECURSIVE {WORDS_SQL} SELECT suite, sum(v)::bigint AS word_edits, sum(words)::bigint AS words, count(*) AS n FROM we GROUP BY suite")
 def corpus_wer(spark, d):
     return metrics.corpus_rates(turn_pairs(spark, d), ["suite"]).select("suite", "word_edits", "words", "n")
 
 
+@query(f"""WITH RECURSIVE {WORDS_SQL}, c AS (SELECT suite, round(sum(edits)::double / sum(length(ref)), 4) AS cer, count(*) AS n FROM e GROUP BY suite)
+SELECT suite, cer, (SELECT round(sum(v)::double / sum(words), 4) FROM we WHERE we.suite = c.suite) AS wer, n, NULL::double AS teds, NULL::bigint AS teds_n FROM c""")
+def suite_summary(spark, d):
+    """Rates, and table similarity where a page has a table (none here)."""
+    p = scratch.stored(turn_pairs(spark, d), "pairs")
+    return metrics.summary(p, p, ["suite"])
+
+
 RATIO = "length(hyp)::double / greatest(length(ref), 1)"
-BUCKET = f"CASE WHEN {RATIO} > 20 THEN 'looper' WHEN {RATIO} BETWEEN 0.8 AND 1.2 THEN 'good' END"
 
 
 @query(f"WITH {PAIRS_SQL} SELECT CASE WHEN {RATIO} > 2 THEN 'looper' WHEN {RATIO} BETWEEN 0.8 AND 1.2 THEN 'good' END AS bucket, count(*) AS n, sum(floor(1e6 * edits / greatest(length(ref), 1)))::bigint AS cer_ppm FROM e GROUP BY 1")
@@ -293,6 +325,21 @@ def mean_cer_by_bucket(spark, d):
     return p.groupBy(metrics.bucket(T.length_ratio(F.col("ref"), F.col("hyp"))).alias("bucket")).agg(F.count("*").alias("n"), F.sum(each).alias("cer_ppm"))
 
 
+RAW_SQL = f"""rp AS (SELECT 'c' || (turn % 5) AS config, text AS ref, next AS hyp FROM (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+@query(f"""WITH {RAW_SQL} SELECT config, CASE WHEN {RATIO} > 2 THEN 'looper' WHEN {RATIO} BETWEEN 0.8 AND 1.2 THEN 'good' END AS bucket,
+ round(avg(CASE WHEN length(ref) = 0 THEN 'nan'::double ELSE levenshtein(translate(ref, '{ODD}', {SPARE}), translate(hyp, '{ODD}', {SPARE}))::double / greatest(length(ref), 1) END), 6) AS mean_cer,
+ round(avg({RATIO}), 6) AS mean_ratio, count(*) AS n FROM rp GROUP BY 1, 2""")
+def decode_sweep(spark, d):
+    """Mean rates by configuration and bucket, of raw texts."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = read(spark, d, "conversations").withColumns({"next_role": F.lead("role").over(w), "hyp": F.lead("text").over(w)})
+    c = c.where("role = 'user' and next_role = 'assistant'").withColumnRenamed("text", "ref")
+    c = c.select(F.concat(F.lit("c"), (F.col("turn") % 5).cast("string")).alias("config"), metrics.bucket(T.length_ratio(F.col("ref"), F.col("hyp"))).alias("bucket"), "ref", "hyp")
+    return metrics.sweep(c, ["config", "bucket"]).select("config", "bucket", F.round("mean_cer", 6).alias("mean_cer"), F.round("mean_ratio", 6).alias("mean_ratio"), "n")
+
+
 @query(f"""WITH {PAIRS_SQL}, b AS (SELECT conv_id, turn, CASE WHEN {RATIO} > 2 THEN 'looper' WHEN {RATIO} BETWEEN 0.8 AND 1.2 THEN 'good' END AS bucket FROM q)
 SELECT * FROM (SELECT conv_id, turn, bucket, row_number() OVER (PARTITION BY bucket ORDER BY conv_id * 1000 + turn) AS rn FROM b WHERE bucket IS NOT NULL) WHERE rn <= 6""")
 def loop_triage(spark, d):
@@ -321,10 +368,12 @@ def baseline_ratio(spark, d):
     return run_summary(spark, d, 0).join(b, "suite", "left").select("suite", metrics.ratio_to(F.col("cer"), F.col("base")).alias("ratio"))
 
 
-@query(f"SELECT a.suite, a.cer > coalesce(4.0::double * b.cer, 0.2::double) AS aborted FROM {_summary_sql(0)} a LEFT JOIN {_summary_sql(1)} b USING (suite)")
+@query(f"""SELECT suite, cer > lim AS aborted, CASE WHEN cer > lim THEN 'canary CER ' || printf('%.4f', cer) || ' > ' || printf('%.4f', lim) END AS reason
+FROM (SELECT a.suite, a.cer, coalesce(4.0::double * b.cer, 0.2::double) AS lim FROM {_summary_sql(0)} a LEFT JOIN {_summary_sql(1)} b USING (suite))""")
 def canary_gate(spark, d):
     b = run_summary(spark, d, 1).select("suite", F.col("cer").alias("base"))
-    return run_summary(spark, d, 0).join(b, "suite", "left").select("suite", metrics.canary(F.col("cer"), F.col("base")).alias("aborted"))
+    cer, base = F.col("cer"), F.col("base")
+    return run_summary(spark, d, 0).join(b, "suite", "left").select("suite", metrics.canary(cer, base).alias("aborted"), metrics.canary_reason(cer, base).alias("reason"))
 
 
 @query(f"SELECT a.suite, a.cer, b.cer AS base_cer, coalesce(a.cer > b.cer, false) AS regressed, row_number() OVER (ORDER BY a.cer DESC, a.suite) AS place FROM {_summary_sql(1)} a LEFT JOIN {_summary_sql(0)} b USING (suite)")
@@ -342,7 +391,7 @@ LOOP_PAGES = [32, 35, 47, 63, 79, 81, 108, 138, 158, 179, 198, 210, 216, 221, 23
 SELECT doc_id, lang || '[norm]' AS slice FROM r WHERE i < 30 UNION ALL SELECT doc_id, lang || '[loop]' FROM r WHERE i IN ({", ".join(map(str, LOOP_PAGES))})""")
 def dev_slices(spark, d):
     """The operator itself takes the first 30 rows of a suite, and listed ones."""
-    r = docs(spark, d).select("doc_id", "lang", (F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1).alias("i"))
+    r = metrics.first_rows(docs(spark, d).select("doc_id", "lang"), "lang", "doc_id", max(LOOP_PAGES) + 1)
     normal = r.where("i < 30").select("doc_id", F.concat("lang", F.lit("[norm]")).alias("slice"))
     return normal.unionByName(r.where(F.col("i").isin(LOOP_PAGES)).select("doc_id", F.concat("lang", F.lit("[loop]")).alias("slice")))
 
@@ -354,7 +403,7 @@ def md_tables_to_html(spark, d):
     return pages.select("id", tables.md_tables_to_html(F.col("text")).alias("text"))
 
 
-@query(f"SELECT r_regionkey, text FROM ({PIPE_SQL})")
+@query(f"SELECT r_regionkey, replace(text, '| --- | --- |', '|---|---|') AS text FROM ({PIPE_SQL})")
 def html_tables_to_md(spark, d):
     return pipe_tables(spark, d).select("r_regionkey", tables.html_tables_to_md(tables.md_tables_to_html(F.col("text"))).alias("text"))
 
@@ -373,10 +422,12 @@ def table_content_distance(spark, d):
     return a.join(b, "n_regionkey").select("a", "b", tables.content_distance(F.col("x"), F.col("y")).alias("distance"))
 
 
-@query("SELECT r_regionkey, 1.0::double AS same, 0.0::double AS missing FROM region")
+@query()
 def table_similarity(spark, d):
+    """The tables of every two regions, and a page without a table; held against brute force in tests."""
     html = pipe_tables(spark, d).select("r_regionkey", tables.md_tables_to_html(F.col("text")).alias("html"))
-    return html.select("r_regionkey", tables.table_similarity("html", "html").alias("same"), tables.table_similarity(F.lit("none"), "html").alias("missing"))
+    a, b = html.toDF("a", "x"), html.toDF("b", "y").unionByName(spark.createDataFrame([(-1, "none")], "b int, y string"))
+    return a.join(b, F.col("a") >= F.col("b")).select("a", "b", tables.table_similarity("x", "y").alias("score"))
 
 
 @query(f"""WITH {PAIRS_SQL}, k AS (SELECT conv_id * 1000 + turn AS doc_id, ref, hyp FROM q)
@@ -394,38 +445,62 @@ def chat_template(spark, d):
     return p.select("conv_id", "turn", F.col("m")[0]["role"].alias("first_role"), F.col("m")[1]["role"].alias("last_role"), parts.alias("parts"), F.col("m")[0]["content"][1]["text"].alias("prompt"), F.col("m")[1]["content"][0]["text"].alias("answer"))
 
 
-RANK, SIDE = 4, 12
+SIDE = 12
 
 
 def adapters(spark, d):
-    """Two adapters of small integers: the first and the next twelve embeddings give A and B of two modules."""
-    e = read(spark, d, "embeddings").where(F.col("vec_id") < 4 * SIDE).select("vec_id", F.posexplode(F.slice("embedding", 1, RANK)).alias("k", "x"))
-    v, side, which = F.round(F.col("x") * 100).cast("double"), F.col("vec_id") % SIDE, F.floor(F.col("vec_id") / SIDE)
-    a = e.where(which % 2 == 0).select(F.concat(F.lit("a"), (which / 2).cast("int").cast("string")).alias("adapter"), F.lit("m").alias("module"), F.lit("A").alias("factor"), F.col("k").cast("long").alias("i"), side.alias("j"), v.alias("v"))
-    b = e.where(which % 2 == 1).select(F.concat(F.lit("a"), ((which - 1) / 2).cast("int").cast("string")).alias("adapter"), F.lit("m").alias("module"), F.lit("B").alias("factor"), side.alias("i"), F.col("k").cast("long").alias("j"), v.alias("v"))
-    config = spark.createDataFrame([("a0", RANK, 8.0, 0.5), ("a1", RANK, 8.0, 0.5)], "adapter string, r int, alpha double, coeff double")
-    return a.unionByName(b), config
-
-
-ADAPTER_SQL = f"""e AS (SELECT vec_id, unnest(range(0, {RANK})) AS k, unnest(embedding[1:{RANK}]) AS x FROM embeddings WHERE vec_id < {4 * SIDE}),
-f AS (SELECT vec_id // {SIDE} AS w, vec_id % {SIDE} AS s, k, round(x::double * 100) AS v FROM e),
-p AS (SELECT b.s AS i, a.s AS j, sum(0.5::double * b.v * a.v) AS v FROM f a JOIN f b ON b.w = a.w + 1 AND a.w % 2 = 0 AND a.k = b.k GROUP BY ALL)"""
-
-
-@query(f"WITH {ADAPTER_SQL} SELECT i, j, v FROM p")
+    """Two adapters of whole numbers: of each 4 * SIDE embeddings, the first and the next SIDE are A and B of one module of
+    the first adapter, the others of the second. A vector's entries are the rank."""
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    group, side = F.floor(F.col("vec_id") / SIDE), F.col("vec_id") % SIDE
+    e = e.select(F.concat(F.lit("a"), (F.floor(group / 2) % 2).cast("string")).alias("adapter"), F.concat(F.lit("m"), F.floor(group / 4).cast("string")).alias("module"), (group % 2).alias("which"), F.col("k").cast("long").alias("k"), side.alias("s"), F.round(F.col("x") * 100).cast("double").alias("v"))
+    is_a = F.col("which") == 0
+    cells = e.select("adapter", "module", F.when(is_a, "A").otherwise("B").alias("factor"), F.when(is_a, F.col("k")).otherwise(F.col("s")).alias("i"), F.when(is_a, F.col("s")).otherwise(F.col("k")).alias("j"), "v")
+    config = spark.createDataFrame([("a0", 64, 128.0, 0.5, "q,v", False, "b"), ("a1", 64, 128.0, 0.5, "q,v", False, "b")], "adapter string, r int, alpha double, coeff double, target_modules string, use_rslora boolean, base string")
+    return cells, config
+
+
+def base_tensors(spark, d):
+    """Matrices of SIDE x SIDE; every seventh module has one column more, every fifth is not in the base."""
+    m = read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / (4 * SIDE)).alias("m")).distinct().where("m % 5 <> 4")
+    m = m.select("m", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("i"))
+    m = m.select("m", F.col("i").cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("m") % 7 == 6, SIDE).otherwise(SIDE - 1).cast("long"))).alias("j"))
+    return m.select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("module"), "i", "j", F.pmod(F.col("m") * 7 + F.col("i") * 31 + F.col("j") * 17, F.lit(101)).cast("double").alias("v"))
+
+
+ADAPTER_SQL = f"""em AS (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding) AS x FROM embeddings),
+f AS (SELECT vec_id // {SIDE} AS g, vec_id % {SIDE} AS s, k, round(x::double * 100) AS v FROM em),
+p AS (SELECT a.g // 4 AS m, b.s AS i, a.s AS j, sum(0.5::double * b.v * a.v) AS v FROM f a JOIN f b ON b.g = a.g + 1 AND a.g % 2 = 0 AND a.k = b.k GROUP BY ALL),
+dims AS (SELECT m, max(i) + 1 AS r, max(j) + 1 AS c FROM p GROUP BY m),
+bm AS (SELECT DISTINCT vec_id // {4 * SIDE} AS m FROM embeddings WHERE vec_id // {4 * SIDE} % 5 <> 4),
+bs AS (SELECT m, i, j, ((m * 7 + i * 31 + j * 17) % 101)::double AS v FROM (SELECT m, unnest(range(0, {SIDE})) AS i FROM bm) x, range({SIDE} + 1) y(j) WHERE j < {SIDE} OR m % 7 = 6),
+fits AS (SELECT m FROM dims JOIN (SELECT m, max(i) + 1 AS r, max(j) + 1 AS c FROM bs GROUP BY m) b USING (m, r, c)),
+mg AS (SELECT bs.m, bs.i, bs.j, bs.v AS old, (bs.v + 2.0::double * coalesce(p.v, 0))::float::double AS v FROM bs LEFT JOIN (SELECT * FROM p WHERE m IN (SELECT m FROM fits)) p USING (m, i, j))"""
+
+
+@query(f"WITH {ADAPTER_SQL} SELECT 'm' || m AS module, i, j, v FROM p")
 def adapter_soup(spark, d):
-    factors, _ = linalg.soup(*adapters(spark, d))
-    return linalg.product(factors).select("i", "j", "v")
+    """The last module may be in one adapter alone, which a checked soup would refuse."""
+    factors, _ = linalg.soup(*adapters(spark, d), check=False)
+    return linalg.product(factors).select("module", "i", "j", "v")
 
 
-@query(f"WITH {ADAPTER_SQL} SELECT i, j, (1000.0::double + 2.0::double * v)::float::double AS v, v <> 0 AS changed FROM p")
+@query(f"WITH {ADAPTER_SQL} SELECT 'm' || m AS module, i, j, v, v <> old AS changed FROM mg")
 def adapter_merge(spark, d):
-    factors, _ = linalg.soup(*adapters(spark, d))
-    base = linalg.product(factors).select("module", "i", "j", F.lit(1000.0).alias("v"))
-    return linalg.merge(base, factors, 2.0).select("i", "j", "v", "changed")
+    factors, _ = linalg.soup(*adapters(spark, d), check=False)
+    return linalg.merge(base_tensors(spark, d), factors, 2.0).select("module", "i", "j", "v", "changed")
+
 
+@query(f"""WITH {ADAPTER_SQL} SELECT (SELECT count(*) FROM dims) AS targets, (SELECT count(*) FROM dims WHERE m IN (SELECT m FROM bm) AND m NOT IN (SELECT m FROM fits)) AS mismatched,
+(SELECT count(*) FROM dims WHERE m NOT IN (SELECT m FROM bm)) AS missing, (SELECT max(abs(v - old)) FROM mg) AS max_change, (SELECT count(*) FROM fits) AS applied""")
+def adapter_merge_report(spark, d):
+    factors, _ = linalg.soup(*adapters(spark, d), check=False)
+    base = base_tensors(spark, d)
+    return linalg.merge_report(base, factors, linalg.merge(base, factors, 2.0))
 
-@query("SELECT 2::bigint AS adapters, false AS bad_sum, false AS bad_scale, 0::bigint AS incomplete, 0::bigint AS unshared")
+
+@query(f"""WITH t AS (SELECT DISTINCT vec_id // {4 * SIDE} AS m, vec_id // {2 * SIDE} % 2 AS a, vec_id // {SIDE} % 2 AS f FROM embeddings), per AS (SELECT m, a, count(*) AS n FROM t GROUP BY m, a)
+SELECT 2::bigint AS adapters, false AS bad_sum, false AS bad_scale, false AS mismatch, (SELECT count(*) FROM per WHERE n < 2) AS incomplete, (SELECT count(*) FROM (SELECT m FROM per GROUP BY m HAVING count(*) < 2)) AS unshared, 0::bigint AS not_factors""")
 def adapter_guards(spark, d):
     return linalg.guards(*adapters(spark, d))
 
@@ -436,15 +511,21 @@ def latest_checkpoint(spark, d):
     return names.agg(F.max_by("name", F.split("name", "-")[1].cast("int")).alias("latest"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'model.' || lower(n_name) ELSE NULL END AS module FROM nation")
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'model.' || lower(n_name) || '.weight' WHEN 1 THEN 'visual.' || lower(n_name) || '.weight' END AS tensor FROM nation")
 def tensor_names(spark, d):
-    n = F.concat(F.lit("base_model.model.model.language_model."), F.lower("n_name"))
-    return read(spark, d, "nation").select("n_nationkey", T.tensor_name(F.when(F.col("n_nationkey") % 2 == 0, F.concat(n, F.lit(".lora_A.weight"))).otherwise(n)).alias("module"))
+    part = F.element_at(F.array(F.lit("language_model."), F.lit("visual."), F.lit("language_model.")), F.col("n_nationkey") % 3 + 1)
+    name = F.concat(F.lit("base_model.model.model."), part, F.lower("n_name"), F.when(F.col("n_nationkey") % 3 == 2, ".weight").otherwise(".lora_A.weight"))
+    return read(spark, d, "nation").select("n_nationkey", T.tensor_name(name).alias("tensor"))
 
 
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS big FROM events GROUP BY event_type")
+@query(rf"""WITH c AS (SELECT doc_id, source, {COLLAPSED} AS body FROM documents), k AS (SELECT *, length(body) < 2 AS bad, contains(coalesce(source, ''), 'src1') AS out, {DIRTY} AS dirty FROM c)
+SELECT count(*) AS n, count(*) FILTER (out) AS excluded, count(*) FILTER (NOT out AND bad) AS invalid, count(*) FILTER (NOT out AND NOT bad AND dirty) AS contaminated FROM k""")
 def dropped_counters(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("big"))
+    """What a build drops, by the first rule that applies."""
+    rows = docs(spark, d).select("doc_id", "text", F.contains(F.coalesce("source", F.lit("")), F.lit("src1")).alias("out"), (~corpus.valid(T.source_norm(F.col("text")))).alias("bad"))
+    bad = corpus.contaminated(rows, corpus.probes(read(spark, d, "benchmark")), "text")
+    seen = rows.select(corpus.text_id(F.col("text")).alias("_id"), "out", "bad").join(bad.withColumn("dirty", F.lit(True)), "_id", "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
+    return seen.agg(F.count("*").alias("n"), F.count_if("out").alias("excluded"), F.count_if(~F.col("out") & F.col("bad")).alias("invalid"), F.count_if(~F.col("out") & ~F.col("bad") & F.col("dirty")).alias("contaminated"))
 
 
 @query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -455,3 +536,127 @@ def keyed_join(spark, d):
 @query(f"SELECT source, domain, n FROM (WITH c AS (SELECT doc_id, source, lang AS domain FROM (SELECT *, {COLLAPSED} AS body FROM documents) WHERE length(body) >= 2 AND NOT {DIRTY}), h AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {_order(42)}) AS r FROM c) SELECT source, domain, count(*) AS n FROM h WHERE r > 400 GROUP BY GROUPING SETS ((source), (domain), ()))")
 def corpus_build(spark, d):
     return flagship(spark, d)
+
+
+# the builders, over stand-ins for their sources: documents with sizes, conversations, pages, annotations of nations
+
+NORMED = rf"regexp_replace(regexp_replace(coalesce(text, ''), '[\x{{200b}}\x{{200e}}\x{{200f}}\x{{feff}}]', '', 'g'), '^{WS}+|{WS}+$', '', 'g')"
+SIZED_SQL = f"s AS (SELECT doc_id AS idx, source AS own, {NORMED} AS response, (doc_id % 50 + 8)::int AS w, (doc_id % 31 + 10)::int AS h FROM documents)"
+ROW_OK = "length(response) >= 2 AND least(w, h) >= 12"
+
+
+def sized_docs(spark, d):
+    return docs(spark, d).select(F.col("doc_id").alias("idx"), "text", F.col("text").alias("markdown"), F.col("text").alias("chosen"), "source", (F.col("doc_id") % 50 + 8).cast("int").alias("w"), (F.col("doc_id") % 31 + 10).cast("int").alias("h"))
+
+
+PLAIN = ["aallail", "yousefmd", "nakba", "omar", "okai", "mssqpi", "presightai", "hastyle", "img2md"]
+
+
+def _plain_sql(name):
+    spec = builders.SOURCES[name]
+    text = r"regexp_replace(response, '\n{3,}', chr(10) || chr(10), 'g')" if name in ("hastyle", "img2md") else "response"
+    place = "row_number() OVER (ORDER BY idx)" if spec.after else "idx"
+    keep = ROW_OK + (f" AND NOT contains(coalesce(own, ''), '{spec.excluded}')" if spec.excluded else "") + (f" AND idx % {spec.every} = 0" if spec.every > 1 else "")
+    return f"SELECT idx, {PROMPT_SQL}[{place} % 5 + 1] AS prompt, response, '{spec.tag}' AS source, '{spec.domain}' AS domain, w, h FROM (SELECT idx, own, {text} AS response, w, h FROM s) WHERE {keep}"
+
+
+@query(f"WITH {SIZED_SQL} {' UNION ALL '.join(map(_plain_sql, PLAIN))}")
+def builders_plain(spark, d):
+    out = None
+    for name in PLAIN:
+        part = builders.BUILDERS[name](sized_docs(spark, d))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+CHAT_SQL = f"""first AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS u, min(turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id),
+chat AS (SELECT f.conv_id AS idx, CASE WHEN f.conv_id % 3 = 0 THEN 'flat ' || f.conv_id WHEN f.u IS NOT NULL THEN c.text END AS text FROM first f LEFT JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.a)"""
+
+
+@query(f"WITH {CHAT_SQL} SELECT idx, {PROMPT_SQL}[idx % 5 + 1] AS prompt, {NORMED} AS response, 'qari10k' AS source, 'doc_markdown' AS domain FROM chat WHERE length({NORMED}) >= 2")
+def builder_chat(spark, d):
+    """Conversations with decorated role names; every third one in the flat form."""
+    turn = F.struct("turn", F.concat(F.lit("<|"), F.initcap("role"), F.lit("|>")).alias("role"), F.col("text").alias("content"))
+    c = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("idx")).agg(F.array_sort(F.collect_list(turn)).alias("m"))
+    said = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    flat = F.col("idx") % 3 == 0
+    rows = c.select("idx", F.when(~flat, said).alias("messages"), F.when(flat, F.concat(F.lit("flat "), F.col("idx").cast("string"))).alias("assistant_content"))
+    return builders.BUILDERS["qari10k"](rows)
+
+
+@query(rf"""WITH m AS (SELECT page_id AS idx, {ORACLE["html_markup_to_md"].split(",", 1)[1].rsplit(" AS md", 1)[0]} AS text FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 0),
+v AS (SELECT idx, {NORMED} AS response FROM m) SELECT idx, {PROMPT_SQL}[row_number() OVER (ORDER BY idx % 2, idx) % 5 + 1] AS prompt, response, 'namaa_qari03' AS source, 'doc_markdown' AS domain, 40 AS w, 30 AS h FROM v WHERE length(response) >= 2""")
+def builder_namaa(spark, d):
+    """Pages in two splits; every fifth has no image file, every seventh an empty one."""
+    p = read(spark, d, "pages").select(F.col("page_id").alias("idx"), F.concat(F.lit("a/b/"), F.col("page_id").cast("string"), F.lit(".png")).alias("image"), F.col("html").alias("text"))
+    files = p.where("idx % 5 <> 0").select(F.substring_index("image", "/", -1).alias("name"), F.when(F.col("idx") % 7 == 0, 0).otherwise(9).alias("length"), F.lit(40).alias("w"), F.lit(30).alias("h"))
+    return builders.BUILDERS["namaa"]([p.where("idx % 2 = 0"), p.where("idx % 2 = 1")], files)
+
+
+@query(f"""WITH n AS (SELECT n_nationkey::bigint AS idx, ['Newspaper', 'Book', 'Other'][n_nationkey % 3 + 1] AS cat, n_name AS text, unnest([0, 1]) AS region FROM nation),
+v AS (SELECT idx, region, cat, CASE region WHEN 0 THEN text ELSE lower(text) END AS response, CASE region WHEN 0 THEN 30 ELSE (idx % 20)::int END AS w FROM n)
+SELECT idx, {PROMPT_SQL}[row_number() OVER (ORDER BY idx, region) % 5 + 1] AS prompt, response, 'jayanthmuthu_' || cat AS source, map {{'Newspaper': 'newspaper', 'Book': 'doc_markdown', 'Other': 'line_real'}}[cat] AS domain, w, 20 AS h FROM v WHERE w >= 12""")
+def builder_regions(spark, d):
+    """Two transcribed regions a nation, the second as wide as its key allows, and one without a transcription."""
+    tag = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
+    point = lambda x, y: F.array(x.cast("double"), F.lit(y).cast("double"))
+    shape = lambda x: F.struct(F.array(point(F.lit(-5), 5), point(x, 25)).alias("exterior"))
+    region = lambda t, x: F.struct(F.array(tag("Kind", F.lit("x")), t).alias("tags"), shape(x).alias("points"))
+    objects = F.array(region(tag("Transcription", F.col("n_name")), F.lit(90)), region(tag("Transcription", F.lower("n_name")), F.col("n_nationkey") % 20), region(tag("Other", F.col("n_name")), F.lit(20)))
+    name = F.concat(F.element_at(F.array(*map(F.lit, ["Newspaper", "Book", "Other"])), F.col("n_nationkey") % 3 + 1), F.lit("-00001-of-00002.parquet"))
+    a = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), name.alias("file"), F.to_json(F.struct(objects.alias("objects"))).alias("annotation"), F.lit(30).alias("w"), F.lit(50).alias("h"))
+    return builders.BUILDERS["jayanthmuthu"](a)
+
+
+@query(f"""WITH {SIZED_SQL}, src AS (SELECT idx AS id, response AS text, w, h FROM s WHERE {ROW_OK} AND NOT contains(coalesce(own, ''), 'arocrbench')), {STACK_SQL}
+SELECT grp AS idx, {PROMPT_SQL}[(grp + 1) % 5 + 1] AS prompt, text AS response, 'okai_muharaf_para' AS source, 'handwritten_paragraph' AS domain, w, h FROM ss""")
+def builder_stacked(spark, d):
+    return builders.BUILDERS["okai_para"](sized_docs(spark, d))
+
+
+@query(rf"""WITH {SIZED_SQL}, c AS (SELECT *, regexp_replace(response, '{WS}+', ' ', 'g') AS body FROM s)
+SELECT idx, {PROMPT_SQL}[row_number() OVER (ORDER BY idx) % 5 + 1] AS prompt, response, 'khatt_para' AS source, 'handwritten_para_real' AS domain, w, h FROM c WHERE NOT {DIRTY} AND {ROW_OK}""")
+def builder_paragraphs(spark, d):
+    return builders.BUILDERS["khatt_para"](sized_docs(spark, d), read(spark, d, "benchmark"))
+
+
+@query(rf"""WITH l AS (SELECT conv_id * 1000 + turn AS idx, 's' || (conv_id % 2) AS split, conv_id // 2 AS para, {NORMED} AS response FROM conversations),
+g AS (SELECT split, para, string_agg(response, ' ' ORDER BY idx, response) AS text, min(idx) AS first FROM l GROUP BY split, para), k AS (SELECT split, para, first FROM (SELECT split, para, first, {COLLAPSED} AS body FROM g) WHERE NOT {DIRTY})
+SELECT idx, {PROMPT_SQL}[row_number() OVER (ORDER BY first, idx) % 5 + 1] AS prompt, response, 'khatt_lines' AS source, 'handwritten_line' AS domain, 40 AS w, 30 AS h FROM l JOIN k USING (split, para) WHERE length(response) >= 2 AND idx % 11 <> 0""")
+def builder_lines(spark, d):
+    """Turns as lines, written backwards; a paragraph is a conversation within its split. Every eleventh has no image."""
+    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.concat(F.lit("s"), (F.col("conv_id") % 2).cast("string")).alias("split"), F.concat_ws("_", F.lit("p"), F.floor(F.col("conv_id") / 2).cast("string"), "turn").alias("file_name"), F.reverse("text").alias("text"))
+    files = c.where("idx % 11 <> 0").select("split", "file_name", F.lit(40).alias("w"), F.lit(30).alias("h")).distinct()
+    return builders.BUILDERS["khatt_lines"](c, read(spark, d, "benchmark"), files)
+
+
+ASSEMBLED = ["aallail", "hastyle", "okai"]
+
+
+@query(f"""WITH {SIZED_SQL}, u AS ({' UNION ALL '.join(f"SELECT '{n}:' || idx AS id, source, domain FROM ({_plain_sql(n)})" for n in ASSEMBLED)}),
+k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5('42:' || id), id) <= 400 AS val FROM u)
+SELECT 'source' AS kind, source AS name, count(*) AS n FROM k WHERE NOT val GROUP BY source UNION ALL SELECT 'domain', domain, count(*) FROM k WHERE NOT val GROUP BY domain
+UNION ALL SELECT 'total_train', NULL, count(*) FILTER (NOT val) FROM k UNION ALL SELECT 'total_val', NULL, count(*) FILTER (val) FROM k""")
+def corpus_assembly(spark, d):
+    """Shards, union, holdout, both tables and the counts, written and read back."""
+    at = f"{scratch.folder(spark)}/assembly-{uuid.uuid4().hex}"
+    for name in ASSEMBLED:
+        sinks.save_shard(builders.BUILDERS[name](sized_docs(spark, d)), f"{at}/shards/{name}")
+    sinks.save_corpus(sinks.shards(spark, f"{at}/shards"), at)
+    train, val = spark.read.parquet(f"{at}/unified"), spark.read.parquet(f"{at}/val")
+    said = lambda kind, c: train.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    total = lambda kind, df: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("name"), "n")
+    return said("source", "source").unionByName(said("domain", "domain")).unionByName(total("total_train", train)).unionByName(total("total_val", val))
+
+
+@query("SELECT 'hindawi' AS suite, doc_id AS i, text AS ref FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i < 30")
+def suite_scan(spark, d):
+    """The first rows of a suite in stored order; the operator itself takes them."""
+    rows = readers.indexed(spark, f"{d}/documents.parquet", ["doc_id", "text"])
+    return rows.where("idx < 30").select(F.lit("hindawi").alias("suite"), F.col("doc_id").alias("i"), F.col("text").alias("ref"))
+
+
+@query("SELECT r_regionkey, ['a:b', 'c', 'x:'][r_regionkey % 3 + 1] AS name, 0.25::double AS coeff FROM region")
+def mix_parts(spark, d):
+    spec = F.concat(F.element_at(F.array(F.lit("a:b"), F.lit("c"), F.lit("x:")), F.col("r_regionkey") % 3 + 1), F.lit(":0.25"))
+    return read(spark, d, "region").select("r_regionkey", T.mix_part(spec).alias("p")).select("r_regionkey", "p.name", "p.coeff")

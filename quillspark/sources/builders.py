@@ -1,19 +1,24 @@
-"""Per-source builders of corpus rows (prompt, response, source, domain), as specifications over one generic builder.
+"""Per-source builders of corpus rows (idx, prompt, response, source, domain, and w, h where images have sizes).
 
-A builder takes a DataFrame with `idx` (position in the source, from 0) and the source's own columns. Images are carried
-by reference where they are given as (w, h); no pixels are decoded.
+Most sources are specifications over one generic builder; four have steps of their own. A builder takes DataFrames with
+`idx` (position in the source, from 0) and the source's own columns. Images come as bytes, whose header is read, or as
+their sizes `w`, `h`; one that is missing or cannot be read has no size, and its row goes. No pixels are decoded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import image as I
 from ..functions import text as T
+from ..operators import corpus
 from ..operators.corpus import nth, valid, with_counter
+from . import readers
 
 
 @dataclass(frozen=True)
@@ -24,6 +29,7 @@ class Source:
     excluded: str = ""  # rows whose own `source` contains this
     every: int = 1
     after: bool = False  # prompts follow a counter of the valid rows, from 1; else the source's index
+    image: Callable[[], Column] | None = None  # the image's bytes, where they are not in `image`
 
 
 def _plain(name: str) -> Callable[[], Column]:
@@ -34,6 +40,17 @@ def _page(name: str) -> Callable[[], Column]:
     return lambda: T.squeeze_blank_lines(T.source_norm(T.drop_images(F.coalesce(F.col(name), F.lit("")))))
 
 
+def said_by(who: str) -> Column:
+    """The first message whose role contains a word, whatever the case."""
+    return F.get(F.filter("messages", lambda m: F.contains(F.lower(F.coalesce(m["role"], F.lit(""))), F.lit(who))), F.lit(0))
+
+
+def chat_or_flat() -> Column:
+    """What the assistant said first, null where no user did; the flat column where there are no messages."""
+    from_chat = F.when(said_by("user").isNotNull(), said_by("assistant")["content"])
+    return F.when(F.coalesce(F.size("messages"), F.lit(0)) > 0, from_chat).otherwise(F.col("assistant_content"))
+
+
 #: Names, tags, domains and text columns.
 SOURCES = {
     "aallail": Source("aallail_synth2", "line_synth", _plain("text")),
@@ -50,20 +67,100 @@ SOURCES = {
     "khatt_lines": Source("khatt_lines", "handwritten_line", lambda: T.source_norm(F.reverse("text")), after=True),
     "img2md": Source("img2md", "doc_markdown", _page("markdown"), after=True),
 }
+STACKED_TAG, STACKED_DOMAIN, REGION_TAG = "okai_muharaf_para", "handwritten_paragraph", "jayanthmuthu_"
+#: Names that are built where none are given.
+DEFAULT = ["yousefmd", "nakba", "qari10k", "omar"]
 
 
-def chat_or_flat() -> Column:
-    """The first assistant message, or the flat column where there are no messages."""
-    said = F.get(F.filter("messages", lambda m: m["role"] == "assistant"), F.lit(0))["content"]
-    return F.coalesce(said, F.col("assistant_content"))
+def sized(df: DataFrame) -> DataFrame:
+    """df with w and h from `image` or `images` (bytes, or a struct that has them), where it has such a column."""
+    kinds = dict(df.dtypes)
+    for name in ("images", "image"):
+        if kinds.get(name) == "binary":
+            return df.withColumn("_s", I.size_of(F.col(name))).select(*df.columns, "_s.w", "_s.h")
+        if kinds.get(name, "").startswith("struct") and "bytes:binary" in kinds[name]:
+            return df.withColumn("_s", I.size_of(F.col(f"{name}.bytes"))).select(*df.columns, "_s.w", "_s.h")
+    return df
 
 
-def build(df: DataFrame, spec: Source) -> DataFrame:
+def repaired(df: DataFrame, spec: Source) -> DataFrame:
+    """The source's rows in use, with `response`."""
     if spec.every > 1:
         df = nth(df, "idx", spec.every)
     if spec.excluded:
         df = df.where(~F.contains(F.coalesce("source", F.lit("")), F.lit(spec.excluded)))
-    sizes = [F.col("w"), F.col("h")] if {"w", "h"} <= set(df.columns) else []
-    rows = df.withColumn("response", spec.text()).where(valid(F.col("response"), *sizes))
-    rows = with_counter(rows, "idx", "_i") if spec.after else rows.withColumn("_i", F.col("idx"))
-    return rows.select("idx", T.prompt(F.col("_i")).alias("prompt"), "response", F.lit(spec.tag).alias("source"), F.lit(spec.domain).alias("domain"))
+    return sized(df).withColumn("response", spec.text())
+
+
+def fit(df: DataFrame) -> DataFrame:
+    return df.where(valid(F.col("response"), *([F.col("w"), F.col("h")] if {"w", "h"} <= set(df.columns) else [])))
+
+
+def rows(df: DataFrame, tag: Column, domain: Column, counter: Column | None, order: list[str] = ("idx",)) -> DataFrame:
+    """Corpus rows; prompts by counter, or by place among these rows from 1 where it is None."""
+    df = df.withColumn("_i", counter) if counter is not None else with_counter(df, list(order), "_i")
+    keep = [c for c in ("w", "h") if c in df.columns]
+    return df.select("idx", T.prompt(F.col("_i")).alias("prompt"), "response", tag.alias("source"), domain.alias("domain"), *keep)
+
+
+def build(df: DataFrame, spec: Source) -> DataFrame:
+    return rows(fit(repaired(df, spec)), F.lit(spec.tag), F.lit(spec.domain), None if spec.after else F.col("idx"))
+
+
+def namaa(splits: Iterable[DataFrame], files: DataFrame) -> DataFrame:
+    """splits: (idx, image: a path, text) of the train and the validation split, in this order; files: (name, length, and
+    image bytes or w and h). Rows meet the file of their path's last part; empty files do not count."""
+    every = None
+    for k, part in enumerate(splits):
+        part = part.select("idx", F.lit(k).alias("part"), F.substring_index("image", "/", -1).alias("name"), "text")
+        every = part if every is None else every.unionByName(part)
+    found = files.where("length > 0").dropDuplicates(["name"]).drop("length")
+    spec = SOURCES["namaa"]
+    return rows(fit(repaired(every.join(found, "name"), spec)), F.lit(spec.tag), F.lit(spec.domain), None, ["part", "idx"])
+
+
+def regions(df: DataFrame) -> DataFrame:
+    """df: (idx, file, annotation, and image bytes or w and h). A row for each region with a transcription, the size that
+    of its box within the image, source and domain by the file's category; prompts count all rows from 1 in order of idx
+    and region."""
+    named = readers.regions(sized(df)).withColumn("box", I.box(F.col("points"), F.col("w").cast("double"), F.col("h").cast("double")))
+    side = lambda a, b: F.greatest(F.lit(0), F.rint(b) - F.rint(a)).cast("int")
+    size = {"w": side(F.col("box.x0"), F.col("box.x1")), "h": side(F.col("box.y0"), F.col("box.y1"))}
+    named = named.withColumn("response", T.source_norm(F.col("transcription"))).withColumns(size)
+    cat = readers.category(F.col("file"))
+    return rows(fit(named), F.concat(F.lit(REGION_TAG), cat), readers.category_domain(cat), None, ["idx", "region"])
+
+
+def stacked(df: DataFrame, seed: int = 42) -> DataFrame:
+    """df: (idx, text, source, and image bytes or w and h). Paragraphs of three to six consecutive valid lines."""
+    spec = SOURCES["okai"]
+    groups = corpus.stacks(fit(repaired(df, spec)), "idx", "response", seed)
+    if "widths" in groups.columns:
+        groups = groups.withColumn("_s", I.stack(F.col("widths"), F.col("heights"))).select("grp", "text", "_s.w", "_s.h")
+    groups = groups.withColumnsRenamed({"grp": "idx", "text": "response"})
+    return rows(fit(groups), F.lit(STACKED_TAG), F.lit(STACKED_DOMAIN), F.col("idx") + 1)
+
+
+def paragraphs(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """df: (idx, text, and image bytes or w and h). Scanned paragraphs without those that hold a benchmark's beginning."""
+    spec = SOURCES["khatt_para"]
+    clean = corpus.decontaminate(repaired(df, spec), benchmark, "response")
+    return rows(fit(clean), F.lit(spec.tag), F.lit(spec.domain), None)
+
+
+def lines(df: DataFrame, benchmark: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """df: (idx, split, file_name, text) of all splits, idx counting on; files: (split, file_name, and image bytes or w
+    and h). The lines of a paragraph, those of one split whose file names are equal up to the last underscore, all go if
+    together they hold a benchmark's beginning. Prompts count paragraph by paragraph, in the order of their first lines."""
+    spec = SOURCES["khatt_lines"]
+    df = df.withColumns({"response": spec.text(), "para": T.before_last(F.col("file_name"))})
+    df = df.withColumn("first", F.min("idx").over(W.partitionBy("split", "para")))
+    clean = corpus.decontaminate_groups(df, benchmark, ["split", "para"], "idx", "response")
+    if files is not None:
+        clean = clean.join(sized(files), ["split", "file_name"])
+    return rows(fit(clean), F.lit(spec.tag), F.lit(spec.domain), None, ["first", "idx"])
+
+
+#: Builders by name. Those of SOURCES take the source's DataFrame; the others what their docstring says.
+BUILDERS: dict[str, Callable[..., DataFrame]] = {name: (lambda df, spec=spec: build(df, spec)) for name, spec in SOURCES.items()}
+BUILDERS |= {"namaa": namaa, "jayanthmuthu": regions, "okai_para": stacked, "khatt_para": paragraphs, "khatt_lines": lines}

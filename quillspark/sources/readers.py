@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 from pyspark.sql import types as T
+from pyspark.sql import types as T_
 
 PREDICTION = "i long, ref string, hyp string"
 SUMMARY = "map<string, struct<cer: double, wer: double, n: long, teds: double, teds_n: long>>"
@@ -29,15 +30,71 @@ CATEGORY_DOMAINS = {
 DEFAULT_DOMAIN = "line_real"
 
 
-def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Rows with `file` and `row`, the order of sorted files."""
+def indexed(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows of the parquet files under a path or glob, with `file` and `idx`, their position from 0 in the order of file
+    names and of rows in a file. Only counts of rows meet in one place, one a file."""
     df = spark.read.parquet(path)
-    return df.select(*(columns or df.columns), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    at = df.select(*(columns or df.columns), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = at.groupBy("_path").agg(F.count("*").alias("_n"))
+    ahead = W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("_path", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return at.join(before, "_path").withColumn("idx", F.col("_before") + F.col("_row")).drop("_path", "_row", "_before")
+
+
+def splits(spark: SparkSession, folder: str, names: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The named splits of a dataset, folders of parquet files, with `split`, and `idx` counting on in the order given.
+    Others are not opened."""
+    out, start = None, 0
+    for name in names:
+        part = indexed(spark, f"{folder}/{name}", columns).withColumns({"split": F.lit(name), "idx": F.col("idx") + F.lit(start)})
+        start += spark.read.parquet(f"{folder}/{name}").count()  # from the files' footers
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Evaluation suites and their text columns; those that are single files instead of splits.
+SUITES = {
+    "arocrbench_arabicocr": "text",
+    "arocrbench_hindawi": "text",
+    "arocrbench_historyar": "text",
+    "arocrbench_khattparagraph": "answer",
+    "arocrbench_patsocr": "answer",
+    "arocrbench_isippt": "text",
+    "arocrbench_synthesizear": "text",
+    "sedra_handwritten": "text",
+    "misraj_dococr": "markdown",
+    "nakba_test": "text",
+}
+SINGLE = ["misraj_dococr", "nakba_test"]
+
+
+def suite(spark: SparkSession, folder: str, name: str, limit: int | None = None) -> DataFrame:
+    """suite, i, ref of an evaluation suite in a folder: of the first split alone, by name, where it has splits. limit
+    takes the first rows in stored order."""
+    path = folder
+    if name not in SINGLE:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = sorted(s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if s.isDirectory() and s.getPath().getName()[0] not in "._")
+        path = f"{folder}/{found[0]}" if found else folder
+    rows = indexed(spark, path, [SUITES[name]]).select(F.lit(name).alias("suite"), F.col("idx").alias("i"), F.col(SUITES[name]).alias("ref"))
+    return rows if limit is None else rows.where(F.col("i") < limit)
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """chunk_*.parquet of a folder; an error if there is none."""
-    return spark.read.option("pathGlobFilter", "chunk_*.parquet").parquet(folder)
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/chunk_*.parquet")
+    if not (p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []):
+        raise ValueError(f"no chunk_*.parquet in {folder}")
+    return spark.read.parquet(f"{folder}/chunk_*.parquet")
+
+
+def tensors(spark: SparkSession, folder: str, index: str) -> DataFrame:
+    """Cells (shard, module, i, j, v) of the tensors that an index file maps to shards: {"weight_map": {tensor: shard}}.
+    Shards are parquet files of coordinates named by tensor; a tensor elsewhere than the index says does not count."""
+    kind = "struct<weight_map: map<string, string>>"
+    where = spark.read.text(index, wholetext=True).select(F.explode(F.from_json("value", kind)["weight_map"]).alias("module", "shard"))
+    cells = spark.read.parquet(f"{folder}/*.parquet").select("module", "i", "j", "v", F.col("_metadata.file_name").alias("shard"))
+    return cells.join(where, ["module", "shard"])
 
 
 def csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -82,7 +139,8 @@ def category_domain(cat):
 
 
 def regions(df: DataFrame, annotation: str = "annotation") -> DataFrame:
-    """A row for each object with a transcription: `transcription`, and `points`, its polygon."""
-    a = df.withColumn("_o", F.explode(F.from_json(annotation, ANNOTATION)["objects"]))
+    """A row for each object with a transcription: `region`, its place, `transcription`, and `points`, its polygon. An
+    annotation that cannot be parsed has none."""
+    a = df.select("*", F.posexplode(F.from_json(annotation, ANNOTATION)["objects"]).alias("region", "_o"))
     named = F.filter("_o.tags", lambda t: (t["name"] == "Transcription") & (F.coalesce(t["value"], F.lit("")) != ""))
     return a.withColumns({"transcription": F.get(named, F.lit(0))["value"], "points": F.col("_o.points.exterior")}).where("transcription is not null").drop("_o")

@@ -1,17 +1,32 @@
-"""Sinks: shards that are skipped when complete, partitioned predictions, the stats document."""
+"""Sinks: shards that are skipped when complete, corpus and holdout, predictions, summaries in versions, adapters."""
 
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import corpus, metrics
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
 
 def complete(df_or_spark, path: str) -> bool:
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    fs, p = _path(getattr(df_or_spark, "sparkSession", df_or_spark), f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, by way of the cluster's file system."""
+    fs, p = _path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def save_shard(df: DataFrame, path: str, force: bool = False) -> int | None:
@@ -23,17 +38,105 @@ def save_shard(df: DataFrame, path: str, force: bool = False) -> int | None:
     return seen.get["n"]
 
 
-def save_predictions(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("run", "suite").json(path)
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All complete shards of a folder, with `shard`, their name, and `id`, unique to the row. The order of names, not of
+    the file system, decides nothing: the later shuffle is by id."""
+    fs, p = _path(spark, folder)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and complete(spark, f"{folder}/{s.getPath().getName()}"))
+    out = None
+    for name in names:
+        part = spark.read.parquet(f"{folder}/{name}").withColumn("shard", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no complete shard in {folder}")
+    return out.withColumn("id", F.concat_ws(":", "shard", "idx"))
+
+
+def save_corpus(rows: DataFrame, folder: str, key: str = "id", holdout: int = corpus.HOLDOUT) -> dict:
+    """Split off the holdout, write `unified`, `val` and STATS.md, and return the counts. The split is written once, by
+    split; both tables are its parts."""
+    spark = rows.sparkSession
+    corpus.with_holdout(rows, "domain", key, rows=holdout).write.mode("overwrite").partitionBy("split").parquet(f"{folder}/split")
+    split = spark.read.parquet(f"{folder}/split")
+    split.where("split = 'train'").drop("split").write.mode("overwrite").parquet(f"{folder}/unified")
+    split.where("split = 'val'").drop("split").write.mode("overwrite").parquet(f"{folder}/val")
+    n = corpus.totals(split).first()
+    body = stats(corpus.counts(split.where("split = 'train'")), n["total_train"], n["total_val"])
+    write_text(spark, f"{folder}/STATS.md", stats_document(body))
+    fs, p = _path(spark, f"{folder}/split")
+    fs.delete(p, True)
+    return body
 
 
-def stats_document(counted: DataFrame, train: int, val: int) -> str:
-    """Markdown with the counts (rows of operators.corpus.counts) as JSON; some tens of rows."""
+def stats(counted: DataFrame, train: int, val: int) -> dict:
+    """Rows of operators.corpus.counts and the totals as one object; a row for each source and domain."""
     rows = counted.collect()
-    body = {
+    return {
         "total_train": train,
         "total_val": val,
         "by_source": {r["source"]: r["n"] for r in rows if r["source"] is not None},
         "by_domain": {r["domain"]: r["n"] for r in rows if r["domain"] is not None},
     }
-    return "# Corpus\n\n```json\n" + json.dumps(body, ensure_ascii=False, indent=2, sort_keys=True) + "\n```\n"
+
+
+def stats_document(body: dict) -> str:
+    return "# Unified dataset stats\n\n```json\n" + json.dumps(body, ensure_ascii=False, indent=2, sort_keys=True) + "\n```\n"
+
+
+def save_predictions(df: DataFrame, path: str) -> None:
+    """JSON lines by run and suite, each suite's rows in order of `i`."""
+    df.repartition("run", "suite").sortWithinPartitions("run", "suite", "i").write.mode("overwrite").partitionBy("run", "suite").json(path)
+
+
+def save_json(spark: SparkSession, path: str, body: dict) -> None:
+    """A small object, such as the record of a development run."""
+    write_text(spark, path, json.dumps(body, ensure_ascii=False, indent=2))
+
+
+# a table that is rewritten: each version is a folder, and the last complete one counts
+
+
+def latest(spark: SparkSession, path: str) -> int:
+    """The number of the last complete version; -1 if there is none."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return -1
+    found = [re.fullmatch(r"v(\d+)", s.getPath().getName()) for s in fs.listStatus(p)]
+    return max((int(m[1]) for m in found if m and complete(spark, f"{path}/{m[0]}")), default=-1)
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame | None:
+    n = latest(spark, path)
+    return None if n < 0 else spark.read.parquet(f"{path}/v{n}")
+
+
+def write_version(df: DataFrame, path: str) -> None:
+    """The next version. A crash midway leaves the last one in force; versions before that one are removed."""
+    spark = df.sparkSession
+    n = latest(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}/v{n + 1}")
+    for k in range(max(0, n - 1), n):
+        fs, p = _path(spark, f"{path}/v{k}")
+        fs.delete(p, True)
+
+
+def upsert(new: DataFrame, path: str, key: list[str]) -> None:
+    """Rows of new replace those of the same key; the others stay."""
+    old = read_version(new.sparkSession, path)
+    write_version(new if old is None else metrics.upsert(old, new, key), path)
+
+
+def save_adapter(factors: DataFrame, config: DataFrame, path: str) -> None:
+    """Coordinates by module, and the config row beside them."""
+    factors.repartition("module").write.mode("overwrite").partitionBy("module").parquet(f"{path}/factors")
+    config.write.mode("overwrite").json(f"{path}/config")
+
+
+def save_merged(merged: DataFrame, index: DataFrame, path: str) -> int | None:
+    """A merged model's cells by the shard that the index (module, shard) names; None if it was complete already."""
+    if complete(merged, path):
+        return None
+    seen = Observation()
+    rows = merged.join(index, "module").observe(seen, F.count("*").alias("n"))
+    rows.repartition("shard", "module").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return seen.get["n"]

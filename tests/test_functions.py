@@ -29,9 +29,15 @@ def one(spark, value, f, kind="string"):
         (T.html_to_md, "<p><b>x\ny</b></p> <p><i>z</i> <u>u</u></p>", "**x\ny**\n\n*z* u"),
         (T.unwrap_fence, "```markdown\nhi\n```", "hi"),
         (T.unwrap_fence, "```\nhi\n``` tail", "```\nhi\n``` tail"),
+        (T.unwrap_fence, "```markdown\u00a0\nhi```\u2003", "hi"),
+        (T.unwrap_fence, "```\na\n```\nb\n```\n", "a\n```\nb"),
         (T.pipe_lines, "| a |\r| b |\n", 1),
         (T.pipe_lines, "| a b |\n| c |", 2),
-        (T.tensor_name, "base_model.model.model.visual.x.lora_B.weight", "visual.x"),
+        (T.tensor_name, "base_model.model.model.visual.x.lora_B.weight", "visual.x.weight"),
+        (T.tensor_name, "base_model.model.model.language_model.visual.q.lora_A.weight", "model.visual.q.weight"),
+        (T.tensor_name, "x.base_model.model.base_model.model.y.lora_A.weight", "x.base_model.model.y.weight"),
+        (T.mix_part, "a:b:0.25", ("a:b", 0.25)),
+        (T.suite_label, "nakba_test", "nakba (newspaper)"),
         (T.tensor_name, "model.x.weight", None),
         (T.safe_int, " 7 ", 7),
         (T.safe_int, "x", 1),
@@ -45,6 +51,8 @@ def test_prompt_and_sizes(spark):
     assert one(spark, 7, T.prompt, "long") == T.PROMPTS[2]
     fit = lambda w, h: tuple(spark.range(1).select(I.fit(F.lit(w), F.lit(h), F.lit(I.BUDGET)).alias("s")).first()["s"])
     assert fit(1000, 1000) == (708, 708) and fit(10, 20) == (10, 20)
+    stack = spark.range(1).select(I.stack(F.array(F.lit(100), F.lit(1000)), F.array(F.lit(7), F.lit(0))).alias("s")).first()["s"]
+    assert tuple(stack) == (1020, 70 + 1 + 30)
     rows = spark.createDataFrame([("a", 50, 50), ("ab", 11, 50), ("ab", 12, 50), (None, 50, 50)], "t string, w int, h int")
     assert rows.where(corpus.valid(F.col("t"), F.col("w"), F.col("h"))).count() == 1
 
@@ -58,12 +66,66 @@ def test_holdout_and_mix_counts(spark):
     assert got == {"a": int(100 * 0.29), "b": 100, "c": 250}
 
 
+def test_cuts_by_passes(spark, monkeypatch):
+    """The cut found by narrowing equals that of a full sort, whatever the number of passes."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"))
+    want = {}
+    for r in sorted(df.select("g", "id", corpus.seeded(7, F.col("id")).alias("h")).collect(), key=lambda r: (r["h"], r["id"])):
+        want.setdefault(r["g"], []).append(r["id"])
+    for bits, few in ((10, 100_000), (3, 5)):
+        monkeypatch.setattr(corpus, "BITS", bits)
+        monkeypatch.setattr(corpus, "FEW", few)
+        for n in (0, 1, 400, 1000, 5000):
+            got = {r["_g"]: (r["_n"], r["_cut"] and r["_cut"]["k"]) for r in corpus.cuts(df, F.col("g"), "id", 7, lambda _, __, n=n: F.lit(n)).collect()}
+            assert got == {g: (1000, ids[min(n, 1000) - 1] if n else None) for g, ids in want.items()}
+    assert corpus.cuts(df.limit(0), F.col("g"), "id", 7, lambda n, _: n).count() == 0
+    assert corpus.exact_sample(df, 0.29, "id").count() == int(3000 * 0.29) and corpus.exact_sample(df.limit(0), 0.29, "id").count() == 0
+    assert mix.smoke(df, "id").count() == 2000 and mix.smoke(df.where("id < 9"), "id").count() == 9
+
+
+def test_counter_with_outliers_and_ties(spark):
+    values = [*range(500), 1 << 60, -(1 << 60), *[7] * 400]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v long, k long")
+    got = sorted((r["i"], r["v"], r["k"]) for r in corpus.with_counter(df, ["v", "k"]).collect())
+    assert [(v, k) for _, v, k in got] == sorted((v, k) for k, v in enumerate(values)) and [i for i, *_ in got] == list(range(1, len(values) + 1))
+    assert corpus.with_counter(df.limit(0), "v").count() == 0
+
+
+def test_counts_of_nothing(spark):
+    df = spark.createDataFrame([("s", "d"), (None, "d")], "source string, domain string")
+    assert sorted(map(repr, (tuple(r) for r in corpus.counts(df).collect()))) == sorted(map(repr, [("s", None, 1), (None, None, 1), (None, "d", 2), (None, None, 2)]))
+    assert [tuple(r) for r in corpus.counts(df.limit(0)).collect()] == [(None, None, 0)]
+
+
+def test_random_stacks(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "SPAN", 4)
+    df = spark.range(10, 110).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    got = corpus.stacks(df, "id", "text").orderBy("grp").collect()
+    assert {r["n"] for r in got} == {3, 4, 5, 6} and 94 < sum(r["n"] for r in got) <= 100
+    assert "\n".join(r["text"] for r in got).split("\n") == [f"t{k}" for k in range(10, 10 + sum(r["n"] for r in got))]
+    assert corpus.stacks(df.limit(0), "id", "text").count() == 0
+
+
+def test_decontamination_of_rows(spark):
+    """By row: null and repeated keys don't matter, a null text is clean; all kinds of probes, against the nested loop."""
+    bench = spark.createDataFrame([("one two  three four five six seven eight nine ten",), ("Ünbrokenwordthatgoesonandonandonandonandon!",), ("xy z",), ("日本語のとても長い文章がここにある。" * 3,), (" ",), (None,)], "text string")
+    said = [(None, "so one two three four five six\tseven eight nine ten it is"), (None, "clean"), (1, "clean"), (1, "axy zb"), (2, None), (2, ""), (3, "xx Ünbrokenwordthatgoesonandonandonandonand"), (3, "Ünbrokenwordthatgoesonandonandonandonan"), (4, "これは日本語のとても長い文章がここにある。" + "日本語のとても長い文章がここにある。" * 3), (4, "xy\u00a0z"), (5, "one two three four five six seven eight nin")]
+    docs = spark.createDataFrame(said, "id long, text string")
+    got = sorted(repr(tuple(r)) for r in corpus.decontaminate(docs, bench, "text").collect())
+    assert got == sorted(map(repr, [(None, "clean"), (1, "clean"), (2, None), (2, ""), (3, "Ünbrokenwordthatgoesonandonandonandonan")]))
+    loop = corpus.decontaminate_by_probe(docs.where("text is not null"), bench, "text").collect()
+    assert sorted(repr(tuple(r)) for r in loop) == sorted(map(repr, [(None, "clean"), (1, "clean"), (2, ""), (3, "Ünbrokenwordthatgoesonandonandonandonan")]))
+    assert corpus.decontaminate(docs, bench.limit(0), "text").count() == len(said) and corpus.decontaminate(docs.limit(0), bench, "text").count() == 0
+
+
 def test_group_decontamination_and_short_probes(spark):
-    lines = spark.createDataFrame([("g", 0, "one two three four five six"), ("g", 1, "seven eight nine ten eleven"), ("h", 0, "other")], "g string, pos int, text string")
+    lines = spark.createDataFrame([("g", 0, "one two three four five six"), ("g", 1, "seven eight nine ten eleven"), ("h", 0, "other"), (None, 0, "four five six"), (None, 1, "seven eight nine ten eleven")], "g string, pos int, text string")
     bench = spark.createDataFrame([("four five six seven eight nine ten eleven",), (" ",)], "text string")
     assert [r["g"] for r in corpus.decontaminate_groups(lines, bench, "g", "pos", "text").collect()] == ["h"]
     short = spark.createDataFrame([("other",)], "text string")
-    assert {r["g"] for r in corpus.decontaminate_groups(lines, short, "g", "pos", "text").collect()} == {"g"}
+    assert {r["g"] for r in corpus.decontaminate_groups(lines, short, "g", "pos", "text").collect()} == {"g", None}
+    two = lines.withColumn("split", F.col("pos"))  # the same group in two splits is two groups
+    assert corpus.decontaminate_groups(two, bench, ["split", "g"], "pos", "text").count() == 5
 
 
 def edits(a, b):
@@ -109,28 +171,40 @@ def test_md_to_html(spark, md, want):
 
 
 def test_html_to_md(spark):
+    assert one(spark, "<table><td>x</td></table>", tables.html_tables_to_md) == "<table><td>x</td></table>"
     html = "<TABLE><tr><th>a</th><th><b>b</b></th></tr><tr><td>1</td><td>2</td><td>3</td></tr></TABLE>"
-    assert one(spark, html, tables.html_tables_to_md) == "| a | b |  |\n| --- | --- | --- |\n| 1 | 2 | 3 |"
+    assert one(spark, html, tables.html_tables_to_md) == "| a | b |  |\n|---|---|---|\n| 1 | 2 | 3 |"
+
+
+def nested(tree):
+    """(label, children) of a tree in arrays."""
+    made = []
+    for k, label in enumerate(tree.labels):
+        start = len(made)
+        while start and made[start - 1][0] >= tree.left[k]:
+            start -= 1
+        made[start:] = [(tree.left[k], (label, tuple(x for _, x in made[start:])))]
+    (_, root), = made
+    return root
 
 
 def brute(a, b):
     """Edit distance of ordered forests by plain recursion."""
     from functools import cache
 
+    size = lambda x: 1 + sum(map(size, x[1]))
+
+    def rename(u, v):
+        if u[:3] != v[:3]:
+            return 1.0
+        return 0.0 if u[3] == v[3] else 1.0 if not u[3] or not v[3] else edits(u[3], v[3]) / max(len(u[3]), len(v[3]))
+
     @cache
     def d(x, y):
-        if not x and not y:
-            return 0.0
-        if not x:
-            return sum(map(tables._size, y))
-        if not y:
-            return sum(map(tables._size, x))
-        u, v = x[-1], y[-1]
-        return min(
-            d(x[:-1] + tuple(u.children), y) + 1,
-            d(x, y[:-1] + tuple(v.children)) + 1,
-            d(tuple(u.children), tuple(v.children)) + d(x[:-1], y[:-1]) + tables._rename(u, v),
-        )
+        if not x or not y:
+            return float(sum(map(size, x or y)))
+        (u, cu), (v, cv) = x[-1], y[-1]
+        return min(d(x[:-1] + cu, y) + 1, d(x, y[:-1] + cv) + 1, d(cu, cv) + d(x[:-1], y[:-1]) + rename(u, v))
 
     return d((a,), (b,))
 
@@ -139,12 +213,34 @@ def test_tree_distance_equals_brute_force():
     rng = random.Random(5)
 
     def html():
-        rows = ["<tr>" + "".join(f"<td{rng.choice(['', ' colspan=2'])}>{rng.choice(['a', 'ab', ''])}</td>" for _ in range(rng.randint(0, 3))) + "</tr>" for _ in range(rng.randint(0, 3))]
+        cell = lambda: f"<t{rng.choice('dh')}{rng.choice(['', ' colspan=2'])}>{rng.choice(['a', 'ab', '', 'é b'])}{rng.choice(['</td>', '</td>', '</th>', ''])}"
+        rows = [f"<tr{rng.choice(['', '', ' rowspan=3'])}>" + "".join(cell() for _ in range(rng.randint(0, 3))) + rng.choice(["</tr>", "</tr>", ""]) for _ in range(rng.randint(0, 3))]
         return "<table>" + "".join(rows) + "</table>"
 
-    for _ in range(60):
+    for _ in range(120):
         (a,), (b,) = tables.parse_tables(html()), tables.parse_tables(html())
-        assert abs(tables.tree_distance(a, b) - brute(a, b)) < 1e-9
+        assert abs(tables.tree_distance(a, b) - brute(nested(a), nested(b))) < 1e-9
+
+
+def test_similar_tables_of_the_data(spark):
+    from quillspark.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    html = dict(catalog.pipe_tables(spark, sf).select("r_regionkey", tables.md_tables_to_html(F.col("text"))).collect()) | {-1: "none"}
+    got = {(r["a"], r["b"]): r["score"] for r in catalog.QUERIES["table_similarity"](spark, sf).collect()}
+    assert len(got) == 20 and all(got[a, -1] == 0 for a in range(5)) and 0 < got[1, 0] < 1 == got[1, 1]
+    for a, b in ((1, 0), (3, 2)):  # two of three cells of a row are enough to tell a wrong distance
+        (x,), (y,) = (tables.parse_tables("<table>" + html[k].split("\n", 2)[2].replace("\n", "")[:150].rsplit("<tr>", 1)[0] + "</table>") for k in (a, b))
+        assert abs(tables.tree_distance(x, y) - brute(nested(x), nested(y))) < 1e-9
+
+
+def test_tables_that_never_close():
+    deep = "<table><tr>" + "<td>x" * 2000
+    (tree,) = tables.parse_tables(deep)
+    assert len(tree.labels) == 2002 and tables.similarity(deep, deep) == 1.0
+    outer, inner = tables.parse_tables("<table><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table>")
+    assert len(outer.labels) == 3 and len(inner.labels) == 3 and tables.parse_tables("<tr><td>stray</td></tr>") == []
+    assert tables.similarity("<table><tr rowspan=2><td>a</td></tr></table>", "<table><tr><td>a</td></tr></table>") == 1 - 1 / 3
 
 
 def test_similarity():
@@ -155,8 +251,9 @@ def test_similarity():
 
 
 def test_pairs(spark):
-    df = spark.createDataFrame([(1, "a", "b"), (2, " a ", "a"), (3, "", "x"), (4, None, "x")], "k long, chosen string, rejected string")
-    assert [r["k"] for r in pairs.preference_pairs(df, "k", 4).collect()] == [1]
+    df = spark.createDataFrame([(1, "a", "b", b"i"), (2, " a ", "a", b"i"), (3, "", "x", b"i"), (4, None, "x", b"i"), (5, "a", "b", b""), (6, "a", "b", None)], "k long, chosen string, rejected string, image binary")
+    assert [r["k"] for r in pairs.preference_pairs(df, "k", 6).collect()] == [1]
+    assert {r["k"] for r in pairs.preference_pairs(df.drop("image"), "k", 6).collect()} == {1, 5, 6}
 
 
 def test_soup_is_the_linear_combination(spark):
@@ -170,19 +267,48 @@ def test_soup_is_the_linear_combination(spark):
             for j in range(5):
                 want[i, j] = want.get((i, j), 0) + coeff * sum(b[i][k] * a[k][j] for k in range(2))
     f = spark.createDataFrame(cells, "adapter string, module string, factor string, i long, j long, v double")
-    c = spark.createDataFrame([("a", 2, 4.0, 0.25), ("b", 2, 4.0, 0.75), ("z", 2, 4.0, 0.0)], "adapter string, r int, alpha double, coeff double")
+    kind = "adapter string, r int, alpha double, coeff double, target_modules string"
+    c = spark.createDataFrame([("a", 2, 5.0, 0.25, "q"), ("b", 2, 5.0, 0.75, "q"), ("z", 3, 4.0, 0.0, "v")], kind)
     factors, merged = linalg.soup(f, c)
     assert all(abs(r["v"] - want[r["i"], r["j"]]) < 1e-9 for r in linalg.product(factors).collect())
-    assert merged.first().asDict() == {"r": 4, "alpha": 8.0}
-    assert linalg.guards(f, c).first().asDict() == {"adapters": 2, "bad_sum": False, "bad_scale": False, "incomplete": 0, "unshared": 0}
+    assert merged.first().asDict() == {"r": 4, "alpha": 10}
+    sound = {"bad_sum": False, "adapters": 2, "bad_scale": False, "mismatch": False, "incomplete": 0, "unshared": 0, "not_factors": 0}
+    assert linalg.guards(f, c).first().asDict() == sound
+    bad = spark.createDataFrame([("a", 2, 4.0, 0.25, "q"), ("b", 2, 8.0, 0.7, "v")], kind)
+    odd = f.where("adapter = 'a' or factor = 'A'").unionByName(spark.createDataFrame([("a", "n", "bias", 0, 0, 1.0)], f.schema))
+    assert linalg.guards(odd, bad).first().asDict() == {"bad_sum": True, "adapters": 2, "bad_scale": True, "mismatch": True, "incomplete": 1, "unshared": 0, "not_factors": 1}
+    with pytest.raises(ValueError, match="bad_sum"):
+        linalg.soup(f, bad)
+    with pytest.raises(ValueError, match="bad_sum"):
+        linalg.soup(f, c.withColumn("coeff", F.lit(0.0)))
+
+
+def test_merge_and_its_report(spark, tmp_path):
+    f = spark.createDataFrame([(m, k, 0, 0, 2.0) for m in ("m", "wide", "lost") for k in "AB"] + [("half", "A", 0, 0, 1.0)], "module string, factor string, i long, j long, v double")
+    base = spark.createDataFrame([("m", 0, 0, 1.0), ("wide", 0, 0, 1.0), ("wide", 0, 1, 1.0), ("half", 0, 0, 1.0)], "module string, i long, j long, v double")
+    merged = linalg.merge(base, f, 0.5)
+    assert {(r["module"], r["j"]): (r["v"], r["changed"]) for r in merged.collect()} == {("m", 0): (3.0, True), ("wide", 0): (1.0, False), ("wide", 1): (1.0, False), ("half", 0): (1.0, False)}
+    assert linalg.verified(base, f, merged) == {"targets": 3, "mismatched": 1, "missing": 1, "max_change": 2.0, "applied": 1}
+    assert [r["module"] for r in linalg.missing(base, f).collect()] == ["lost"]
+    with pytest.raises(ValueError, match="not applied"):
+        linalg.verified(base, f.where("module <> 'm'"), base.withColumn("changed", F.lit(False)))
+    index = spark.createDataFrame([("m", "s1"), ("wide", "s2"), ("half", "s1")], "module string, shard string")
+    out = str(tmp_path / "merged")
+    assert sinks.save_merged(merged, index, out) == 4 and sinks.save_merged(merged, index, out) is None
+    sinks.save_adapter(f, spark.createDataFrame([(1, 2)], "r int, alpha int"), str(tmp_path / "adapter"))
+    assert spark.read.parquet(str(tmp_path / "adapter/factors")).count() == 7
+    (tmp_path / "index.json").write_text(json.dumps({"weight_map": {"m": "a.parquet", "wide": "b.parquet"}}))
+    for shard, module in (("a", "m"), ("b", "wide"), ("c", "m")):
+        base.where(F.col("module") == module).toPandas().to_parquet(tmp_path / f"{shard}.parquet")
+    assert sorted((r["module"], r["shard"]) for r in readers.tensors(spark, str(tmp_path), str(tmp_path / "index.json")).collect()) == [("m", "a.parquet"), ("wide", "b.parquet"), ("wide", "b.parquet")]
 
 
 def test_builders(spark):
     df = spark.createDataFrame([(0, "a", 50, 50), (1, " ok one ", 50, 50), (2, "ok two", 9, 50), (3, "ok three", 50, 50)], "idx long, text string, w int, h int")
     got = [tuple(r)[1:] for r in builders.build(df, builders.SOURCES["khatt_para"]).orderBy("idx").collect()]
-    assert got == [(T.PROMPTS[1], "ok one", "khatt_para", "handwritten_para_real"), (T.PROMPTS[2], "ok three", "khatt_para", "handwritten_para_real")]
-    chat = spark.createDataFrame([(0, [("user", "q"), ("assistant", "from chat")], "flat"), (1, None, "flat")], "idx long, messages array<struct<role: string, content: string>>, assistant_content string")
-    assert [r["response"] for r in builders.build(chat, builders.SOURCES["qari10k"]).orderBy("idx").collect()] == ["from chat", "flat"]
+    assert got == [(T.PROMPTS[1], "ok one", "khatt_para", "handwritten_para_real", 50, 50), (T.PROMPTS[2], "ok three", "khatt_para", "handwritten_para_real", 50, 50)]
+    chat = spark.createDataFrame([(0, [("<|User|>", "q"), ("<|Assistant|>", "from chat")], "flat"), (1, None, "flat"), (2, [("<|Assistant|>", "alone")], "flat"), (3, [], "flat 3")], "idx long, messages array<struct<role: string, content: string>>, assistant_content string")
+    assert [r["response"] for r in builders.build(chat, builders.SOURCES["qari10k"]).orderBy("idx").collect()] == ["from chat", "flat", "flat 3"]
 
 
 def test_readers_and_sinks(spark, tmp_path):
@@ -196,9 +322,97 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sinks.save_shard(spark.range(5), shard) == 5 and sinks.save_shard(spark.range(9), shard) is None and sinks.save_shard(spark.range(9), shard, force=True) == 9
 
 
+PNG = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\x14\0\0\0\x1e\x08\x02"
+JPEG = b"\xff\xd8\xff\xe0\0\x04xx\xff\xff\xc0\0\x11\x08\0\x1e\0\x14\x03"
+
+
+def test_images_that_cannot_be_read_are_dropped(spark):
+    for data, size in ((PNG, (20, 30)), (JPEG, (20, 30)), (b"GIF89a\x14\0\x1e\0", (20, 30)), (b"\xff\xd8\xff\xe0\0\x04", None), (PNG[:20], None), (b"", None), (None, None), (b"\xff\xd8" + b"\xff" * 40, None)):
+        assert I.header_size(data) == size
+    rows = [(0, "text one", (PNG, None)), (1, "text two", (b"broken", None)), (2, "text three", None), (3, "text four", (JPEG, "p"))]
+    df = spark.createDataFrame(rows, "idx long, chosen string, images struct<bytes: binary, path: string>")
+    assert sorted((r["idx"], r["w"], r["h"]) for r in builders.BUILDERS["nakba"](df).collect()) == [(0, 20, 30), (3, 20, 30)]
+
+
+def test_corpus_is_written_and_resumed(spark, tmp_path):
+    df = spark.range(30).select(F.col("id").alias("idx"), F.concat(F.lit("some text "), "id").alias("text"))
+    at = f"{tmp_path}/shards"
+    assert sinks.save_shard(builders.BUILDERS["aallail"](df), f"{at}/aallail") == 30 and sinks.save_shard(builders.BUILDERS["hastyle"](df), f"{at}/hastyle") == 30
+    df.write.parquet(f"{at}/broken")
+    (tmp_path / "shards/broken/_SUCCESS").unlink()
+    body = sinks.save_corpus(sinks.shards(spark, at), str(tmp_path), holdout=10)
+    assert body == {"total_train": 40, "total_val": 20, "by_source": {"aallail_synth2": 20, "hastyle_manuscript": 20}, "by_domain": {"line_synth": 20, "manuscript": 20}}
+    assert json.loads((tmp_path / "STATS.md").read_text().split("```")[1].removeprefix("json")) == body
+    train, val = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("unified", "val"))
+    assert train.count() == 40 and val.count() == 20 and train.join(val, "id").count() == 0
+    with pytest.raises(ValueError, match="no complete shard"):
+        sinks.shards(spark, f"{at}/broken")
+
+
+def test_scans_in_stored_order(spark, tmp_path):
+    for split, files in (("train", {"b": [2, 3], "a": [0, 1]}), ("validation", {"a": [4]}), ("test", {"a": [9]})):
+        for name, values in files.items():
+            (tmp_path / split).mkdir(exist_ok=True)
+            spark.createDataFrame([(f"t{v}",) for v in values], "text string").toPandas().to_parquet(tmp_path / split / f"{name}.parquet")
+    got = readers.splits(spark, str(tmp_path), ["train", "validation"]).orderBy("idx").collect()
+    assert [(r["idx"], r["split"], r["text"]) for r in got] == [(k, "train" if k < 4 else "validation", f"t{k}") for k in range(5)]
+    assert [(r["i"], r["ref"]) for r in readers.suite(spark, str(tmp_path), "arocrbench_hindawi").orderBy("i").collect()] == [(0, "t9")]  # the first split by name
+    assert readers.suite(spark, str(tmp_path / "train"), "nakba_test", limit=3).count() == 3
+    (tmp_path / "m.csv").write_text('file_name,text\np_1_2.jpg,"a, b"\n')
+    assert [tuple(r) for r in readers.csv(spark, str(tmp_path / "m.csv"), "file_name string, text string").collect()] == [("p_1_2.jpg", "a, b")]
+    assert one(spark, "p_1_2.jpg", T.before_last) == "p_1" and one(spark, "plain", T.before_last) == "plain"
+    with pytest.raises(ValueError, match="no chunk"):
+        readers.chunks(spark, str(tmp_path))
+    spark.range(3).toPandas().to_parquet(tmp_path / "chunk_0.parquet")
+    assert readers.chunks(spark, str(tmp_path)).count() == 3
+
+
+def test_runs_are_scored_and_kept(spark, tmp_path):
+    kind = "run string, suite string, i long, ref string, hyp string"
+    page = "<table><tr><td>a</td></tr></table>"
+    p = spark.createDataFrame([("r", "s", 0, "a b", "a c"), ("r", "s", 1, page, page), ("r", "t", 0, "x", None)], kind)
+    sinks.save_predictions(p, str(tmp_path / "p"))
+    back = readers.predictions(spark, str(tmp_path / "p"))
+    assert sorted((r["suite"], r["i"], r["hyp"]) for r in back.collect()) == [("s", 0, "a c"), ("s", 1, page), ("t", 0, None)]
+    made = {r["suite"]: r for r in metrics.summary(back, back, ["suite"]).collect()}
+    assert made["s"]["teds"] == 100.0 and made["s"]["teds_n"] == 1 and made["s"]["cer"] == round(1 / 37, 4) and made["t"]["teds"] is None and made["t"]["wer"] == 1.0
+    path = str(tmp_path / "summary")
+    first = spark.createDataFrame([("s", 0.5), ("t", 0.6)], "suite string, cer double")
+    assert sinks.read_version(spark, path) is None
+    sinks.upsert(first, path, ["suite"])
+    sinks.upsert(first.where("suite = 't'").withColumn("cer", F.lit(0.1)), path, ["suite"])
+    (tmp_path / "summary/v9").mkdir()  # a write that did not end
+    assert {tuple(r) for r in sinks.read_version(spark, path).collect()} == {("s", 0.5), ("t", 0.1)}
+    sinks.upsert(first.where("suite = 's'"), path, ["suite"])
+    assert {tuple(r) for r in sinks.read_version(spark, path).collect()} == {("s", 0.5), ("t", 0.1)}
+    slices = [("canary", spark.createDataFrame([("abcd", "abcx")], "ref string, hyp string")), ("next", spark.createDataFrame([("ab", "ab"), ("", "z")], "ref string, hyp string"))]
+    assert metrics.dev_run("a", slices) == {"adapter": "a", "suites": {"canary": {"cer": 0.25, "wer": 1.0, "n": 1}}, "aborted": True, "abort_reason": "canary CER 0.2500 > 0.2000"}
+    run = metrics.dev_run("a", slices, {"canary": 0.0625, "next": 0.0})
+    assert not run["aborted"] and run["suites"]["canary"]["ratio"] == 4.0 and run["suites"]["next"] == {"cer": 0.0, "wer": 0.0, "n": 1, "ratio": float("inf")}
+    sinks.save_json(spark, str(tmp_path / "run.json"), run | {"suites": "é"})
+    assert json.loads((tmp_path / "run.json").read_text())["suites"] == "é"
+    nan = metrics.sweep(spark.createDataFrame([("c", "", "x"), ("c", "ab", "ab"), ("d", "ab", "abc")], "c string, ref string, hyp string"), ["c"]).collect()
+    assert {r["c"]: repr((r["mean_cer"], r["mean_ratio"])) for r in nan} == {"c": "(nan, 1.0)", "d": "(0.5, 1.5)"}
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as Some
+
+    from quillspark.sources import scratch
+
+    t = scratch.stored(spark.range(3), "t")
+    assert t.count() == 3
+    scratch.discard(t)
+    session = lambda master, base: Some(conf=Some(get=lambda *_: base), sparkContext=Some(master=master, applicationId="app"))
+    assert scratch.folder(session("spark://host:7077", "hdfs:/x")) == "hdfs:/x/quillspark/app"
+    for master in ("spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch.folder(session(master, None))
+
+
 def test_incremental_ingest(spark, tmp_path):
     folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     for k in range(2):
         spark.range(3 + k).select(F.lit("s").alias("source")).write.mode("append").parquet(folder)
         ingest(spark, folder, "source string", out, check)
-    assert spark.read.parquet(out).agg(F.sum("n")).first()[0] == 7
+    assert sinks.read_version(spark, out).agg(F.sum("n")).first()[0] == 7
