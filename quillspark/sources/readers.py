@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import types as T_
 
+from ..functions.image import size_of
+
 PREDICTION = "i long, ref string, hyp string"
 SUMMARY = "map<string, struct<cer: double, wer: double, n: long, teds: double, teds_n: long>>"
 ANNOTATION = "struct<objects: array<struct<tags: array<struct<name: string, value: string>>, points: struct<exterior: array<array<double>>>>>>"
@@ -113,11 +115,12 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_text_pairs(spark: SparkSession, images: str, texts: str, charset: str = "windows-1256") -> DataFrame:
-    """Image files and the text files of the same stem; images without a text are left out. Only paths and lengths of
-    images are shuffled with the texts."""
+    """stem, image (its path), w, h and text of image files and the text files of the same stem; images without a text and
+    empty ones are left out. Only paths and sizes of images are shuffled with the texts."""
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    a = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(images).where("length > 0").select(stem.alias("stem"), F.col("path").alias("image"), F.col("length").alias("image_bytes"))
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(texts).select(stem.alias("stem"), decoded(charset)("content").alias("text"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    a = read.load(images).where("length > 0").select(stem.alias("stem"), F.col("path").alias("image"), size_of("content").alias("s")).select("stem", "image", "s.w", "s.h")
+    b = read.load(texts).select(stem.alias("stem"), decoded(charset)("content").alias("text"))
     return a.join(b, "stem")
 
 

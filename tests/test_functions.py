@@ -349,6 +349,41 @@ def test_corpus_is_written_and_resumed(spark, tmp_path):
         sinks.shards(spark, f"{at}/broken")
 
 
+def test_commands(spark, tmp_path):
+    from quillspark.plans import run
+
+    src, out = tmp_path / "sources", str(tmp_path / "out")
+    frame = lambda rows, kind, path: (path.parent.mkdir(parents=True, exist_ok=True), spark.createDataFrame(rows, kind).toPandas().to_parquet(path))
+    frame([(f"text {k}",) for k in range(5)], "text string", src / "yousefmd/a.parquet")
+    for k, split in enumerate(("train", "validation", "test")):
+        frame([(f"x/{split}.png", f"<p>page of {split}</p>")], "image string, text string", src / f"namaa/{split}/a.parquet")
+        (src / "namaa/images").mkdir(exist_ok=True)
+        (src / f"namaa/images/{split}.png").write_bytes(PNG)
+        (src / f"khatt_lines/{split}").mkdir(parents=True)
+        (src / f"khatt_lines/{split}/metadata.csv").write_text(f"file_name,text\np_{k}_0.jpg,{'one two'[::-1]}\np_{k}_1.jpg,{'three'[::-1]}\n")
+        for j in (0, 1):
+            (src / f"khatt_lines/{split}/p_{k}_{j}.jpg").write_bytes(JPEG)
+    for kind, name, body in (("images", "b.jpg", JPEG), ("images", "a.jpg", JPEG), ("images", "c.jpg", b"broken"), ("text", "a.txt", b"first text"), ("text", "b.txt", b"a long benchmark begins like this and goes on"), ("text", "c.txt", b"third")):
+        (src / f"khatt_para/proc_{kind}").mkdir(parents=True, exist_ok=True)
+        (src / f"khatt_para/proc_{kind}/{name}").write_bytes(body)
+    frame([("a long benchmark begins like this",)], "text string", tmp_path / "bench.parquet")
+    args = ["build", "yousefmd", "namaa", "khatt_para", "khatt_lines", "--sources", str(src), "--out", out, "--benchmark", str(tmp_path / "bench.parquet")]
+    assert run.main(args, spark) == {"yousefmd": 5, "namaa": 2, "khatt_para": 1, "khatt_lines": 6}
+    assert set(run.main(args, spark).values()) == {None} and run.main([*args, "--force"], spark)["namaa"] == 2
+    assert [r["response"] for r in spark.read.parquet(f"{out}/shards/khatt_lines").orderBy("idx").collect()] == ["one two", "three"] * 3
+    assert run.main(["merge", "--out", out], spark)["total_val"] == 14
+    p = spark.createDataFrame([("r", "s", 0, "a  b", "a c"), ("r", "t", 0, "<table><tr><td>a</td></tr><tr><td>b</td></tr></table>", "| a |\n| b |")], "run string, suite string, i long, ref string, hyp string")
+    sinks.save_predictions(p, str(tmp_path / "p"))
+    run.main(["evaluate", "--predictions", str(tmp_path / "p"), "--summary", str(tmp_path / "summary"), "--tables"], spark)
+    got = {r["suite"]: (r["wer"], r["teds"]) for r in sinks.read_version(spark, str(tmp_path / "summary")).collect()}
+    assert got["s"] == (0.5, None) and got["t"][1] == 100.0
+    for name in ("x", "y"):
+        cells = [("m", f, 0, 0, 2.0) for f in "AB"]
+        sinks.save_adapter(spark.createDataFrame(cells, "module string, factor string, i long, j long, v double"), spark.createDataFrame([(1, 2, "q")], "r int, alpha int, target_modules string"), str(tmp_path / name))
+    assert run.main(["soup", "--mix", f"{tmp_path}/x:0.25", "--mix", f"{tmp_path}/y:0.75", "--out", str(tmp_path / "xy")], spark) == {"r": 2, "alpha": 4}
+    assert [r["v"] for r in linalg.product(spark.read.parquet(str(tmp_path / "xy/factors"))).collect()] == [4.0]
+
+
 def test_scans_in_stored_order(spark, tmp_path):
     for split, files in (("train", {"b": [2, 3], "a": [0, 1]}), ("validation", {"a": [4]}), ("test", {"a": [9]})):
         for name, values in files.items():
