@@ -1,11 +1,9 @@
-"""Shared pieces: scratch tables in the shared folder, byte-level batches, word and shingle hashes."""
+"""Shared pieces: byte-level batches, word and shingle hashes."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, stored  # noqa: F401
+
 #: Bytes of text that numpy works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 #: Bytes that separate words: 0x20 and 0x09-0x0D.
@@ -27,23 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/quillspark/{spark.sparkContext.applicationId}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, nothing runs twice."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column | str, k: int) -> Column:
     """crc32 of doc_id as text, modulo k; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % k
@@ -126,6 +109,24 @@ def words_of(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(bounds, starts, "right"), data
 
 
+def by_owner(owner: np.ndarray, value: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
+    """The order by owner, level (under 256) and 64-bit value. One word of the owner's, the level's and the value's first
+    bits is sorted, which is far quicker than three keys; where bits cut off would decide, all keys are."""
+    used = int(owner.max()).bit_length() + (0 if level is None else 8) if len(owner) else 0
+    if used > 40:
+        return np.lexsort((value, owner) if level is None else (value, level, owner))
+    key = value >> np.uint64(used)
+    if used:
+        key |= owner.astype(np.uint64) << np.uint64(64 - used + (0 if level is None else 8))
+        if level is not None:
+            key |= level.astype(np.uint64) << np.uint64(64 - used)
+    order = np.argsort(key)
+    key, sorted_value = key[order], value[order]
+    if ((key[1:] == key[:-1]) & (sorted_value[1:] < sorted_value[:-1])).any():
+        return np.lexsort((value, owner) if level is None else (value, level, owner))
+    return order
+
+
 def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and the n+1 offsets of the texts in them. Fewer words than
     width: the whole sequence is one shingle; no word: none."""
@@ -149,7 +150,7 @@ def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray
             few[has] += mix64(h[at] + np.uint64(k + 1)) * np.uint64(2 * k + 3)
         few = mix64(few + count[short].astype(np.uint64))
     owner, value = np.concatenate((owner, short)), np.concatenate((value, few))
-    order = np.lexsort((value, owner))
+    order = by_owner(owner, value)
     owner, value = owner[order], value[order]
     if len(value):
         keep = np.concatenate(([True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))

@@ -4,10 +4,13 @@ Confirmed toxic documents are the positives; a sample of all documents, labelled
 linear classifier over the presence of words and word beginnings is trained in numpy under the risk
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)),
 and where the second term falls below zero its gradient is turned round. The prior is the share of toxic among the
-labelled rows of the learning fold; labels of clean documents serve for that count alone.
+labelled rows of the learning fold; labels of clean documents serve for that count alone. Tasks read the sampled texts
+whole, count their features and send the driver the chosen ones' places alone.
 
 Cases: null or empty text: the score of a text without any feature. No confirmed toxic row: every score is 0. A null id
-is kept, with held_out false. Repeated rows give repeated rows; extra columns are ignored.
+is kept, with held_out false, and not learned from. Repeated rows give repeated rows (an id is learned from once); of
+contradicting labels the largest counts. Extra columns are ignored. Very long texts are read whole. Ties in lift go by
+the feature, in score by nothing: predicted is 1 from 0.5 on.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, mix64, shingles, table, text_chunks, unit_hash
+from .common import col, discard, fold, mix64, shingles, stored, table, text_chunks, unit_hash
 
-#: Bounds of the training sample, of a sampled text's characters (from a hashed place), and of the features: those in
-#: a hundredth of the positives at least, LIFT times as frequent there as in unlabelled texts.
-POSITIVES, UNLABELLED, CHARS_PER_DOC, FEATURES, LIFT = 2000, 8000, 20_000, 3000, 3
+#: Bounds of the training sample, and of the features: those in a hundredth of the positives at least, LIFT times as
+#: frequent there as in unlabelled texts, FEATURES of the largest lift.
+POSITIVES, UNLABELLED, FEATURES, LIFT = 2000, 8000, 3000, 3
 STEM = 5
 #: Of 12 min-hashes, those that near copies have in common: a Jaccard similarity of about two thirds.
 ALIKE = 8
@@ -53,95 +56,127 @@ class PuModel:
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
-def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 60, batch: int = 500, rate: float = 0.03, seed: int = 1) -> PuModel:
-    pos, unl = [features(t) for t in positive], [features(t) for t in unlabelled]
-    cp, cu = _count(pos), _count(unl)
-    lift = {}
-    for w, n in cp.items():
-        usual = (cu.get(w, 0) + 0.5) * len(pos) / len(unl)
-        if n >= max(3, 0.01 * len(pos)) and n > LIFT * usual:
-            lift[w] = (n - usual) / np.sqrt(usual)
-    chosen = sorted(lift, key=lambda w: (-lift[w], w))[:FEATURES]
-    index = {w: i for i, w in enumerate(chosen)}
-
-    def matrix(sets):
-        out = np.zeros((len(sets), len(chosen)), bool)
-        for i, s in enumerate(sets):
-            out[i, [index[w] for w in s if w in index]] = True
-        return out
-
-    xp, xu = matrix(pos), matrix(unl)
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The two terms of the risk under logistic loss at weights w (bias last), and the gradient to follow: that of their
+    sum, or, where the second term is negative, that term's own turned round. p, u: rows of positives and unlabelled."""
+    zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    first = prior * np.logaddexp(0, -zp).mean()
+    second = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    of_first, of_second_p, of_second_u = -prior * sigmoid(-zp) / len(zp), -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    dp, du = (of_first + of_second_p, of_second_u) if second >= 0 else (-of_second_p, -of_second_u)
+    return float(first), float(second), np.append(dp @ p + du @ u, dp.sum() + du.sum())
+
+
+def train(xp: np.ndarray, xu: np.ndarray, names: list[bytes], prior: float, epochs: int = 60, batch: int = 500, rate: float = 0.03, seed: int = 1) -> PuModel:
+    """xp, xu: which texts (positives, unlabelled) have which of the named features, as booleans."""
     rng = np.random.default_rng(seed)
-    w, m, v, step = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    w, m, v, step = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0
     for _ in range(epochs):
         order = rng.permutation(len(xu))
         for lo in range(0, len(xu), batch):
             p = xp[rng.integers(0, len(xp), min(batch, len(xp)))].astype(np.float32)
             u = xu[order[lo : lo + batch]].astype(np.float32)
-            zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-            # logistic loss: of +1 log(1+e^-z), of -1 log(1+e^z)
-            gap = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gu, gp_neg, gp_pos = sig(zu) / len(zu), prior * sig(zp) / len(zp), -prior * sig(-zp) / len(zp)
-            if gap >= 0:
-                dp, du = gp_pos - gp_neg, gu
-            else:
-                dp, du = gp_neg, -gu
-            g = np.append(dp @ p + du @ u, dp.sum() + du.sum())
+            _, _, g = gradient(w, p, u, prior)
             g[:-1] += 1e-5 * w[:-1]
             step += 1
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     # the cut of least zero-one risk under the same estimator, without negatives, becomes 0
-    zp, zu = np.sort(xp.astype(np.float32) @ w[:-1] + w[-1]), np.sort(xu.astype(np.float32) @ w[:-1] + w[-1])
+    scores = lambda x: np.sort(np.concatenate([x[lo : lo + batch].astype(np.float32) @ w[:-1] + w[-1] for lo in range(0, len(x), batch)]))
+    zp, zu = scores(xp), scores(xu)
     cuts = np.unique(np.concatenate((zp, zu)))
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     hit, alarm = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
     risk = prior * (1 - hit) + np.maximum(0, alarm - prior * hit)
     cut = float(cuts[np.flatnonzero(risk <= risk.min() + 1e-12)].mean())
-    return PuModel({k: float(x) for k, x in zip(chosen, w, strict=False) if abs(x) > 1e-3}, float(w[-1]) - cut)
+    return PuModel({k: float(x) for k, x in zip(names, w, strict=False) if abs(x) > 1e-3}, float(w[-1]) - cut)
+
+
+def min_hashes(text: bytes) -> bytes:
+    """12 of a text's five-word shingles; empty where it has none."""
+    h, _ = shingles([text])
+    return np.array([mix64(h + np.uint64(k + 1)).min() for k in range(12)]).tobytes() if len(h) else b""
 
 
-def distinct(texts: list[bytes]) -> list[bytes]:
-    """The texts of a sample with which no earlier one shares ALIKE or more of 12 min-hashes over five-word shingles."""
-    out, seen, n = [], np.zeros((len(texts), 12), np.uint64), 0
-    for t in texts:
-        h, _ = shingles([t])
-        if len(h):
-            seen[n] = [mix64(h + np.uint64(k + 1)).min() for k in range(12)]
+def distinct(hashes: list[bytes]) -> list[int]:
+    """The places of a sample's texts with which no earlier one shares ALIKE or more of its min-hashes."""
+    out, seen, n = [], np.zeros((len(hashes), 12), np.uint64), 0
+    for i, x in enumerate(hashes):
+        if x:
+            seen[n] = np.frombuffer(x, np.uint64)
             if ((seen[:n] == seen[n]).sum(1) >= ALIKE).any():
                 continue
             n += 1
-        out.append(t)
+        out.append(i)
     return out
 
 
-def _count(sets: list[set[bytes]]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
-    for s in sets:
-        for w in s:
-            out[w] = out.get(w, 0) + 1
-    return out
+def sampled(rows: DataFrame, most: int, of: int, salt: str) -> DataFrame:
+    """doc_id, text of `most` ids, those of smallest hash. Of an id that occurs more than once one row counts."""
+    unit = unit_hash("doc_id", salt=salt)
+    some = rows.where(unit < 1.2 * most / max(of, 1) + 1e-9)
+    ids = some.select("doc_id", unit.alias("u")).distinct().orderBy("u", "doc_id").limit(most).collect()  # most at most
+    return some.where(unit <= (ids[-1]["u"] if ids else -1.0)).dropDuplicates(["doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> PuModel | None:
     """Learn from rows (doc_id, text) of docs and (doc_id, toxic) of labels."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, toxic, every = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.lit(0)).first()
+    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     every = docs.where("doc_id is not null").count()
     if not toxic or not every:
         return None
-    start = 1 + F.floor(unit_hash("doc_id", salt="where") * F.greatest(F.lit(0), F.length("text") - CHARS_PER_DOC)).cast("int")
-    part = docs.where("doc_id is not null and text is not null").select("doc_id", F.substring(F.col("text"), start, F.lit(CHARS_PER_DOC)).alias("text"))
-    some = lambda df, most, of, salt: sorted((r["doc_id"], r["text"]) for r in df.where(unit_hash("doc_id", salt=salt) < 1.2 * most / of).limit(2 * most).collect())[:most]
-    ids = known.where("toxic = 1").where(unit_hash("doc_id", salt="toxic") < 1.2 * POSITIVES / toxic).select("doc_id").limit(2 * POSITIVES)
+    part = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    ids = known.where("toxic = 1").where(unit_hash("doc_id", salt="toxic") < 1.2 * POSITIVES / toxic + 1e-9).select("doc_id").limit(2 * POSITIVES)
+    positive = sampled(part.join(F.broadcast(ids), "doc_id", "left_semi"), POSITIVES, toxic, "toxic")
+    sample = stored(positive.withColumn("toxic", F.lit(True)).unionByName(sampled(part, UNLABELLED, every, "unlabelled").withColumn("toxic", F.lit(False))), "toxicity")
+
+    def signed(batches):
+        for batch, texts in text_chunks(batches):
+            yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), col(batch, "toxic"), pa.array([min_hashes(t) for t in texts], pa.binary())], ["doc_id", "toxic", "hashes"])
+
     # near copies would make a document's own words look like signs of its class
-    positive = some(part.join(F.broadcast(ids), "doc_id", "left_semi"), POSITIVES, toxic, "toxic")  # ids: 2 * POSITIVES at most
-    unlabelled = some(part, UNLABELLED, every, "unlabelled")
-    if not positive:
+    rows = sorted(sample.mapInArrow(signed, "doc_id long, toxic boolean, hashes binary").collect())  # 100 bytes a text
+    kept = {side: {own[i]["doc_id"] for i in distinct([r["hashes"] for r in own])} for side in (True, False) for own in [[r for r in rows if r["toxic"] == side]]}
+    n_pos, n_unl = len(kept[True]), len(kept[False])
+    if not n_pos or not n_unl:
         return None
-    return train(distinct([t.encode() for _, t in positive]), distinct([t.encode() for _, t in unlabelled]), toxic / n)
+
+    def chosen_texts(batches):
+        for batch, texts in text_chunks(batches):
+            for doc_id, side, t in zip(col(batch, "doc_id").to_pylist(), col(batch, "toxic").to_pylist(), texts, strict=True):
+                if doc_id in kept[side]:
+                    yield side, t
+
+    def count(batches):
+        seen: dict[bytes, list[int]] = {}
+        for side, t in chosen_texts(batches):
+            for w in features(t):
+                seen.setdefault(w, [0, 0])[side] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *[pa.array([c[k] for c in seen.values()], pa.int64()) for k in (0, 1)]], ["feature", "unlabelled", "positive"])
+
+    counts = sample.mapInArrow(count, "feature binary, unlabelled long, positive long").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u"))
+    counts = counts.withColumn("usual", (F.col("u") + 0.5) * (n_pos / n_unl)).where((F.col("p") >= max(3, 0.01 * n_pos)) & (F.col("p") > LIFT * F.col("usual")))
+    lift = (F.col("p") - F.col("usual")) / F.sqrt("usual")
+    names = [bytes(r["feature"]) for r in counts.orderBy(lift.desc(), "feature").limit(FEATURES).collect()]
+    index = {w: i for i, w in enumerate(names)}
+
+    def places(batches):
+        own = [(side, np.array(sorted(index[w] for w in features(t) & index.keys()), np.uint16).tobytes()) for side, t in chosen_texts(batches)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.bool_()), pa.array([x[1] for x in own], pa.binary())], ["toxic", "at"])
+
+    matrix = {True: np.zeros((n_pos, len(names)), bool), False: np.zeros((n_unl, len(names)), bool)}
+    at = {True: 0, False: 0}
+    for r in sorted(sample.mapInArrow(places, "toxic boolean, at binary").collect()):  # two bytes a feature of a text
+        matrix[r["toxic"]][at[r["toxic"]], np.frombuffer(r["at"], np.uint16)] = True
+        at[r["toxic"]] += 1
+    discard(sample)
+    return train(matrix[True], matrix[False], names, toxic / n)
 
 
 def score(docs: DataFrame, model: PuModel | None) -> DataFrame:
