@@ -9,11 +9,20 @@ the span runs from the first to the last marked one. Allow-listed candidates are
 of digits alone (their threshold is out of reach), UUIDs, and those where stand-ins and rulers leave no window free. Of a
 candidate that overlaps base spans the parts between them are scanned. There is no shuffle.
 
-Cases: null text is empty. A null id is kept. Repeated rows give repeated rows; extra columns are ignored.
+Very long texts: candidates are scanned in pieces of PIECE characters that overlap by a window, matches are placed in
+runs of RUN and texts redacted in blocks of BLOCK characters, so the time is in proportion to a text's length (but for
+its base spans, which each candidate is held against, and its redacted spans, which each block is).
+
+Cases: null text is empty. A null id is kept. Repeated rows give repeated rows. Extra columns are kept; a column with the
+name of a result is replaced by it. Spans of equal start go by kind; an entropy of just the threshold marks.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +42,12 @@ CLASSES = {"digits": (r"^[0-9_=+/-]+$", 9.0), "hex": (r"^[0-9a-fA-F]+$", 2.9), "
 ALLOWED = [
     r"^[A-Za-z+/_=-]+$",  # words and paths without a digit
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
-    # stand-ins and rulers, in candidates where they leave no window free
-    r"(?i)^.{0,15}((example|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh|(.)\3{7}).{0,15})+$",
 ]
+#: Stand-ins and rulers; a candidate that has some, and no WINDOW characters between them, is no secret.
+STAND_IN = r"(?i)example|dummy|placeholder|changeme|x{4,}|0123456789|abcdefgh|(.)\1{7,}"
+PIECE, RUN, BLOCK = 64, 512, 4096
+#: Of entropies, for the order in which a window's sum was added up.
+TOLERANCE = 1e-9
 SPAN = "array<struct<s:int,rank:int,e:int,kind:string>>"
 
 
@@ -43,7 +55,7 @@ def matches(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
     """s, rank, e, kind and the group's text of each match; an empty array where the pattern is absent."""
     found, named = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
     between = F.transform(F.split(text, pattern, -1), F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,rank:int,e:int,kind:string,x:string>>").alias("out"))
+    empty = F.array().cast("array<struct<s:int,rank:int,e:int,kind:string,x:string>>")
 
     def step(acc, x):
         s = acc["at"] + x["gap"]
@@ -51,40 +63,58 @@ def matches(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
         span = F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("rank"), e.alias("e"), F.lit(kind).alias("kind"), x["x"].alias("x"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def run(acc, part):
+        here = F.struct(acc["at"].alias("at"), empty.alias("out"))
+        return F.aggregate(part, here, step, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
     zipped = F.zip_with(F.arrays_zip(found.alias("m"), named.alias("x")), F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(gap.alias("gap"), m["m"].alias("m"), m["x"].alias("x")))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(zero["out"])
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(RUN)), lambda k: F.slice(zipped, k, F.lit(RUN)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,rank:int,e:int,kind:string,x:string>>>").alias("out"))
+    return F.when(text.rlike(pattern), F.aggregate(parts, zero, run, lambda acc: F.flatten(acc["out"]))).otherwise(empty)
 
 
 def plain(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"], x["rank"], x["e"], x["kind"]))
 
 
-def weight(c: Column) -> Column:
-    """c * log2(c), 0 for 0."""
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-
-
 def times(char: Column, within: Column) -> Column:
     return F.length(within) - F.length(F.replace(within, char, F.lit("")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often it occurs in use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hot_part(x: Column, bits: Column) -> Column:
-    """First (0-based) and end of the characters in windows of `bits` entropy or more; nulls if there is none."""
+    """First (0-based) and end of the characters in windows of `bits` entropy or more; nulls if there is none. Pieces of
+    PIECE characters have the next WINDOW - 1 as well, so each window is in one of them."""
+    pieces = F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{1,{PIECE + WINDOW - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    found = F.transform(pieces, lambda p, k: F.struct((k * PIECE).alias("at"), _hot_piece(p, bits).alias("p")))
+    found = F.filter(found, lambda y: y["p"]["first"].isNotNull())
+    first, end = F.array_min(F.transform(found, lambda y: y["at"] + y["p"]["first"])), F.array_max(F.transform(found, lambda y: y["at"] + y["p"]["end"]))
+    return F.struct(first.alias("first"), end.alias("end"))
+
+
+def _hot_piece(x: Column, bits: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("end"))
+    weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])  # c * log2(c)
+    weight = lambda c: F.get(weights, c)
 
-    def step(acc, i):
+    def counts(i):
+        """How often the character that enters was in the window, and the one that leaves, with the one that entered."""
         new, old = F.substring(x, i, F.lit(1)), F.substring(x, i - WINDOW, F.lit(1))
         before = F.when(i <= 1, F.lit("")).otherwise(F.substring(x, F.greatest(i - WINDOW, F.lit(1)), F.least(i - 1, F.lit(WINDOW))))
-        c = times(new, before)
-        entered = acc["sum"] + weight(c + 1) - weight(c)
-        d = times(old, F.concat(before, new))
-        total = F.when(i > WINDOW, entered + weight(d - 1) - weight(d)).otherwise(entered)
-        return F.struct(total.alias("sum"), acc["first"].alias("first"), acc["end"].alias("end"), i.alias("i"))
+        return F.struct(times(new, before).alias("c"), F.when(i > WINDOW, bound(F.concat(before, new), lambda w: times(old, w))).otherwise(0).alias("d"))
 
     def mark(acc, i):
-        y = step(acc, i)
-        hot = (i >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - y["sum"] / WINDOW >= bits)
-        return F.struct(y["sum"].alias("sum"), F.when(hot, F.coalesce(acc["first"], i - WINDOW)).otherwise(acc["first"]).alias("first"), F.when(hot, i).otherwise(acc["end"]).alias("end"))
+        total = bound(counts(i), lambda n: acc["sum"] + weight(n["c"] + 1) - weight(n["c"]) + F.when(i > WINDOW, weight(n["d"] - 1) - weight(n["d"])).otherwise(0.0))
+
+        def marked(t):
+            hot = (i >= WINDOW) & (math.log2(WINDOW) - t / WINDOW >= bits - TOLERANCE)
+            return F.struct(t.alias("sum"), F.when(hot, F.coalesce(acc["first"], i - WINDOW)).otherwise(acc["first"]).alias("first"), F.when(hot, i).otherwise(acc["end"]).alias("end"))
+
+        return bound(total, marked)
 
     return F.aggregate(F.sequence(F.lit(1), F.length(x)), zero, mark)
 
@@ -110,20 +140,18 @@ def outside(x: Column, base: Column) -> Column:
     return F.aggregate(base, zero, step, lambda acc: more(acc, x["e"]))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base` and `spans`, arrays of struct(s, rank, e, kind) in order of start and kind."""
+def scan(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """docs with the columns `base` and `spans`, arrays of struct(s, rank, e, kind) in order of start and kind."""
     t = F.coalesce(F.col(text), F.lit(""))
-    for kind, (pattern, group, least) in BASE.items():
-        docs = docs.withColumn(f"_{kind}", plain(_long_enough(matches(t, kind, pattern, group), least)))
-    odd = F.filter(matches(t, "entropy", CANDIDATE), lambda x: ~_allowed(x["x"]))
-    docs = docs.withColumn("_odd", odd)
-    docs = docs.withColumn("base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in BASE])))
-    docs = docs.withColumn("_odd", F.flatten(F.transform("_odd", lambda x: outside(x, F.col("base")))))
-    found = F.transform("_odd", lambda x: F.struct(x["s"].alias("at"), hot_part(x["x"], x["bits"]).alias("p")))
+    own = f"_{uuid.uuid4().hex}_"  # names that no column has
+    kept = [c for c in docs.columns if c not in (base, spans)]
+    docs = docs.withColumns({f"{own}{kind}": plain(_long_enough(matches(t, kind, pattern, group), least)) for kind, (pattern, group, least) in BASE.items()} | {f"{own}odd": F.filter(matches(t, "entropy", CANDIDATE), lambda x: ~_allowed(x["x"]))})
+    docs = docs.withColumn(f"{own}base", F.array_sort(F.concat(*[F.col(f"{own}{k}") for k in BASE])))
+    docs = docs.withColumn(f"{own}odd", F.flatten(F.transform(f"{own}odd", lambda x: outside(x, F.col(f"{own}base")))))
+    found = F.transform(f"{own}odd", lambda x: F.struct(x["s"].alias("at"), hot_part(x["x"], x["bits"]).alias("p")))
     found = F.transform(F.filter(found, lambda x: x["p"]["first"].isNotNull()), lambda x: F.struct((x["at"] + x["p"]["first"]).alias("s"), F.lit(3).alias("rank"), (x["at"] + x["p"]["end"]).alias("e"), F.lit("entropy").alias("kind")))
-    docs = docs.withColumn("_found", F.when(F.size("_odd") > 0, found).otherwise(F.array().cast(SPAN)))
-    docs = docs.withColumn("spans", F.array_sort(F.concat(F.col("base"), F.col("_found"))))
-    return docs.drop("_odd", "_found", *[f"_{k}" for k in BASE])
+    docs = docs.withColumn(f"{own}found", F.when(F.size(f"{own}odd") > 0, found).otherwise(F.array().cast(SPAN)))
+    return docs.select(*kept, F.col(f"{own}base").alias(base), F.array_sort(F.concat(F.col(f"{own}base"), F.col(f"{own}found"))).alias(spans))
 
 
 def _long_enough(found: Column, least: int) -> Column:
@@ -135,7 +163,8 @@ def _of_kind(spans: str, kind: str) -> Column:
 
 
 def _allowed(x: Column) -> Column:
-    out = F.lit(False)
+    rests = F.split(x, STAND_IN, -1)
+    out = (F.size(rests) > 1) & ~F.exists(rests, lambda r: F.length(r) >= WINDOW)
     for pattern in ALLOWED:
         out = out | x.rlike(pattern)
     return out
@@ -146,16 +175,31 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every run of overlapping spans replaced by the mark."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with every run of overlapping or touching spans replaced by the mark, block by block."""
+    zero = F.array().cast("array<struct<s:int,e:int>>")
 
-    def step(acc, x):
-        fresh = x["s"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        added = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), added.alias("out"))
+    def merge(acc, x):
+        last = F.element_at(acc, -1)
+        joins = (F.size(acc) > 0) & (x["s"] <= F.when(F.size(acc) > 0, last["e"]))
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    runs = F.aggregate(spans, zero, merge)
+
+    def block(b, k):
+        start = k * BLOCK
+        size = F.length(b)
+        here = F.filter(runs, lambda r: (r["s"] < start + size) & (r["e"] > start))
+
+        def step(acc, r):
+            gap = F.substring(b, acc["at"] + 1, F.greatest(r["s"] - start - acc["at"], F.lit(0)))
+            return F.struct(F.least(r["e"] - start, size).alias("at"), F.concat(acc["out"], gap, F.when(r["s"] >= start, F.lit(mark)).otherwise("")).alias("out"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(here, begin, step, lambda acc: F.concat(acc["out"], F.substring(b, acc["at"] + 1, size)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(blocks, block), "")).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
