@@ -7,6 +7,8 @@ columns of `documents`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(docs)
-    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    base, spans = f"base_{uuid.uuid4().hex}", f"spans_{uuid.uuid4().hex}"  # whatever columns docs has
+    found = secret_scan.scan(docs, base=base, spans=spans)
+    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col(spans)))
+    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
