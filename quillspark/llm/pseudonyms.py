@@ -1,20 +1,25 @@
 r"""Format-preserving pseudonyms for personal data; DataFrame functions only.
 
 Matches are found by one alternation, validated by kind and permuted within their format by keyed Feistel networks, so
-equal values get equal pseudonyms in every document, distinct ones distinct pseudonyms, and nothing is stored:
-* letters and digits (e-mail names and domains, phone, social-security and other long numbers): the characters are
-  halved; each round shifts those of one half, within their own alphabet, by a keyed hash of the other half;
-* card numbers: the same for all digits but the last, which is the Luhn digit again;
-* IPv4 addresses: the 32 bits, in halves of 16; * dates from 1900 to 2099: the day's number among 73,049 = 17 x 4,297,
-  with rounds of modular addition on both parts, so the pseudonym is a date in that range again.
-A match that fails its validation (an octet over 255, a month 13) stays. Country codes and top-level domains are kept.
-There is no shuffle.
-
-Cases: null text stays null, empty text empty. A null id is kept. Repeated rows give repeated rows, equal ones.
+equal values of a kind get equal pseudonyms in every document, distinct ones distinct pseudonyms, and nothing is stored:
+* letters and digits (e-mail names and domains, phone and social-security numbers): the characters are halved; each round
+  shifts those of one half, within their own alphabet, by a keyed hash of the other half;
+* card numbers, 13-19 digits that pass Luhn: the same for all digits but the last, which is the Luhn digit again; those
+  that fail it: the same for all digits, again and again until the outcome fails it too;
+* IPv4 addresses: the 32 bits, in halves of 16; * dates from 1900 to 2099, as year-month-day: the day's number among
+  73,049 = 17 x 4,297, with rounds of modular addition on both parts, so the pseudonym is a date in that range again.
+A match that fails its validation (an octet over 255 or with a leading zero, a month 13) stays. Country codes, top-level
+domains and all signs between are kept. Round hashes are HMAC-SHA-256 under the key. There is no shuffle.
+
+Cases: null text stays null, empty text empty. A null id is kept. Repeated rows give repeated rows, equal ones. Extra
+columns are kept; a column named as the count is replaced. Very long texts take one pass of the pattern. Where patterns
+tie at a place, the order of PATTERNS decides.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +37,28 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
 }
-KIND_OF = {"email": r"@", "ip": r"^\d+\.\d+\.\d+\.\d+$", "date": r"^\d{4}-\d{2}-\d{2}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}$|^\d{13,19}$", "phone": r""}
+KIND_OF = {"email": r"@", "ip": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$", "date": r"^\d{4}-\d{2}-\d{2}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}$|^\d{13,19}$", "phone": r""}
 FIND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ANY = r"[0-9@]"
 
 
+#: Outcomes of a number that may pass Luhn in turn (one in ten does) before the walk is given up.
+WALK = 40
+
+
+def pads(key: str) -> tuple[bytes, bytes]:
+    """The key as HMAC-SHA-256 mixes it in: for the inner and the outer hash."""
+    k = key.encode()
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in k), bytes(b ^ 0x5C for b in k)
+
+
 def digest(key: str, kind: str, i: Column, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half.cast("string")), 256)
+    """HMAC-SHA-256 of the kind, the round and a half, in hexadecimal digits."""
+    inner, outer = pads(key)
+    said = F.concat_ws("|", F.lit(kind), i.cast("string"), half.cast("string"))
+    first = F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(said, "UTF-8")), 256))
+    return F.sha2(F.concat(F.lit(outer), first), 256)
 
 
 def number(hexed: Column, start, size: int) -> Column:
@@ -83,12 +103,16 @@ def spread(plain: Column, like: Column) -> Column:
     return F.when(mark == "", plain).otherwise(F.regexp_replace(plain, r"(\d{4})(?=\d)", F.concat(F.lit("$1"), mark)))
 
 
+def passes_luhn(digits: Column) -> Column:
+    return luhn_digit(F.left(digits, F.length(digits) - 1)) == F.right(digits, F.lit(1))
+
+
 def card(x: Column, key: str) -> Column:
     digits = F.regexp_replace(x, r"[ -]", "")
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    is_card = luhn_digit(body) == F.right(digits, F.lit(1))
-    body_out = permute_text(body, key, "card")
-    return spread(F.when(is_card, F.concat(body_out, luhn_digit(body_out))).otherwise(permute_text(digits, key, "number")), x)
+    made = permute_text(F.left(digits, F.length(digits) - 1), key, "card")
+    again = lambda y, _: F.when(passes_luhn(y), permute_text(y, key, "number")).otherwise(y)
+    other = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permute_text(digits, key, "number"), again)
+    return spread(F.when(passes_luhn(digits), F.concat(made, luhn_digit(made))).otherwise(other), x)
 
 
 def ip(x: Column, key: str) -> Column:
@@ -96,7 +120,7 @@ def ip(x: Column, key: str) -> Column:
     half = lambda i: (F.get(parts, F.lit(i)) * 256 + F.get(parts, F.lit(i + 1))).cast("long")
     out = feistel(half(0), half(2), lambda a, b, i: F.pmod(a + number(digest(key, "ip", i, b), 1, 8), F.lit(65536)))
     octets = [F.floor(out["l"] / 256), F.pmod(out["l"], F.lit(256)), F.floor(out["r"] / 256), F.pmod(out["r"], F.lit(256))]
-    return F.when(F.exists(parts, lambda p: p > 255), x).otherwise(F.concat_ws(".", *[o.cast("string") for o in octets]))
+    return F.when(F.exists(parts, lambda p: p > 255) | x.rlike(r"(^|\.)0\d"), x).otherwise(F.concat_ws(".", *[o.cast("string") for o in octets]))
 
 
 def date(x: Column, key: str) -> Column:
@@ -130,13 +154,19 @@ def pseudonym(x: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str = "n_private") -> DataFrame:
     """docs with personal data in `text` replaced, and `count`, the number of values that changed."""
     t = F.col(text)
-    docs = docs.withColumn("_found", F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(FIND), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    docs = docs.withColumn("_made", F.transform("_found", lambda x: pseudonym(x, key)))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(t, FIND, -1), "_made", lambda gap, m: F.array(gap, F.coalesce(m, F.lit(""))))), "")
-    docs = docs.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(t))
-    changed = F.size(F.filter(F.zip_with("_found", "_made", lambda a, b: a != b), lambda x: x))
-    return docs.withColumn(count, F.greatest(changed, F.lit(0)).cast("long")).drop("_found", "_made")
+    found, made = (f"_{uuid.uuid4().hex}" for _ in range(2))  # names that no column has
+    docs = docs.withColumn(found, F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(FIND), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    docs = docs.withColumn(made, F.transform(found, lambda x: pseudonym(x, key)))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(t, FIND, -1), made, lambda gap, m: F.array(gap, F.coalesce(m, F.lit(""))))), "")
+    docs = docs.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(t))
+    changed = F.size(F.filter(F.zip_with(found, made, lambda a, b: a != b), lambda x: x))
+    return docs.withColumn(count, F.greatest(changed, F.lit(0)).cast("long")).drop(found, made)
+
+
+KEY_SETTING = "spark.quillspark.pseudonyms.key"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="quillspark-pii-1")
+    """With the key that the session's KEY_SETTING names; where there is none, as in tests, with one that is no secret."""
+    key = spark.conf.get(KEY_SETTING, "no secret")
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
