@@ -7,14 +7,16 @@ and where the second term falls below zero its gradient is turned round. The pri
 labelled rows of the learning fold; labels of clean documents serve for that count alone. Tasks read the sampled texts
 whole, count their features and send the driver the chosen ones' places alone.
 
-Cases: null or empty text: the score of a text without any feature. No confirmed toxic row: every score is 0. A null id
+Cases: null or empty text: the score of a text without any feature. No confirmed toxic row, or no feature that tells
+them: every score is 0. A null id
 is kept, with held_out false, and not learned from. Repeated rows give repeated rows (an id is learned from once); of
-contradicting labels the largest counts. Extra columns are ignored. Very long texts are read whole. Ties in lift go by
+contradicting labels the largest counts. Extra columns are ignored. Very long texts are read whole. Ties in excess go by
 the feature, in score by nothing: predicted is 1 from 0.5 on.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import col, discard, fold, mix64, shingles, stored, table, text_chunks, unit_hash
 
-#: Bounds of the training sample, and of the features: those in a hundredth of the positives at least, LIFT times as
-#: frequent there as in unlabelled texts, FEATURES of the largest lift.
-POSITIVES, UNLABELLED, FEATURES, LIFT = 2000, 8000, 3000, 3
+#: Bounds of the training sample, and of the features: those in a hundredth of the positives at least and more frequent
+#: there than in unlabelled texts at LEVEL, corrected for the number of features; of these FEATURES of the largest excess.
+POSITIVES, UNLABELLED, FEATURES, LEVEL = 2000, 8000, 3000, 0.05
 STEM = 5
 #: Of 12 min-hashes, those that near copies have in common: a Jaccard similarity of about two thirds.
 ALIKE = 8
@@ -71,7 +73,7 @@ def gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple
     return float(first), float(second), np.append(dp @ p + du @ u, dp.sum() + du.sum())
 
 
-def train(xp: np.ndarray, xu: np.ndarray, names: list[bytes], prior: float, epochs: int = 60, batch: int = 500, rate: float = 0.03, seed: int = 1) -> PuModel:
+def train(xp: np.ndarray, xu: np.ndarray, names: list[bytes], prior: float, epochs: int = 60, batch: int = 2000, rate: float = 0.01, seed: int = 1) -> PuModel:
     """xp, xu: which texts (positives, unlabelled) have which of the named features, as booleans."""
     rng = np.random.default_rng(seed)
     w, m, v, step = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0
@@ -86,6 +88,7 @@ def train(xp: np.ndarray, xu: np.ndarray, names: list[bytes], prior: float, epoc
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            np.maximum(w[:-1], 0, out=w[:-1])  # features are chosen for being signs of toxicity, so none speaks against it
     # the cut of least zero-one risk under the same estimator, without negatives, becomes 0
     scores = lambda x: np.sort(np.concatenate([x[lo : lo + batch].astype(np.float32) @ w[:-1] + w[-1] for lo in range(0, len(x), batch)]))
     zp, zu = scores(xp), scores(xu)
@@ -161,9 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> PuModel | None:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *[pa.array([c[k] for c in seen.values()], pa.int64()) for k in (0, 1)]], ["feature", "unlabelled", "positive"])
 
     counts = sample.mapInArrow(count, "feature binary, unlabelled long, positive long").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u"))
-    counts = counts.withColumn("usual", (F.col("u") + 0.5) * (n_pos / n_unl)).where((F.col("p") >= max(3, 0.01 * n_pos)) & (F.col("p") > LIFT * F.col("usual")))
-    lift = (F.col("p") - F.col("usual")) / F.sqrt("usual")
-    names = [bytes(r["feature"]) for r in counts.orderBy(lift.desc(), "feature").limit(FEATURES).collect()]
+    counts = stored(counts.where("p > 0").withColumn("usual", (F.col("u") + 1) * (n_pos / n_unl)), "features")
+    # Chernoff's bound of a Poisson count this far over the usual one, against all features at once
+    excess = F.col("p") * F.log(F.col("p") / F.col("usual")) - F.col("p") + F.col("usual")
+    signs = counts.where((F.col("p") >= 0.01 * n_pos) & (F.col("p") > F.col("usual")) & (excess >= math.log(max(1, counts.count()) / LEVEL)))
+    names = [bytes(r["feature"]) for r in signs.orderBy(excess.desc(), "feature").limit(FEATURES).collect()]
+    if not names:
+        return None
     index = {w: i for i, w in enumerate(names)}
 
     def places(batches):
@@ -175,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> PuModel | None:
     for r in sorted(sample.mapInArrow(places, "toxic boolean, at binary").collect()):  # two bytes a feature of a text
         matrix[r["toxic"]][at[r["toxic"]], np.frombuffer(r["at"], np.uint16)] = True
         at[r["toxic"]] += 1
-    discard(sample)
+    discard(sample, counts)
     return train(matrix[True], matrix[False], names, toxic / n)
 
 
