@@ -8,6 +8,8 @@ training sample lies at THRESHOLD.
 
 Cases: a text without a word has score 0. No labelled row of either class: every score is 0.5. A null id is kept, with
 held_out false, and not learned from. Of contradicting labels the smallest counts. Repeated rows give repeated rows.
+Extra columns are ignored in scores and kept in `accepted`. Empty tables: no row. Very long texts are one chain, whole; the
+work is in proportion to the lines, the memory some hundred times the text. A score of just THRESHOLD is accepted.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fold, span_hashes, stored, table, text_chunks, unit_hash, words_of
+from .common import SPACE, by_owner, fold, span_hashes, stored, table, text_chunks, unit_hash, words_of
 
 THRESHOLD = 0.7
 #: Bounds of the training sample: documents of a class, characters of a document on average. Whole texts are taken as
@@ -66,8 +68,9 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         if len(h) > lag:
             hit = (h[lag:] == h[:-lag]) & (line[lag:] == line[:-lag])
             same += np.bincount(line[lag:][hit], minlength=len(ends))
-    pairs = np.unique(np.stack([line.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-    distinct = np.bincount(pairs[0].astype(np.int64), minlength=len(ends))
+    at = by_owner(line, h)
+    fresh = np.concatenate((np.ones(min(1, len(h)), bool), (line[at][1:] != line[at][:-1]) | (h[at][1:] != h[at][:-1])))
+    distinct = np.bincount(line[at][fresh], minlength=len(ends))
     lh = span_hashes(data, starts, ends)
     order = np.lexsort((np.arange(len(lh)), lh, doc))
     dup = np.zeros(len(lh), bool)
@@ -84,6 +87,24 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return doc, size, x
 
 
+def in_turns(texts: list[bytes], limit: int = 1 << 20):
+    """Runs of texts of about `limit` bytes: where each begins, and its texts."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if size + len(t) > limit and i > lo:
+            yield lo, texts[lo:i]
+            lo, size = i, 0
+        size += len(t)
+    if texts:
+        yield lo, texts[lo:]
+
+
+def all_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The text that each line is of, and the lines' features, of a training sample."""
+    parts = [(lo + doc, x) for lo, some in in_turns(texts) for doc, _, x in [line_features(some)]]
+    return np.concatenate([d for d, _ in parts]), np.concatenate([x for _, x in parts])
+
+
 def marginals(emit: np.ndarray, trans: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """emit: scores of `good`, documents x lines (padded); trans: 2 x 2; count: lines of each document. P(good) of each
     line, and the summed expectations of the transitions of each document (documents x 2 x 2)."""
@@ -152,11 +173,12 @@ class LineCrf:
 def train(texts: list[bytes], labels: list[int], prior: float, steps: int = 150, rate: float = 0.08) -> LineCrf:
     """prior: the share of label 1 where the cut of least error is sought."""
     y = np.array(labels)
-    doc, _, x = line_features(texts)
+    doc, x = all_features(texts)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     mean[-1], scale[-1] = 0, 1
     z = (x - mean) / scale
-    blocks = [(docs, c, e, at, np.arange(e.shape[1])[None] < c[:, None]) for docs, c, e, at in padded(doc, np.zeros(len(x)))]
+    del x
+    blocks = [(docs, c, e, at, np.arange(e.shape[1])[None] < c[:, None]) for docs, c, e, at in padded(doc, np.zeros(len(z)))]
     w, trans = np.zeros(z.shape[1]), np.zeros((2, 2))
     params = [w, trans]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -176,7 +198,7 @@ def train(texts: list[bytes], labels: list[int], prior: float, steps: int = 150,
             vv += 0.001 * (g * g - vv)
             p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
     model = LineCrf(mean, scale, w, trans)
-    raw = model.raw(texts)
+    raw = np.concatenate([model.raw(some) for _, some in in_turns(texts)])
     bad, good = np.sort(raw[y == 0]), np.sort(raw[y == 1])
     cuts = np.unique(np.concatenate((raw, [0.5])))
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
