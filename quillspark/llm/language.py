@@ -6,7 +6,8 @@ A text's prediction is the length-weighted mean over its windows. Training is pl
 for prediction the filters are unrolled into lookup tables, so a window costs four gathers a byte.
 
 Cases: null text or no letter: `und`, score 0. No labelled row at all: every text is `und`, score 0. A null id is kept,
-with held_out false, and not learned from. Repeated rows give repeated rows; extra columns are ignored.
+with held_out false, and not learned from. Repeated rows give repeated rows; extra columns are ignored. Empty tables: no
+row. Very long texts are read whole, BLOCK windows at a time. Of equal scores the language that sorts first wins.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, table, text_chunks, unit_hash
+from .common import col, fold, table, text_chunks, unit_hash
 
 WINDOW = 256
 FILTERS = 20
 WIDTHS = (2, 3, 4)
-#: Bounds of the training sample: documents of a language, characters of a document, windows of a document.
-DOCS_PER_LANG, CHARS_PER_DOC, WINDOWS_PER_DOC = 500, 3000, 4
+#: Bounds of the training sample: documents of a language, windows of a document.
+DOCS_PER_LANG, WINDOWS_PER_DOC = 500, 4
 UNKNOWN = "und"
 #: Windows that are worked on at once; a text of many is taken in several turns.
 BLOCK = 2048
@@ -96,18 +98,24 @@ def _pooled(tables: list[np.ndarray], c: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0).transpose(1, 0, 2)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 1) -> ByteCnn:
+def drawn(text: bytes, seed: int) -> list[bytes]:
+    """WINDOWS_PER_DOC stretches from anywhere in a text; some are short, so that short texts are learned as well."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(WINDOWS_PER_DOC):
+        size = int(rng.choice([WINDOW - 3, WINDOW - 3, 120, 40, 14]))
+        at = int(rng.integers(0, max(1, len(text) - size + 1)))
+        out.append(text[at : at + size])
+    return out
+
+
+def train(stretches: list[bytes], labels: list[str], epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 1) -> ByteCnn:
+    """stretches: of WINDOW - 3 bytes at most."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
     index = {x: i for i, x in enumerate(langs)}
-    rows, target = [], []
-    for t, lang in zip(texts, labels, strict=True):
-        for _ in range(WINDOWS_PER_DOC):
-            size = int(rng.choice([WINDOW - 3, WINDOW - 3, 120, 40, 14]))  # short texts are learned as well
-            at = int(rng.integers(0, max(1, len(t) - size + 1)))
-            rows.append(CLASSES[np.frombuffer(t[at : at + size].ljust(WINDOW, b"\0"), np.uint8)])
-            target.append(index[lang])
-    x, y = np.array(rows, np.int64), np.array(target)
+    x = np.array([CLASSES[np.frombuffer(t.ljust(WINDOW, b"\0"), np.uint8)] for t in stretches], np.int64)
+    y = np.array([index[lang] for lang in labels])
     share = np.bincount(y, minlength=len(langs))
     weight = (len(y) / np.maximum(share, 1) / len(langs))[y]
     params = [rng.normal(0, 0.1, (w, 64, FILTERS)) for w in WIDTHS] + [rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(langs))), np.zeros(len(langs))]
@@ -147,21 +155,31 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 5, batch: int = 6
 
 
 def fit(labelled: DataFrame) -> ByteCnn | None:
-    """Learn from rows (doc_id, text, lang). Counts cover all rows; the sample is DOCS_PER_LANG documents of each
-    language at most, chosen by a hash of the id, and CHARS_PER_DOC characters from a hashed place in each."""
+    """Learn from rows (doc_id, text, lang). Counts cover all rows; the sample is the DOCS_PER_LANG documents of smallest
+    hash of each language at most, and WINDOWS_PER_DOC stretches of each, drawn in the tasks from its whole text. An id
+    that occurs more than once is learned from once."""
     rows = labelled.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * DOCS_PER_LANG / r["count"]))])
-    start = 1 + F.floor(unit_hash("doc_id", salt="where") * F.greatest(F.lit(0), F.length("text") - CHARS_PER_DOC)).cast("int")
-    picked = rows.where(unit_hash("doc_id", salt="language") < share[F.col("lang")]).select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(CHARS_PER_DOC)).alias("text"))
-    sample, seen = [], {}
-    for r in sorted(picked.limit(2 * DOCS_PER_LANG * len(counts)).collect(), key=lambda r: (r["doc_id"], r["text"])):
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= DOCS_PER_LANG:
-            sample.append(r)
-    return train([r["text"].encode() for r in sample], [r["lang"] for r in sample])
+    unit = unit_hash("doc_id", salt="language")
+    picked = rows.where(unit < share[F.col("lang")])
+    first = W.partitionBy("lang").orderBy("unit", "doc_id")
+    ids = picked.select("lang", unit.alias("unit"), "doc_id").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= DOCS_PER_LANG)
+    last = {r["lang"]: r["unit"] for r in ids.groupBy("lang").agg(F.max("unit").alias("unit")).collect()}
+    cut = F.create_map(*[F.lit(v) for lang, u in sorted(last.items()) for v in (lang, u)])
+
+    def draw(batches):
+        for batch, texts in text_chunks(batches):
+            ids = col(batch, "doc_id").to_pylist()
+            own = [drawn(t, i & (1 << 63) - 1) for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), col(batch, "lang"), pa.array(own, pa.list_(pa.binary()))], ["doc_id", "lang", "own"])
+
+    sample = {}
+    for r in sorted(picked.where(unit <= cut[F.col("lang")]).mapInArrow(draw, "doc_id long, lang string, own array<binary>").dropDuplicates(["doc_id", "lang"]).collect()):
+        sample.setdefault((r["lang"], r["doc_id"]), [bytes(t) for t in r["own"]])
+    return train([t for own in sample.values() for t in own], [lang for (lang, _), own in sample.items() for _ in own])
 
 
 def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
