@@ -7,6 +7,7 @@ distance of two trees with the product of theirs.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -22,29 +23,45 @@ _S = r"[\s\x1c-\x1f]"
 SEPARATOR = rf"(?U)^{_S}*\|?(?:{_S}|[:\-])+\|(?:{_S}|[:\-|])*\z"
 
 
+#: Lines that are joined at once, so that a page's arrays do not grow line by line.
+PAGE = 256
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often it occurs in use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def md_tables_to_html(text: Column) -> Column:
     """Runs of two or more pipe rows become a table, one line a row; separator rows go; everything else is untouched.
-    One left-to-right fold over the lines: `buf` holds the run's lines, `rows` its rendered data rows."""
-    lines = F.split(text, "\n", -1)
+    One left-to-right fold over the lines: `buf` holds the run's lines, `rows` its rendered data rows, `cur` the latest
+    lines that are done, `out` pages of those before."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
     empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("out"), empty.alias("buf"), empty.alias("rows"))
+    start = F.struct(empty.alias("out"), empty.alias("cur"), empty.alias("buf"), empty.alias("rows"))
 
     def flushed(acc):
         table = F.concat(F.array(F.lit("<table>")), acc["rows"], F.array(F.lit("</table>")))
-        return F.concat(acc["out"], F.when(F.size(acc["rows"]) >= 2, table).otherwise(acc["buf"]))
+        return F.concat(acc["cur"], F.when(F.size(acc["rows"]) >= 2, table).otherwise(acc["buf"]))
+
+    def paged(acc, done):
+        full = F.struct(F.concat(acc["out"], F.array(F.array_join(done, "\n"))).alias("out"), empty.alias("cur"), empty.alias("buf"), empty.alias("rows"))
+        return F.when(F.size(done) >= PAGE, full).otherwise(F.struct(acc["out"].alias("out"), done.alias("cur"), empty.alias("buf"), empty.alias("rows")))
 
-    def step(acc, line):
-        bare = strip(line)
+    def step(acc, x):
+        line, bare = x["line"], x["bare"]
         is_row = bare.startswith("|") & bare.endswith("|") & (F.length(bare) > 2)
         inner = F.regexp_replace(bare, r"^\|+|\|+$", "")
         cells = F.array_join(F.transform(F.split(inner, r"\|", -1), lambda c: F.concat(F.lit("<td>"), strip(c), F.lit("</td>"))), "")
         row = F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))
         kept = F.when(line.rlike(SEPARATOR), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row)))
-        inside = F.struct(acc["out"].alias("out"), F.concat(acc["buf"], F.array(line)).alias("buf"), kept.alias("rows"))
-        outside = F.struct(F.concat(flushed(acc), F.array(line)).alias("out"), empty.alias("buf"), empty.alias("rows"))
-        return F.when(is_row, inside).otherwise(outside)
+        inside = F.struct(acc["out"].alias("out"), acc["cur"].alias("cur"), F.concat(acc["buf"], F.array(line)).alias("buf"), kept.alias("rows"))
+        return F.when(is_row, inside).otherwise(_once(F.concat(flushed(acc), F.array(line)), lambda done: paged(acc, done)))
+
+    def joined(acc):
+        return _once(flushed(acc), lambda last: F.array_join(F.concat(acc["out"], F.when(F.size(last) > 0, F.array(F.array_join(last, "\n"))).otherwise(empty)), "\n"))
 
-    done = F.aggregate(lines, start, step, lambda acc: F.array_join(flushed(acc), "\n"))
+    done = F.aggregate(lines, start, step, joined)
     return F.when(F.contains(text, F.lit("|")), done).otherwise(text)
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,28 @@ def test_md_to_html(spark, md, want):
     assert one(spark, md, tables.md_tables_to_html) == want
 
 
+def test_md_to_html_of_long_pages(spark):
+    """Against a plain statement, with runs across the borders of pages."""
+    rng = random.Random(12)
+
+    def plain(text):
+        out, run = [], []
+        for line in [*text.split("\n"), None]:
+            if line is not None and line.strip().startswith("|") and line.strip().endswith("|") and len(line.strip()) > 2:
+                run.append(line)
+                continue
+            rows = [x for x in run if not re.match(r"^\s*\|?[\s:\-]+\|[\s:\-|]*$", x)]
+            html = ["<tr>" + "".join(f"<td>{c.strip()}</td>" for c in x.strip().strip("|").split("|")) + "</tr>" for x in rows]
+            out += ["<table>", *html, "</table>"] if len(rows) >= 2 else run
+            out += [line] if line is not None else []
+            run = []
+        return "\n".join(out)
+
+    pages = ["\n".join(rng.choices(["| a | b |", "|---|---|", " | 1 |2| ", "text", "", "||", "|x|", "| - |", "\u2003| c |"], weights=[9, 2, 9, 2, 1, 1, 3, 1, 2], k=k)) for k in (0, 1, 255, 256, 257, 900, 3000)] + ["|", "| a |\n" * 600]
+    got = spark.createDataFrame(list(enumerate(pages)), "k long, t string").select("k", tables.md_tables_to_html(F.col("t")).alias("t")).collect()
+    assert all(r["t"] == plain(pages[r["k"]]) for r in got)
+
+
 def test_html_to_md(spark):
     assert one(spark, "<table><td>x</td></table>", tables.html_tables_to_md) == "<table><td>x</td></table>"
     html = "<TABLE><tr><th>a</th><th><b>b</b></th></tr><tr><td>1</td><td>2</td><td>3</td></tr></TABLE>"
