@@ -10,8 +10,10 @@ Two texts link when 100 * |A and B| >= 75 * |A or B|. Steps, each exact:
 3. Classes that link share a shingle among the first floor(n / 4) + 1 of the order. Each task joins its own classes on
    such shingles and passes on one representative a shingle, so a shingle shared by a third of all classes sends a row a
    task; the shuffle carries packed arrays by hash range. This gives candidate components.
-4. The texts of candidate classes go to their component. A component of over BLOCK classes of near sizes is cut into
-   blocks, and pairs of blocks are compared, so no task holds an unbounded group.
+4. The texts of candidate classes, one a class, go to groups. A component of BLOCK classes or fewer is a group. In larger
+   ones families are found first: ROUNDS times all classes, in groups of some BLOCK, walk a trie of PIVOTS classes drawn from those outside the component's largest family so far. A class of that family is then held against
+   classes outside it alone, by pairs of blocks of near sizes. No task holds an unbounded group, and copies with small
+   changes cost a row or two each, however many there are.
 5. Within a group the sets are stored, rare shingles first, in a path-compressed trie whose paths are also cut where a
    set's prefix ends. A class walks the trie once: the overlap with a shared path is counted once for all sets below it,
    and a subtree is pruned when its sizes, or the overlap plus what can remain, rule out a link, or when all of it is in
@@ -20,7 +22,8 @@ Two texts link when 100 * |A and B| >= 75 * |A or B|. Steps, each exact:
 
 Cases: null or blank text: no shingle, linked with nothing, its own component. Fewer than five words: the sequence is
 the one shingle. A null id keeps its row; its component is the smallest id it reaches, or null. Repeated rows give
-repeated rows. Extra columns are ignored. Empty table: no row.
+repeated rows. Extra columns are ignored. Empty table: no row. Very long texts are shingled whole, a chunk each, in some
+forty times their size of memory. Ties in frequency go by hash; of a component's ids the smallest names it.
 """
 
 from __future__ import annotations
@@ -29,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, mix64, shingles, signed, stored, table, text_chunks
+from .common import by_owner, col, discard, mix64, shingles, signed, stored, table, text_chunks
 from .graph import components, local_roots
 
 WIDTH, PERCENT = 5, 75
 #: Classes that make a shingle frequent; cells of the level table; bits of the table of candidates.
 OFTEN, CELLS, CANDIDATE_BITS = 2, 1 << 24, 22
-BLOCK = 1500
+BLOCK, PIVOTS, ROUNDS = 128, 16, 1
+#: Places in which the classes of one component meet what is known of it.
+SALTS = 32
 #: Values held by a task before they are joined and passed on.
 HELD = 3_000_000
 
@@ -119,6 +124,8 @@ def frequencies(docs: DataFrame) -> DataFrame:
         cut = np.searchsorted(r[order], np.arange(ranges + 1))
         for k in range(ranges):
             x, n = bits[cut[k] : cut[k + 1]], c[cut[k] : cut[k + 1]]
+            if not len(x):
+                continue
             more = np.flatnonzero(n > 1)
             blobs = [x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8), more.astype(np.uint32), n[more].astype(np.uint32), np.array([len(x)], np.uint32)]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *[pa.array([y.tobytes()], pa.binary()) for y in blobs]], ["r", "low", "high", "more", "n", "size"])
@@ -181,6 +188,7 @@ def levels(counted: DataFrame) -> np.ndarray:
     out = np.zeros(CELLS, np.uint8)
     for r in cells.where(F.col("level") >= least).repartition(parts, F.floor(F.col("cell") / span)).mapInArrow(pack, "k long, v binary").collect():
         out[r["k"] * span : (r["k"] + 1) * span] = np.frombuffer(r["v"], np.uint8)
+    discard(cells)
     return out
 
 
@@ -199,15 +207,16 @@ def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
         """Distinct tokens, the smallest class of each, and the forest of the edges between classes of one token."""
         if not len(token):
             return token, cls, token, cls
-        order = np.lexsort((cls, token))
+        order = np.argsort(token)
         token, cls = token[order], cls[order]
         first = np.concatenate(([True], token[1:] != token[:-1]))
-        center = cls[np.flatnonzero(first)][np.cumsum(first) - 1]
+        least = np.minimum.reduceat(cls, np.flatnonzero(first))
+        center = least[np.cumsum(first) - 1]
         other = center != cls
         if not other.any():
-            return token[first], cls[first], *np.zeros((2, 0), np.uint64)
+            return token[first], least, *np.zeros((2, 0), np.uint64)
         nodes, roots = local_roots(center[other], cls[other])
-        return token[first], cls[first], roots[nodes != roots], nodes[nodes != roots]
+        return token[first], least, roots[nodes != roots], nodes[nodes != roots]
 
     def packed(parts: list) -> Iterator[pa.RecordBatch]:
         token, cls, a, b = stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
@@ -216,7 +225,7 @@ def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
         cut, edge_cut = np.searchsorted(part[order], np.arange(ranges + 1)), np.searchsorted(edge[edge_order], np.arange(ranges + 1))
         token, cls, a, b = token[order], cls[order], a[edge_order], b[edge_order]
         blob = lambda x, c, r: x[c[r] : c[r + 1]].tobytes()
-        for r in range(ranges):
+        for r in np.flatnonzero(np.diff(cut) + np.diff(edge_cut)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), *[pa.array([blob(x, c, r)], pa.binary()) for x, c in ((token, cut), (cls, cut), (a, edge_cut), (b, edge_cut))]], ["r", "token", "cls", "a", "b"])
 
     def prefixes(batches):
@@ -228,7 +237,7 @@ def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
             new = new_classes(ids, n, seen)
             v, owner = gather(values, offsets, new)
             _, bits = places(v, ranges)
-            v = v[np.lexsort((v, shared.value[(bits % np.uint64(CELLS)).astype(np.int64)], owner))]  # owner stays sorted
+            v = v[by_owner(owner, v, shared.value[(bits % np.uint64(CELLS)).astype(np.int64)])]  # owner stays sorted
             n = n[new]
             place = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
             keep = place < np.repeat(prefix_size(n), n)
@@ -380,42 +389,15 @@ def forest(values: list[np.ndarray], probe: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
-def candidate_groups(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """cls, grp, side: the groups that each candidate class goes to. A component of BLOCK classes or fewer is a group;
-    a larger one is cut by size class (factor 4/3, so links stay in a class or cross to the next) and hash into blocks,
-    and each pair of blocks that can hold a link is a group whose side-1 classes walk the trie."""
-    c = classes.join(roots.withColumnRenamed("node", "cls"), "cls")
-    total = c.groupBy("root").agg(F.count("*").alias("total"))
-    c = c.join(total, "root").withColumn("band", F.when(F.col("total") > BLOCK, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))))).drop("total")
-    small = c.where("band is null").select("cls", F.struct("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("p"), F.lit(0).alias("q")).alias("grp"), F.lit(1).alias("side"))
-    big = c.where("band is not null")
-    parts = big.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    near = parts.join(parts.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")), ["root", "band"], "left")
-    near = near.join(parts.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("below")), ["root", "band"], "left")
-    big = big.join(near, ["root", "band"]).withColumn("h", F.pmod(F.xxhash64(F.lit("block"), "cls"), F.col("parts")).cast("int"))
-    band, h = F.col("band").cast("int"), F.col("h")
-
-    def goes(i: Column, j: Column, p: Column, q: Column, side: Column) -> Column:
-        return F.struct(F.struct("root", i.alias("i"), j.alias("j"), p.alias("p"), q.alias("q")).alias("grp"), side.alias("side"))
-
-    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    same = F.transform(upto(F.col("parts")), lambda k: goes(band, band, F.least(h, k), F.greatest(h, k), F.when(h <= k, 1).otherwise(0)))
-    over = F.transform(upto(F.col("above")), lambda k: goes(band, band + 1, h, k, F.lit(1)))
-    under = F.transform(upto(F.col("below")), lambda k: goes(band - 1, band, k, h, F.lit(0)))
-    big = big.select("cls", F.explode(F.concat(same, over, under)).alias("x")).select("cls", "x.grp", "x.side")
-    return small.unionByName(big).select("cls", F.xxhash64("grp.root", "grp.i", "grp.j", "grp.p", "grp.q").alias("grp"), "side")
-
-
-def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): linked classes, a spanning forest of what each group links."""
-    spark = docs.sparkSession
-    # a fixed-size table of candidates, so that most other texts stay where they are; the join below is exact
+def candidate_bodies(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """cls, body of the candidate classes and some others. Each task sends one body a class, and one of these is kept."""
+    # a fixed-size table of candidates, so that most other texts stay where they are; the later join is exact
     bits = np.zeros(1 << CANDIDATE_BITS >> 3, np.uint8)
-    cells = groups.select(F.shiftrightunsigned("cls", 64 - CANDIDATE_BITS).alias("c"))
+    cells = roots.select(F.shiftrightunsigned("node", 64 - CANDIDATE_BITS).alias("c"))
     packed = cells.groupBy(F.shiftright("c", 3).alias("byte")).agg(F.bit_or(F.expr("cast(shiftleft(1, cast(c & 7 as int)) as int)")).alias("v"))
     for b in packed.toArrow().to_batches():
         bits[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def candidates(batches):
         seen: set[int] = set()
@@ -427,9 +409,17 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
             new = new_classes(ids, np.where(listed, n, 0), seen)
             yield pa.RecordBatch.from_arrays([signed(ids[new]), pa.array([texts[i] for i in new], pa.binary())], ["cls", "body"])
 
+    out = stored(docs.select("text").mapInArrow(candidates, "cls long, body binary").groupBy("cls").agg(F.first("body").alias("body")), "bodies")
+    shared.destroy()
+    return out
+
+
+def links(bodies: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): linked classes, a spanning forest of what each group links. groups: cls, grp, side; all pairs of a group are
+    held against each other if all its classes are of side 1, else those of side 1 against those of side 0."""
+
     def verify(batches):
         def solve(rows):
-            rows = {c: (s, t) for c, s, t in rows}  # a class may come from several tasks
             if len(rows) < 2:
                 return [], []
             cls = list(rows)
@@ -437,22 +427,91 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
             found = forest(np.split(values, offsets[1:-1]), np.array([rows[c][0] for c in cls]) == 1)
             return [cls[x] for x, _ in found], [cls[y] for _, y in found]
 
-        now, rows = None, []
+        now, rows = None, {}
         for batch in batches:
             a, b = [], []
             for g, c, s, t in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
                 if g != now:
                     x, y = solve(rows)
-                    a, b, now, rows = a + x, b + y, g, []
-                rows.append((c, s, t))
+                    a, b, now, rows = a + x, b + y, g, {}
+                if c not in rows or s == 0:  # a pivot is one in its own group too
+                    rows[c] = (s, t)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         a, b = solve(rows)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    bodies = docs.select("text").mapInArrow(candidates, "cls long, body binary")
     return bodies.join(groups, "cls").select("grp", "cls", "side", "body").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "a long, b long")
 
 
+def pivot_groups(big: DataFrame, salt: int) -> DataFrame:
+    """cls, grp, side. big: cls, root, total, core (in the largest family of its component). The classes of a component are
+    dealt into groups, and each group gets the component's pivots, on side 0."""
+    parts = F.ceil(F.col("total") / BLOCK).cast("int")
+    grp = lambda k: F.xxhash64(F.lit("pivots"), F.lit(salt), "root", k).alias("grp")
+    dealt = big.select("cls", grp(F.pmod(F.xxhash64(F.lit(salt), "cls"), parts).cast("int")), F.lit(1).alias("side"))
+    h = F.xxhash64(F.lit(salt + 1000), "cls")  # of each of PIVOTS parts of a component the class of least hash
+    drawn = big.where(~F.col("core")).groupBy("root", "total", F.pmod(h, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(h.alias("h"), "cls"))["cls"].alias("cls"))
+    pivots = drawn.select("cls", "root", "total")
+    each = pivots.select("cls", "root", F.explode(F.sequence(F.lit(0), parts - 1)).alias("k"))
+    return dealt.unionByName(each.select("cls", grp(F.col("k")), F.lit(0).alias("side")))
+
+
+def spread_join(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows (which have cls) with a table of few rows for each key; a key that many rows have is met in SALTS places."""
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "cls"), F.lit(SALTS)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def with_families(big: DataFrame, edges: DataFrame) -> DataFrame:
+    """big with `core` by the links found so far, and `settled` where all of a component is core."""
+    found = components(edges)
+    named = big.drop("core", "settled").join(found.select(F.col("node").alias("cls"), F.col("root").alias("family")), "cls", "left").withColumn("family", F.coalesce("family", "cls"))
+    sizes = named.groupBy("root", "total", "family").agg(F.count("*").alias("size"))
+    first = sizes.groupBy("root").agg(F.max(F.struct("size", "family", "total")).alias("m")).select("root", F.col("m.family").alias("first"), (F.col("m.size") == F.col("m.total")).alias("settled"))
+    return stored(spread_join(named, first, ["root"]).withColumn("core", F.col("family") == F.col("first")).drop("family", "first"), "families")
+
+
+def block_groups(big: DataFrame) -> DataFrame:
+    """cls, grp, side: every pair of blocks that can hold a link yet unknown is a group. Blocks are of one component, one
+    size class (factor 100 / PERCENT, so links stay in a class or cross to the next) and of the core or the rest, dealt by
+    hash; two blocks of a core have nothing to say to each other."""
+    c = big.where(~F.col("settled")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
+    kind = ["root", "band", "core"]
+    parts = c.groupBy(*kind).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    c = spread_join(c, parts, kind).withColumn("p", F.pmod(F.xxhash64(F.lit("block"), "cls"), F.col("parts")).cast("int")).drop("parts")
+    other = parts.select("root", F.col("band").alias("band2"), F.col("core").alias("core2"), "parts")
+    near = c.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    near = spread_join(near, other, ["root", "band2"]).where("not core or not core2")
+    each = near.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    here, there = F.struct("core", "band", "p"), F.struct(F.col("core2").alias("core"), F.col("band2").alias("band"), F.col("q").alias("p"))
+    side = F.when(here <= there, 1).otherwise(0)
+    return each.select("cls", F.xxhash64(F.lit("blocks"), "root", F.least(here, there), F.greatest(here, there)).alias("grp"), side.alias("side"))
+
+
+def linked(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links that join what links. classes: cls, n; roots: the candidate components."""
+    bodies = candidate_bodies(docs, roots)
+    c = classes.join(roots.withColumnRenamed("node", "cls"), "cls")
+    large = c.groupBy("root").agg(F.count("*").alias("total")).where(F.col("total") > BLOCK)
+    c = stored(spread_join(c, large, ["root"], "left").withColumn("core", F.lit(False)), "candidates")
+    small, big = c.where("total is null"), c.where("total is not null")
+    groups = small.select("cls", F.xxhash64("root").alias("grp"), F.lit(1).alias("side"))
+    if big.isEmpty():
+        edges = stored(links(bodies, groups), "links")
+        discard(bodies, c)
+        return edges
+    groups = stored(groups.unionByName(pivot_groups(big, 0)), "groups")
+    edges, made = stored(links(bodies, groups), "links"), [c, groups]
+    for k in range(1, ROUNDS + 1):
+        big = with_families(big, edges)
+        groups = stored(pivot_groups(big, k) if k < ROUNDS else block_groups(big), "groups")
+        made += [big, groups]
+        edges = edges.unionByName(stored(links(bodies, groups), "links"))
+    discard(bodies, *made)
+    return edges
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal sets; null for empty ones) and component_id of every row of docs."""
     docs = docs.select("doc_id", "text")
@@ -460,11 +519,10 @@ def join(docs: DataFrame) -> DataFrame:
     level = levels(frequencies(docs))
     roots = components(candidate_edges(docs, level))
     classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"))
-    groups = stored(candidate_groups(classes.select("cls", "n"), roots), "groups")
-    linked = components(links(docs, groups)).select(F.col("node").alias("cls"), "root")
-    rooted = classes.join(linked, "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("cls", "component_id")
+    found = components(linked(docs, classes.select("cls", "n"), roots)).select(F.col("node").alias("cls"), "root")
+    smallest = found.join(classes, "cls").groupBy("root").agg(F.min("first_id").alias("linked_id"))
+    named = classes.join(spread_join(found, smallest, ["root"]), "cls", "left").select("cls", F.coalesce("linked_id", "first_id").alias("component_id"))
+    named = stored(named, "named")  # as a table: rows of a copied class are then split where adaptive execution finds many
     out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -479,3 +537,15 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: The same by plain joins: all shingles meet, and closures are enumerated, so for small tables.
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(r.y), doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = doc_id GROUP BY doc_id, n.n
+"""
