@@ -8,6 +8,7 @@ shuffled once, by conversation; a kept conversation is one output row and so has
 
 Cases: turns are ordered by turn (null first), role and text; exactly repeated rows count once; null role or text is
 empty; rows without conv_id belong to no conversation and are left out. Empty table: no row. Extra columns are ignored.
+Very long texts are hashed whole. Of conversations that tie, being equal, the one of smallest id stands for all.
 """
 
 from __future__ import annotations

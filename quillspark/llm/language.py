@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import col, fold, table, text_chunks, unit_hash
@@ -155,20 +154,15 @@ def train(stretches: list[bytes], labels: list[str], epochs: int = 5, batch: int
 
 
 def fit(labelled: DataFrame) -> ByteCnn | None:
-    """Learn from rows (doc_id, text, lang). Counts cover all rows; the sample is the DOCS_PER_LANG documents of smallest
-    hash of each language at most, and WINDOWS_PER_DOC stretches of each, drawn in the tasks from its whole text. An id
+    """Learn from rows (doc_id, text, lang). Counts cover all rows; the sample is some DOCS_PER_LANG documents of each
+    language, by a hash of their ids, and WINDOWS_PER_DOC stretches of each, drawn in the tasks from its whole text. An id
     that occurs more than once is learned from once."""
     rows = labelled.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * DOCS_PER_LANG / r["count"]))])
-    unit = unit_hash("doc_id", salt="language")
-    picked = rows.where(unit < share[F.col("lang")])
-    first = W.partitionBy("lang").orderBy("unit", "doc_id")
-    ids = picked.select("lang", unit.alias("unit"), "doc_id").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= DOCS_PER_LANG)
-    last = {r["lang"]: r["unit"] for r in ids.groupBy("lang").agg(F.max("unit").alias("unit")).collect()}
-    cut = F.create_map(*[F.lit(v) for lang, u in sorted(last.items()) for v in (lang, u)])
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, DOCS_PER_LANG / r["count"]))])
+    picked = rows.where(unit_hash("doc_id", salt="language") <= share[F.col("lang")])
 
     def draw(batches):
         for batch, texts in text_chunks(batches):
@@ -176,10 +170,9 @@ def fit(labelled: DataFrame) -> ByteCnn | None:
             own = [drawn(t, i & (1 << 63) - 1) for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), col(batch, "lang"), pa.array(own, pa.list_(pa.binary()))], ["doc_id", "lang", "own"])
 
-    sample = {}
-    for r in sorted(picked.where(unit <= cut[F.col("lang")]).mapInArrow(draw, "doc_id long, lang string, own array<binary>").dropDuplicates(["doc_id", "lang"]).collect()):
-        sample.setdefault((r["lang"], r["doc_id"]), [bytes(t) for t in r["own"]])
-    return train([t for own in sample.values() for t in own], [lang for (lang, _), own in sample.items() for _ in own])
+    stretches = picked.mapInArrow(draw, "doc_id long, lang string, own array<binary>").groupBy("lang", "doc_id").agg(F.min("own").alias("own"))
+    sample = sorted((r["lang"], r["doc_id"], [bytes(t) for t in r["own"]]) for r in stretches.collect())
+    return train([t for _, _, own in sample for t in own], [lang for lang, _, own in sample for _ in own])
 
 
 def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:

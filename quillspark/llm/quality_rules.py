@@ -9,7 +9,9 @@ covers strata and rules. With confidence 1 - LEVEL every stratum loses at most R
 Where labels are too few nothing passes and the rule is off. All documents are measured, all labels counted.
 
 Cases: null text has no word and fails the base rule. A null language is a stratum of its own; documents with a null
-id have no label. Repeated labels of a document count once (the smallest quality). Empty tables: no row, or no rule.
+id have no label. Repeated labels of a document count once (the smallest quality). Repeated rows give repeated rows. Empty
+tables: no row, or no rule. Extra columns are ignored. Very long texts are measured whole, a chunk each. A measure that ties
+with its cutoff is kept.
 """
 
 from __future__ import annotations
@@ -135,3 +137,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = stored(measures(table(spark, sf_dir, "documents")), "measures")
     out = judge(measured, learn(measured, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+def sql() -> str:
+    """The same query: measures by lists, the chosen cutoffs by sums of binomial terms."""
+    word, risk, grid = r"[^\x20\x09-\x0D]+", RISK / len(RULES), [float(c) for c in GRID]
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN least(1.0::double, ({a})::double / ({b})) ELSE 0.0::double END"
+    kept = lambda chars: f"length(regexp_replace(text, '[^{chars}]', '', 'g'))"
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+three AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM three) WHERE c > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS nr FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS d FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
+b AS (SELECT t.doc_id, coalesce(lang, 'und') || CASE WHEN len(w) < {SHORT} THEN '/short' ELSE '/long' END AS stratum, len(w)::bigint AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint AS word_chars,
+  {kept("#*$%&|<>")}::bigint AS n_symbols, coalesce(lines.n - lines.d, 0)::bigint AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, coalesce(rep.n, 0)::bigint AS n_repeat_words,
+  {kept("A-Za-z")} AS letters, {kept("A-Z")} AS upper, {kept("!")} AS bangs FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+m AS (SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  {{'symbols': {ratio("n_symbols", "word_chars")}, 'dup_lines': {ratio("n_dup_lines", "n_lines")}, 'repeats': {ratio("n_repeat_words", "n_words")}, 'upper': {ratio("upper", "letters")}, 'bangs': {ratio("bangs", "word_chars")}}} AS x FROM b),
+r AS (SELECT doc_id, stratum, unnest({RULES}) AS rule, unnest([x.symbols, x.dup_lines, x.repeats, x.upper, x.bangs]) AS v FROM m),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+cuts AS (SELECT unnest(range(0, {len(GRID)})) AS nr, unnest({grid}) AS cutoff),
+held AS (SELECT stratum, rule, count(*) AS n, list(v) AS vs FROM r JOIN good USING (doc_id) GROUP BY stratum, rule),
+fam AS (SELECT count(*) AS families FROM held),
+k AS (SELECT stratum, rule, nr, cutoff, n, families, len(list_filter(vs, lambda v: v > cutoff)) AS k FROM held, cuts, fam),
+ok AS (SELECT stratum, rule, nr, cutoff, k < n * {risk!r}::double AND (SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}::double) + (n - i) * ln(1 - {risk!r}::double)))) FROM range(0, k + 1) q(i)) <= ln({LEVEL!r}::double / families) AS passed FROM k),
+run AS (SELECT stratum, rule, cutoff FROM (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, rule ORDER BY nr) AS unbroken FROM ok) WHERE unbroken),
+chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM run GROUP BY stratum, rule),
+f AS (SELECT r.doc_id, string_agg(rule, ',' ORDER BY list_position({RULES}, rule)) AS failed FROM r JOIN chosen c USING (stratum, rule) WHERE v > cutoff GROUP BY r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.failed IS NULL AS kept, coalesce(f.failed, '') AS failed FROM m LEFT JOIN f USING (doc_id)
+"""

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_nnpu_toxicity": toxicity.query,
     "op10_latent_decontamination": decontaminate.query,
 }
-ORACLE: dict[str, str] = {"op2_snapshot_collapse": chat.SQL}
+ORACLE: dict[str, str] = {
+    "op2_snapshot_collapse": chat.SQL,
+    "op3_risk_controlled_rules": quality_rules.sql(),
+    "op5_prefix_tree_join": ngram_join.SQL,
+    "op7_entropy_secrets": secret_scan.sql(),
+}

@@ -206,3 +206,38 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [_of_kind("base", k).alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def sql() -> str:
+    """The same query, window by window; back references are spelled out, which this dialect's patterns lack."""
+    quoted = lambda p: p.replace("'", "''")
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    stand_in = STAND_IN.replace(r"(.)\1{7,}", "|".join(f"[{c}]{{8,}}" for c in signs))
+
+    def found(kind: str, pattern: str, group: int, least: int) -> str:
+        p = quoted(pattern)
+        return f"""SELECT doc_id, '{kind}' AS kind, {KINDS.index(kind)} AS rank, x, (e - length(m))::int AS s, e::int AS e FROM (
+  SELECT doc_id, m, x, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM (
+    SELECT doc_id, unnest(f) AS m, unnest(g) AS x, unnest(gaps[1:len(f)]) AS gap, unnest(range(len(f))) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{p}') AS f, regexp_extract_all(text, '{p}', {group}) AS g, regexp_split_to_array(text, '{p}') AS gaps FROM t) WHERE len(f) > 0)) WHERE length(x) >= {least}"""
+
+    classes = " ".join(f"WHEN regexp_matches(y, '{p}') THEN {bits}::double" for p, bits in CLASSES.values() if p)
+    other = next(bits for p, bits in CLASSES.values() if not p)
+    allowed = " OR ".join(f"regexp_matches(x, '{p}')" for p in ALLOWED)
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({" UNION ALL ".join(found(k, *v) for k, v in BASE.items())}),
+cand AS (SELECT doc_id, s, e, x FROM ({found("entropy", CANDIDATE, 0, CANDIDATE_MIN)}) WHERE NOT ({allowed})
+  AND NOT (regexp_matches(x, '{stand_in}') AND list_max(list_transform(regexp_split_to_array(x, '{stand_in}'), lambda r: length(r))) < {WINDOW})),
+free AS (SELECT c.doc_id, c.s, c.x, p FROM (SELECT doc_id, s, e, x, unnest(range(s, e)) AS p FROM cand) c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s <= p AND p < b.e)),
+part AS (SELECT doc_id, min(p) AS a, substr(any_value(x), (min(p) - s + 1)::int, count(*)::int) AS y FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, s ORDER BY p) AS island FROM free) GROUP BY doc_id, s, island HAVING count(*) >= {WINDOW}),
+win AS (SELECT doc_id, a, y, unnest(range(0, length(y) - {WINDOW - 1})) AS k FROM part),
+chars AS (SELECT doc_id, a, k, c, count(*) AS n FROM (SELECT doc_id, a, k, unnest(string_split(substr(y, (k + 1)::int, {WINDOW}), '')) AS c FROM win) GROUP BY doc_id, a, k, c),
+bits AS (SELECT doc_id, a, k, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} AS h FROM chars GROUP BY doc_id, a, k),
+hot AS (SELECT doc_id, a + min(k) AS s, a + max(k) + {WINDOW} AS e FROM bits JOIN (SELECT doc_id, a, CASE {classes} ELSE {other}::double END AS least FROM part) USING (doc_id, a) WHERE h >= least - {TOLERANCE!r}::double GROUP BY doc_id, a),
+spans AS (SELECT doc_id, kind, rank, s, e FROM base UNION ALL SELECT doc_id, 'entropy', 3, s, e FROM hot)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(b.said, '')) AS base_sha256, coalesce(a.said, '') AS spans
+FROM t LEFT JOIN (SELECT doc_id, {counts}, {listed} AS said FROM base GROUP BY doc_id) b USING (doc_id) LEFT JOIN (SELECT doc_id, {listed} AS said FROM spans GROUP BY doc_id) a USING (doc_id)
+"""

@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontaminate, graph, language, line_crf, ngram_join, packing, pseudonyms, quality_rules, secret_scan, toxicity
-from quillspark.llm.common import shingles, table
+from quillspark.llm import chat, decontaminate, graph, language, line_crf, ngram_join, packing, pseudonyms, quality_rules, registry, secret_scan, toxicity
+from quillspark.llm.common import by_owner, shingles, table
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,6 +52,30 @@ def test_language(spark, odd):
     assert language.predict(odd.limit(0), model).count() == 0 and language.fit(odd.limit(0)) is None
 
 
+def test_language_draws_from_whole_texts_and_blocks(monkeypatch):
+    text = np.random.default_rng(0).integers(32, 127, 20_000, np.uint8).tobytes()
+    got = {t for seed in range(300) for t in language.drawn(text, seed)}
+    assert min(map(text.find, got)) < 1000 and max(map(text.find, got)) > 19_000
+    assert max(map(len, got)) == language.WINDOW - 3 and len(got) > 600 and language.drawn(b"", 1) == [b""] * language.WINDOWS_PER_DOC
+    rng = np.random.default_rng(5)
+    model = language.ByteCnn(["a", "b"], [rng.standard_normal((w, 64, language.FILTERS)).astype(np.float32) for w in language.WIDTHS], np.zeros((60, 2), np.float32), np.zeros(2, np.float32))
+    classes, _ = language.windows([b"some text " * 400, b"x", b""])
+    whole = language.pooled(model.tables(), classes)
+    monkeypatch.setattr(language, "BLOCK", 3)
+    assert np.array_equal(whole, language.pooled(model.tables(), classes))
+
+
+def test_language_gradient(monkeypatch):
+    """Training finds filters for a difference that only neighbouring bytes show."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(("ab ", "cd ")) for _ in range(60)).encode() for _ in range(60)] + ["".join(rng.choice(("ba ", "dc ")) for _ in range(60)).encode() for _ in range(60)]
+    labels = ["x"] * 60 + ["y"] * 60
+    model = language.train([t[:200] for t in texts], labels)
+    classes, doc = language.windows([t[:200] for t in texts])
+    z = language.pooled(model.tables(), classes) @ model.dense + model.bias
+    assert [model.langs[k] for k in z.argmax(1)] == labels and doc.tolist() == list(range(120))
+
+
 def test_language_tables_equal_convolution():
     rng = np.random.default_rng(2)
     model = language.ByteCnn(["a"], [rng.standard_normal((w, 64, language.FILTERS)).astype(np.float32) for w in language.WIDTHS], np.zeros((60, 1), np.float32), np.zeros(1, np.float32))
@@ -113,13 +137,83 @@ def test_toxicity(spark, odd):
     assert len({r["score"] for r in toxicity.score(odd, model).collect()}) == 1 and model.score(b"So BAD!") > 0.5
 
 
+def test_toxicity_gradient_equals_differences():
+    """Of the sum of both terms, or of the second turned round where it is negative."""
+    rng = np.random.default_rng(4)
+    p, u = (rng.random((n, 6)) < 0.4 for n in (30, 50))
+    signs = set()
+    for prior in (0.02, 0.9):
+        for _ in range(6):
+            w = rng.normal(0, 1.5, 7)
+            first, second, g = toxicity.gradient(w, p, u, prior)
+            signs.add(second >= 0)
+            e = np.eye(7) * 1e-6
+            of = lambda v, sign=second >= 0: toxicity.gradient(v, p, u, prior)[0] + toxicity.gradient(v, p, u, prior)[1] if sign else -toxicity.gradient(v, p, u, prior)[1]
+            assert np.allclose(g, [(of(w + d) - of(w - d)) / 2e-6 for d in e], atol=1e-6)
+            assert np.isclose(first, prior * np.log1p(np.exp(-(p @ w[:-1] + w[-1]))).mean())
+    assert signs == {True, False}
+
+
+def test_toxicity_of_odd_tables(spark, odd):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    twice = labels.unionByName(labels).unionByName(labels.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    model = toxicity.fit(docs.unionByName(docs).withColumns({"toxic": F.lit("x"), "hashes": F.lit(1)}), twice)
+    assert model.weights == toxicity.fit(docs, labels).weights
+    assert toxicity.score(odd.limit(0), model).count() == 0 and toxicity.fit(docs.limit(0), labels) is None
+    assert toxicity.fit(docs.limit(30), labels) is None  # nothing that tells toxic texts from so few
+    long = spark.createDataFrame([(1, "word " * 500_000 + max(model.weights, key=model.weights.get).decode().lstrip("*"))], "doc_id long, text string")
+    assert 0 <= toxicity.score(long, model).first()["score"] <= 1
+
+
 def test_toxicity_keeps_texts_with_a_common_passage():
     rng = random.Random(9)
     some = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
     passage = some(40)
     texts = [" ".join([*some(60), *passage, *some(60)]).encode() for _ in range(200)]
     copies = [t.rsplit(b" ", 1)[0] + b" other" for t in texts[:50]]
-    assert toxicity.distinct(texts + copies) == texts
+    assert toxicity.distinct([toxicity.min_hashes(t) for t in texts + copies]) == list(range(len(texts))) and toxicity.min_hashes(b" ") == b""
+
+
+def test_line_gradient_equals_differences():
+    """The gradient that training follows, of the labels' log-likelihood in the emissions and transitions."""
+    rng = np.random.default_rng(8)
+    emit, trans, y, count = rng.standard_normal((3, 6)), rng.standard_normal((2, 2)), np.array([1, 0, 1]), np.array([6, 4, 1])
+
+    def loss(e, t):
+        out = 0.0
+        for d, n in enumerate(count):
+            total = np.logaddexp.reduce([sum(e[d, i] * ((c >> i) & 1) for i in range(n)) + sum(t[(c >> i) & 1, (c >> (i + 1)) & 1] for i in range(n - 1)) for c in range(2**n)])
+            out += total - sum(e[d, :n]) * y[d] - (n - 1) * t[y[d], y[d]]
+        return out
+
+    good, edge = line_crf.marginals(emit, trans, count)
+    for d in range(3):
+        for i in range(6):
+            step = np.zeros_like(emit)
+            step[d, i] = 1e-5
+            want = (loss(emit + step, trans) - loss(emit - step, trans)) / 2e-5
+            assert np.isclose(want, (good[d, i] - y[d]) * (i < count[d]), atol=1e-6)
+    seen = np.zeros((2, 2))
+    for d in range(3):
+        seen[y[d], y[d]] += count[d] - 1
+    for a in (0, 1):
+        for b in (0, 1):
+            step = np.zeros((2, 2))
+            step[a, b] = 1e-5
+            assert np.isclose((loss(emit, trans + step) - loss(emit, trans - step)) / 2e-5, edge.sum(0)[a, b] - seen[a, b], atol=1e-6)
+
+
+def test_quality_of_odd_tables(spark, odd):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = line_crf.fit(docs, labels)
+    assert line_crf.score(odd.limit(0), model).count() == 0 and line_crf.accepted(odd, model).columns == odd.columns
+    long = spark.createDataFrame([(1, "a line of words that reads well enough\n" * 100_000), (2, "word " * 400_000)], "doc_id long, text string")
+    assert all(0 <= r["score"] <= 1 for r in line_crf.score(long, model).collect())
+    some = [b"one line\ntwo lines", b"", b"x" * 10, b"a\n\nb"]
+    doc, _, x = line_crf.line_features(some)
+    assert [s for _, s in line_crf.in_turns(some, 12)] == [some[:1], some[1:3], some[3:]] or len(list(line_crf.in_turns(some, 12))) > 1
+    turned = [(lo + d, f) for lo, part in line_crf.in_turns(some, 12) for d, _, f in [line_crf.line_features(part)]]
+    assert np.array_equal(np.concatenate([d for d, _ in turned]), doc) and np.allclose(np.concatenate([f for _, f in turned]), x)
 
 
 # 2
@@ -169,9 +263,37 @@ def test_rule_risk():
     assert quality_rules.cutoffs({("a", "symbols"): clean, ("a", "upper"): noisy, ("b", "symbols"): Counter({0: 5})}) == {("a", "symbols"): quality_rules.GRID[-1]}
 
 
+def test_rules_of_ties_and_empty_tables(spark, odd):
+    """A measure equal to its cutoff is kept; no row or no label, no rule."""
+    kind = quality_rules.SCHEMA
+    rows = [(k, "en", 300, 1000, 0, 0, 0, s, 0.0, 0.0, 0.0, 0.0) for k, s in enumerate((0.5, 0.5 + 1e-9, 0.4))] + [(9, None, 10, 50, 0, 0, 0, 1.0, 0.0, 0.0, 0.0, 0.0), (None, "en", 300, 1000, 0, 0, 0, 0.9, 0.0, 0.0, 0.0, 0.0)]
+    judged = quality_rules.judge(spark.createDataFrame(rows, kind), {("en/long", "symbols"): 0.5}).collect()
+    assert {r["doc_id"]: r["kept"] for r in judged} == {0: True, 1: False, 2: True, 9: False, None: False}
+    labels = table(spark, SF, "labels")
+    measured = quality_rules.measures(odd)
+    assert quality_rules.learn(measured, labels.limit(0)) == {} and quality_rules.learn(measured.limit(0), labels) == {}
+    assert quality_rules.measures(odd.limit(0)).count() == 0 and quality_rules.judge(measured.limit(0), {}).count() == 0
+    long = "a line! of #words\n" * 100_000
+    assert quality_rules.measure(long.encode())[:5] == (400_000, 1_400_000, 100_000, 99_999, 400_000)
+
+
 # 4
 
 
+def test_packing_of_equal_and_long_texts(spark):
+    rows = [(k, "same words here") for k in range(3000)] + [(9000, "long text of words " * 60_000), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash")).repartition(3)
+    got = packing.pack(docs).collect()
+    whole = defaultdict(int)
+    for r in got:
+        whole[r["doc_id"]] += r["length"]
+    assert whole[9000] == 4 * 60_000 + 1 and whole[None] == 2 and all(whole[k] == 4 for k in range(3000))
+    used = defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in v) <= packing.CAPACITY for v in used.values())
+
+
 def test_packing(spark, odd, texts):
     from tokenizers import Tokenizer
 
@@ -268,13 +390,31 @@ def copies(seed, groups=12, alphabet=40):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_join(spark, seed, monkeypatch):
     if seed == 2:
-        monkeypatch.setattr(ngram_join, "BLOCK", 3)  # components are cut into blocks
+        monkeypatch.setattr(ngram_join, "BLOCK", 3)  # large components: families by pivots, then pairs of blocks
+        monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+        monkeypatch.setattr(ngram_join, "ROUNDS", 2)
     rows = [*copies(seed), *copies(9, 2, 4)] if seed == 1 else copies(seed)
     rows = [(i, t) for i, (_, t) in enumerate(rows)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_join(rows)
 
 
+def test_join_of_a_chain(spark, monkeypatch):
+    """Neighbours link, others do not; one component of many classes without a family that holds most of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    words_ = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words_[4 * k : 4 * k + 60])) for k in range(60)] + [(100 + k, " ".join([*words_[:40], f"own{k}", *words_[40:80]])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()} == brute_join(rows)
+
+
+def test_join_sends_one_body_a_class(spark):
+    docs = spark.createDataFrame([(k, "a copied text of six words") for k in range(50)] + [(50, "one two three four five")], "doc_id long, text string").repartition(8)
+    classes = ngram_join.signatures(docs).select("cls").distinct()
+    assert ngram_join.candidate_bodies(docs, classes.select(F.col("cls").alias("node"), F.col("cls").alias("root"))).count() == 2
+
+
 def test_join_of_the_corpus(spark, texts):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.query(spark, SF).collect()}
     assert got == brute_join(texts.items())
@@ -309,12 +449,23 @@ def test_trie(probe_share):
         assert as_edges(found) == as_edges(true)
 
 
+def test_order_by_owner():
+    rng = np.random.default_rng(9)
+    for high in (4, 1 << 63):  # low values: the bits cut off decide
+        for n in (0, 1, 500):
+            owner, value, level = rng.integers(0, 40, n), rng.integers(0, high, n).astype(np.uint64), rng.integers(0, 200, n).astype(np.uint8)
+            for got, want in ((by_owner(owner, value), np.lexsort((value, owner))), (by_owner(owner, value, level), np.lexsort((value, level, owner)))):
+                assert all(np.array_equal(x[got], x[want]) for x in (owner, value))
+
+
 def test_shingles():
     values, offsets = shingles([b"", b"A b c", b"a B C", b"a b c d e a b c d e", b" \n"])
     assert np.diff(offsets).tolist() == [0, 1, 1, 5, 0] and values[0] == values[1]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 60, 200_000])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(graph, "LAST", last)
     rng = random.Random(8)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)] + [(400, 401 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -338,7 +489,11 @@ def brute_secrets(t):
     base = sorted(out)
     for m in re.finditer(secret_scan.CANDIDATE, t):
         x = m[0]
-        if any(re.search(p, x) for p in secret_scan.ALLOWED):
+        rests, at = [], 0
+        for stand_in in re.finditer(r"example|dummy|placeholder|changeme|x{4,}|0123456789|abcdefgh|(.)\1{7,}", x, re.I):
+            rests.append(stand_in.start() - at)
+            at = stand_in.end()
+        if (rests and max(*rests, len(x) - at) < secret_scan.WINDOW) or any(re.search(p, x) for p in secret_scan.ALLOWED):
             continue
         bits = next(b for p, b in secret_scan.CLASSES.values() if re.search(p, x))
         hot = []
@@ -387,6 +542,41 @@ def test_secrets_beside_allowed_parts(spark):
     assert got[3] == got[4] == []
 
 
+def test_secrets_of_long_texts(spark):
+    """A megabyte of base64 in one candidate, thousands of matches, and redaction across the borders of blocks: in time."""
+    import time
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    blob = "".join(rng.choices(letters, k=1_000_000))
+    many = " ".join(f"é token={''.join(rng.choices(letters, k=12))} and" for _ in range(5000))
+    flat = "g" * 300 + "1" + "".join(rng.choices("gh", k=4000)) + "".join(rng.choices(letters, k=40)) + "gh" * 2000
+    rows = [(1, blob), (2, many), (3, flat), (4, "x" * 100_000 + "abcdefgh" * 100 + "1k2j3h")]
+    began = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("red", secret_scan.redacted(F.col("text"), F.col("spans"))).collect()}
+    assert time.time() - began < 60
+    assert [tuple(x) for x in got[1]["spans"]] == [(0, 3, 1_000_000, "entropy")] and got[1]["red"] == "[SECRET]"
+    base, spans = brute_secrets(many)
+    assert [tuple(x) for x in got[2]["base"]] == base and [tuple(x) for x in got[2]["spans"]] == spans
+    want, at = "", 0
+    for a, _, b, _ in spans:
+        want += many[at:a] + "[SECRET]"
+        at = b
+    assert got[2]["red"] == want + many[at:]
+    assert [tuple(x) for x in got[3]["spans"]] == brute_secrets(flat)[1] and got[4]["spans"] == []
+
+
+def test_secrets_keep_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh12", "mine", 7), (2, None, None, None)], "doc_id long, text string, spans string, _odd int")
+    out = secret_scan.scan(df, spans="found")
+    assert out.columns == ["doc_id", "text", "spans", "_odd", "base", "found"] and {r["spans"] for r in out.collect()} == {"mine", None}
+    import corpus_pipeline
+
+    kept = corpus_pipeline.secrets(spark, df.withColumn("n_chars", F.lit(16).cast("long")), SF)
+    assert sorted((r["doc_id"], r["text"], r["spans"], r["n_chars"]) for r in kept.collect()) == [(1, "[SECRET]", "mine", 8), (2, None, None, 16)]
+    assert secret_scan.scan(df.limit(0)).count() == 0
+
+
 # 8
 
 
@@ -416,6 +606,101 @@ def test_pseudonyms_are_permutations(spark):
     assert days.select(pseudonyms.date(F.col("x"), "k").alias("y")).distinct().count() == pseudonyms.DAYS
 
 
+def test_pseudonyms_are_distinct(spark):
+    said = ["01.2.3.4", "1.02.3.4", "1.2.3.4", "1.2.3.40"]
+    got = {r["x"]: r["y"] for r in spark.createDataFrame([(x,) for x in said], "x string").select("x", pseudonyms.pseudonym(F.col("x"), "k").alias("y")).collect()}
+    assert got["01.2.3.4"] == "01.2.3.4" and got["1.02.3.4"] == "1.02.3.4" and len(set(got.values())) == 4
+    numbers = spark.range(3000).select(F.concat(F.lit("40000000000"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("x"))
+    rows = numbers.select("x", pseudonyms.card(F.col("x"), "k").alias("y")).collect()
+    assert len({r["y"] for r in rows}) == 3000 and all(luhn(r["x"]) == luhn(r["y"]) for r in rows)
+
+
+def plain_pseudonym(x, key):
+    """A second statement of the networks, in plain Python."""
+    import datetime
+    import hmac
+
+    def digest(kind, i, half):
+        return hmac.new(key.encode(), f"{kind}|{i}|{half}".encode(), "sha256").hexdigest()
+
+    def permuted(t, kind):
+        left, right = t[: len(t) // 2], t[len(t) // 2 :]
+        for i in range(pseudonyms.ROUNDS):
+            h, out = digest(kind, i, f"{len(left)}|{right}"), ""
+            for k, c in enumerate(left):
+                by = int(h[2 * (k % 32) : 2 * (k % 32) + 2], 16)
+                low, size = (48, 10) if c in "0123456789" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (0, 0)
+                out += chr((ord(c) - low + by) % size + low) if size else c
+            left, right = right, out
+        return left + right
+
+    if "@" in x:
+        name, domain = x.split("@")[0], x.rsplit("@", 1)[1]
+        rest, top = domain.rsplit(".", 1)
+        return permuted(name, "name") + "@" + permuted(rest, "domain") + "." + top
+    if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", x):
+        p = x.split(".")
+        if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in p):
+            return x
+        a, b = int(p[0]) * 256 + int(p[1]), int(p[2]) * 256 + int(p[3])
+        for i in range(pseudonyms.ROUNDS):
+            a, b = b, (a + int(digest("ip", i, b)[:8], 16)) % 65536
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", x):
+        first = datetime.date(1900, 1, 1)
+        try:
+            day = (datetime.date.fromisoformat(x) - first).days
+        except ValueError:
+            return x
+        if not 0 <= day < pseudonyms.DAYS:
+            return x
+        a, b = divmod(day, pseudonyms.RIGHT)
+        for i in range(pseudonyms.ROUNDS // 2):
+            b = (b + int(digest("day", i, a)[:8], 16)) % pseudonyms.RIGHT
+            a = (a + int(digest("day+", i, b)[:8], 16)) % pseudonyms.LEFT
+        return (first + datetime.timedelta(a * pseudonyms.RIGHT + b)).isoformat()
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", x):
+        return permuted(x, "ssn")
+    if re.fullmatch(r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19}", x):
+        d = re.sub("[ -]", "", x)
+        if luhn(d):
+            out = permuted(d[:-1], "card")
+            out += next(c for c in "0123456789" if luhn(out + c))
+        else:
+            out = permuted(d, "number")
+            while luhn(out):
+                out = permuted(out, "number")
+        return re.sub(r"(\d{4})(?=\d)", rf"\1{x[4]}", out) if not x.isdigit() else out
+    code = re.match(r"(\+\d{1,3}(?=[ (-]))?", x)[0]
+    return code + permuted(x[len(code) :], "phone")
+
+
+def test_pseudonyms_equal_a_plain_statement(spark, docs, texts):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choices("0123456789", k=n))
+    made = {}
+    for k in range(200):
+        card = next(c for c in (some(16) for _ in iter(int, 1)) if luhn(c) == (k % 2 == 0))
+        made[10_000 + k] = f"a{k}.B@Sub{k}.Host.org +{k % 99 + 1} 555 {some(3)} {some(4)} ({some(3)}) {some(3)}-{some(4)} {card} {card[:4]}-{card[4:8]}-{card[8:12]}-{card[12:]} {rng.randrange(300)}.{some(1)}.{some(2)}.7 {1880 + k}-0{k % 9 + 1}-{k % 31 + 1:02} {some(3)}-{some(2)}-{some(4)} 2024-02-30 é"
+    made[20_000] = "x " * 300_000 + "a.b@c.de"
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
+    find, changed = re.compile(pseudonyms.FIND), 0
+    for r in pseudonyms.pseudonymize(both, "a key").collect():
+        was = (texts | made)[r["doc_id"]]
+        want = find.sub(lambda m: plain_pseudonym(m[0], "a key"), was)
+        assert r["text"] == want, r["doc_id"]
+        assert r["n_private"] == sum(plain_pseudonym(m[0], "a key") != m[0] for m in find.finditer(was))
+        changed += want != was
+    assert changed > 200
+
+
+def test_pseudonyms_keep_columns(spark, odd):
+    df = odd.withColumns({"_found": F.lit("mine"), "_made": F.lit(3)})
+    out = pseudonyms.pseudonymize(df, "k")
+    assert out.columns == [*df.columns, "n_private"] and {(r["_found"], r["_made"]) for r in out.collect()} == {("mine", 3)}
+    assert pseudonyms.pseudonymize(odd.limit(0), "k").count() == 0
+
+
 # 10
 
 
@@ -459,6 +744,19 @@ def test_leaks(spark, odd, docs, texts):
     assert decontaminate.clean(odd.limit(0), bench).count() == 0
 
 
+def test_leaks_of_repeated_rows_ties_and_long_texts(spark):
+    rng = random.Random(13)
+    item = " ".join(f"q{rng.randrange(9000)}" for _ in range(40))
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "unseen " + " ".join(f"z{k}" for k in range(30)))], "item_id long, text string")  # two items of one text tie
+    long = " ".join(f"n{rng.randrange(5000)}" for _ in range(200_000))
+    rows = [(1, f"a {item} b"), (1, f"a {item} b"), (None, item), (2, long), (3, long[:500_000].rsplit(" ", 1)[0] + " " + item + " " + long[500_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit(5), "covered": F.lit("x")})
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == {(1, 1): 2, (1, 2): 2, (None, 1): 1, (None, 2): 1, (3, 1): 1, (3, 2): 1}
+    kept = decontaminate.clean(docs, bench)
+    assert [r["doc_id"] for r in kept.collect()] == [2] and kept.columns == docs.columns
+
+
 def test_leaks_without_the_rarest_word(spark):
     rng = random.Random(11)
     usual = [f"w{k}" for k in range(60)]
@@ -482,7 +780,9 @@ def test_leaks_of_thousands_of_items(spark):
     assert got == {(k, k * 10) for k in range(300)}
 
 
-def test_leaks_of_short_items_and_without_id(spark):
+@pytest.mark.parametrize("chars", [30, 4 << 20])
+def test_leaks_of_short_items_and_without_id(spark, monkeypatch, chars):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)  # the first: a scan of the documents an item or two
     items = [(None, "an item that has no id but quite enough of words to count"), (1, "Only four words, here"), (2, "")]
     made = [(1, f"before it {items[0][1]} and after"), (2, "see: only FOUR words here."), (3, "only four other words here"), (4, "nothing of it")]
     docs, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
@@ -509,3 +809,35 @@ def test_pipeline(spark, texts):
         docs = spark.createDataFrame(out.collect(), out.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_queries_equal_their_sql(spark, name):
+    from pathlib import Path
+
+    import duckdb
+
+    con = duckdb.connect()
+    for p in Path("/root/testdata/sf0.01").glob("*.parquet"):
+        con.sql(f"create view {p.stem} as select * from '{p}'")
+    got, want = registry.QUERIES[name](spark, "/root/testdata/sf0.01"), con.sql(registry.ORACLE[name])
+    cols = sorted(got.columns)
+    assert sorted(want.columns) == cols
+    at = [want.columns.index(c) for c in cols]
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_pipeline_of_odd_rows(spark, odd):
+    """Nulls, blanks, repeated rows and clashing columns through every stage, and an empty table."""
+    import corpus_pipeline
+
+    extra = odd.withColumns({"spans": F.lit("mine"), "cls": F.lit(1), "item_id": F.lit(2), "n": F.lit(0)})
+    for rows in (extra, extra.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, SF)
+            kept = out.collect()
+            assert out.columns == extra.columns and len(kept) <= len(ODD), name
+            if name == "benchmark decontamination" or name == "secret scans":
+                assert len(kept) == rows.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, SF).collect()
+        assert sorted((r["doc_id"] or 0) for r in packed if r["start"] == 0) == sorted((r["doc_id"] or 0) for r in rows.collect())
