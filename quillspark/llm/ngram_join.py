@@ -45,7 +45,7 @@ BLOCK, PIVOTS, ROUNDS = 128, 16, 1
 #: Places in which the classes of one component meet what is known of it.
 SALTS = 32
 #: Values held by a task before they are joined and passed on.
-HELD = 3_000_000
+HELD = 2_000_000
 
 
 def class_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
