@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: The same characters.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Zero-width marks deleted from sources; vowel marks and the stretch deleted, and letters folded, for scoring.
 MARKS = "\u200b\u200e\u200f\ufeff"
 VOWELS = "\u064b\u064c\u064d\u064e\u064f\u0650\u0651\u0652\u0670\u0640"
@@ -49,12 +51,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def source_norm(c: Column, composed: bool = False) -> Column:

@@ -13,7 +13,7 @@ from ..sources.scratch import stored
 
 #: Least text length and image side, holdout rows a domain, length of a probe.
 LEAST_TEXT, LEAST_SIDE, HOLDOUT, PROBE = 2, 12, 400, 40
-HEAD = 16
+HEAD, LISTED = 16, 1000
 
 
 def valid(text: Column, w: Column | None = None, h: Column | None = None) -> Column:
@@ -48,6 +48,10 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _in(values: list) -> Callable[[Column], Column]:
+    return lambda c: c.isin(values)
+
+
 def contaminated(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """The text_id, as `_id`, of every text of docs that contains a probe once its white space is collapsed.
 
@@ -56,7 +60,8 @@ def contaminated(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     are checked for the whole probe. Probes without such a head, short ones and those of one long word, meet by their own
     first characters, HEAD or all of them, wherever these stand in a text.
     """
-    body = docs.select(text_id(F.col(text)).alias("_id"), T.collapse(F.coalesce(F.col(text), F.lit(""))).alias("body"))
+    plain = F.coalesce(F.col(text), F.lit(""))
+    said = docs.select(text_id(F.col(text)).alias("_id"), plain.alias("said"))
     space = F.instr("probe", " ")
     after = F.substring(F.col("probe"), space + 1, F.lit(HEAD))
     spaced = (space > 0) & (F.length(after) == HEAD)
@@ -66,9 +71,12 @@ def contaminated(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     for kind in headed.select("spaced", "size").distinct().collect():  # HEAD + 1 kinds at most
         pattern = rf"(?s){' ' if kind['spaced'] else ''}(?=(.{{{kind['size']}}}))"
         own = headed.where((F.col("spaced") == kind["spaced"]) & (F.col("size") == kind["size"])).select("head", "probe")
-        heads = body.select("_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)))).alias("head"))
-        met = heads.join(own, "head").select("_id", "probe").distinct()
-        out = out.unionByName(body.join(met, "_id").where(F.contains("body", "probe")).select("_id"))
+        heads = F.regexp_extract_all(T.collapse(F.col("said")), F.lit(pattern), F.lit(1))
+        listed = [r["head"] for r in own.select("head").distinct().limit(LISTED + 1).collect()]
+        if len(listed) <= LISTED:  # a short list goes along with the query, so that only its heads are exploded
+            heads = F.filter(heads, _in(listed))
+        met = said.select("_id", F.explode(F.array_distinct(heads)).alias("head")).join(own, "head").select("_id", "probe").distinct()
+        out = out.unionByName(said.join(met, "_id").where(F.contains(T.collapse(F.col("said")), F.col("probe"))).select("_id"))
     return out.distinct()
 
 

@@ -24,29 +24,33 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Word edits of normalized texts: the words of a pair become code points from U+10000 on, and the strings of these
-    are compared. A pair may have a million distinct words; the comparison is quadratic in the words, so one that had
-    more would not end anyway, and fails."""
-    a, b = words(ref), words(hyp)
-    both = F.array_distinct(F.concat(a, b))
-
-    def coded(side):
-        char = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0xFFFF) + F.array_position(both, w)), 8, "0")), "UTF-32")
-        return F.array_join(F.transform(side, char), "")
-
-    return F.levenshtein(coded(a), coded(b)).cast("long")
+def word_edits(pairs: DataFrame, by: list[str], ref: str, hyp: str) -> DataFrame:
+    """word_edits and words (of the references) of each group, over pairs of normalized texts with a reference. The words
+    of a pair are ranked, the ranks become code points from U+10000 on, and the strings of these are compared: equal pairs
+    once. A pair may have a million distinct words; the comparison is quadratic in the words, so one that had more would
+    not end anyway, and fails."""
+    own = [f"_by{i}" for i in range(len(by))]
+    each = pairs.groupBy(*[F.col(c).alias(o) for c, o in zip(by, own, strict=True)], F.col(ref).alias("_r"), F.col(hyp).alias("_h")).agg(F.count("*").alias("_times"))
+    each = each.select(*own, "_times", F.concat(F.md5("_r"), F.md5("_h")).alias("_id"), F.size(words(F.col("_r"))).alias("_n"), F.posexplode(F.concat(words(F.col("_r")), words(F.col("_h")))).alias("_pos", "_word"))
+    key = [*own, "_id"]
+    rank = F.dense_rank().over(W.partitionBy(*key).orderBy("_word"))
+    char = F.decode(F.unhex(F.lpad(F.hex(F.lit(0xFFFF) + rank), 8, "0")), "UTF-32")
+    said = each.withColumn("_c", char).groupBy(*key, "_n", "_times").agg(F.array_sort(F.collect_list(F.struct("_pos", "_c"))).alias("_all"))  # one pair's words
+    said = said.withColumn("_all", F.array_join(F.transform("_all", lambda x: x["_c"]), ""))
+    edits = F.levenshtein(F.left("_all", F.col("_n")), F.substring(F.col("_all"), F.col("_n") + 1, F.length("_all"))).cast("long")
+    return said.groupBy(*own).agg(F.sum(edits * F.col("_times")).alias("word_edits"), F.sum(F.col("_n") * F.col("_times")).alias("words")).withColumnsRenamed(dict(zip(own, by, strict=True)))
 
 
 def corpus_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "hyp", word_rate: bool = True) -> DataFrame:
     """cer, wer and n of each group: total edits over total reference length; rows without a reference are left out,
     a missing hypothesis is empty."""
-    p = pairs.withColumn(hyp, F.coalesce(F.col(hyp), F.lit(""))).where(F.col(ref) != "")
-    aggs = [F.sum(char_edits(F.col(ref), F.col(hyp))).alias("char_edits"), F.sum(F.length(ref)).alias("chars"), F.count("*").alias("n")]
-    if word_rate:
-        aggs += [F.sum(word_edits(F.col(ref), F.col(hyp))).alias("word_edits"), F.sum(F.size(words(F.col(ref)))).cast("long").alias("words")]
-    out = p.groupBy(*by).agg(*aggs).withColumn("cer", F.col("char_edits") / F.col("chars"))
-    return out.withColumn("wer", F.col("word_edits") / F.col("words")) if word_rate else out
+    p = pairs.select(*by, ref, F.coalesce(F.col(hyp), F.lit("")).alias(hyp)).where(F.col(ref) != "")
+    out = p.groupBy(*by).agg(F.sum(char_edits(F.col(ref), F.col(hyp))).alias("char_edits"), F.sum(F.length(ref)).alias("chars"), F.count("*").alias("n")).withColumn("cer", F.col("char_edits") / F.col("chars"))
+    if not word_rate:
+        return out
+    w = word_edits(p, by, ref, hyp).withColumnsRenamed({c: f"_w{i}" for i, c in enumerate(by)})
+    same = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(by)]
+    return out.join(w, same).drop(*[f"_w{i}" for i in range(len(by))]).withColumn("wer", F.col("word_edits") / F.col("words"))
 
 
 def table_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:

@@ -7,7 +7,6 @@ distance of two trees with the product of theirs.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -27,11 +26,6 @@ SEPARATOR = rf"(?U)^{_S}*\|?(?:{_S}|[:\-])+\|(?:{_S}|[:\-|])*\z"
 PAGE = 256
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is evaluated once however often it occurs in use."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def md_tables_to_html(text: Column) -> Column:
     """Runs of two or more pipe rows become a table, one line a row; separator rows go; everything else is untouched.
     One left-to-right fold over the lines: `buf` holds the run's lines, `rows` its rendered data rows, `cur` the latest
@@ -56,10 +50,11 @@ def md_tables_to_html(text: Column) -> Column:
         row = F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))
         kept = F.when(line.rlike(SEPARATOR), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row)))
         inside = F.struct(acc["out"].alias("out"), acc["cur"].alias("cur"), F.concat(acc["buf"], F.array(line)).alias("buf"), kept.alias("rows"))
-        return F.when(is_row, inside).otherwise(_once(F.concat(flushed(acc), F.array(line)), lambda done: paged(acc, done)))
+        return F.when(is_row, inside).otherwise(paged(acc, F.concat(flushed(acc), F.array(line))))
 
     def joined(acc):
-        return _once(flushed(acc), lambda last: F.array_join(F.concat(acc["out"], F.when(F.size(last) > 0, F.array(F.array_join(last, "\n"))).otherwise(empty)), "\n"))
+        last = flushed(acc)
+        return F.array_join(F.concat(acc["out"], F.when(F.size(last) > 0, F.array(F.array_join(last, "\n"))).otherwise(empty)), "\n")
 
     done = F.aggregate(lines, start, step, joined)
     return F.when(F.contains(text, F.lit("|")), done).otherwise(text)

@@ -51,9 +51,10 @@ COLLAPSED = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{WS}+', ' ', '
 
 
 def flagship(spark: SparkSession, d: str, holdout: int = corpus.HOLDOUT) -> DataFrame:
-    """Repair, validity, decontamination, holdout, then counts by source and domain of the training rows. The clean rows'
-    keys are written once, as the shards of a build are; their texts are not needed after that."""
+    """Repair, validity, decontamination, holdout, then counts by source and domain of the training rows. Repaired rows
+    are written once, as the shards of a build are, and so are the clean rows' keys; their texts are not needed then."""
     rows = as_rows(spark, d).withColumn("response", T.source_norm(F.col("response"))).where(corpus.valid(F.col("response")))
+    rows = scratch.stored(rows, "repaired")
     clean = corpus.decontaminate(rows, read(spark, d, "benchmark"), "response").select("doc_id", "source", "domain")
     clean = scratch.stored(clean, "clean")
     return corpus.counts(corpus.with_holdout(clean, "domain", "doc_id", rows=holdout).where("split = 'train'"))

@@ -48,6 +48,12 @@ def test_text(spark, f, value, want):
     assert one(spark, value, f) == want
 
 
+def test_white_space_is_that_of_strings(spark):
+    every = [chr(k) for k in range(1, 0x3100) if not 0xD800 <= k < 0xE000]
+    got = spark.createDataFrame([(x,) for x in every], "x string").select("x", (T.strip(F.col("x")) == "").alias("a"), (T.collapse(F.concat(F.lit("p"), "x", F.lit("q"))) == "p q").alias("b")).collect()
+    assert all(r["a"] == r["b"] == r["x"].isspace() for r in got)
+
+
 def test_prompt_and_sizes(spark):
     assert one(spark, 7, T.prompt, "long") == T.PROMPTS[2]
     fit = lambda w, h: tuple(spark.range(1).select(I.fit(F.lit(w), F.lit(h), F.lit(I.BUDGET)).alias("s")).first()["s"])
@@ -107,8 +113,10 @@ def test_random_stacks(spark, monkeypatch):
     assert corpus.stacks(df.limit(0), "id", "text").count() == 0
 
 
-def test_decontamination_of_rows(spark):
-    """By row: null and repeated keys don't matter, a null text is clean; all kinds of probes, against the nested loop."""
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_decontamination_of_rows(spark, monkeypatch, listed):
+    monkeypatch.setattr(corpus, "LISTED", listed)
+    # by row: null and repeated keys don't matter, a null text is clean; all kinds of probes, against the nested loop
     bench = spark.createDataFrame([("one two  three four five six seven eight nine ten",), ("Ünbrokenwordthatgoesonandonandonandonandon!",), ("xy z",), ("日本語のとても長い文章がここにある。" * 3,), (" ",), (None,)], "text string")
     said = [(None, "so one two three four five six\tseven eight nine ten it is"), (None, "clean"), (1, "clean"), (1, "axy zb"), (2, None), (2, ""), (3, "xx Ünbrokenwordthatgoesonandonandonandonand"), (3, "Ünbrokenwordthatgoesonandonandonandonan"), (4, "これは日本語のとても長い文章がここにある。" + "日本語のとても長い文章がここにある。" * 3), (4, "xy\u00a0z"), (5, "one two three four five six seven eight nin")]
     docs = spark.createDataFrame(said, "id long, text string")
