@@ -11,7 +11,8 @@ candidate that overlaps base spans the parts between them are scanned. There is
 
 Very long texts: candidates are scanned in pieces of PIECE characters that overlap by a window, matches are placed in
 runs of RUN and texts redacted in blocks of BLOCK characters, so the time is in proportion to a text's length (but for
-its base spans, which each candidate is held against, and its redacted spans, which each block is).
+its base spans, which each candidate is held against, and its redacted spans, which each block is). A scalar Python
+function over the results needs them written first: the planner does not part it from lambdas that hold others' variables.
 
 Cases: null text is empty. A null id is kept. Repeated rows give repeated rows. Extra columns are kept; a column with the
 name of a result is replaced by it. Spans of equal start go by kind; an entropy of just the threshold marks.
