@@ -177,16 +177,26 @@ def nth(df: DataFrame, key: str, k: int = 72) -> DataFrame:
     return df.where(F.col(key) % k == 0)
 
 
-def with_counter(df: DataFrame, order: str | list[str], name: str = "i") -> DataFrame:
-    """1, 2, ... over the table in the order of some columns. The table is written by ranges of them, which Spark samples
-    so that they are of like size whatever the values, each range sorted; a row's number is its place in its range's file
-    and the rows of the files before. No task holds more than its range."""
-    order = [order] if isinstance(order, str) else order
-    table = stored(df.repartitionByRange(*order).sortWithinPartitions(*order), "ranges")
-    at = table.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    sizes = at.groupBy("_file").agg(F.max("_row").alias("_last"))  # a row a file; files are numbered by range
-    before = sizes.select("_file", F.coalesce(F.sum(F.col("_last") + 1).over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return at.join(before, "_file").withColumn(name, (F.col("_before") + F.col("_row") + 1).cast("long")).select(*df.columns, name)
+def with_counter(df: DataFrame, order: str | list[str], name: str = "i", by: list[str] = (), total: str | None = None) -> DataFrame:
+    """1, 2, ... over the table, or over each group of `by`, in the order of some columns; `total`: the rows of the table
+    or group. The table is written by ranges of the columns, which Spark samples so that they are of like size (rows that
+    tie are dealt out by where they were read), each range sorted; a row's number is its place in its file and the group's
+    rows in the files before. A range may have several files (spark.sql.files.maxRecordsPerFile). No task holds more than
+    its range, or a row for each file of a group."""
+    order = [*by, *([order] if isinstance(order, str) else order)]
+    table = stored(df.repartitionByRange(*order, F.monotonically_increasing_id() % 61).sortWithinPartitions(*order), "ranges")
+    number = lambda p: F.regexp_extract("_metadata.file_name", p, 1).cast("long")
+    at = table.select("*", F.struct(number(r"part-(\d+)"), F.coalesce(number(r"-c(\d+)"), F.lit(0))).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    keys = [F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]
+    sizes = at.groupBy(F.col("_file").alias("_at"), *keys).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    group = W.partitionBy(*[f"_by{k}" for k in range(len(by))])
+    ahead = group.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first"), "_total": F.sum("_n").over(group)})
+    same = F.col("_file") == F.col("_at")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    named = [F.col("_total").alias(total)] if total else []
+    return at.join(before, same).select(*df.columns, (F.col("_before") + F.col("_row") + 1).cast("long").alias(name), *named)
 
 
 def exact_sample(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
