@@ -32,6 +32,17 @@ def fold(doc_id: Column | str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % k
 
 
+#: DuckDB has no crc32: the table of the polynomial's remainders as a row that a query joins, and the sum over a text of
+#: ASCII characters.
+CRC_SQL = """crc AS (SELECT list(v ORDER BY i) AS crc_of FROM (
+ SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::bigint, c >> 1) ELSE c >> 1 END, i::bigint) AS v FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    step = "xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])"
+    return f"xor(4294967295::bigint, list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint), lambda c, b: {step}, 4294967295::bigint))"
+
+
 def unit_hash(*cols: Column | str, salt: str) -> Column:
     """A number in [0, 1) that depends on the columns and the salt alone."""
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 40)) / float(1 << 40)

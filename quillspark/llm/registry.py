@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, line_crf, ngram_join, packing, pseudonyms, quality_rules, secret_scan, toxicity
+from . import chat, decontaminate, language, line_crf, merkle, ngram_join, packing, pseudonyms, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_byte_cnn_language": language.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_feistel_pseudonyms": pseudonyms.query,
     "op9_nnpu_toxicity": toxicity.query,
     "op10_latent_decontamination": decontaminate.query,
+    "op13_merkle_manifest": merkle.query,
 }
 ORACLE: dict[str, str] = {
     "op2_snapshot_collapse": chat.SQL,
     "op3_risk_controlled_rules": quality_rules.sql(),
     "op5_prefix_tree_join": ngram_join.SQL,
     "op7_entropy_secrets": secret_scan.sql(),
+    "op13_merkle_manifest": merkle.sql(),
 }
