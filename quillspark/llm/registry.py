@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chat_repair, decontaminate, language, line_crf, merkle, ngram_join, packing, pseudonyms, quality_rules, secret_scan, toxicity
+from . import chat, chat_repair, decontaminate, language, license_scan, line_crf, merkle, ngram_join, packing, pseudonyms, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_byte_cnn_language": language.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_feistel_pseudonyms": pseudonyms.query,
     "op9_nnpu_toxicity": toxicity.query,
     "op10_latent_decontamination": decontaminate.query,
+    "op11_license_signatures": license_scan.query,
     "op12_viterbi_repair": chat_repair.query,
     "op13_merkle_manifest": merkle.query,
 }
@@ -23,6 +24,7 @@ ORACLE: dict[str, str] = {
     "op3_risk_controlled_rules": quality_rules.sql(),
     "op5_prefix_tree_join": ngram_join.SQL,
     "op7_entropy_secrets": secret_scan.sql(),
+    "op11_license_signatures": license_scan.sql(),
     "op12_viterbi_repair": chat_repair.sql(),
     "op13_merkle_manifest": merkle.sql(),
 }
