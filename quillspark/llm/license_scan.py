@@ -119,10 +119,10 @@ ADDRESSES = {
     "mpl": ("mozilla org (mpl|en) (us|mpl)? mpl?", "1.1 2.0"),
     "epl": ("eclipse org legal epl", "1.0 2.0"),
     "bsl": ("boost org license", "1.0"),
-    "mit": ("opensource org licenses? mit", ""),
-    "isc": ("opensource org licenses? isc", ""),
-    "bsd-2-clause": ("opensource org licenses? bsd 2 clause", ""),
-    "bsd-3-clause": ("opensource org licenses? bsd 3 clause", ""),
+    "mit": ("opensource org (licenses|license) mit", ""),
+    "isc": ("opensource org (licenses|license) isc", ""),
+    "bsd-2-clause": ("opensource org (licenses|license) bsd 2 clause", ""),
+    "bsd-3-clause": ("opensource org (licenses|license) bsd 3 clause", ""),
     "cc0": ("creativecommons org publicdomain zero", "1.0"),
     "odbl": ("opendatacommons org licenses odbl", "1.0"),
     "unlicense": ("unlicense org", ""),
@@ -135,7 +135,7 @@ SENTENCES = [
     ("isc", "permission to use copy modify and (or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
     ("0bsd", "permission to use copy modify and (or)? distribute this software for any purpose with or without fee is hereby granted the software is provided"),
     ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted *120 neither the names? of"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted *120 neither the (name|names) of"),
     ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
