@@ -41,8 +41,8 @@ SUITE_LABELS = {
     "misraj_dococr": "misraj_dococr",
     "arocrbench_khattparagraph": "khatt (handwritten ¶)",
 }
-#: A line that starts and ends with a pipe; (?d): only \n ends a line.
-PIPE_LINE = r"(?md)^[\s\x1c-\x1f]*\|.*\|[\s\x1c-\x1f]*$"
+#: White space of ASCII but for the line end.
+BLANK = "\t\x0b\f\r\x1c\x1d\x1e\x1f "
 
 
 @F.pandas_udf(T_.StringType())
@@ -72,15 +72,26 @@ def eval_norm(c: Column, composed: bool = False, keep_vowels: bool = False) -> C
     return collapse(F.translate(c, ALEFS, ALEF * len(ALEFS)))
 
 
+def _paired(c: Column, pattern: str, closing: str, to: str) -> Column:
+    """Replacement of a pattern that ends in a closing tag; it is searched up to the last such tag only, so that opening
+    tags that are never closed do not each look through the rest of the text."""
+    rest = F.substring_index(c, closing, -1)
+    return F.concat(F.regexp_replace(F.left(c, F.length(c) - F.length(rest)), pattern, to), rest)
+
+
 def html_to_md(c: Column) -> Column:
     """Bold, italics, underline and paragraphs of simple markup; case-sensitive."""
-    for pattern, to in ((r"(?s)<b>(.*?)</b>", "**$1**"), (r"(?s)<i>(.*?)</i>", "*$1*"), (r"</?u>", ""), (r"</p>[\s\x1c-\x1f]*<p>", "\n\n"), (r"</?p>", "")):
+    c = _paired(_paired(c, r"(?s)<b>(.*?)</b>", "</b>", "**$1**"), r"(?s)<i>(.*?)</i>", "</i>", "*$1*")
+    for pattern, to in ((r"</?u>", ""), (r"</p>[\s\x1c-\x1f]*+<p>", "\n\n"), (r"</?p>", "")):
         c = F.regexp_replace(c, pattern, to)
     return strip(c)
 
 
 def drop_images(c: Column) -> Column:
-    return F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", "")
+    """Without image references. What begins like one and is none is passed over as a whole (the first alternative, which
+    is put back): all openings in it share the bracket or parenthesis that is missing."""
+    none = r"(!\[[^\]]*+(?:\](?!\()|\z|\]\([^)]*+\z))"
+    return F.regexp_replace(c, rf"{none}|!\[[^\]]*+\]\([^)]*+\)", "$1")
 
 
 def squeeze_blank_lines(c: Column) -> Column:
@@ -89,8 +100,9 @@ def squeeze_blank_lines(c: Column) -> Column:
 
 def unwrap_fence(c: Column) -> Column:
     """The inside of a text that is one plain or markdown code fence; other texts unchanged."""
-    p = r"(?sU)^```(?:markdown)?[\s\x1c-\x1f]*\n(.*?)\n?```[\s\x1c-\x1f]*\z"
-    return F.when(c.rlike(p), strip(F.regexp_extract(c, p, 1))).otherwise(c)
+    opening = F.regexp_extract(c, r"(?U)^```(?:markdown)?[\s\x1c-\x1f]*\n", 0)
+    inside = F.rtrim(F.substring(c, F.length(opening) + 1, F.length(c)), F.lit(WHITE))
+    return F.when((opening != "") & inside.endswith("```"), strip(F.left(inside, F.length(inside) - 3))).otherwise(c)
 
 
 def prompt(i: Column) -> Column:
@@ -102,7 +114,9 @@ def probe(c: Column, size: int = 40) -> Column:
 
 
 def pipe_lines(c: Column) -> Column:
-    return F.size(F.regexp_extract_all(c, F.lit(PIPE_LINE), F.lit(0)))
+    """Lines that start and end with a pipe, a second one."""
+    bare = F.transform(F.split(c, "\n", -1), lambda line: F.btrim(line, F.lit(BLANK)))
+    return F.size(F.filter(bare, lambda line: line.startswith("|") & line.endswith("|") & (F.length(line) > 1)))
 
 
 def has_md_table(c: Column) -> Column:

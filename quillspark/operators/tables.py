@@ -7,6 +7,7 @@ distance of two trees with the product of theirs.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -18,14 +19,16 @@ from pyspark.sql import types as T_
 
 from ..functions.text import collapse, strip
 
-_S = r"[\s\x1c-\x1f]"
-SEPARATOR = rf"(?U)^{_S}*\|?(?:{_S}|[:\-])+\|(?:{_S}|[:\-|])*\z"
-
-
 #: Lines that are joined at once, so that a page's arrays do not grow line by line.
 PAGE = 256
 
 
+def separates(line: Column, bare: Column) -> Column:
+    """Whether a pipe row has pipes, dashes, colons and white space alone, and something other than a pipe before its
+    second one, be it white space before the first. One class of characters, possessive: no step goes back."""
+    return bare.rlike(r"(?U)^\|[\s\x1c-\x1f:\-|]*+\z") & (~line.startswith("|") | ~bare.startswith("||"))
+
+
 def md_tables_to_html(text: Column) -> Column:
     """Runs of two or more pipe rows become a table, one line a row; separator rows go; everything else is untouched.
     One left-to-right fold over the lines: `buf` holds the run's lines, `rows` its rendered data rows, `cur` the latest
@@ -45,10 +48,9 @@ def md_tables_to_html(text: Column) -> Column:
     def step(acc, x):
         line, bare = x["line"], x["bare"]
         is_row = bare.startswith("|") & bare.endswith("|") & (F.length(bare) > 2)
-        inner = F.regexp_replace(bare, r"^\|+|\|+$", "")
-        cells = F.array_join(F.transform(F.split(inner, r"\|", -1), lambda c: F.concat(F.lit("<td>"), strip(c), F.lit("</td>"))), "")
+        cells = F.array_join(F.transform(F.split(F.btrim(bare, F.lit("|")), r"\|", -1), lambda c: F.concat(F.lit("<td>"), strip(c), F.lit("</td>"))), "")
         row = F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))
-        kept = F.when(line.rlike(SEPARATOR), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row)))
+        kept = F.when(separates(line, bare), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row)))
         inside = F.struct(acc["out"].alias("out"), acc["cur"].alias("cur"), F.concat(acc["buf"], F.array(line)).alias("buf"), kept.alias("rows"))
         return F.when(is_row, inside).otherwise(paged(acc, F.concat(flushed(acc), F.array(line))))
 
@@ -60,22 +62,42 @@ def md_tables_to_html(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("|")), done).otherwise(text)
 
 
-def _pipe_table(block: re.Match) -> str:
-    """The pipe table of one HTML table; the block itself if it has no cell."""
-    grid = []
-    for row in re.finditer(r"(?is)<tr[^>]*>(.*?)</tr>", block[1]):
-        grid.append([re.sub(r"<[^>]+>", "", cell[1]).strip() for cell in re.finditer(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", row[1])])
-    grid = [row for row in grid if row]
-    if not grid:
-        return block[0]
-    width = max(len(row) for row in grid)
-    head, *rest = (f"| {' | '.join(row + [''] * (width - len(row)))} |" for row in grid)
-    return "\n".join([head, "|" + "---|" * width, *rest])
+#: Elements by their opening and closing tags; an opening tag's name may go on.
+_TABLE, _ROW, _CELL = ((re.compile(rf"(?i)<{name}[^>]*>"), re.compile(rf"(?i)</{name}>")) for name in ("table", "tr", "t[dh]"))
+
+
+def _elements(html: str, lo: int, hi: int, kind: tuple[re.Pattern, re.Pattern]) -> Iterator[tuple[int, int, int, int]]:
+    """Start of the element, of its content, end of the content and of the element, for each element of a kind between lo
+    and hi, left to right. An opening tag that is never closed ends the search: none after it is closed either."""
+    opening, closing = kind
+    while (a := opening.search(html, lo, hi)) and (b := closing.search(html, a.end(), hi)):
+        yield a.start(), a.end(), b.start(), b.end()
+        lo = b.end()
+
+
+def _bare(cell: str) -> str:
+    """The cell without tags; what follows the last > has none."""
+    end = cell.rfind(">") + 1
+    return (re.sub(r"<[^>]+>", "", cell[:end]) + cell[end:]).strip()
+
+
+def _with_pipe_tables(html: str) -> str:
+    """The page with its tables that have a cell as pipe tables, the first row as head, short rows filled up."""
+    out, done = [], 0
+    for start, lo, hi, end in _elements(html, 0, len(html), _TABLE):
+        rows = [[_bare(html[c:d]) for _, c, d, _ in _elements(html, a, b, _CELL)] for _, a, b, _ in _elements(html, lo, hi, _ROW)]
+        width = max(map(len, rows), default=0)
+        if width:
+            lines = ["| " + " | ".join(row + [""] * (width - len(row))) + " |" for row in rows if row]
+            lines.insert(1, "|" + "---|" * width)
+            out += [html[done:start], "\n".join(lines)]
+            done = end
+    return "".join([*out, html[done:]])
 
 
 @F.pandas_udf(T_.StringType())
 def html_tables_to_md(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else re.sub(r"(?is)<table[^>]*>(.*?)</table>", _pipe_table, t))
+    return texts.map(lambda t: t if t is None else _with_pipe_tables(t))
 
 
 def content_distance(a: Column, b: Column) -> Column:

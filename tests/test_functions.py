@@ -1,6 +1,7 @@
 """Scalars, tables, similarity, mixtures and readers on hand-made cases."""
 
 import json
+import itertools
 import random
 import re
 
@@ -184,19 +185,18 @@ def test_md_to_html_of_long_pages(spark):
     rng = random.Random(12)
 
     def plain(text):
-        out, run = [], []
-        for line in [*text.split("\n"), None]:
-            if line is not None and line.strip().startswith("|") and line.strip().endswith("|") and len(line.strip()) > 2:
-                run.append(line)
-                continue
-            rows = [x for x in run if not re.match(r"^\s*\|?[\s:\-]+\|[\s:\-|]*$", x)]
-            html = ["<tr>" + "".join(f"<td>{c.strip()}</td>" for c in x.strip().strip("|").split("|")) + "</tr>" for x in rows]
-            out += ["<table>", *html, "</table>"] if len(rows) >= 2 else run
-            out += [line] if line is not None else []
-            run = []
+        """Runs of lines of a kind; pipe runs with two rows or more that are no rulers become a table."""
+        blank = lambda x: x.strip()
+        is_row = lambda x: len(blank(x)) > 2 and {blank(x)[0], blank(x)[-1]} == {"|"}
+        ruler = lambda x: not blank(re.sub("[-:|]", "", x)) and x.partition("|")[0] + blank(x)[1:].partition("|")[0] != ""
+        cells = lambda x: "".join(f"<td>{blank(c)}</td>" for c in blank(x).strip("|").split("|"))
+        out = []
+        for kind, run in ((k, list(g)) for k, g in itertools.groupby(text.split("\n"), is_row)):
+            rows = [f"<tr>{cells(x)}</tr>" for x in run if kind and not ruler(x)]
+            out.append("\n".join(["<table>", *rows, "</table>"] if len(rows) > 1 else run))
         return "\n".join(out)
 
-    pages = ["\n".join(rng.choices(["| a | b |", "|---|---|", " | 1 |2| ", "text", "", "||", "|x|", "| - |", "\u2003| c |"], weights=[9, 2, 9, 2, 1, 1, 3, 1, 2], k=k)) for k in (0, 1, 255, 256, 257, 900, 3000)] + ["|", "| a |\n" * 600]
+    pages = ["\n".join(rng.choices(["| a | b |", "|---|---|", " | 1 |2| ", "text", "", "||", "|x|", "| - |", "\u2003| c |", " |||", "|||", "|:-:| |"], weights=[9, 2, 9, 2, 1, 1, 3, 1, 2, 1, 1, 1], k=k)) for k in (0, 1, 255, 256, 257, 900, 3000)] + ["|", "| a |\n" * 600]
     got = spark.createDataFrame(list(enumerate(pages)), "k long, t string").select("k", tables.md_tables_to_html(F.col("t")).alias("t")).collect()
     assert all(r["t"] == plain(pages[r["k"]]) for r in got)
 
@@ -207,6 +207,47 @@ def test_html_to_md(spark):
     assert one(spark, html, tables.html_tables_to_md) == "| a | b |  |\n|---|---|---|\n| 1 | 2 | 3 |"
 
 
+HOSTILE = {
+    "dashes": "| a |\n|" + "-" * 10_000_000 + "|\n| b |\n| c |",
+    "pipes": "|" * 5_000_000 + "x|",
+    "lines": "\n" * 10_000_000,
+    "openings": "<b>" * 3_000_000,
+    "closed once": "<b>" * 1_000_000 + "</b>" + "<b>" * 1_000_000,
+    "images": "![" * 4_000_000,
+    "images and a bracket": "![" * 3_000_000 + "](" + "![](" * 500_000,
+    "fence": "```" + "\n" * 5_000_000 + "``` x" * 500_000,
+    "tables": "<table>" * 1_000_000 + "<tr>" * 500_000 + "<td>" * 500_000,
+    "cells": "<table><tr>" + "<td>" * 500_000 + "<" * 2_000_000 + "</td></tr></table>",
+    "underscores": "_" * 5_000_000,
+    "colons": ":" * 5_000_000,
+    "spaces": " " * 5_000_000 + "|",
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_texts_end(spark, kind):
+    """Every pattern over 10 MB that invite it to recurse or to go back; what they give is checked on short ones."""
+    c = F.col("t")
+    each = [T.source_norm(c), T.eval_norm(c), T.html_to_md(c), T.drop_images(c), T.squeeze_blank_lines(c), T.unwrap_fence(c), T.probe(c), T.has_md_table(c), T.before_last(c), T.tensor_name(c), T.mix_part(c)["name"], tables.md_tables_to_html(c), tables.html_tables_to_md(c)]
+    row = spark.createDataFrame([(HOSTILE[kind],)], "t string").select(*[F.length(x.cast("string")).alias(f"c{k}") for k, x in enumerate(each)]).first()
+    assert row["c7"] == (4 if kind == "dashes" else 5)
+
+
+def test_markup_equals_plain_patterns(spark):
+    rng = random.Random(8)
+    parts = ["<b>", "</b>", "<i>", "</i>", "![", "](", "]", ")", "(", "x", "\n", "```", "markdown", " ", "|", "</p>", "<p>", "<u>", "\u2003"]
+    said = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
+    said += [f"```{a}{b}\n{c}```{d}" for a in ("", "markdown") for b in ("", " ", "\n") for c in ("x", "", "\n", "``", "a\n") for d in ("", " ", "`", "\n")]
+    got = spark.createDataFrame(list(enumerate(said)), "k long, t string").select("k", T.html_to_md(F.col("t")).alias("md"), T.drop_images(F.col("t")).alias("images"), T.unwrap_fence(F.col("t")).alias("fence"), T.pipe_lines(F.col("t")).alias("pipes")).collect()
+    for r in got:
+        t = md = said[r["k"]]
+        for p, to in ((r"(?s)<b>(.*?)</b>", r"**\1**"), (r"(?s)<i>(.*?)</i>", r"*\1*"), ("</?u>", ""), (r"</p>[\t\n\x0b\f\r \x1c-\x1f]*<p>", "\n\n"), ("</?p>", "")):
+            md = re.sub(p, to, md)
+        fence = re.fullmatch(r"(?s)```(?:markdown)?\s*\n(.*?)\n?```\s*", t)
+        assert (r["md"], r["images"], r["fence"]) == (md.strip(), re.sub(r"!\[[^\]]*\]\([^)]*\)", "", t), fence[1].strip() if fence else t)
+        assert r["pipes"] == len(re.findall(r"(?m)^[\s\x1c-\x1f]*\|.*\|[\s\x1c-\x1f]*$", t, re.ASCII))
+
+
 def nested(tree):
     """(label, children) of a tree in arrays."""
     made = []
