@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,13 @@ def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(seeded(seed, F.col(key)), F.col(key))
 
 
+def in_order(df: DataFrame, seed: int, key: str, first: list[str] = ()) -> DataFrame:
+    """df for a write whose files, by name, hold the rows in seeded order; by the columns of `first` before that. Ranges
+    of the order are sampled by Spark, so no task holds more than its share."""
+    order = [*first, "_h", key]
+    return df.withColumn("_h", seeded(seed, F.col(key))).repartitionByRange(*order).sortWithinPartitions(*order).drop("_h")
+
+
 # decontamination
 
 
@@ -184,19 +192,21 @@ def with_counter(df: DataFrame, order: str | list[str], name: str = "i", by: lis
     rows in the files before. A range may have several files (spark.sql.files.maxRecordsPerFile). No task holds more than
     its range, or a row for each file of a group."""
     order = [*by, *([order] if isinstance(order, str) else order)]
+    own = f"_{uuid.uuid4().hex}_"  # names that no column has
+    file, row, at_, first, n, before, rows = (own + c for c in ("file", "row", "at", "first", "n", "before", "rows"))
+    keys = [f"{own}by{k}" for k in range(len(by))]
     table = stored(df.repartitionByRange(*order, F.monotonically_increasing_id() % 61).sortWithinPartitions(*order), "ranges")
     number = lambda p: F.regexp_extract("_metadata.file_name", p, 1).cast("long")
-    at = table.select("*", F.struct(number(r"part-(\d+)"), F.coalesce(number(r"-c(\d+)"), F.lit(0))).alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    keys = [F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]
-    sizes = at.groupBy(F.col("_file").alias("_at"), *keys).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    group = W.partitionBy(*[f"_by{k}" for k in range(len(by))])
-    ahead = group.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first"), "_total": F.sum("_n").over(group)})
-    same = F.col("_file") == F.col("_at")
-    for k, c in enumerate(by):
-        same &= F.col(c).eqNullSafe(F.col(f"_by{k}"))
-    named = [F.col("_total").alias(total)] if total else []
-    return at.join(before, same).select(*df.columns, (F.col("_before") + F.col("_row") + 1).cast("long").alias(name), *named)
+    at = table.select("*", F.struct(number(r"part-(\d+)"), F.coalesce(number(r"-c(\d+)"), F.lit(0))).alias(file), F.col("_metadata.row_index").alias(row))
+    sizes = at.groupBy(F.col(file).alias(at_), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.min(row).alias(first), F.count("*").alias(n))
+    group = W.partitionBy(*keys)
+    ahead = group.orderBy(at_).rowsBetween(W.unboundedPreceding, -1)
+    sums = sizes.withColumns({before: F.coalesce(F.sum(n).over(ahead), F.lit(0)) - F.col(first), rows: F.sum(n).over(group)})
+    same = F.col(file) == F.col(at_)
+    for c, k in zip(by, keys, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(k))
+    named = [F.col(rows).alias(total)] if total else []
+    return at.join(sums, same).select(*df.columns, (F.col(before) + F.col(row) + 1).cast("long").alias(name), *named)
 
 
 def exact_sample(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import cuts, exact_sample, place  # noqa: F401
+from .corpus import cuts, exact_sample, in_order, place  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -70,3 +70,10 @@ def smoke(df: DataFrame, key: str, seed: int = 42, rows: int = 2000) -> DataFram
     """The first `rows` rows in seeded order, or all where there are fewer."""
     cut = cuts(df, F.lit(0), key, seed, lambda n, _: F.lit(rows)).select("_cut")
     return df.join(cut, place(seed, key) <= F.col("_cut"), "left_semi")  # a table of one row
+
+
+def save(mixed: DataFrame, path: str, recipe: Recipe, key: str) -> None:
+    """Write a mixture in the recipe's seeded order of row and copy, so that a reader meets its sources interleaved."""
+    name = "_row"
+    rows = mixed.withColumn(name, F.concat_ws(":", F.col(key).cast("string"), F.col("copy").cast("string")))
+    in_order(rows, recipe.seed, name).drop(name).write.mode("overwrite").parquet(path)

@@ -565,7 +565,7 @@ def _plain_sql(name):
 def builders_plain(spark, d):
     out = None
     for name in PLAIN:
-        part = builders.BUILDERS[name](sized_docs(spark, d))
+        part = builders.BUILDERS[name](sized_docs(spark, d)).drop("key")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -582,12 +582,16 @@ def builder_chat(spark, d):
     said = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     flat = F.col("idx") % 3 == 0
     rows = c.select("idx", F.when(~flat, said).alias("messages"), F.when(flat, F.concat(F.lit("flat "), F.col("idx").cast("string"))).alias("assistant_content"))
-    return builders.BUILDERS["qari10k"](rows)
+    return builders.BUILDERS["qari10k"](rows).drop("key")
 
 
 @query(rf"""WITH m AS (SELECT page_id AS idx, {ORACLE["html_markup_to_md"].split(",", 1)[1].rsplit(" AS md", 1)[0]} AS text FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 0),
 v AS (SELECT idx, {NORMED} AS response FROM m) SELECT idx, {PROMPT_SQL}[row_number() OVER (ORDER BY idx % 2, idx) % 5 + 1] AS prompt, response, 'namaa_qari03' AS source, 'doc_markdown' AS domain, 40 AS w, 30 AS h FROM v WHERE length(response) >= 2""")
 def builder_namaa(spark, d):
+    return namaa_rows(spark, d).drop("key")
+
+
+def namaa_rows(spark, d):
     """Pages in two splits; every fifth has no image file, every seventh an empty one."""
     p = read(spark, d, "pages").select(F.col("page_id").alias("idx"), F.concat(F.lit("a/b/"), F.col("page_id").cast("string"), F.lit(".png")).alias("image"), F.col("html").alias("text"))
     files = p.where("idx % 5 <> 0").select(F.substring_index("image", "/", -1).alias("name"), F.when(F.col("idx") % 7 == 0, 0).otherwise(9).alias("length"), F.lit(40).alias("w"), F.lit(30).alias("h"))
@@ -598,6 +602,10 @@ def builder_namaa(spark, d):
 v AS (SELECT idx, region, cat, CASE region WHEN 0 THEN text ELSE lower(text) END AS response, CASE region WHEN 0 THEN 30 ELSE (idx % 20)::int END AS w FROM n)
 SELECT idx, {PROMPT_SQL}[row_number() OVER (ORDER BY idx, region) % 5 + 1] AS prompt, response, 'jayanthmuthu_' || cat AS source, map {{'Newspaper': 'newspaper', 'Book': 'doc_markdown', 'Other': 'line_real'}}[cat] AS domain, w, 20 AS h FROM v WHERE w >= 12""")
 def builder_regions(spark, d):
+    return region_rows(spark, d).drop("key")
+
+
+def region_rows(spark, d):
     """Two transcribed regions a nation, the second as wide as its key allows, and one without a transcription."""
     tag = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
     point = lambda x, y: F.array(x.cast("double"), F.lit(y).cast("double"))
@@ -612,13 +620,13 @@ def builder_regions(spark, d):
 @query(f"""WITH {SIZED_SQL}, src AS (SELECT idx AS id, response AS text, w, h FROM s WHERE {ROW_OK} AND NOT contains(coalesce(own, ''), 'arocrbench')), {STACK_SQL}
 SELECT grp AS idx, {PROMPT_SQL}[(grp + 1) % 5 + 1] AS prompt, text AS response, 'okai_muharaf_para' AS source, 'handwritten_paragraph' AS domain, w, h FROM ss""")
 def builder_stacked(spark, d):
-    return builders.BUILDERS["okai_para"](sized_docs(spark, d))
+    return builders.BUILDERS["okai_para"](sized_docs(spark, d)).drop("key")
 
 
 @query(rf"""WITH {SIZED_SQL}, c AS (SELECT *, regexp_replace(response, '{WS}+', ' ', 'g') AS body FROM s)
 SELECT idx, {PROMPT_SQL}[row_number() OVER (ORDER BY idx) % 5 + 1] AS prompt, response, 'khatt_para' AS source, 'handwritten_para_real' AS domain, w, h FROM c WHERE NOT {DIRTY} AND {ROW_OK}""")
 def builder_paragraphs(spark, d):
-    return builders.BUILDERS["khatt_para"](sized_docs(spark, d), read(spark, d, "benchmark"))
+    return builders.BUILDERS["khatt_para"](sized_docs(spark, d), read(spark, d, "benchmark")).drop("key")
 
 
 @query(rf"""WITH l AS (SELECT conv_id * 1000 + turn AS idx, 's' || (conv_id % 2) AS split, conv_id // 2 AS para, {NORMED} AS response FROM conversations),
@@ -628,7 +636,7 @@ def builder_lines(spark, d):
     """Turns as lines, written backwards; a paragraph is a conversation within its split. Every eleventh has no image."""
     c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.concat(F.lit("s"), (F.col("conv_id") % 2).cast("string")).alias("split"), F.concat_ws("_", F.lit("p"), F.floor(F.col("conv_id") / 2).cast("string"), "turn").alias("file_name"), F.reverse("text").alias("text"))
     files = c.where("idx % 11 <> 0").select("split", "file_name", F.lit(40).alias("w"), F.lit(30).alias("h")).distinct()
-    return builders.BUILDERS["khatt_lines"](c, read(spark, d, "benchmark"), files)
+    return builders.BUILDERS["khatt_lines"](c, read(spark, d, "benchmark"), files).drop("key")
 
 
 ASSEMBLED = ["aallail", "hastyle", "okai"]
@@ -650,6 +658,39 @@ def corpus_assembly(spark, d):
     return said("source", "source").unionByName(said("domain", "domain")).unionByName(total("total_train", train)).unionByName(total("total_val", val))
 
 
+@query(f"""WITH {SIZED_SQL}, u AS ({' UNION ALL '.join(f"SELECT '{n}:' || idx AS id, domain FROM ({_plain_sql(n)})" for n in ASSEMBLED)}),
+k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5('42:' || id), id) <= 400 AS val FROM u)
+SELECT id, CASE WHEN val THEN 'val' ELSE 'unified' END AS part, row_number() OVER (PARTITION BY val ORDER BY md5('42:' || id), id) - 1 AS place FROM k""")
+def corpus_order(spark, d):
+    """Where each row stands in the files of the corpus and of its holdout, which are written in seeded order."""
+    at = f"{scratch.folder(spark)}/order-{uuid.uuid4().hex}"
+    for name in ASSEMBLED:
+        sinks.save_shard(builders.BUILDERS[name](sized_docs(spark, d)), f"{at}/shards/{name}")
+    sinks.save_corpus(sinks.shards(spark, f"{at}/shards"), at)
+    part = lambda name: readers.indexed(spark, f"{at}/{name}/*.parquet", ["id"]).select("id", F.lit(name).alias("part"), F.col("idx").alias("place"))
+    return part("unified").unionByName(part("val"))
+
+
+@query(f"SELECT doc_id, copy, row_number() OVER (ORDER BY md5('42:' || doc_id || ':' || copy), doc_id || ':' || copy) - 1 AS place FROM ({_mix_sql(mix.RECIPES['1'].domains, 42, 'domain', f'(SELECT doc_id, {DOMAIN_SQL} AS domain FROM documents)')})")
+def mixture_order(spark, d):
+    """Where each copy of a row stands in the files of a mixture."""
+    at = f"{scratch.folder(spark)}/mixture-{uuid.uuid4().hex}"
+    mix.save(mix.mix(domains(spark, d), mix.RECIPES["1"], "doc_id").select("doc_id", "copy"), at, mix.RECIPES["1"], "doc_id")
+    return readers.indexed(spark, f"{at}/*.parquet").select("doc_id", "copy", F.col("idx").alias("place"))
+
+
+@query(f"""WITH r AS (SELECT domain FROM ({ORACLE["builder_regions"]}) UNION ALL SELECT domain FROM ({ORACLE["builder_namaa"]}))
+SELECT domain, count(*) AS n, count(*) AS ids, least(count(*), 5) AS held FROM r GROUP BY domain""")
+def shard_ids(spark, d):
+    """Rows, distinct ids and rows held out of the sources whose positions repeat over regions and splits."""
+    at = f"{scratch.folder(spark)}/ids-{uuid.uuid4().hex}"
+    sinks.save_shard(region_rows(spark, d), f"{at}/shards/jayanthmuthu")
+    sinks.save_shard(namaa_rows(spark, d), f"{at}/shards/namaa")
+    sinks.save_corpus(sinks.shards(spark, f"{at}/shards"), at, holdout=5)
+    rows = spark.read.parquet(f"{at}/unified").select("id", "domain", F.lit(0).alias("val")).unionByName(spark.read.parquet(f"{at}/val").select("id", "domain", F.lit(1).alias("val")))
+    return rows.groupBy("domain").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("val").alias("held"))
+
+
 @query("SELECT 'hindawi' AS suite, doc_id AS i, text AS ref FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i < 30")
 def suite_scan(spark, d):
     """The first rows of a suite in stored order; the operator itself takes them."""

@@ -1,4 +1,5 @@
-"""Per-source builders of corpus rows (idx, prompt, response, source, domain, and w, h where images have sizes).
+"""Per-source builders of corpus rows (idx, key, prompt, response, source, domain, and w, h where images have sizes).
+`key` is unique in a source: idx, and the part or region beside it where idx is not.
 
 Most sources are specifications over one generic builder; four have steps of their own. A builder takes DataFrames with
 `idx` (position in the source, from 0) and the source's own columns. Images come as bytes, whose header is read, or as
@@ -96,11 +97,11 @@ def fit(df: DataFrame) -> DataFrame:
     return df.where(valid(F.col("response"), *([F.col("w"), F.col("h")] if {"w", "h"} <= set(df.columns) else [])))
 
 
-def rows(df: DataFrame, tag: Column, domain: Column, counter: Column | None, order: list[str] = ("idx",)) -> DataFrame:
+def rows(df: DataFrame, tag: Column, domain: Column, counter: Column | None, order: list[str] = ("idx",), key: list[str] = ("idx",)) -> DataFrame:
     """Corpus rows; prompts by counter, or by place among these rows from 1 where it is None."""
     df = df.withColumn("_i", counter) if counter is not None else with_counter(df, list(order), "_i")
     keep = [c for c in ("w", "h") if c in df.columns]
-    return df.select("idx", T.prompt(F.col("_i")).alias("prompt"), "response", tag.alias("source"), domain.alias("domain"), *keep)
+    return df.select("idx", F.concat_ws(":", *[F.col(c).cast("string") for c in key]).alias("key"), T.prompt(F.col("_i")).alias("prompt"), "response", tag.alias("source"), domain.alias("domain"), *keep)
 
 
 def build(df: DataFrame, spec: Source) -> DataFrame:
@@ -116,7 +117,7 @@ def namaa(splits: Iterable[DataFrame], files: DataFrame) -> DataFrame:
         every = part if every is None else every.unionByName(part)
     found = files.where("length > 0").dropDuplicates(["name"]).drop("length")
     spec = SOURCES["namaa"]
-    return rows(fit(repaired(every.join(found, "name"), spec)), F.lit(spec.tag), F.lit(spec.domain), None, ["part", "idx"])
+    return rows(fit(repaired(every.join(found, "name"), spec)), F.lit(spec.tag), F.lit(spec.domain), None, ["part", "idx"], ["part", "idx"])
 
 
 def regions(df: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def regions(df: DataFrame) -> DataFrame:
     size = {"w": side(F.col("box.x0"), F.col("box.x1")), "h": side(F.col("box.y0"), F.col("box.y1"))}
     named = named.withColumn("response", T.source_norm(F.col("transcription"))).withColumns(size)
     cat = readers.category(F.col("file"))
-    return rows(fit(named), F.concat(F.lit(REGION_TAG), cat), readers.category_domain(cat), None, ["idx", "region"])
+    return rows(fit(named), F.concat(F.lit(REGION_TAG), cat), readers.category_domain(cat), None, ["idx", "region"], ["idx", "region"])
 
 
 def stacked(df: DataFrame, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, metrics
+from .scratch import stored
 
 
 def _path(spark: SparkSession, path: str):
@@ -39,44 +40,60 @@ def save_shard(df: DataFrame, path: str, force: bool = False) -> int | None:
 
 
 def shards(spark: SparkSession, folder: str) -> DataFrame:
-    """All complete shards of a folder, with `shard`, their name, and `id`, unique to the row. The order of names, not of
-    the file system, decides nothing: the later shuffle is by id."""
-    fs, p = _path(spark, folder)
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and complete(spark, f"{folder}/{s.getPath().getName()}"))
+    """All complete shards of a folder, with `shard`, their name, and `id`, unique to the row: its key (of older shards:
+    idx) in its shard. The order of names, not of the file system, decides nothing: the later shuffle is by id."""
     out = None
-    for name in names:
-        part = spark.read.parquet(f"{folder}/{name}").withColumn("shard", F.lit(name))
+    for name in shard_names(spark, folder):
+        part = spark.read.parquet(f"{folder}/{name}")
+        part = part.withColumns({"shard": F.lit(name), "id": F.concat_ws(":", F.lit(name), "key" if "key" in part.columns else "idx")})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no complete shard in {folder}")
-    return out.withColumn("id", F.concat_ws(":", "shard", "idx"))
+    return out
+
 
+def shard_names(spark: SparkSession, folder: str) -> list[str]:
+    """The complete shards of a folder, sorted."""
+    fs, p = _path(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and complete(spark, f"{folder}/{s.getPath().getName()}"))
 
-def save_corpus(rows: DataFrame, folder: str, key: str = "id", holdout: int = corpus.HOLDOUT) -> dict:
-    """Split off the holdout, write `unified`, `val` and STATS.md, and return the counts. The split is written once, by
-    split; both tables are its parts."""
+
+def save_corpus(rows: DataFrame, folder: str, key: str = "id", holdout: int = corpus.HOLDOUT, seed: int = 42) -> dict:
+    """Split off the holdout, write `unified` and `val`, each in seeded order, and STATS.md, and return the counts. Both
+    are written at once, by split, and then get their names. An error where the holdout is not exact, that is where rows
+    share a key."""
     spark = rows.sparkSession
-    corpus.with_holdout(rows, "domain", key, rows=holdout).write.mode("overwrite").partitionBy("split").parquet(f"{folder}/split")
-    split = spark.read.parquet(f"{folder}/split")
-    split.where("split = 'train'").drop("split").write.mode("overwrite").parquet(f"{folder}/unified")
-    split.where("split = 'val'").drop("split").write.mode("overwrite").parquet(f"{folder}/val")
-    n = corpus.totals(split).first()
-    body = stats(corpus.counts(split.where("split = 'train'")), n["total_train"], n["total_val"])
+    split = corpus.with_holdout(rows, "domain", key, seed, holdout)
+    corpus.in_order(split, seed, key, ["split"]).write.mode("overwrite").partitionBy("split").parquet(f"{folder}/split")
+    fs, at = _path(spark, folder)
+    written = spark.read.schema(f"{split.select(key, 'source', 'domain').schema.toDDL()}, split string").parquet(f"{folder}/split")
+    counted = stored(written.groupBy("split", "source", "domain").agg(F.count("*").alias("n")), "counts")  # a row for each source and domain
+    body = stats(counted)
+    taken = counted.groupBy("domain").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("n"))), F.lit(0)).alias("val"))
+    wrong = taken.where(F.col("val") != F.least("n", F.lit(holdout))).limit(5).collect()
+    if wrong:
+        raise ValueError(f"rows share their {key}: {', '.join(f'{r.val} of {r.n} rows of {r.domain} held out' for r in wrong)}")
+    for name, to in (("train", "unified"), ("val", "val")):
+        made, final = spark._jvm.org.apache.hadoop.fs.Path(at, f"split/split={name}"), spark._jvm.org.apache.hadoop.fs.Path(at, to)
+        fs.delete(final, True)
+        if fs.exists(made):
+            fs.rename(made, final)
+        else:  # no row
+            rows.limit(0).write.parquet(f"{folder}/{to}")
     write_text(spark, f"{folder}/STATS.md", stats_document(body))
-    fs, p = _path(spark, f"{folder}/split")
-    fs.delete(p, True)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at, "split"), True)
     return body
 
 
-def stats(counted: DataFrame, train: int, val: int) -> dict:
-    """Rows of operators.corpus.counts and the totals as one object; a row for each source and domain."""
-    rows = counted.collect()
-    return {
-        "total_train": train,
-        "total_val": val,
-        "by_source": {r["source"]: r["n"] for r in rows if r["source"] is not None},
-        "by_domain": {r["domain"]: r["n"] for r in rows if r["domain"] is not None},
-    }
+def stats(counted: DataFrame) -> dict:
+    """Rows of split, source, domain and n as one object; a row for each source and domain."""
+    body: dict = {"total_train": 0, "total_val": 0, "by_source": {}, "by_domain": {}}
+    for r in sorted(counted.collect(), key=str):
+        body[f"total_{r['split']}"] += r["n"]
+        for kind in ("source", "domain"):
+            if r["split"] == "train" and r[kind] is not None:
+                body[f"by_{kind}"][r[kind]] = body[f"by_{kind}"].get(r[kind], 0) + r["n"]
+    return body
 
 
 def stats_document(body: dict) -> str:

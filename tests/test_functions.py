@@ -1,6 +1,7 @@
 """Scalars, tables, similarity, mixtures and readers on hand-made cases."""
 
 import json
+import hashlib
 import itertools
 import random
 import re
@@ -377,7 +378,7 @@ def test_merge_and_its_report(spark, tmp_path):
 
 def test_builders(spark):
     df = spark.createDataFrame([(0, "a", 50, 50), (1, " ok one ", 50, 50), (2, "ok two", 9, 50), (3, "ok three", 50, 50)], "idx long, text string, w int, h int")
-    got = [tuple(r)[1:] for r in builders.build(df, builders.SOURCES["khatt_para"]).orderBy("idx").collect()]
+    got = [tuple(r)[2:] for r in builders.build(df, builders.SOURCES["khatt_para"]).orderBy("idx").collect()]
     assert got == [(T.PROMPTS[1], "ok one", "khatt_para", "handwritten_para_real", 50, 50), (T.PROMPTS[2], "ok three", "khatt_para", "handwritten_para_real", 50, 50)]
     chat = spark.createDataFrame([(0, [("<|User|>", "q"), ("<|Assistant|>", "from chat")], "flat"), (1, None, "flat"), (2, [("<|Assistant|>", "alone")], "flat"), (3, [], "flat 3")], "idx long, messages array<struct<role: string, content: string>>, assistant_content string")
     assert [r["response"] for r in builders.build(chat, builders.SOURCES["qari10k"]).orderBy("idx").collect()] == ["from chat", "flat", "flat 3"]
@@ -419,6 +420,27 @@ def test_corpus_is_written_and_resumed(spark, tmp_path):
     assert train.count() == 40 and val.count() == 20 and train.join(val, "id").count() == 0
     with pytest.raises(ValueError, match="no complete shard"):
         sinks.shards(spark, f"{at}/broken")
+    for name, n in (("unified", 40), ("val", 20)):
+        ids = [r["id"] for r in readers.indexed(spark, f"{tmp_path}/{name}/*.parquet", ["id"]).orderBy("idx").collect()]
+        assert len(ids) == n and ids == sorted(ids, key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    clash = spark.range(40).select(F.col("id") % 8, F.lit("s").alias("source"), F.lit("d").alias("domain"))
+    with pytest.raises(ValueError, match="share their id"):
+        sinks.save_corpus(clash.toDF("id", "source", "domain"), f"{tmp_path}/clash", holdout=3)
+    none = sinks.save_corpus(sinks.shards(spark, at).limit(0), f"{tmp_path}/none")
+    assert none["total_train"] == 0 and spark.read.parquet(f"{tmp_path}/none/val").count() == 0
+
+
+def test_counters_over_several_files_a_task(spark):
+    df = spark.createDataFrame([(k % 3, (k * 7919) % 1000) for k in range(1000)], "g int, k long")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 30)
+    try:
+        all_, by = corpus.with_counter(df, "k").collect(), corpus.with_counter(df, "k", "i", by=["g"], total="n").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((r["i"], r["k"]) for r in all_) == [(k + 1, k) for k in range(1000)]
+    for g in range(3):
+        own = sorted((r["i"], r["k"]) for r in by if r["g"] == g)
+        assert [i for i, _ in own] == list(range(1, len(own) + 1)) and [k for _, k in own] == sorted(k for _, k in own) and {r["n"] for r in by if r["g"] == g} == {len(own)}
 
 
 def test_commands(spark, tmp_path):
