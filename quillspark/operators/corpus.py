@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import stored
+from . import probing
 
 #: Least text length and image side, holdout rows a domain, length of a probe.
 LEAST_TEXT, LEAST_SIDE, HOLDOUT, PROBE = 2, 12, 400, 40
-HEAD, LISTED = 16, 1000
+#: Characters of a head; characters of probes that every task may hold.
+HEAD, LISTED = 16, 1 << 26
 
 
 def valid(text: Column, w: Column | None = None, h: Column | None = None) -> Column:
@@ -56,12 +58,27 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _in(values: list) -> Callable[[Column], Column]:
-    return lambda c: c.isin(values)
+def listed(found: DataFrame) -> list[str] | None:
+    """The probes, if there are LISTED characters of them at most, and LISTED / 40 of them; else None."""
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("probe")), F.lit(0)).alias("chars")).first()
+    return [r["probe"] for r in found.collect()] if size["chars"] <= LISTED and size["n"] <= LISTED // PROBE else None
+
+
+def flagged(docs: DataFrame, found: DataFrame, text: str, name: str = "dirty") -> DataFrame:
+    """docs with `name`, whether the text contains a probe once its white space is collapsed; a null text does not. A
+    list of up to LISTED characters goes to the tasks, which decide in place; with a longer one, which no task should
+    hold, the texts that `contaminated` names are joined."""
+    known = listed(found)
+    said = T.collapse(F.coalesce(F.col(text), F.lit("")))
+    if known is not None:
+        return docs.withColumn(name, F.lit(False) if not known else probing.filtered(docs.sparkSession, known)(said))
+    bad = contaminated(docs, found, text).withColumnRenamed("_id", f"_{name}_id").withColumn(name, F.lit(True))
+    return docs.drop(name).join(bad, text_id(docs[text]) == bad[f"_{name}_id"], "left").drop(f"_{name}_id").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def contaminated(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """The text_id, as `_id`, of every text of docs that contains a probe once its white space is collapsed.
+    """The text_id, as `_id`, of every text of docs that contains a probe once its white space is collapsed; for lists of
+    any length.
 
     A text that contains a probe has, after some space, the HEAD characters that follow the probe's first space. These
     meet in an equi-join, which neither long documents nor long probe lists make quadratic, and only the pairs that meet
@@ -80,9 +97,6 @@ def contaminated(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
         pattern = rf"(?s){' ' if kind['spaced'] else ''}(?=(.{{{kind['size']}}}))"
         own = headed.where((F.col("spaced") == kind["spaced"]) & (F.col("size") == kind["size"])).select("head", "probe")
         heads = F.regexp_extract_all(T.collapse(F.col("said")), F.lit(pattern), F.lit(1))
-        listed = [r["head"] for r in own.select("head").distinct().limit(LISTED + 1).collect()]
-        if len(listed) <= LISTED:  # a short list goes along with the query, so that only its heads are exploded
-            heads = F.filter(heads, _in(listed))
         met = said.select("_id", F.explode(F.array_distinct(heads)).alias("head")).join(own, "head").select("_id", "probe").distinct()
         out = out.unionByName(said.join(met, "_id").where(F.contains(T.collapse(F.col("said")), F.col("probe"))).select("_id"))
     return out.distinct()
@@ -91,8 +105,8 @@ def contaminated(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
     """docs without the rows whose text contains a probe. Rows are judged by their text alone: they need no key, and
     neither a null key nor one that occurs twice matters. A null text is clean."""
-    bad = contaminated(docs, probes(benchmark), text)
-    return docs.join(bad, text_id(docs[text]) == bad["_id"], "left_anti")
+    name = f"_{uuid.uuid4().hex}"
+    return flagged(docs, probes(benchmark), text, name).where(~F.col(name)).drop(name)
 
 
 def decontaminate_by_probe(docs: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
@@ -110,8 +124,7 @@ def decontaminate_groups(lines: DataFrame, benchmark: DataFrame, group: str | li
     """All lines of a group go if the joined group contains a probe. Lines whose group is null are a group."""
     group = [group] if isinstance(group, str) else group
     whole = group_texts(lines, group, pos, text)
-    bad = contaminated(whole, probes(benchmark), "_text")
-    dirty = whole.join(bad, text_id(whole["_text"]) == bad["_id"], "left_semi").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
+    dirty = flagged(whole, probes(benchmark), "_text", "_dirty").where("_dirty").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
     same = [lines[g].eqNullSafe(dirty[f"_g{i}"]) for i, g in enumerate(group)]
     return lines.join(dirty, same, "left_anti")
 

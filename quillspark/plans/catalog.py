@@ -51,10 +51,9 @@ COLLAPSED = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{WS}+', ' ', '
 
 
 def flagship(spark: SparkSession, d: str, holdout: int = corpus.HOLDOUT) -> DataFrame:
-    """Repair, validity, decontamination, holdout, then counts by source and domain of the training rows. Repaired rows
-    are written once, as the shards of a build are, and so are the clean rows' keys; their texts are not needed then."""
+    """Repair, validity, decontamination, holdout, then counts by source and domain of the training rows. One pass over
+    the texts writes the clean rows' keys, which is all that the rest needs."""
     rows = as_rows(spark, d).withColumn("response", T.source_norm(F.col("response"))).where(corpus.valid(F.col("response")))
-    rows = scratch.stored(rows, "repaired")
     clean = corpus.decontaminate(rows, read(spark, d, "benchmark"), "response").select("doc_id", "source", "domain")
     clean = scratch.stored(clean, "clean")
     return corpus.counts(corpus.with_holdout(clean, "domain", "doc_id", rows=holdout).where("split = 'train'"))
@@ -158,6 +157,20 @@ def decontaminate_rows(spark, d):
     return corpus.decontaminate(twice, read(spark, d, "benchmark"), "text").select("id")
 
 
+#: Probes of every document: what follows its first PLACE characters. Texts are met by heads, as positions of both sides.
+LONG = 48
+
+
+@query(rf"""WITH b AS (SELECT doc_id, {COLLAPSED} AS body FROM documents), p AS (SELECT DISTINCT substr(body, 1 + {LONG}, 40) AS probe FROM b WHERE length(body) >= {LONG} + 40),
+w AS (SELECT doc_id, body, unnest(range(1, length(body) - 38)) AS pos FROM b WHERE length(body) >= 40)
+SELECT doc_id, count(DISTINCT probe) > 0 AS dirty FROM b LEFT JOIN (SELECT w.doc_id, probe FROM w JOIN p ON substr(w.body, pos, 40) = probe) USING (doc_id) GROUP BY doc_id""")
+def probe_filter(spark, d):
+    """Which documents hold the 40 characters from the 49th on of any document: a probe list as long as the corpus."""
+    rows = docs(spark, d).select("doc_id", T.collapse(F.coalesce("text", F.lit(""))).alias("body"))
+    own = rows.where(F.length("body") >= LONG + corpus.PROBE).select(F.substring("body", 1 + LONG, corpus.PROBE).alias("probe")).distinct()
+    return corpus.flagged(rows.select("doc_id", "body"), own, "body").select("doc_id", "dirty")
+
+
 @query(rf"SELECT doc_id FROM (SELECT doc_id, {COLLAPSED} AS body FROM documents) WHERE NOT {DIRTY}")
 def decontaminate_shingles(spark, d):
     return corpus.decontaminate(docs(spark, d).select("doc_id", "text"), read(spark, d, "benchmark"), "text").select("doc_id")
@@ -524,8 +537,7 @@ SELECT count(*) AS n, count(*) FILTER (out) AS excluded, count(*) FILTER (NOT ou
 def dropped_counters(spark, d):
     """What a build drops, by the first rule that applies."""
     rows = docs(spark, d).select("doc_id", "text", F.contains(F.coalesce("source", F.lit("")), F.lit("src1")).alias("out"), (~corpus.valid(T.source_norm(F.col("text")))).alias("bad"))
-    bad = corpus.contaminated(rows, corpus.probes(read(spark, d, "benchmark")), "text")
-    seen = rows.select(corpus.text_id(F.col("text")).alias("_id"), "out", "bad").join(bad.withColumn("dirty", F.lit(True)), "_id", "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
+    seen = corpus.flagged(rows, corpus.probes(read(spark, d, "benchmark")), "text")
     return seen.agg(F.count("*").alias("n"), F.count_if("out").alias("excluded"), F.count_if(~F.col("out") & F.col("bad")).alias("invalid"), F.count_if(~F.col("out") & ~F.col("bad") & F.col("dirty")).alias("contaminated"))
 
 

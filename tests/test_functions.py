@@ -6,12 +6,13 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import image as I
 from quillspark.functions import text as T
-from quillspark.operators import corpus, linalg, metrics, mix, pairs, tables
+from quillspark.operators import corpus, linalg, metrics, mix, pairs, probing, tables
 from quillspark.sources import builders, readers, sinks
 from quillspark.streaming.ingest import ingest
 
@@ -115,7 +116,7 @@ def test_random_stacks(spark, monkeypatch):
     assert corpus.stacks(df.limit(0), "id", "text").count() == 0
 
 
-@pytest.mark.parametrize("listed", [0, 1000])
+@pytest.mark.parametrize("listed", [0, 1 << 26])
 def test_decontamination_of_rows(spark, monkeypatch, listed):
     monkeypatch.setattr(corpus, "LISTED", listed)
     # by row: null and repeated keys don't matter, a null text is clean; all kinds of probes, against the nested loop
@@ -129,6 +130,29 @@ def test_decontamination_of_rows(spark, monkeypatch, listed):
     assert corpus.decontaminate(docs, bench.limit(0), "text").count() == len(said) and corpus.decontaminate(docs.limit(0), bench, "text").count() == 0
 
 
+def test_probe_tables_equal_search():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 9)))
+    said = lambda n: " ".join(word() for _ in range(rng.randint(0, n)))
+    for _ in range(60):
+        probes = sorted({p for p in (said(rng.choice([1, 2, 3, 6]))[: rng.randint(1, 40)] for _ in range(rng.randint(0, 12))) if p})
+        texts = [said(30) for _ in range(20)] + ["", None, "a"] + [f"{said(3)}{rng.choice(probes)}{said(3)}" for _ in range(5) if probes]
+        column = pa.array(["skipped", *texts])[1:]
+        assert probing.containing(column, probing.tables(probes)).tolist() == [any(p in (t or "") for p in probes) for t in texts]
+    assert probing.containing(pa.array([], pa.string()), probing.tables(["x"])).tolist() == []
+
+
+def test_probe_lists_that_no_task_holds(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k} of  some words, and {k * k} more") for k in range(200)] + [(200, None)], "id long, text string")
+    bench = docs.where("id % 7 = 0")
+    assert "Exchange" not in corpus.flagged(docs, corpus.probes(bench), "text")._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for most in (1 << 26, 100):
+        monkeypatch.setattr(corpus, "LISTED", most)
+        got[most] = {r["id"] for r in corpus.flagged(docs, corpus.probes(bench), "text").where("dirty").collect()}
+    assert got[100] == got[1 << 26] == set(range(0, 200, 7))
+
+
 def test_group_decontamination_and_short_probes(spark):
     lines = spark.createDataFrame([("g", 0, "one two three four five six"), ("g", 1, "seven eight nine ten eleven"), ("h", 0, "other"), (None, 0, "four five six"), (None, 1, "seven eight nine ten eleven")], "g string, pos int, text string")
     bench = spark.createDataFrame([("four five six seven eight nine ten eleven",), (" ",)], "text string")
