@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.edits import distance
 from .tables import table_similarity
 
 #: Looper over 2, good from 0.8 to 1.2; canary limits; decimal places of rates and of table similarity.
@@ -17,7 +18,7 @@ RATE_PLACES, TEDS_PLACES = 4, 2
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:
-    return F.levenshtein(ref, hyp).cast("long")
+    return distance(ref, hyp).cast("long")
 
 
 def words(c: Column) -> Column:
@@ -37,8 +38,10 @@ def word_edits(pairs: DataFrame, by: list[str], ref: str, hyp: str) -> DataFrame
     char = F.decode(F.unhex(F.lpad(F.hex(F.lit(0xFFFF) + rank), 8, "0")), "UTF-32")
     said = each.withColumn("_c", char).groupBy(*key, "_n", "_times").agg(F.array_sort(F.collect_list(F.struct("_pos", "_c"))).alias("_all"))  # one pair's words
     said = said.withColumn("_all", F.array_join(F.transform("_all", lambda x: x["_c"]), ""))
-    edits = F.levenshtein(F.left("_all", F.col("_n")), F.substring(F.col("_all"), F.col("_n") + 1, F.length("_all"))).cast("long")
-    return said.groupBy(*own).agg(F.sum(edits * F.col("_times")).alias("word_edits"), F.sum(F.col("_n") * F.col("_times")).alias("words")).withColumnsRenamed(dict(zip(own, by, strict=True)))
+    said = said.select("*", F.left("_all", F.col("_n")).alias("_a"), F.substring(F.col("_all"), F.col("_n") + 1, F.length("_all")).alias("_b"))
+    edits = distance(F.col("_a"), F.col("_b")).cast("long")
+    said = said.withColumn("_e", edits)
+    return said.groupBy(*own).agg(F.sum(F.col("_e") * F.col("_times")).alias("word_edits"), F.sum(F.col("_n") * F.col("_times")).alias("words")).withColumnsRenamed(dict(zip(own, by, strict=True)))
 
 
 def corpus_rates(pairs: DataFrame, by: list[str], ref: str = "ref", hyp: str = "hyp", word_rate: bool = True) -> DataFrame:

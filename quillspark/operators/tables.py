@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from ..functions.edits import distance, edit_distance
 from ..functions.text import collapse, strip
 
 #: Lines that are joined at once, so that a page's arrays do not grow line by line.
@@ -103,7 +104,7 @@ def html_tables_to_md(texts: pd.Series) -> pd.Series:
 def content_distance(a: Column, b: Column) -> Column:
     """0 for equal cells, 1 if one is empty, else edits over the longer length; white space collapsed."""
     a, b = collapse(a), collapse(b)
-    return F.when(a == b, 0.0).when((a == "") | (b == ""), 1.0).otherwise(F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+    return F.when(a == b, 0.0).when((a == "") | (b == ""), 1.0).otherwise(distance(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
 Label = tuple[str, int, int, str]  # tag, colspan, rowspan, white-space-collapsed text (of cells)
@@ -183,22 +184,12 @@ def parse_tables(html: str) -> list[Tree]:
     return out
 
 
-def _edits(a: str, b: str) -> int:
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
-    at = np.arange(len(y) + 1)
-    row = at
-    for i, c in enumerate(x, 1):
-        step = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (y != c))))
-        row = at + np.minimum.accumulate(step - at)
-    return int(row[-1])
-
-
 def rename_cost(a: Label, b: Label) -> float:
     if a[:3] != b[:3]:
         return 1.0
     if a[0] != "td" or a[3] == b[3]:
         return 0.0
-    return _edits(a[3], b[3]) / max(len(a[3]), len(b[3])) if a[3] and b[3] else 1.0
+    return edit_distance(a[3], b[3]) / max(len(a[3]), len(b[3])) if a[3] and b[3] else 1.0
 
 
 def _costs(a: list[Label], b: list[Label]) -> np.ndarray:

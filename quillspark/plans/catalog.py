@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import image as I
 from ..functions import text as T
-from ..operators import corpus, linalg, metrics, mix, pairs, tables
-from ..sources import builders, readers, scratch, sinks
+from ..operators import corpus, linalg, metrics, mix, pairs, tables, tiles
+from ..sources import builders, readers, saved_datasets, scratch, sinks, tensor_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -495,22 +495,32 @@ mg AS (SELECT bs.m, bs.i, bs.j, bs.v AS old, (bs.v + 2.0::double * coalesce(p.v,
 @query(f"WITH {ADAPTER_SQL} SELECT 'm' || m AS module, i, j, v FROM p")
 def adapter_soup(spark, d):
     """The last module may be in one adapter alone, which a checked soup would refuse."""
-    factors, _ = linalg.soup(*adapters(spark, d), check=False)
-    return linalg.product(factors).select("module", "i", "j", "v")
+    return tiles.cells(tiles.product(factor_tiles(spark, d)), size=BLOCK).select("module", "i", "j", "v")
+
+
+#: Side of a tile, small enough for several blocks a matrix.
+BLOCK = 8
+
+
+def factor_tiles(spark, d):
+    factors, config = adapters(spark, d)
+    return tiles.soup(tiles.tiled(factors, ["adapter", "module", "factor"], BLOCK), config, check=False)
 
 
 @query(f"WITH {ADAPTER_SQL} SELECT 'm' || m AS module, i, j, v, v <> old AS changed FROM mg")
 def adapter_merge(spark, d):
-    factors, _ = linalg.soup(*adapters(spark, d), check=False)
-    return linalg.merge(base_tensors(spark, d), factors, 2.0).select("module", "i", "j", "v", "changed")
+    """Merged in the base's own type, floats."""
+    base = tiles.tiled(base_tensors(spark, d), size=BLOCK, dtype="F32")
+    merged = tiles.cells(tiles.merge(base, factor_tiles(spark, d), 2.0, BLOCK), size=BLOCK)
+    old = base_tensors(spark, d).withColumnRenamed("v", "old")
+    return merged.join(old, ["module", "i", "j"]).select("module", "i", "j", "v", (F.col("v") != F.col("old")).alias("changed"))
 
 
 @query(f"""WITH {ADAPTER_SQL} SELECT (SELECT count(*) FROM dims) AS targets, (SELECT count(*) FROM dims WHERE m IN (SELECT m FROM bm) AND m NOT IN (SELECT m FROM fits)) AS mismatched,
 (SELECT count(*) FROM dims WHERE m NOT IN (SELECT m FROM bm)) AS missing, (SELECT max(abs(v - old)) FROM mg) AS max_change, (SELECT count(*) FROM fits) AS applied""")
 def adapter_merge_report(spark, d):
-    factors, _ = linalg.soup(*adapters(spark, d), check=False)
-    base = base_tensors(spark, d)
-    return linalg.merge_report(base, factors, linalg.merge(base, factors, 2.0))
+    base, factors = tiles.tiled(base_tensors(spark, d), size=BLOCK, dtype="F32"), factor_tiles(spark, d)
+    return tiles.merge_report(tiles.merge(base, factors, 2.0, BLOCK), factors, BLOCK)
 
 
 @query(f"""WITH t AS (SELECT DISTINCT vec_id // {4 * SIDE} AS m, vec_id // {2 * SIDE} % 2 AS a, vec_id // {SIDE} % 2 AS f FROM embeddings), per AS (SELECT m, a, count(*) AS n FROM t GROUP BY m, a)
@@ -582,6 +592,26 @@ def builders_plain(spark, d):
     return out
 
 
+@query("SELECT vec_id, unnest(range(len(embedding)))::bigint AS k, unnest(embedding)::double AS v FROM embeddings")
+def tensor_round_trip(spark, d):
+    """Embeddings as matrices of 4 * SIDE rows, written to tensor files in two shards with an index and read back."""
+    at = f"{scratch.folder(spark)}/tensors-{uuid.uuid4().hex}"
+    rows = read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / (4 * SIDE)).alias("m"), (F.col("vec_id") % (4 * SIDE)).alias("i"), F.posexplode("embedding").alias("j", "v"))
+    each = tiles.tiled(rows.select(F.format_string("m%012d", "m").alias("module"), "i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")), size=BLOCK, dtype="F32")
+    whole = each.join(tiles.shapes(each, size=BLOCK), "module").withColumns({"shape": F.array("height", "width"), "shard": F.format_string("model-%05d-of-00002.safetensors", F.right("module", F.lit(1)).cast("int") % 2 + 1)})
+    tensor_files.save(whole, at)
+    back = tiles.cells(tensor_files.read(spark, at, 2 * BLOCK), size=2 * BLOCK)
+    return back.select((F.substring("module", 2, 12).cast("long") * (4 * SIDE) + F.col("i")).alias("vec_id"), F.col("j").alias("k"), "v")
+
+
+@query(f"WITH {SIZED_SQL}, o AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, own, response, w, h FROM s) {_plain_sql('okai').replace(' FROM s)', ' FROM o)')}")
+def saved_dataset(spark, d):
+    """Documents, in order of their ids, as a saved dataset of Arrow files, from which a builder reads them in its order."""
+    at = f"{scratch.folder(spark)}/saved-{uuid.uuid4().hex}"
+    saved_datasets.save(sized_docs(spark, d).repartitionByRange("idx").sortWithinPartitions("idx").withColumnRenamed("idx", "place"), at)
+    return builders.BUILDERS["okai"](readers.indexed(spark, at, ["text", "source", "w", "h"])).drop("key")
+
+
 CHAT_SQL = f"""first AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS u, min(turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id),
 chat AS (SELECT f.conv_id AS idx, CASE WHEN f.conv_id % 3 = 0 THEN 'flat ' || f.conv_id WHEN f.u IS NOT NULL THEN c.text END AS text FROM first f LEFT JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.a)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import types as T_
 
 from ..functions.image import size_of
+from . import saved_datasets
 
 PREDICTION = "i long, ref string, hyp string"
 SUMMARY = "map<string, struct<cer: double, wer: double, n: long, teds: double, teds_n: long>>"
@@ -34,7 +37,10 @@ DEFAULT_DOMAIN = "line_real"
 
 def indexed(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Rows of the parquet files under a path or glob, with `file` and `idx`, their position from 0 in the order of file
-    names and of rows in a file. Only counts of rows meet in one place, one a file."""
+    names and of rows in a file; of a saved dataset's folder the rows with `idx`, in the order of its state file. Only
+    counts of rows meet in one place, one a file."""
+    if not re.search(r"[*?\[{]", path) and saved_datasets.exists(path):
+        return saved_datasets.read(spark, path, columns)
     df = spark.read.parquet(path)
     at = df.select(*(columns or df.columns), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("_row"))
     sizes = at.groupBy("_path").agg(F.count("*").alias("_n"))

@@ -6,14 +6,16 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import image as I
 from quillspark.functions import text as T
-from quillspark.operators import corpus, linalg, metrics, mix, pairs, probing, tables
-from quillspark.sources import builders, readers, sinks
+from quillspark.functions import edits as edit
+from quillspark.operators import corpus, linalg, metrics, mix, pairs, probing, tables, tiles
+from quillspark.sources import builders, readers, saved_datasets, sinks, tensor_files
 from quillspark.streaming.ingest import ingest
 
 
@@ -380,6 +382,108 @@ def test_soup_is_the_linear_combination(spark):
         linalg.soup(f, c.withColumn("coeff", F.lit(0.0)))
 
 
+def test_tiles_equal_cells_and_round_like_their_base(spark):
+    rng = np.random.default_rng(3)
+    b, a, base = rng.standard_normal((13, 6)), rng.standard_normal((6, 9)), rng.standard_normal((13, 9))
+    cells = lambda x, **more: [(*more.values(), i, j, float(v)) for (i, j), v in np.ndenumerate(x)]
+    rows = cells(a, adapter="p", module="m", factor="A") + cells(b, adapter="p", module="m", factor="B") + cells(a, adapter="p", module="alone", factor="A")
+    factors = tiles.tiled(spark.createDataFrame(rows, "adapter string, module string, factor string, i long, j long, v double"), ["adapter", "module", "factor"], 4)
+    config = spark.createDataFrame([("p", 6, 12, 1.0), ("unused", 6, 12, 0.0)], "adapter string, r int, alpha int, coeff double")
+    soup = tiles.soup(factors, config)
+    got = {(r["i"], r["j"]): r["v"] for r in tiles.cells(tiles.product(soup), size=4).collect()}
+    assert len(got) == 117 and all(abs(got[k] - v) < 1e-9 for k, v in np.ndenumerate(b @ a))
+    for dtype, kind in (("F16", np.float16), ("F32", np.float32), ("F64", float), ("BF16", None)):
+        whole = spark.createDataFrame(cells(base, module="m") + cells(base, module="other"), "module string, i long, j long, v double")
+        merged = tiles.merge(tiles.tiled(whole, size=4, dtype=dtype), soup, 0.5, 4)
+        row = tiles.merge_report(merged, soup, 4).first()
+        assert (row["targets"], row["applied"], row["missing"], row["mismatched"]) == (1, 1, 0, 0) and row["max_change"] > 0
+        made = {(r["module"], r["i"], r["j"]): r["v"] for r in tiles.cells(merged, size=4).collect()}
+        for (i, j), v in np.ndenumerate(base):
+            before = tiles.numbers(tiles.packed(np.array([v]), dtype), dtype)[0]
+            want = before + 0.5 * (b @ a)[i, j]
+            close = abs(made["m", i, j] - want) <= abs(want) / 256 if kind is None else abs(made["m", i, j] - float(kind(want))) <= np.spacing(abs(kind(want))) + 1e-12
+            assert close and made["other", i, j] == before
+    bits = np.array([1.0, 1.0 + 2**-8, 1.0 + 3 * 2**-8, 1.0 + 2**-8 + 2**-20, -2.5, np.inf, 0.0])
+    assert tiles.numbers(tiles.packed(bits, "BF16"), "BF16").tolist() == [1.0, 1.0, 1.0 + 2**-6, 1.0 + 2**-7, -2.5, np.inf, 0.0]
+    assert np.isnan(tiles.numbers(tiles.packed(np.array([np.nan]), "BF16"), "BF16")[0])
+
+
+def test_tensor_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    named = {"a": rng.standard_normal((9, 7)).astype(np.float32), "b": rng.standard_normal(5).astype(np.float16), "c": rng.standard_normal((3, 2, 2)).astype(np.float32)}
+    (tmp_path / "m").mkdir()
+    for shard, names in (("x.safetensors", "ab"), ("y.safetensors", "bc")):  # b is in both; the index decides
+        at, head, body = 0, {"__metadata__": {"k": "v"}}, b""
+        for n in names:
+            data = named[n].tobytes() if not (n == "b" and shard[0] == "y") else b"\0" * 10
+            head[n] = {"dtype": {"float32": "F32", "float16": "F16"}[str(named[n].dtype)], "shape": list(named[n].shape), "data_offsets": [at, at + len(data)]}
+            at, body = at + len(data), body + data
+        said = json.dumps(head).encode()
+        (tmp_path / "m" / shard).write_bytes(len(said).to_bytes(8, "little") + said + body)
+    (tmp_path / "m/model.safetensors.index.json").write_text(json.dumps({"weight_map": {"a": "x.safetensors", "b": "x.safetensors", "c": "y.safetensors"}}))
+    (tmp_path / "m/config.json").write_text("{}")
+
+    def values(path):
+        return {(r["module"], r["i"], r["j"]): r["v"] for r in tiles.cells(tensor_files.read(spark, path, 4), size=4).collect()}
+
+    want = {(n, *k): float(v) for n, x in named.items() for k, v in np.ndenumerate(x.reshape(tensor_files.extent(list(x.shape))))}
+    assert values(str(tmp_path / "m")) == want == values(f"file://{tmp_path}/m")
+    read = tensor_files.read(spark, str(tmp_path / "m"), 4)
+    assert read.rdd.getNumPartitions() == 3  # one a tensor
+    tensor_files.save(read, str(tmp_path / "n"), sidecars=str(tmp_path / "m"))
+    assert values(str(tmp_path / "n")) == want and sorted(p.name for p in (tmp_path / "n").iterdir()) == ["config.json", "model.safetensors.index.json", "x.safetensors", "y.safetensors"]
+    broken = read.where("not (module = 'a' and bj = 1)")  # a tensor without some of its tiles
+    with pytest.raises(Exception, match="lacks tiles"):
+        tensor_files.save(broken, str(tmp_path / "n"))
+    assert values(str(tmp_path / "n")) == want and len(list((tmp_path / "n").iterdir())) == 4
+    with pytest.raises(Exception, match="lacks tiles"):
+        tensor_files.save(broken, str(tmp_path / "none"))
+    assert not list((tmp_path / "none").iterdir())
+
+
+def test_saved_datasets(spark, tmp_path):
+    df = spark.range(100).select("id", F.concat(F.lit("some text "), "id").alias("text"), F.array(F.lit(1), F.lit(None)).alias("xs")).repartition(3, "id")
+    at = str(tmp_path / "d")
+    saved_datasets.save(df, at)
+    state = json.loads((tmp_path / "d/state.json").read_text())
+    files = [pa.ipc.open_stream((tmp_path / "d" / x["filename"]).read_bytes()).read_all() for x in state["_data_files"]]
+    assert len(files) == 3
+    rows = readers.indexed(spark, at).orderBy("idx").collect()
+    assert [r["id"] for r in rows] == [x for t in files for x in t["id"].to_pylist()] and [r["idx"] for r in rows] == list(range(100)) and rows[0]["xs"] == [1, None]
+    only = readers.indexed(spark, at, ["text"])
+    assert only.columns == ["text", "idx"] and builders.BUILDERS["yousefmd"](only).count() == 100
+    saved_datasets.save(df.limit(0), at)
+    assert readers.indexed(spark, at).count() == 0 and not saved_datasets.exists(str(tmp_path))
+    bad = df.withColumn("id", F.when(F.col("id") == 50, F.raise_error("broken")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="broken"):
+        saved_datasets.save(bad, str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").iterdir())
+
+
+def test_edit_distance():
+    rng = random.Random(6)
+    for _ in range(1500):
+        a, b = ("".join(rng.choices("abé𝄞", k=rng.randint(0, 20))) for _ in range(2))
+        want = edits(a, b)
+        assert edit.edit_distance(a, b) == want
+        x, y = sorted((np.array([*map(ord, t)], np.uint32) for t in (a, b)), key=len)
+        if len(x):
+            assert edit.by_bits(x, y) == want
+            for k in (3, 20):
+                assert len(y) - len(x) > k or edit.within(x, y, k) == (want if want <= k else None)
+
+
+def test_edit_distance_of_long_texts(spark, monkeypatch):
+    rng = random.Random(7)
+    a = "".join(rng.choices("abcdefgh ", k=100_000))
+    b = list(a)
+    for _ in range(200):
+        b[rng.randrange(len(b))] = "X"
+    b = "".join(b)
+    rows = spark.createDataFrame([(a, b), (a[:3000], a[1500:4500]), ("x", None), ("", "ab"), ("ab", "b")], "a string, b string").select(edit.distance(F.col("a"), F.col("b")).alias("d"), "a", "b").collect()
+    assert [r["d"] for r in rows] == [sum(x != y for x, y in zip(a, b, strict=True)), edit.edit_distance(a[:3000], a[1500:4500]), None, 2, 1]
+
+
 def test_merge_and_its_report(spark, tmp_path):
     f = spark.createDataFrame([(m, k, 0, 0, 2.0) for m in ("m", "wide", "lost") for k in "AB"] + [("half", "A", 0, 0, 1.0)], "module string, factor string, i long, j long, v double")
     base = spark.createDataFrame([("m", 0, 0, 1.0), ("wide", 0, 0, 1.0), ("wide", 0, 1, 1.0), ("half", 0, 0, 1.0)], "module string, i long, j long, v double")
