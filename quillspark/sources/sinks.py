@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -113,13 +114,18 @@ def save_json(spark: SparkSession, path: str, body: dict) -> None:
 # a table that is rewritten: each version is a folder, and the last complete one counts
 
 
-def latest(spark: SparkSession, path: str) -> int:
-    """The number of the last complete version; -1 if there is none."""
+def versions(spark: SparkSession, path: str, whole: bool = False) -> int:
+    """The largest number of a version, of a complete one if `whole`; -1 if there is none."""
     fs, p = _path(spark, path)
     if not fs.exists(p):
         return -1
     found = [re.fullmatch(r"v(\d+)", s.getPath().getName()) for s in fs.listStatus(p)]
-    return max((int(m[1]) for m in found if m and complete(spark, f"{path}/{m[0]}")), default=-1)
+    return max((int(m[1]) for m in found if m and (not whole or complete(spark, f"{path}/{m[0]}"))), default=-1)
+
+
+def latest(spark: SparkSession, path: str) -> int:
+    """The number of the last complete version; -1 if there is none."""
+    return versions(spark, path, whole=True)
 
 
 def read_version(spark: SparkSession, path: str) -> DataFrame | None:
@@ -127,20 +133,42 @@ def read_version(spark: SparkSession, path: str) -> DataFrame | None:
     return None if n < 0 else spark.read.parquet(f"{path}/v{n}")
 
 
-def write_version(df: DataFrame, path: str) -> None:
-    """The next version. A crash midway leaves the last one in force; versions before that one are removed."""
+def publish(df: DataFrame, path: str, number: int) -> bool:
+    """Write df as version `number`; False, and nothing stays, if another writer was first. The folder gets its name when
+    it is whole, by a rename that fails where the name is taken."""
     spark = df.sparkSession
-    n = latest(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}/v{n + 1}")
-    for k in range(max(0, n - 1), n):
-        fs, p = _path(spark, f"{path}/v{k}")
-        fs.delete(p, True)
+    at = f"{path}/_writing-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    java = spark._jvm.org.apache.hadoop.fs
+    files = java.FileContext.getFileContext(_path(spark, path)[1].toUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(java, "Options$Rename")
+    how = spark._sc._gateway.new_array(kind, 1)
+    how[0] = kind.NONE
+    try:
+        files.rename(java.Path(at), java.Path(f"{path}/v{number}"), how)
+    except Exception as e:  # by name: what is thrown has no class of its own here
+        files.delete(java.Path(at), True)
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+    return True
 
 
 def upsert(new: DataFrame, path: str, key: list[str]) -> None:
-    """Rows of new replace those of the same key; the others stay."""
-    old = read_version(new.sparkSession, path)
-    write_version(new if old is None else metrics.upsert(old, new, key), path)
+    """Rows of new replace those of the same key; the others stay. Of two writers at once one publishes its version and
+    the other merges again on it, so neither's rows are lost. A crash midway leaves the last version in force; versions
+    before the last two are removed."""
+    spark = new.sparkSession
+    while True:
+        number, last = versions(spark, path), latest(spark, path)
+        old = None if last < 0 else spark.read.parquet(f"{path}/v{last}")
+        if publish(new if old is None else metrics.upsert(old, new, key), path, number + 1):
+            break
+    fs, p = _path(spark, path)
+    for s in fs.listStatus(p):
+        m = re.fullmatch(r"v(\d+)", s.getPath().getName())
+        if m and int(m[1]) < last:
+            fs.delete(s.getPath(), True)
 
 
 def save_adapter(factors: DataFrame, config: DataFrame, path: str) -> None:

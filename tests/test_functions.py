@@ -652,6 +652,24 @@ def test_runs_are_scored_and_kept(spark, tmp_path):
     assert {r["c"]: repr((r["mean_cer"], r["mean_ratio"])) for r in nan} == {"c": "(nan, 1.0)", "d": "(0.5, 1.5)"}
 
 
+def test_two_writers_of_a_summary(spark, tmp_path, monkeypatch):
+    path, kind = str(tmp_path / "s"), "suite string, cer double"
+    sinks.upsert(spark.createDataFrame([("a", 0.1), ("b", 0.2)], kind), path, ["suite"])
+    plain, others = metrics.upsert, [("c", 0.3), ("b", 0.9)]
+
+    def late(old, new, key):
+        if others:  # another writer comes in between the read and the write, twice
+            monkeypatch.setattr(metrics, "upsert", plain)
+            sinks.upsert(spark.createDataFrame([others.pop()], kind), path, ["suite"])
+            monkeypatch.setattr(metrics, "upsert", late)
+        return plain(old, new, key)
+
+    monkeypatch.setattr(metrics, "upsert", late)
+    sinks.upsert(spark.createDataFrame([("a", 0.5)], kind), path, ["suite"])
+    assert not others and {tuple(r) for r in sinks.read_version(spark, path).collect()} == {("a", 0.5), ("b", 0.9), ("c", 0.3)}
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")) == ["v2", "v3"]
+
+
 def test_scratch_needs_a_shared_folder(spark):
     from types import SimpleNamespace as Some
 
