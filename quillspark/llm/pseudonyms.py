@@ -2,8 +2,10 @@ r"""Format-preserving pseudonyms for personal data; DataFrame functions only.
 
 Matches are found by one alternation, validated by kind and permuted within their format by keyed Feistel networks, so
 equal values of a kind get equal pseudonyms in every document, distinct ones distinct pseudonyms, and nothing is stored:
-* letters and digits (e-mail names and domains, phone and social-security numbers): the characters are halved; each round
-  shifts those of one half, within their own alphabet, by a keyed hash of the other half;
+* letters and digits (e-mail names and domains in lower case, the digits of phone numbers after the country code, and of
+  social-security numbers): the characters are halved; each round shifts those of one half, within their own alphabet, by
+  a keyed hash of the other half. Digits then take the places of those of the match, so the ways to write a number, and
+  capitals in an address, do not part equal values;
 * card numbers, 13-19 digits that pass Luhn: the same for all digits but the last, which is the Luhn digit again; those
   that fail it: the same for all digits, again and again until the outcome fails it too;
 * IPv4 addresses: the 32 bits, in halves of 16; * dates from 1900 to 2099, as year-month-day: the day's number among
@@ -12,25 +14,28 @@ A match that fails its validation (an octet over 255 or with a leading zero, a m
 domains and all signs between are kept. Round hashes are HMAC-SHA-256 under the key. There is no shuffle.
 
 Cases: null text stays null, empty text empty. A null id is kept. Repeated rows give repeated rows, equal ones. Extra
-columns are kept; a column named as the count is replaced. Very long texts take one pass of the pattern. Where patterns
-tie at a place, the order of PATTERNS decides.
+columns are kept; a column named as the count is replaced. Very long texts take one pass of the pattern, in which nothing
+recurses deeper than a domain has labels (127 at most; of a longer one the beginning counts). Where patterns tie at a
+place, the order of PATTERNS decides.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .secret_scan import bound
 
 ROUNDS = 8
 DAYS, LEFT, RIGHT = 73_049, 17, 4_297
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}",
     "phone": r"\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<![\d-])\(?\d{3}\)?[ -]\d{3}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -42,7 +47,7 @@ FIND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ANY = r"[0-9@]"
 
 
-#: Outcomes of a number that may pass Luhn in turn (one in ten does) before the walk is given up.
+#: Outcomes of a number that may pass Luhn in turn (one in ten does); after so many it is an error.
 WALK = 40
 
 
@@ -75,15 +80,16 @@ def permute_text(x: Column, key: str, kind: str) -> Column:
     """x with its letters and digits permuted within their alphabets; other characters stay."""
 
     def turn(part, other, i):
-        h = digest(key, kind, i, F.concat_ws("|", F.length(part), other))
+        def shifted(h):
+            def shift(c, k):
+                by = number(h, (F.pmod(k, F.lit(32)) * 2 + 1).cast("int"), 2)
+                a = F.ascii(c)
+                moved = lambda low, size: F.chr((F.pmod(a - low + by, F.lit(size)) + low).cast("long"))
+                return F.when(c.rlike("[0-9]"), moved(48, 10)).when(c.rlike("[a-z]"), moved(97, 26)).when(c.rlike("[A-Z]"), moved(65, 26)).otherwise(c)
 
-        def shift(c, k):
-            by = number(h, (F.pmod(k, F.lit(32)) * 2 + 1).cast("int"), 2)
-            a = F.ascii(c)
-            moved = lambda low, size: F.chr((F.pmod(a - low + by, F.lit(size)) + low).cast("long"))
-            return F.when(c.rlike("[0-9]"), moved(48, 10)).when(c.rlike("[a-z]"), moved(97, 26)).when(c.rlike("[A-Z]"), moved(65, 26)).otherwise(c)
+            return F.array_join(F.transform(F.split(part, ""), shift), "")
 
-        return F.array_join(F.transform(F.split(part, ""), shift), "")
+        return bound(digest(key, kind, i, F.concat_ws("|", F.length(part), other)), shifted)  # one hash a round
 
     n = F.floor(F.length(x) / 2).cast("int")
     out = feistel(F.substring(x, F.lit(1), n), F.substring(x, n + 1, F.length(x)), turn)
@@ -98,9 +104,13 @@ def luhn_digit(digits: Column) -> Column:
 
 
 def spread(plain: Column, like: Column) -> Column:
-    """Digits of `plain` in the places of the digits of `like`, which has groups of four."""
-    mark = F.regexp_extract(like, r"^\d{4}([ -])", 1)
-    return F.when(mark == "", plain).otherwise(F.regexp_replace(plain, r"(\d{4})(?=\d)", F.concat(F.lit("$1"), mark)))
+    """Digits of `plain` in the places of the digits of `like`, which has a few dozen characters at most."""
+    digits = lambda i: F.length(F.regexp_replace(F.substring(like, F.lit(1), i), "[^0-9]", ""))
+    return F.array_join(F.transform(F.split(like, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(plain, digits(i) + 1, F.lit(1))).otherwise(c)), "")
+
+
+def digits_of(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
 
 
 def passes_luhn(digits: Column) -> Column:
@@ -108,11 +118,14 @@ def passes_luhn(digits: Column) -> Column:
 
 
 def card(x: Column, key: str) -> Column:
-    digits = F.regexp_replace(x, r"[ -]", "")
-    made = permute_text(F.left(digits, F.length(digits) - 1), key, "card")
-    again = lambda y, _: F.when(passes_luhn(y), permute_text(y, key, "number")).otherwise(y)
-    other = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permute_text(digits, key, "number"), again)
-    return spread(F.when(passes_luhn(digits), F.concat(made, luhn_digit(made))).otherwise(other), x)
+    def made(digits):
+        sound = permute_text(F.left(digits, F.length(digits) - 1), key, "card")
+        again = lambda y, _: F.when(passes_luhn(y), permute_text(y, key, "number")).otherwise(y)
+        other = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permute_text(digits, key, "number"), again)
+        walked = bound(other, lambda y: F.when(passes_luhn(y), F.raise_error(F.lit("no number that fails Luhn was met")).cast("string")).otherwise(y))
+        return F.when(passes_luhn(digits), bound(sound, lambda y: F.concat(y, luhn_digit(y)))).otherwise(walked)
+
+    return spread(bound(digits_of(x), made), x)
 
 
 def ip(x: Column, key: str) -> Column:
@@ -140,11 +153,13 @@ def date(x: Column, key: str) -> Column:
 def pseudonym(x: Column, key: str) -> Column:
     """The pseudonym of one match of FIND."""
     tail = F.regexp_extract(x, r"(\.[A-Za-z]+)$", 1)
-    name, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
-    email = F.concat(permute_text(name, key, "name"), F.lit("@"), permute_text(F.substring(domain, F.lit(1), F.length(domain) - F.length(tail)), key, "domain"), tail)
+    low = F.lower(x)
+    name, domain = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
+    email = F.concat(permute_text(name, key, "name"), F.lit("@"), permute_text(F.substring(domain, F.lit(1), F.length(domain) - F.length(tail)), key, "domain"), F.lower(tail))
     code = F.regexp_extract(x, r"^(\+\d{1,3}(?=[ (-]))", 1)
-    phone = F.concat(code, permute_text(F.substring(x, F.length(code) + 1, F.length(x)), key, "phone"))
-    made = {"email": email, "ip": ip(x, key), "date": date(x, key), "ssn": permute_text(x, key, "ssn"), "card": card(x, key)}
+    rest = F.substring(x, F.length(code) + 1, F.length(x))
+    phone = F.concat(code, spread(permute_text(digits_of(rest), key, "phone"), rest))
+    made = {"email": email, "ip": ip(x, key), "date": date(x, key), "ssn": spread(permute_text(digits_of(x), key, "ssn"), x), "card": card(x, key)}
     out = F
     for kind, c in made.items():
         out = out.when(x.rlike(KIND_OF[kind]), c)
@@ -167,6 +182,10 @@ KEY_SETTING = "spark.quillspark.pseudonyms.key"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the key that the session's KEY_SETTING names; where there is none, as in tests, with one that is no secret."""
-    key = spark.conf.get(KEY_SETTING, "no secret")
+    """With the key that the session's KEY_SETTING names; where there is none, as in tests, with one that is no secret, and
+    a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: whoever has this code can undo the pseudonyms", stacklevel=2)
+        key = "no secret"
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
