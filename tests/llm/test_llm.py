@@ -800,6 +800,38 @@ def test_leaks_of_thousands_of_items(spark):
     assert got == {(k, k * 10) for k in range(300)}
 
 
+def test_leaks_of_real_items_by_the_cosine_alone(spark, docs, texts):
+    """300 items of 15 to 40 words of the documents themselves: of all pairs of other documents that the exact check would
+    find in some window, 0.9 or more are candidates by their cosine, and so are nine tenths of planted paraphrases."""
+    rng = random.Random(14)
+    split = {d: [w for w in re.findall(r"[^\W_]+", t.lower())] for d, t in texts.items() if t}
+    long = [d for d in sorted(split) if len(split[d]) > 120]
+    items = []
+    for k in range(300):
+        w = split[long[k % len(long)]]
+        at = rng.randrange(len(w) - 45)
+        items.append(w[at : at + rng.randint(15, 40)])
+    made = [(10_000 + k, " ".join([*split[long[-1 - k]][:90], *[x if j % 6 else "changed" for j, x in enumerate(items[k])], *split[long[-2 - k]][:90]])) for k in range(30)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(both, bench).collect()}
+    assert sum((10_000 + k, k) in got for k in range(30)) >= 27
+    want, every = set(), {d: decontaminate.word_hashes([" ".join(w).encode()])[0] for d, w in split.items()} | {d: decontaminate.word_hashes([t.encode()])[0] for d, t in made}
+    hashed = [decontaminate.word_hashes([" ".join(x).encode()])[0] for x in items]
+    for i, x in enumerate(hashed):
+        own = set(x.tolist())
+        for d, h in every.items():
+            seen = np.flatnonzero([w in own for w in h.tolist()])
+            if len(seen) < 0.6 * len(x):
+                continue
+            for lo in range(0, len(h), decontaminate.STRIDE):
+                around = h[max(0, lo - len(x)) : lo + 2 * decontaminate.STRIDE + len(x)]
+                if decontaminate.covered(x, around) is not None:
+                    want.add((d, i))
+                    break
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 300
+
+
 @pytest.mark.parametrize("chars", [30, 4 << 20])
 def test_leaks_of_short_items_and_without_id(spark, monkeypatch, chars):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)  # the first: a scan of the documents an item or two
