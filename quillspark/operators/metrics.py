@@ -15,6 +15,15 @@ from .tables import table_similarity
 LOOPER, GOOD = 2.0, (0.8, 1.2)
 CANARY_ABSOLUTE, CANARY_TIMES = 0.20, 4.0
 RATE_PLACES, TEDS_PLACES = 4, 2
+#: The long-output pages, and the development slices in order, the canary first: label, suite, and how many first
+#: rows or which.
+LOOP_PAGES = [32, 35, 47, 63, 79, 81, 108, 138, 158, 179, 198, 210, 216, 221, 238, 273, 315, 318, 328, 346, 365, 382, 385, 398]
+SLICES: list[tuple[str, str, int | list[int]]] = [
+    ("arocrbench_arabicocr", "arocrbench_arabicocr", 20),
+    ("arocrbench_hindawi", "arocrbench_hindawi", 30),
+    ("misraj_dococr[norm]", "misraj_dococr", 30),
+    ("misraj_dococr[loop]", "misraj_dococr", LOOP_PAGES),
+]
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:

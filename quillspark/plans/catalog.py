@@ -397,17 +397,13 @@ def leaderboard(spark, d):
     return out.select("suite", "cer", "base_cer", "regressed", F.row_number().over(W.orderBy(F.desc("cer"), "suite")).alias("place"))
 
 
-#: The long-output pages of the development slices.
-LOOP_PAGES = [32, 35, 47, 63, 79, 81, 108, 138, 158, 179, 198, 210, 216, 221, 238, 273, 315, 318, 328, 346, 365, 382, 385, 398]
-
-
 @query(f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents)
-SELECT doc_id, lang || '[norm]' AS slice FROM r WHERE i < 30 UNION ALL SELECT doc_id, lang || '[loop]' FROM r WHERE i IN ({", ".join(map(str, LOOP_PAGES))})""")
+SELECT doc_id, lang || '[norm]' AS slice FROM r WHERE i < 30 UNION ALL SELECT doc_id, lang || '[loop]' FROM r WHERE i IN ({", ".join(map(str, metrics.LOOP_PAGES))})""")
 def dev_slices(spark, d):
     """The operator itself takes the first 30 rows of a suite, and listed ones."""
-    r = metrics.first_rows(docs(spark, d).select("doc_id", "lang"), "lang", "doc_id", max(LOOP_PAGES) + 1)
+    r = metrics.first_rows(docs(spark, d).select("doc_id", "lang"), "lang", "doc_id", max(metrics.LOOP_PAGES) + 1)
     normal = r.where("i < 30").select("doc_id", F.concat("lang", F.lit("[norm]")).alias("slice"))
-    return normal.unionByName(r.where(F.col("i").isin(LOOP_PAGES)).select("doc_id", F.concat("lang", F.lit("[loop]")).alias("slice")))
+    return normal.unionByName(r.where(F.col("i").isin(metrics.LOOP_PAGES)).select("doc_id", F.concat("lang", F.lit("[loop]")).alias("slice")))
 
 
 @query(f"""SELECT -1 - r_regionkey::bigint AS id, 'Table of ' || r_name || chr(10) || {HTML_SQL} || chr(10) || 'end | of table' AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name

@@ -18,6 +18,11 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
 def complete(df_or_spark, path: str) -> bool:
     fs, p = _path(getattr(df_or_spark, "sparkSession", df_or_spark), f"{path}/_SUCCESS")
     return fs.exists(p)

@@ -606,6 +606,62 @@ def test_commands(spark, tmp_path):
     assert [r["v"] for r in linalg.product(spark.read.parquet(str(tmp_path / "xy/factors"))).collect()] == [4.0]
 
 
+def test_commands_of_runs(spark, tmp_path):
+    from quillspark.plans import run
+
+    texts = {"arocrbench_arabicocr": ["one two", "three four"], "misraj_dococr": [f"page {k} of many" for k in range(40)]}
+    (tmp_path / "suites/arocrbench_arabicocr/test").mkdir(parents=True)
+    (tmp_path / "suites/misraj_dococr").mkdir()
+    spark.createDataFrame([(t,) for t in texts["arocrbench_arabicocr"]], "text string").toPandas().to_parquet(tmp_path / "suites/arocrbench_arabicocr/test/a.parquet")
+    spark.createDataFrame([(t,) for t in texts["misraj_dococr"]], "markdown string").toPandas().to_parquet(tmp_path / "suites/misraj_dococr/a.parquet")
+    said = [("r", s, i, "stale", t if (i + 1) % 3 else t * 3) for s, ts in texts.items() for i, t in enumerate(ts) if i != 1] + [("r", "arocrbench_arabicocr", 99, "gone", "gone")]
+    sinks.save_predictions(spark.createDataFrame(said, "run string, suite string, i long, ref string, hyp string"), str(tmp_path / "p"))
+    common = ["--predictions", str(tmp_path / "p"), "--references", str(tmp_path / "suites")]
+    run.main(["evaluate", *common, "--summary", str(tmp_path / "sum")], spark)
+    got = {r["suite"]: r for r in sinks.read_version(spark, str(tmp_path / "sum")).collect()}
+    assert got["arocrbench_arabicocr"]["n"] == 2 and got["arocrbench_arabicocr"]["cer"] == round(10 / 17, 4) and got["misraj_dococr"]["n"] == 40
+    record = run.main(["devrun", *common, "--out", str(tmp_path / "dev.json")], spark)
+    assert record["aborted"] and list(record["suites"]) == ["arocrbench_arabicocr"] and json.loads((tmp_path / "dev.json").read_text()) == record
+    again = run.main(["devrun", *common, "--out", str(tmp_path / "dev2.json"), "--baseline", str(tmp_path / "dev.json")], spark)
+    assert not again["aborted"] and again["suites"]["arocrbench_arabicocr"]["ratio"] == pytest.approx(1, abs=1e-3) and [x["n"] for x in again["suites"].values()] == [2, 30, 2]
+    rates = run.main(["sweep", *common, "--out", str(tmp_path / "sweep.json")], spark)
+    assert {(x["bucket"], x["n"]) for x in rates} == {("looper", 13), ("good", 27), (None, 2)} and rates == json.loads((tmp_path / "sweep.json").read_text())
+    assert run.main(["preferences", *common, "--out", str(tmp_path / "pairs"), "--limit", "100"], spark) == 13  # different and not empty
+    one = spark.read.json(str(tmp_path / "pairs")).first()
+    assert one["chosen"][1]["content"][0]["text"] * 3 == one["rejected"][1]["content"][0]["text"]
+    empty = spark.createDataFrame([("r", "x", 0, "", "y")], "run string, suite string, i long, ref string, hyp string")
+    sinks.save_predictions(empty, str(tmp_path / "e"))
+    run.main(["evaluate", "--predictions", str(tmp_path / "e"), "--summary", str(tmp_path / "sum")], spark)
+    assert {(r["suite"], r["n"]) for r in sinks.read_version(spark, str(tmp_path / "sum")).collect()} >= {("x", 0), ("misraj_dococr", 40)}
+
+
+def test_commands_of_corpora_and_models(spark, tmp_path):
+    from quillspark.plans import run
+
+    rows = spark.range(400).select(F.concat(F.lit("s:"), "id").alias("id"), F.lit("s").alias("source"), F.when(F.col("id") % 4 == 0, "manuscript").otherwise("doc_markdown").alias("domain"), F.concat(F.lit("text "), "id").alias("response"))
+    sinks.save_corpus(rows, str(tmp_path / "c"), holdout=0)
+    assert run.main(["mixture", "--corpus", str(tmp_path / "c"), "--recipe", "4", "--out", str(tmp_path / "mix")], spark) == 300 + 200
+    keys = [f"{r['id']}:{r['copy']}" for r in readers.indexed(spark, f"{tmp_path}/mix/*.parquet", ["id", "copy"]).orderBy("idx").collect()]
+    assert keys == sorted(keys, key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k)) and len(set(keys)) == 500
+    assert run.main(["mixture", "--corpus", str(tmp_path / "c"), "--recipe", "4", "--out", str(tmp_path / "mix"), "--smoke"], spark) == 500
+    rng = np.random.default_rng(2)
+    cell = lambda name, x, dtype, shard: [(shard, name, dtype, list(x.shape), 0, 0, *x.shape, tiles.packed(x.ravel(), dtype))]
+    w, a, b = rng.standard_normal((6, 5)), rng.standard_normal((2, 5)), rng.standard_normal((6, 2))
+    kind = tensor_files.SCHEMA
+    tensor_files.save(spark.createDataFrame(cell("model.q.weight", w, "BF16", "1.safetensors") + cell("model.norm.weight", w, "F32", "2.safetensors"), kind), str(tmp_path / "base"))
+    (tmp_path / "base/config.json").write_text("{}")
+    tensor_files.save(spark.createDataFrame(cell("base_model.model.model.q.lora_A.weight", a, "F32", "adapter_model.safetensors") + cell("base_model.model.model.q.lora_B.weight", b, "F32", "adapter_model.safetensors"), kind), str(tmp_path / "ad"))
+    (tmp_path / "ad/adapter_config.json").write_text('{"lora_alpha": 4, "r": 2}')
+    report = run.main(["basemerge", "--base", str(tmp_path / "base"), "--adapter", str(tmp_path / "ad"), "--out", str(tmp_path / "merged")], spark)
+    assert (report["targets"], report["applied"]) == (1, 1) and (tmp_path / "merged/config.json").exists()
+    back = {r["module"]: tiles.numbers(r["data"], r["dtype"]).reshape(6, 5) for r in tensor_files.read(spark, str(tmp_path / "merged")).collect()}
+    f32 = lambda x: x.astype(np.float32).astype(float)
+    rounded = lambda x: tiles.numbers(tiles.packed(x.ravel(), "BF16"), "BF16").reshape(x.shape)
+    assert np.array_equal(back["model.q.weight"], rounded(rounded(w) + 2 * (f32(b) @ f32(a)))) and np.array_equal(back["model.norm.weight"], f32(w))
+    with pytest.raises(ValueError, match="has a model"):
+        run.main(["basemerge", "--base", str(tmp_path / "base"), "--adapter", str(tmp_path / "ad"), "--out", str(tmp_path / "merged")], spark)
+
+
 def test_scans_in_stored_order(spark, tmp_path):
     for split, files in (("train", {"b": [2, 3], "a": [0, 1]}), ("validation", {"a": [4]}), ("test", {"a": [9]})):
         for name, values in files.items():
