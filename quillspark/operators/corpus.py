@@ -120,13 +120,19 @@ def group_texts(lines: DataFrame, group: list[str], pos: str, text: str) -> Data
     return lines.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]), " ").alias("_text"))
 
 
+def flagged_groups(lines: DataFrame, benchmark: DataFrame, group: list[str], pos: str, text: str, name: str = "dirty") -> DataFrame:
+    """lines with `name`, whether the joined group of the line contains a probe. Lines whose group is null are a group."""
+    own = f"_{uuid.uuid4().hex}"
+    whole = group_texts(lines, group, pos, text)
+    dirty = flagged(whole, probes(benchmark), "_text", "_dirty").where("_dirty").select(*[F.col(g).alias(f"{own}{i}") for i, g in enumerate(group)], F.lit(True).alias(own))
+    same = [lines[g].eqNullSafe(dirty[f"{own}{i}"]) for i, g in enumerate(group)]
+    return lines.join(dirty, same, "left").withColumn(name, F.coalesce(own, F.lit(False))).drop(own, *[f"{own}{i}" for i in range(len(group))])
+
+
 def decontaminate_groups(lines: DataFrame, benchmark: DataFrame, group: str | list[str], pos: str, text: str) -> DataFrame:
     """All lines of a group go if the joined group contains a probe. Lines whose group is null are a group."""
-    group = [group] if isinstance(group, str) else group
-    whole = group_texts(lines, group, pos, text)
-    dirty = flagged(whole, probes(benchmark), "_text", "_dirty").where("_dirty").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
-    same = [lines[g].eqNullSafe(dirty[f"_g{i}"]) for i, g in enumerate(group)]
-    return lines.join(dirty, same, "left_anti")
+    name = f"_{uuid.uuid4().hex}"
+    return flagged_groups(lines, benchmark, [group] if isinstance(group, str) else group, pos, text, name).where(~F.col(name)).drop(name)
 
 
 # exact counts in seeded order

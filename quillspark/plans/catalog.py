@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -547,6 +548,18 @@ def dropped_counters(spark, d):
     return seen.agg(F.count("*").alias("n"), F.count_if("out").alias("excluded"), F.count_if(~F.col("out") & F.col("bad")).alias("invalid"), F.count_if(~F.col("out") & ~F.col("bad") & F.col("dirty")).alias("contaminated"))
 
 
+@query(ORACLE["dropped_counters"])
+def build_counters(spark, d):
+    """The same counts from the pass that builds and writes a shard, of a source like the scanned paragraphs but with
+    rows excluded by their own source."""
+    spec = replace(builders.SOURCES["khatt_para"], excluded="src1")
+    counts, probes = Observation(), corpus.probes(read(spark, d, "benchmark"))
+    rows = builders.used(docs(spark, d).withColumnRenamed("doc_id", "idx"), spec, counts, dirty=lambda x: corpus.flagged(x, probes, "response", "_dirty"))
+    rows = builders.rows(rows, F.lit(spec.tag), F.lit(spec.domain), None)
+    sinks.save_shard(rows, f"{scratch.folder(spark)}/counted-{uuid.uuid4().hex}", counts=counts)
+    return spark.createDataFrame([tuple(counts.get[c] for c in ("n", "excluded", "invalid", "contaminated"))], "n long, excluded long, invalid long, contaminated long")
+
+
 @query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def keyed_join(spark, d):
     return read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")

@@ -8,37 +8,38 @@ import json
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import linalg, metrics, mix, pairs, tiles
 from ..operators.corpus import with_counter
 from ..operators.tables import md_tables_to_html
-from ..sources import builders, readers, sinks, tensor_files
+from ..sources import builders, readers, saved_datasets, sinks, tensor_files
 from ..sources.scratch import discard, stored
 
 
-def source(spark: SparkSession, name: str, folder: str, benchmark: str | None = None) -> DataFrame:
+def source(spark: SparkSession, name: str, folder: str, benchmark: str | None = None, counts: Observation | None = None) -> DataFrame:
     """A source's corpus rows from its folder: parquet files, with splits as folders, images as files, lines as CSV."""
     at = f"{folder}/{name}"
     if name == "namaa":
         files = spark.read.format("binaryFile").load(f"{at}/images").select(F.substring_index("path", "/", -1).alias("name"), "length", F.col("content").alias("image"))
         files = builders.sized(files).drop("image")
-        return builders.namaa([readers.indexed(spark, f"{at}/{s}", ["image", "text"]) for s in ("train", "validation")], files)
+        return builders.namaa([readers.indexed(spark, f"{at}/{s}", ["image", "text"]) for s in ("train", "validation")], files, counts)
     if name in ("khatt_para", "khatt_lines"):
         probes = spark.read.parquet(benchmark).select("text")
         if name == "khatt_para":
             pairs = readers.image_text_pairs(spark, f"{at}/proc_images", f"{at}/proc_text")
-            return builders.paragraphs(with_counter(pairs, "image", "_n").withColumn("idx", F.col("_n") - 1).drop("image"), probes)
+            return builders.paragraphs(with_counter(pairs, "image", "_n").withColumn("idx", F.col("_n") - 1).drop("image"), probes, counts)
         rows = files = None
         for k, split in enumerate(("train", "validation", "test")):
             # ids rise along a file, and by 2 ** 56 from split to split
             part = readers.csv(spark, f"{at}/{split}/metadata.csv", "file_name string, text string").select("file_name", "text", F.lit(split).alias("split"), (F.monotonically_increasing_id() + (k << 56)).alias("idx"))
             image = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(f"{at}/{split}").select(F.lit(split).alias("split"), F.substring_index("path", "/", -1).alias("file_name"), F.col("content").alias("image"))
             rows, files = (part, image) if rows is None else (rows.unionByName(part), files.unionByName(image))
-        return builders.lines(rows, probes, builders.sized(files).drop("image"))
-    return builders.BUILDERS[name](readers.indexed(spark, f"{at}/*.parquet"))
+        return builders.lines(rows, probes, builders.sized(files).drop("image"), counts)
+    stored_rows = readers.indexed(spark, at if saved_datasets.exists(at) else f"{at}/*.parquet")
+    return builders.BUILDERS[name](stored_rows, counts=counts)
 
 
 def build(spark: SparkSession, names: list[str], sources: str, out: str, benchmark: str | None = None, force: bool = False) -> dict[str, int | None]:
@@ -46,12 +47,17 @@ def build(spark: SparkSession, names: list[str], sources: str, out: str, benchma
     made = {}
     for name in names or builders.DEFAULT:
         path = f"{out}/shards/{name}"
-        made[name] = None if sinks.complete(spark, path) and not force else sinks.save_shard(source(spark, name, sources, benchmark), path, force)
+        if sinks.complete(spark, path) and not force:
+            made[name] = None
+            continue
+        counts = Observation()
+        made[name] = sinks.save_shard(source(spark, name, sources, benchmark, counts), path, force, counts)
     return made
 
 
 def merge(spark: SparkSession, out: str) -> dict:
-    return sinks.save_corpus(sinks.shards(spark, f"{out}/shards"), out)
+    """The corpus of all shards; its stats have what the builders dropped, too."""
+    return sinks.save_corpus(sinks.shards(spark, f"{out}/shards"), out, dropped=sinks.dropped(spark, f"{out}/shards"))
 
 
 def suites(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:

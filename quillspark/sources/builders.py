@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from ..functions import text as T
 from ..operators import corpus
 from ..operators.corpus import nth, valid, with_counter
 from . import readers
+from .scratch import stored
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,10 @@ def sized(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Why a row is dropped, in the order in which the first that applies counts.
+RULES = ["sampled", "excluded", "missing", "invalid", "contaminated"]
+
+
 def repaired(df: DataFrame, spec: Source) -> DataFrame:
     """The source's rows in use, with `response`."""
     if spec.every > 1:
@@ -94,7 +99,35 @@ def repaired(df: DataFrame, spec: Source) -> DataFrame:
 
 
 def fit(df: DataFrame) -> DataFrame:
-    return df.where(valid(F.col("response"), *([F.col("w"), F.col("h")] if {"w", "h"} <= set(df.columns) else [])))
+    return df.where(is_fit(df))
+
+
+def is_fit(df: DataFrame) -> Column:
+    return valid(F.col("response"), *([F.col("w"), F.col("h")] if {"w", "h"} <= set(df.columns) else []))
+
+
+def used(df: DataFrame, spec: Source, counts: Observation | None = None, missing: Column | None = None, dirty: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows of a source that are kept, with `response`. missing: rows without their image; dirty: adds the column
+    `_dirty`. counts gets `n` rows and how many each of RULES drops, in the pass that makes the rows; where a numbering
+    follows, which reads its input twice, they are written first. Without counts, filters may go down to the scan."""
+    if counts is None:
+        kept = repaired(df if missing is None else df.where(~missing), spec)
+        return fit(kept if dirty is None else dirty(kept).where("not _dirty").drop("_dirty"))
+    df = sized(df).withColumn("response", spec.text())
+    df = df.withColumn("_dirty", F.lit(False)) if dirty is None else dirty(df)
+    tests = {
+        "sampled": F.col("idx") % spec.every != 0,
+        "excluded": F.contains(F.coalesce("source", F.lit("")), F.lit(spec.excluded)) if spec.excluded else F.lit(False),
+        "missing": F.lit(False) if missing is None else missing,
+        "invalid": ~is_fit(df),
+        "contaminated": F.col("_dirty"),
+    }
+    rule = F
+    for name in RULES:
+        rule = rule.when(tests[name], name)
+    df = df.withColumn("_rule", rule.otherwise(None)).observe(counts, F.count("*").alias("n"), *[F.count_if(F.col("_rule") == name).alias(name) for name in RULES])
+    kept = df.where("_rule is null").drop("_rule", "_dirty")
+    return stored(kept, "kept") if spec.after else kept
 
 
 def rows(df: DataFrame, tag: Column, domain: Column, counter: Column | None, order: list[str] = ("idx",), key: list[str] = ("idx",)) -> DataFrame:
@@ -104,23 +137,24 @@ def rows(df: DataFrame, tag: Column, domain: Column, counter: Column | None, ord
     return df.select("idx", F.concat_ws(":", *[F.col(c).cast("string") for c in key]).alias("key"), T.prompt(F.col("_i")).alias("prompt"), "response", tag.alias("source"), domain.alias("domain"), *keep)
 
 
-def build(df: DataFrame, spec: Source) -> DataFrame:
-    return rows(fit(repaired(df, spec)), F.lit(spec.tag), F.lit(spec.domain), None if spec.after else F.col("idx"))
+def build(df: DataFrame, spec: Source, counts: Observation | None = None) -> DataFrame:
+    return rows(used(df, spec, counts), F.lit(spec.tag), F.lit(spec.domain), None if spec.after else F.col("idx"))
 
 
-def namaa(splits: Iterable[DataFrame], files: DataFrame) -> DataFrame:
+def namaa(splits: Iterable[DataFrame], files: DataFrame, counts: Observation | None = None) -> DataFrame:
     """splits: (idx, image: a path, text) of the train and the validation split, in this order; files: (name, length, and
     image bytes or w and h). Rows meet the file of their path's last part; empty files do not count."""
     every = None
     for k, part in enumerate(splits):
         part = part.select("idx", F.lit(k).alias("part"), F.substring_index("image", "/", -1).alias("name"), "text")
         every = part if every is None else every.unionByName(part)
-    found = files.where("length > 0").dropDuplicates(["name"]).drop("length")
+    found = files.where("length > 0").dropDuplicates(["name"]).drop("length").withColumn("_there", F.lit(True))
     spec = SOURCES["namaa"]
-    return rows(fit(repaired(every.join(found, "name"), spec)), F.lit(spec.tag), F.lit(spec.domain), None, ["part", "idx"], ["part", "idx"])
+    met = every.join(found, "name", "inner" if counts is None else "left")
+    return rows(used(met, spec, counts, F.col("_there").isNull()), F.lit(spec.tag), F.lit(spec.domain), None, ["part", "idx"], ["part", "idx"])
 
 
-def regions(df: DataFrame) -> DataFrame:
+def regions(df: DataFrame, counts: Observation | None = None) -> DataFrame:
     """df: (idx, file, annotation, and image bytes or w and h). A row for each region with a transcription, the size that
     of its box within the image, source and domain by the file's category; prompts count all rows from 1 in order of idx
     and region."""
@@ -129,39 +163,47 @@ def regions(df: DataFrame) -> DataFrame:
     size = {"w": side(F.col("box.x0"), F.col("box.x1")), "h": side(F.col("box.y0"), F.col("box.y1"))}
     named = named.withColumn("response", T.source_norm(F.col("transcription"))).withColumns(size)
     cat = readers.category(F.col("file"))
+    if counts is not None:
+        seen = named.observe(counts, F.count("*").alias("n"), *[(F.count_if(~is_fit(named)) if r == "invalid" else F.count_if(F.lit(False))).alias(r) for r in RULES])
+        named = stored(fit(seen), "kept")
     return rows(fit(named), F.concat(F.lit(REGION_TAG), cat), readers.category_domain(cat), None, ["idx", "region"], ["idx", "region"])
 
 
-def stacked(df: DataFrame, seed: int = 42) -> DataFrame:
+def stacked(df: DataFrame, seed: int = 42, counts: Observation | None = None) -> DataFrame:
     """df: (idx, text, source, and image bytes or w and h). Paragraphs of three to six consecutive valid lines."""
     spec = SOURCES["okai"]
-    groups = corpus.stacks(fit(repaired(df, spec)), "idx", "response", seed)
+    lines = used(df, spec, counts)
+    groups = corpus.stacks(lines if counts is None else stored(lines, "kept"), "idx", "response", seed)
     if "widths" in groups.columns:
         groups = groups.withColumn("_s", I.stack(F.col("widths"), F.col("heights"))).select("grp", "text", "_s.w", "_s.h")
     groups = groups.withColumnsRenamed({"grp": "idx", "text": "response"})
     return rows(fit(groups), F.lit(STACKED_TAG), F.lit(STACKED_DOMAIN), F.col("idx") + 1)
 
 
-def paragraphs(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+def paragraphs(df: DataFrame, benchmark: DataFrame, counts: Observation | None = None) -> DataFrame:
     """df: (idx, text, and image bytes or w and h). Scanned paragraphs without those that hold a benchmark's beginning."""
     spec = SOURCES["khatt_para"]
-    clean = corpus.decontaminate(repaired(df, spec), benchmark, "response")
-    return rows(fit(clean), F.lit(spec.tag), F.lit(spec.domain), None)
+    clean = used(df, spec, counts, dirty=lambda d: corpus.flagged(d, corpus.probes(benchmark), "response", "_dirty"))
+    return rows(clean, F.lit(spec.tag), F.lit(spec.domain), None)
 
 
-def lines(df: DataFrame, benchmark: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def lines(df: DataFrame, benchmark: DataFrame, files: DataFrame | None = None, counts: Observation | None = None) -> DataFrame:
     """df: (idx, split, file_name, text) of all splits, idx counting on; files: (split, file_name, and image bytes or w
     and h). The lines of a paragraph, those of one split whose file names are equal up to the last underscore, all go if
     together they hold a benchmark's beginning. Prompts count paragraph by paragraph, in the order of their first lines."""
     spec = SOURCES["khatt_lines"]
     df = df.withColumns({"response": spec.text(), "para": T.before_last(F.col("file_name"))})
     df = df.withColumn("first", F.min("idx").over(W.partitionBy("split", "para")))
-    clean = corpus.decontaminate_groups(df, benchmark, ["split", "para"], "idx", "response")
+    clean = corpus.flagged_groups(df, benchmark, ["split", "para"], "idx", "response", "_group")
     if files is not None:
-        clean = clean.join(sized(files), ["split", "file_name"])
-    return rows(fit(clean), F.lit(spec.tag), F.lit(spec.domain), None, ["first", "idx"])
+        found = sized(files).withColumn("_there", F.lit(True))
+        clean = clean.join(found, ["split", "file_name"], "inner" if counts is None else "left")
+    missing = F.col("_there").isNull() if files is not None else None
+    kept = used(clean, spec, counts, missing, lambda d: d.withColumnRenamed("_group", "_dirty"))
+    return rows(kept, F.lit(spec.tag), F.lit(spec.domain), None, ["first", "idx"])
 
 
-#: Builders by name. Those of SOURCES take the source's DataFrame; the others what their docstring says.
-BUILDERS: dict[str, Callable[..., DataFrame]] = {name: (lambda df, spec=spec: build(df, spec)) for name, spec in SOURCES.items()}
+#: Builders by name. Those of SOURCES take the source's DataFrame; the others what their docstring says. All take `counts`,
+#: an Observation that is there once the rows are written.
+BUILDERS: dict[str, Callable[..., DataFrame]] = {name: (lambda df, counts=None, spec=spec: build(df, spec, counts)) for name, spec in SOURCES.items()}
 BUILDERS |= {"namaa": namaa, "jayanthmuthu": regions, "okai_para": stacked, "khatt_para": paragraphs, "khatt_lines": lines}

@@ -36,15 +36,36 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def save_shard(df: DataFrame, path: str, force: bool = False) -> int | None:
-    """Rows written, or None if the shard was complete already."""
+def save_shard(df: DataFrame, path: str, force: bool = False, counts: Observation | None = None) -> int | None:
+    """Rows written, or None if the shard was complete already. counts: what the builder counted meanwhile, kept beside."""
     if complete(df, path) and not force:
         return None
     seen = Observation()
     df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+    if counts is not None:
+        write_text(df.sparkSession, f"{path}/{COUNTS}", json.dumps(counts.get))
     return seen.get["n"]
 
 
+COUNTS = "_counts.json"
+
+
+def dropped(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """What the builders counted, by shard."""
+    names = [n for n in shard_names(spark, folder) if exists(spark, f"{folder}/{n}/{COUNTS}")]
+    return {n: json.loads(read_text(spark, f"{folder}/{n}/{COUNTS}")) for n in names}
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, by way of the cluster's file system."""
+    fs, p = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     """All complete shards of a folder, with `shard`, their name, and `id`, unique to the row: its key (of older shards:
     idx) in its shard. The order of names, not of the file system, decides nothing: the later shuffle is by id."""
@@ -64,7 +85,7 @@ def shard_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and complete(spark, f"{folder}/{s.getPath().getName()}"))
 
 
-def save_corpus(rows: DataFrame, folder: str, key: str = "id", holdout: int = corpus.HOLDOUT, seed: int = 42) -> dict:
+def save_corpus(rows: DataFrame, folder: str, key: str = "id", holdout: int = corpus.HOLDOUT, seed: int = 42, dropped: dict | None = None) -> dict:
     """Split off the holdout, write `unified` and `val`, each in seeded order, and STATS.md, and return the counts. Both
     are written at once, by split, and then get their names. An error where the holdout is not exact, that is where rows
     share a key."""
@@ -74,7 +95,7 @@ def save_corpus(rows: DataFrame, folder: str, key: str = "id", holdout: int = co
     fs, at = _path(spark, folder)
     written = spark.read.schema(f"{split.select(key, 'source', 'domain').schema.toDDL()}, split string").parquet(f"{folder}/split")
     counted = stored(written.groupBy("split", "source", "domain").agg(F.count("*").alias("n")), "counts")  # a row for each source and domain
-    body = stats(counted)
+    body = stats(counted) | ({"dropped": dropped} if dropped else {})
     taken = counted.groupBy("domain").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("n"))), F.lit(0)).alias("val"))
     wrong = taken.where(F.col("val") != F.least("n", F.lit(holdout))).limit(5).collect()
     if wrong:

@@ -593,7 +593,10 @@ def test_commands(spark, tmp_path):
     assert run.main(args, spark) == {"yousefmd": 5, "namaa": 2, "khatt_para": 1, "khatt_lines": 6}
     assert set(run.main(args, spark).values()) == {None} and run.main([*args, "--force"], spark)["namaa"] == 2
     assert [r["response"] for r in spark.read.parquet(f"{out}/shards/khatt_lines").orderBy("idx").collect()] == ["one two", "three"] * 3
-    assert run.main(["merge", "--out", out], spark)["total_val"] == 14
+    merged = run.main(["merge", "--out", out], spark)
+    zero = dict.fromkeys(builders.RULES, 0)
+    want = {"yousefmd": {"n": 5} | zero, "namaa": {"n": 2} | zero, "khatt_para": {"n": 3, "invalid": 1, "contaminated": 1} | {r: 0 for r in ("sampled", "excluded", "missing")}, "khatt_lines": {"n": 6} | zero}
+    assert merged["total_val"] == 14 and merged["dropped"] == want and "contaminated" in (tmp_path / "out/STATS.md").read_text()
     p = spark.createDataFrame([("r", "s", 0, "a  b", "a c"), ("r", "t", 0, "<table><tr><td>a</td></tr><tr><td>b</td></tr></table>", "| a |\n| b |")], "run string, suite string, i long, ref string, hyp string")
     sinks.save_predictions(p, str(tmp_path / "p"))
     run.main(["evaluate", "--predictions", str(tmp_path / "p"), "--summary", str(tmp_path / "summary"), "--tables"], spark)
