@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import image as I
 from ..functions import text as T
-from ..operators import corpus, linalg, metrics, mix, pairs, tables, tiles
+from ..operators import corpus, linalg, metrics, mix, pairs, tables, temporal, tiles
 from ..sources import builders, readers, saved_datasets, scratch, sinks, tensor_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -753,3 +753,33 @@ def suite_scan(spark, d):
 def mix_parts(spark, d):
     spec = F.concat(F.element_at(F.array(F.lit("a:b"), F.lit("c"), F.lit("x:")), F.col("r_regionkey") % 3 + 1), F.lit(":0.25"))
     return read(spark, d, "region").select("r_regionkey", T.mix_part(spec).alias("p")).select("r_regionkey", "p.name", "p.coeff")
+
+
+# extensions over `events`
+
+
+@query("""SELECT l.event_id, r.event_id AS view_id, r.value AS view_value FROM (SELECT * FROM events WHERE event_type <> 'view') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def as_of_join(spark, d):
+    """The last view of the same user before each other event."""
+    e = read(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    met = temporal.as_of(e.where("event_type <> 'view'"), e.where("event_type = 'view'"), ["user_id"], "ts", "event_id")
+    return met.select("event_id", F.col("right_event_id").alias("view_id"), F.col("right_value").alias("view_value"))
+
+
+@query("""WITH v AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + (value * 6e8)::bigint AS e FROM events)
+SELECT a.event_id, b.event_id AS view_id FROM v a JOIN v b ON a.event_type <> 'view' AND b.event_type = 'view' AND a.user_id = b.user_id AND a.s < b.e AND b.s < a.e""")
+def interval_join(spark, d):
+    """Events and views of the same user whose spans, as long as their values say, overlap."""
+    at = temporal.micros("ts")
+    v = read(spark, d, "events").select("event_id", "user_id", "event_type", at.alias("s"), (at + F.round(F.col("value") * 6e8).cast("long")).alias("e"))
+    met = temporal.overlaps(v.where("event_type <> 'view'"), v.where("event_type = 'view'"), ["user_id"], "s", "e")
+    return met.select("event_id", F.col("right_event_id").alias("view_id"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 3 HOUR, true)::int AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM n GROUP BY user_id, nr""")
+def event_sessions(spark, d):
+    """Sessions of each user, three hours apart; streaming.sessions gives the same as the events arrive."""
+    return temporal.sessions(read(spark, d, "events"), ["user_id"], "ts", 3 * 3600)
