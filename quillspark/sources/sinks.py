@@ -30,9 +30,13 @@ def complete(df_or_spark, path: str) -> bool:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, by way of the cluster's file system."""
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
     fs, p = _path(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(body))
     out.close()
 
 
