@@ -44,6 +44,8 @@ OFTEN, CELLS, CANDIDATE_BITS = 2, 1 << 24, 22
 BLOCK, PIVOTS, ROUNDS = 128, 16, 1
 #: Places in which the classes of one component meet what is known of it.
 SALTS = 32
+#: A class of more copies than MANY, and than one in HOT of all rows, is named where its rows stand.
+MANY, HOT = 1000, 50_000
 #: Values held by a task before they are joined and passed on.
 HELD = 2_000_000
 
@@ -518,12 +520,16 @@ def join(docs: DataFrame) -> DataFrame:
     rows = stored(signatures(docs), "signatures")
     level = levels(frequencies(docs))
     roots = components(candidate_edges(docs, level))
-    classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     found = components(linked(docs, classes.select("cls", "n"), roots)).select(F.col("node").alias("cls"), "root")
     smallest = found.join(classes, "cls").groupBy("root").agg(F.min("first_id").alias("linked_id"))
-    named = classes.join(spread_join(found, smallest, ["root"]), "cls", "left").select("cls", F.coalesce("linked_id", "first_id").alias("component_id"))
-    named = stored(named, "named")  # as a table: rows of a copied class are then split where adaptive execution finds many
-    out = rows.join(named, "cls", "left")
+    named = classes.join(spread_join(found, smallest, ["root"]), "cls", "left").select("cls", "copies", F.coalesce("linked_id", "first_id").alias("component_id"))
+    named = stored(named, "named")
+    many = max(MANY, rows.count() // HOT)
+    hot = named.where(F.col("copies") > many).select("cls", "component_id")  # HOT classes at most: their rows stay where they are
+    first = rows.join(F.broadcast(hot), "cls", "left")
+    rest = first.where("component_id is null").drop("component_id").join(named.where(F.col("copies") <= many).select("cls", "component_id"), "cls", "left")
+    out = first.where("component_id is not null").unionByName(rest)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -420,6 +420,20 @@ def test_join_of_the_corpus(spark, texts):
     assert got == brute_join(texts.items())
 
 
+@pytest.mark.parametrize(("many", "hot"), [(2, 1 << 40), (1000, 50_000)])
+def test_join_of_copied_classes(spark, monkeypatch, many, hot):
+    """Classes whose copies are named in place, with and without other links, and one of rows without ids."""
+    monkeypatch.setattr(ngram_join, "MANY", many)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rng = random.Random(21)
+    bodies = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(4)]
+    rows = [(k, bodies[k % 2]) for k in range(12)] + [(20, bodies[0] + " more words at the end"), (21, bodies[2])] + [(None, bodies[3])] * 5 + [(30, ""), (31, None)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_join([r for r in rows if r[0] is not None])
+    assert len(got) == len(rows) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    assert {(r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None} == {(56, None)}
+
+
 def test_join_of_odd_rows(spark, odd):
     got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in ngram_join.join(odd).collect())
     assert got == [(0, 2, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4)]
