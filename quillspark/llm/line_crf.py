@@ -231,9 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineCrf | None:
     if len(counts) < 2:
         return None
     share = F.when(F.col("quality") == 1, 1.2 * DOCS_PER_CLASS / counts[1]).otherwise(1.2 * DOCS_PER_CLASS / counts[0])
-    ids = known.where(unit_hash("doc_id", salt="quality") < share).limit(4 * DOCS_PER_CLASS)
+    unit = unit_hash("doc_id", salt="quality")
+    ids = known.where(unit < share).orderBy(unit, "doc_id").limit(4 * DOCS_PER_CLASS)
     part = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    sample = stored(part.join(F.broadcast(ids), "doc_id").limit(8 * DOCS_PER_CLASS), "quality")  # ids: 4 * DOCS_PER_CLASS at most
+    once = part.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # ids: 4 * DOCS_PER_CLASS at most
+    sample = stored(once, "quality")
     longest = longest_run([r[0] for r in sample.select(F.length("text")).collect()])
     before = F.floor(unit_hash("doc_id", salt="where") * F.greatest(F.lit(0), F.length("text") - longest)).cast("int")
     after = F.length("text") > before + longest

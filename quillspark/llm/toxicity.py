@@ -124,7 +124,7 @@ def sampled(rows: DataFrame, most: int, of: int, salt: str) -> DataFrame:
     unit = unit_hash("doc_id", salt=salt)
     some = rows.where(unit < 1.2 * most / max(of, 1) + 1e-9)
     ids = some.select("doc_id", unit.alias("u")).distinct().orderBy("u", "doc_id").limit(most).collect()  # most at most
-    return some.where(unit <= (ids[-1]["u"] if ids else -1.0)).dropDuplicates(["doc_id"])
+    return some.where(unit <= (ids[-1]["u"] if ids else -1.0)).groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> PuModel | None:
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> PuModel | None:
     if not toxic or not every:
         return None
     part = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    ids = known.where("toxic = 1").where(unit_hash("doc_id", salt="toxic") < 1.2 * POSITIVES / toxic + 1e-9).select("doc_id").limit(2 * POSITIVES)
+    unit = unit_hash("doc_id", salt="toxic")
+    ids = known.where("toxic = 1").where(unit < 1.2 * POSITIVES / toxic + 1e-9).orderBy(unit, "doc_id").select("doc_id").limit(2 * POSITIVES)
     positive = sampled(part.join(F.broadcast(ids), "doc_id", "left_semi"), POSITIVES, toxic, "toxic")
     sample = stored(positive.withColumn("toxic", F.lit(True)).unionByName(sampled(part, UNLABELLED, every, "unlabelled").withColumn("toxic", F.lit(False))), "toxicity")
 
