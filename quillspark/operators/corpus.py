@@ -163,7 +163,7 @@ def cuts(df: DataFrame, group: Column, key: str, seed: int, want: Callable[[Colu
     every = W.partitionBy("_g")
     counted = counted.withColumns({"_n": F.sum("_c").over(every), "_v": F.max("_v").over(every)})
     counted = stored(counted.withColumn("_want", F.least(want(F.col("_n"), F.col("_v")), F.col("_n")).cast("long")), "sizes")
-    sizes, at, bits = counted.select("_g", "_n", "_v").distinct(), stored(narrowed(counted), "cuts"), BITS
+    sizes, at, bits = counted.select("_g", "_n", "_v").distinct(), narrowed(counted), BITS
     while bits + BITS <= 60 and (at.agg(F.max("_c")).first()[0] or 0) > FEW:
         inside = keyed.join(at.select(F.col("_g").alias("_k"), F.col("_b").alias("_at"), "_want"), F.col("_g").eqNullSafe(F.col("_k")) & (of(bits) == F.col("_at")))
         bits += BITS
