@@ -216,7 +216,7 @@ def with_counter(df: DataFrame, order: str | list[str], name: str = "i", by: lis
     keys = [f"{own}by{k}" for k in range(len(by))]
     table = stored(df.repartitionByRange(*order, F.monotonically_increasing_id() % 61).sortWithinPartitions(*order), "ranges")
     number = lambda p: F.regexp_extract("_metadata.file_name", p, 1).cast("long")
-    at = table.select("*", F.struct(number(r"part-(\d+)"), F.coalesce(number(r"-c(\d+)"), F.lit(0))).alias(file), F.col("_metadata.row_index").alias(row))
+    at = table.select("*", F.struct(number(r"part-(\d+)"), F.coalesce(number(r"-c(\d+)\."), F.lit(0))).alias(file), F.col("_metadata.row_index").alias(row))
     sizes = at.groupBy(F.col(file).alias(at_), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.min(row).alias(first), F.count("*").alias(n))
     group = W.partitionBy(*keys)
     ahead = group.orderBy(at_).rowsBetween(W.unboundedPreceding, -1)
