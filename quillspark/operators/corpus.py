@@ -204,6 +204,10 @@ def nth(df: DataFrame, key: str, k: int = 72) -> DataFrame:
     return df.where(F.col(key) % k == 0)
 
 
+#: In the name of a written file: its task's number, and its own number within the task. An id of the write stands between.
+PART, CHUNK = r"^part-(\d+)", r"-c(\d+)\."
+
+
 def with_counter(df: DataFrame, order: str | list[str], name: str = "i", by: list[str] = (), total: str | None = None) -> DataFrame:
     """1, 2, ... over the table, or over each group of `by`, in the order of some columns; `total`: the rows of the table
     or group. The table is written by ranges of the columns, which Spark samples so that they are of like size (rows that
@@ -216,7 +220,7 @@ def with_counter(df: DataFrame, order: str | list[str], name: str = "i", by: lis
     keys = [f"{own}by{k}" for k in range(len(by))]
     table = stored(df.repartitionByRange(*order, F.monotonically_increasing_id() % 61).sortWithinPartitions(*order), "ranges")
     number = lambda p: F.regexp_extract("_metadata.file_name", p, 1).cast("long")
-    at = table.select("*", F.struct(number(r"part-(\d+)"), F.coalesce(number(r"-c(\d+)\."), F.lit(0))).alias(file), F.col("_metadata.row_index").alias(row))
+    at = table.select("*", F.struct(number(PART), F.coalesce(number(CHUNK), F.lit(0))).alias(file), F.col("_metadata.row_index").alias(row))
     sizes = at.groupBy(F.col(file).alias(at_), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.min(row).alias(first), F.count("*").alias(n))
     group = W.partitionBy(*keys)
     ahead = group.orderBy(at_).rowsBetween(W.unboundedPreceding, -1)

@@ -558,6 +558,11 @@ def test_corpus_is_written_and_resumed(spark, tmp_path):
     assert none["total_train"] == 0 and spark.read.parquet(f"{tmp_path}/none/val").count() == 0
 
 
+def test_numbers_in_names_of_files():
+    name = "part-00012-1a2b3c4d-c123-4c05-c999-c11111111111-c003.snappy.parquet"
+    assert (re.search(corpus.PART, name)[1], re.search(corpus.CHUNK, name)[1]) == ("00012", "003")
+
+
 def test_counters_over_several_files_a_task(spark):
     df = spark.createDataFrame([(k % 3, (k * 7919) % 1000) for k in range(1000)], "g int, k long")
     spark.conf.set("spark.sql.files.maxRecordsPerFile", 30)
