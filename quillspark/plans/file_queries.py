@@ -131,7 +131,7 @@ def table_pages(spark, d):
     row = lambda x, more="": F.concat(F.lit("<tr><td>"), x["s_suppkey"].cast("string"), F.lit("</td><td>"), x["s_name"], F.lit(more), F.lit("</td></tr>"))
     page = lambda rows: F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>"))
     s = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("r"))
-    kind, rows = F.col("s_nationkey") % 4, F.transform("r", row)
+    kind, rows = F.col("s_nationkey") % 4, F.transform("r", lambda x: row(x))
     changed = F.transform("r", lambda x, i: F.when(i == 0, row(x, "x")).otherwise(row(x)))
     hyp = F.when(kind == 0, page(F.slice(rows, 1, F.size("r") - 1))).when(kind == 1, page(changed)).when(kind == 2, page(rows)).otherwise("no table")
     return s.select("s_nationkey", F.concat(F.lit("s"), (F.col("s_nationkey") % 3).cast("string")).alias("suite"), page(rows).alias("ref"), hyp.alias("hyp"))
