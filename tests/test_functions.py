@@ -321,6 +321,22 @@ def test_tree_distance_equals_brute_force():
         assert abs(tables.tree_distance(a, b) - brute(nested(a), nested(b))) < 1e-9
 
 
+def test_long_tables_are_compared_where_they_differ(monkeypatch):
+    held, costs = [], tables._costs
+    monkeypatch.setattr(tables, "_costs", lambda a, b: held.append(len(a) * len(b)) or costs(a, b))
+    row = lambda k: f"<tr><td>{k}</td><td>name {k}</td></tr>"
+    page = lambda rows, tag="<table>": tag + "".join(rows) + "</table>"
+    n = 2500
+    rows = [row(k) for k in range(n)]
+    size = 1 + 3 * n
+    changed = [row("new") if k == 1200 else r for k, r in enumerate(rows)]
+    assert tables.similarity(page(rows[:-1]), page(rows)) == 1 - 3 / size
+    assert tables.similarity(page(rows), page(rows)) == 1.0
+    assert tables.similarity(page(changed), page(rows)) == pytest.approx(1 - (1 + 4 / 9) / size)
+    assert tables.similarity(page(rows, "<table colspan=2>"), page(rows)) == 1 - 1 / size
+    assert len(held) == 4 and max(held) < 100
+
+
 def test_similar_tables_of_the_data(spark):
     from quillspark.plans import catalog
 
