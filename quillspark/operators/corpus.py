@@ -145,7 +145,8 @@ def cuts(df: DataFrame, group: Column, key: str, seed: int, want: Callable[[Colu
     """A row for each group: `_g`, `_n` (its rows), `_v` (the largest `value`) and `_cut`, the place(seed, key) of the
     want(_n, _v)-th row in seeded order, null if want is 0 or less; the last row's if want is over _n.
 
-    Nothing is sorted but the rows around the cut: rows are counted by the first BITS bits of their hash, the range that
+    The rows are written, so that a join with them, however its plan estimates what they come from, goes to the tasks and
+    leaves the other side, of few groups, where it is. Nothing is sorted but the rows around the cut: rows are counted by the first BITS bits of their hash, the range that
     holds the cut is counted by its next bits, and so on until FEW rows are left of a group. Passes read the key, group
     and value alone."""
     keyed = df.select(group.alias("_g"), hashed(seed, F.col(key)).alias("_h"), place(seed, key).alias("_p"), (F.lit(None).cast("double") if value is None else value.cast("double")).alias("_v"))
@@ -171,7 +172,7 @@ def cuts(df: DataFrame, group: Column, key: str, seed: int, want: Callable[[Colu
     near = keyed.join(at.select(F.col("_g").alias("_k"), F.col("_b").alias("_at"), "_want"), F.col("_g").eqNullSafe(F.col("_k")) & (of(bits) == F.col("_at")))
     ranked = near.withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy("_p"))).where(F.col("_r") == F.col("_want"))
     last = ranked.select(F.col("_g").alias("_k"), F.col("_p").alias("_cut"))
-    return sizes.join(last, F.col("_g").eqNullSafe(F.col("_k")), "left").drop("_k")
+    return stored(sizes.join(last, F.col("_g").eqNullSafe(F.col("_k")), "left").drop("_k"), "cuts")
 
 
 def place(seed: int, key: str) -> Column:
@@ -224,7 +225,7 @@ def with_counter(df: DataFrame, order: str | list[str], name: str = "i", by: lis
     sizes = at.groupBy(F.col(file).alias(at_), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.min(row).alias(first), F.count("*").alias(n))
     group = W.partitionBy(*keys)
     ahead = group.orderBy(at_).rowsBetween(W.unboundedPreceding, -1)
-    sums = sizes.withColumns({before: F.coalesce(F.sum(n).over(ahead), F.lit(0)) - F.col(first), rows: F.sum(n).over(group)})
+    sums = stored(sizes, "files").withColumns({before: F.coalesce(F.sum(n).over(ahead), F.lit(0)) - F.col(first), rows: F.sum(n).over(group)})
     same = F.col(file) == F.col(at_)
     for c, k in zip(by, keys, strict=True):
         same &= F.col(c).eqNullSafe(F.col(k))

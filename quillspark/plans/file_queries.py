@@ -6,7 +6,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -166,8 +165,7 @@ def dev_run_record(spark, d):
     """The record of a development run, as its JSON says, against a baseline's that is the run's own. Hypotheses lack
     the full stops; the slices take the first rows of a suite, and listed ones."""
     at = fresh(spark, "dev")
-    i = F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1
-    rows = docs(spark, d).where("lang in ('en', 'fr')").withColumn("i", i.cast("long")).where(F.col("i") <= max(metrics.LOOP_PAGES))
+    rows = metrics.first_rows(docs(spark, d).where("lang in ('en', 'fr')"), "lang", "doc_id", max(metrics.LOOP_PAGES) + 1).withColumn("i", F.col("i").cast("long"))
     said = T.collapse(F.coalesce("text", F.lit("")))
     suite = F.when(F.col("lang") == "en", "arocrbench_arabicocr").otherwise("misraj_dococr")
     sinks.save_predictions(rows.select(F.lit("r").alias("run"), suite.alias("suite"), "i", said.alias("ref"), F.replace(said, F.lit("."), F.lit("")).alias("hyp")), f"{at}/said")

@@ -38,7 +38,7 @@ DEFAULT_DOMAIN = "line_real"
 def indexed(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Rows of the parquet files under a path or glob, with `file` and `idx`, their position from 0 in the order of file
     names and of rows in a file; of a saved dataset's folder the rows with `idx`, in the order of its state file. Only
-    counts of rows meet in one place, one a file."""
+    counts of rows meet in one place, one a file, and go to the tasks; the driver lists the files anyway."""
     if not re.search(r"[*?\[{]", path) and saved_datasets.exists(path):
         return saved_datasets.read(spark, path, columns)
     df = spark.read.parquet(path)
@@ -46,7 +46,7 @@ def indexed(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     sizes = at.groupBy("_path").agg(F.count("*").alias("_n"))
     ahead = W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("_path", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    return at.join(before, "_path").withColumn("idx", F.col("_before") + F.col("_row")).drop("_path", "_row", "_before")
+    return at.join(F.broadcast(before), "_path").withColumn("idx", F.col("_before") + F.col("_row")).drop("_path", "_row", "_before")
 
 
 def splits(spark: SparkSession, folder: str, names: list[str], columns: list[str] | None = None) -> DataFrame:

@@ -144,6 +144,25 @@ def test_probe_tables_equal_search():
     assert probing.containing(pa.array([], pa.string()), probing.tables(["x"])).tolist() == []
 
 
+def test_long_rows_stay_where_they_are(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.lit("d").alias("domain"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("body"))
+    rows.repartition(2).write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    for df in (readers.indexed(spark, str(tmp_path / "rows")), corpus.with_holdout(stored, "domain", "k"), corpus.with_counter(stored, "k")):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    p = rows.select(F.lit("r").alias("run"), F.lit("s").alias("suite"), F.col("k").alias("i"), F.col("body").alias("ref"), F.col("body").alias("hyp"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.save_predictions(p, str(tmp_path / "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "p/run=r/suite=s").glob("part-*.json"))
+    said = [[json.loads(x)["i"] for x in f.read_text().splitlines()] for f in files]
+    assert len(files) > 1 and max(map(len, said)) < 2000 and sum(said, []) == list(range(3000))
+
+
 def test_probe_lists_that_no_task_holds(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"text {k} of  some words, and {k * k} more") for k in range(200)] + [(200, None)], "id long, text string")
     bench = docs.where("id % 7 = 0")
