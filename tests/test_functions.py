@@ -144,6 +144,29 @@ def test_probe_tables_equal_search():
     assert probing.containing(pa.array([], pa.string()), probing.tables(["x"])).tolist() == []
 
 
+def test_only_texts_that_may_change_are_composed(spark, monkeypatch):
+    import unicodedata
+
+    said = ["abc", "für naïve Ñandú", "كتاب", "e\u0301", "ﬁn", "\u1e9b\u0323", "한", "\u1112\u1161\u11ab", "x²", "", None, "“q” – …", "क\u093c", "\ufdfa"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    assert [r[0] for r in rows.select(T.nfkc(F.col("t"))).collect()] == [t and unicodedata.normalize("NFKC", t) for t in said]
+    allowed = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", T.STABLE)
+    stable = [c for c in map(chr, range(0x110000)) if re.match(f"[{allowed}]", c)]
+    assert len(stable) > 700 and not any(map(unicodedata.combining, stable))
+    assert all(unicodedata.is_normalized("NFKC", a + "".join(a + b for b in stable)) for a in stable)
+    here = F.when(F.length("t") > 0, F.raise_error(F.lit("in Python")))  # stands for the worker
+    monkeypatch.setattr(T, "_composed", lambda c: F.when(c.isNotNull(), here.cast("string")))
+    assert rows.where("t in ('abc', 'für naïve Ñandú', 'كتاب', '')").select(T.nfkc(F.col("t"))).count() == 4
+
+
+def test_headers_alone_leave_the_jvm(spark, monkeypatch):
+    rows = [(0, PNG + b"x" * 99), (1, JPEG + b"x" * 99), (2, b"GIF89a\x14\0\x1e\0" + b"x" * 99), (3, PNG[:20]), (4, None), (5, b"")]
+    df = spark.createDataFrame(rows, "k int, data binary")
+    assert [tuple(r) for r in df.orderBy("k").select(I.size_of(F.col("data")).alias("s")).select("s.*").collect()] == [(20, 30)] * 3 + [(None, None)] * 3
+    monkeypatch.setattr(I, "_size", F.length)
+    assert [r[0] for r in df.orderBy("k").select(I.size_of("data")).collect()] == [26, len(JPEG) + 99, 26, 20, None, 0]
+
+
 def test_long_rows_stay_where_they_are(spark, tmp_path):
     rows = spark.range(3000).select(F.col("id").alias("k"), F.lit("d").alias("domain"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("body"))
     rows.repartition(2).write.parquet(str(tmp_path / "rows"))
