@@ -144,6 +144,22 @@ def test_probe_tables_equal_search():
     assert probing.containing(pa.array([], pa.string()), probing.tables(["x"])).tolist() == []
 
 
+def test_probe_tables_are_small(monkeypatch):
+    import pickle
+    import tracemalloc
+
+    probes = [f"{k:06d} and then some words of it, {k % 7}"[:40] for k in range(30_000)]
+    body = pickle.dumps(probing.tables(probes))
+    tracemalloc.start()
+    found = pickle.loads(body)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 150 * len(probes)
+    monkeypatch.setattr(probing, "CHUNK", 100)
+    texts = pa.array(["x " + probes[5] + " y", None, "", "000005 and then some words of it", "z" * 1000, probes[29_999]])
+    assert probing.containing(texts, found).tolist() == [True, False, False, False, False, True]
+
+
 def test_only_texts_that_may_change_are_composed(spark, monkeypatch):
     import unicodedata
 
