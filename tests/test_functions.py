@@ -183,6 +183,15 @@ def test_headers_alone_leave_the_jvm(spark, monkeypatch):
     assert [r[0] for r in df.orderBy("k").select(I.size_of("data")).collect()] == [26, len(JPEG) + 99, 26, 20, None, 0]
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from quillspark.sources import scratch
+
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    setting, before = spark.conf.get(scratch.CLEANUP, None), held()
+    table = scratch.stored(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    assert held() <= before and spark.conf.get(scratch.CLEANUP, None) == setting and table.agg(F.sum("count")).first()[0] == 5000
+
+
 def test_long_rows_stay_where_they_are(spark, tmp_path):
     rows = spark.range(3000).select(F.col("id").alias("k"), F.lit("d").alias("domain"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("body"))
     rows.repartition(2).write.parquet(str(tmp_path / "rows"))
