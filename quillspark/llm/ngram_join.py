@@ -4,15 +4,18 @@ A text's set is its distinct five-word shingles (words of bytes but 0x20 and 0x0
 Two texts link when 100 * |A and B| >= 75 * |A or B|. Steps, each exact:
 
 1. Texts of equal sets are one class (64-bit fingerprint of set and size); copies never meet each other again.
-2. Document frequencies of all shingles of all classes are counted, and those of OFTEN or more make a table of CELLS
-   levels (one byte each). The global order is by level, then hash: shingles of shared passages come last. The table is
-   of fixed size; it only decides how much work there is, and any order gives the same links.
+2. Document frequencies of all shingles of all classes are counted, and those of OFTEN or more make a table of levels
+   (half a byte each), a cell for four shingles of the corpus, between CELLS and MOST_CELLS. The global order is by level,
+   then hash: shingles of shared passages come last. Any order gives the same links; the table decides how much work
+   there is. A shingle whose cell is empty is in one class alone.
 3. Classes that link share a shingle among the first floor(n / 4) + 1 of the order. Each task joins its own classes on
-   such shingles and passes on one representative a shingle, so a shingle shared by a third of all classes sends a row a
+   such shingles, but for those of one class alone, and passes on one representative a shingle, so a shingle shared by a third of all classes sends a row a
    task; the shuffle carries packed arrays by hash range. This gives candidate components.
 4. The texts of candidate classes, one a class, go to groups. A component of BLOCK classes or fewer is a group. In larger
    ones families are found first: ROUNDS times all classes, in groups of some BLOCK, walk a trie of PIVOTS classes drawn from those outside the component's largest family so far. A class of that family is then held against
-   classes outside it alone, by pairs of blocks of near sizes. No task holds an unbounded group, and copies with small
+   classes outside it alone, by pairs of blocks of near sizes: first of sketches (a bit for the parity of the shingles in
+   each cell, two to four bits a shingle, in blocks of SKETCHED), whose differing bits are no more than the sets' differing
+   shingles, so no link is lost; then of texts, where sketches are near enough. No task holds an unbounded group, and copies with small
    changes cost a row or two each, however many there are.
 5. Within a group the sets are stored, rare shingles first, in a path-compressed trie whose paths are also cut where a
    set's prefix ends. A class walks the trie once: the overlap with a shared path is counted once for all sets below it,
@@ -39,9 +42,14 @@ from .common import by_owner, col, discard, mix64, shingles, signed, stored, tab
 from .graph import components, local_roots
 
 WIDTH, PERCENT = 5, 75
-#: Classes that make a shingle frequent; cells of the level table; bits of the table of candidates.
-OFTEN, CELLS, CANDIDATE_BITS = 2, 1 << 24, 22
+#: Classes that make a shingle frequent; the least and the most cells of the level table, powers of two; the least and the
+#: most bits of an index into the table of candidates.
+OFTEN, CELLS, MOST_CELLS, CANDIDATE_BITS, MOST_BITS = 2, 1 << 24, 1 << 27, 22, 26
+#: Frequencies at which levels begin, from 1.
+LEVELS = np.array([OFTEN, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 2048, 1 << 14, 1 << 17])
 BLOCK, PIVOTS, ROUNDS = 128, 16, 1
+#: Classes of a block of sketches; the most bits of a sketch.
+SKETCHED, SKETCH_BITS = 4096, 1 << 15
 #: Places in which the classes of one component meet what is known of it.
 SALTS = 32
 #: A class of more copies than MANY, and than one in HOT of all rows, is named where its rows stand.
@@ -88,10 +96,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, cls long")
 
 
-def places(values: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash range of each shingle, and its 40 bits within it."""
-    h = mix64(values + np.uint64(0xC0FFEE))
-    return (h % np.uint64(ranges)).astype(np.int64), h >> np.uint64(24)
+#: Bits of a shingle by which it is counted.
+BITS = 40
+
+
+def places(values: np.ndarray) -> np.ndarray:
+    """BITS bits of each shingle, of which the first are its cell and its range."""
+    return mix64(values + np.uint64(0xC0FFEE)) >> np.uint64(64 - BITS)
+
+
+def cell_of(bits: np.ndarray, cells: int) -> np.ndarray:
+    return (bits >> np.uint64(BITS + 1 - cells.bit_length())).astype(np.int64)
+
+
+def n_cells(shingles: int) -> int:
+    """Cells of the level table for so many shingles."""
+    return min(MOST_CELLS, max(CELLS, 1 << (shingles // 4).bit_length()))
 
 
 def n_ranges(spark: SparkSession) -> int:
@@ -113,24 +133,41 @@ def by_range(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[lis
         yield rows
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """cell, df of every shingle that OFTEN classes or more have; all texts are counted. The shuffle carries five bytes
-    a shingle, and its count where a task has it more than once."""
+def steps(bits: np.ndarray) -> bytes:
+    """Ascending numbers as the steps between them, in as many bytes each as the widest takes."""
+    step = np.diff(bits, prepend=np.uint64(0))
+    step[0] = 0  # the first is kept apart
+    wide = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return bits[:1].tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def numbers(blob: bytes, n: int) -> np.ndarray:
+    """The n numbers that `steps` packed."""
+    step = np.zeros((n, 8), np.uint8)
+    data = np.frombuffer(blob, np.uint8)[8:].reshape(n, -1)
+    step[:, : data.shape[1]] = data
+    return np.frombuffer(blob[:8], np.uint64) + np.cumsum(step.view("<u8")[:, 0], dtype=np.uint64)
+
+
+def frequencies(docs: DataFrame, cells: int) -> DataFrame:
+    """first, level: runs of cells, by the first one's number, and a byte for each: the level of the largest frequency of
+    its shingles, 0 if no two classes share one. All texts are counted. The shuffle carries some three bytes a shingle, and its
+    count where a task has it more than once; cells meet by range, so nothing is shuffled again."""
     ranges = n_ranges(docs.sparkSession)
 
     def packed(parts):
         v, c = np.unique(np.concatenate(parts), return_counts=True)
-        r, bits = places(v, ranges)
-        order = np.argsort(r, kind="stable")
+        bits = places(v)
+        order = np.argsort(bits, kind="stable")
         bits, c = bits[order], c[order]
-        cut = np.searchsorted(r[order], np.arange(ranges + 1))
+        cut = np.searchsorted((bits * np.uint64(ranges) >> np.uint64(BITS)).astype(np.int64), np.arange(ranges + 1))
         for k in range(ranges):
             x, n = bits[cut[k] : cut[k + 1]], c[cut[k] : cut[k + 1]]
             if not len(x):
                 continue
             more = np.flatnonzero(n > 1)
-            blobs = [x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8), more.astype(np.uint32), n[more].astype(np.uint32), np.array([len(x)], np.uint32)]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *[pa.array([y.tobytes()], pa.binary()) for y in blobs]], ["r", "low", "high", "more", "n", "size"])
+            blobs = [steps(x), more.astype(np.uint32).tobytes(), n[more].astype(np.uint32).tobytes(), np.uint32(len(x)).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *[pa.array([y], pa.binary()) for y in blobs]], ["r", "bits", "more", "n", "size"])
 
     def count(batches):
         seen: set[int] = set()
@@ -146,52 +183,51 @@ def frequencies(docs: DataFrame) -> DataFrame:
             yield from packed(held)
 
     def merge(batches):
-        for low, high, more, n, size in by_range(batches, 5):
-            bits = np.frombuffer(b"".join(low), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(high), np.uint8).astype(np.uint64) << np.uint64(32)
+        for packs, more, n, size in by_range(batches, 4):
+            sizes = [int.from_bytes(x, "little") for x in size]
+            bits = np.concatenate([numbers(x, k) for x, k in zip(packs, sizes, strict=True)])
             times = np.ones(len(bits), np.int64)
-            first = np.cumsum([0] + [int.from_bytes(x, "little") for x in size[:-1]])
+            first = np.cumsum([0, *sizes[:-1]])
             at = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + f for x, f in zip(more, first, strict=True)])
             times[at] = np.frombuffer(b"".join(n), np.uint32)
             order = np.argsort(bits)
             bits, times = bits[order], times[order]
-            start = np.flatnonzero(np.concatenate(([True], bits[1:] != bits[:-1]))) if len(bits) else np.zeros(0, np.int64)
-            df = np.add.reduceat(times, start) if len(bits) else times
-            often = df >= OFTEN
-            yield pa.RecordBatch.from_arrays([signed(bits[start][often] % np.uint64(CELLS)), pa.array(df[often])], ["cell", "df"])
-
-    blobs = docs.select("text").mapInArrow(count, "r long, low binary, high binary, more binary, n binary, size binary")
-    return blobs.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(merge, "cell long, df long")
-
-
-def levels(counted: DataFrame) -> np.ndarray:
-    """The level, twice the log2 of the largest frequency, of each cell; CELLS bytes in all. Frequencies below some level are
-    left out as needed for half of the cells at most to be taken, so rare shingles keep apart from frequent ones."""
-    spark = counted.sparkSession
-    span = CELLS // 64
-
-    def pack(batches):
-        level: dict[int, np.ndarray] = {}
-        for b in batches:
-            cell = b.column(0).to_numpy()
-            for k in np.unique(cell // span).tolist():
-                keep = cell // span == k
-                level.setdefault(k, np.zeros(span, np.uint8))[cell[keep] % span] = b.column(1).to_numpy()[keep]
-        for k, v in level.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["k", "v"])
-
-    cells = stored(counted.groupBy("cell").agg(F.max("df").alias("df")).select("cell", F.floor(2 * F.log2("df")).alias("level")), "cells")
-    taken, least = 0, 99
-    for r in cells.groupBy("level").count().orderBy(F.desc("level")).collect():  # two rows for each power of two
-        taken += r["count"]
-        if taken > CELLS // 2:
-            break
-        least = r["level"]
-    parts = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = np.zeros(CELLS, np.uint8)
-    for r in cells.where(F.col("level") >= least).repartition(parts, F.floor(F.col("cell") / span)).mapInArrow(pack, "k long, v binary").collect():
-        out[r["k"] * span : (r["k"] + 1) * span] = np.frombuffer(r["v"], np.uint8)
-    discard(cells)
-    return out
+            start = np.flatnonzero(np.concatenate(([True], bits[1:] != bits[:-1])))
+            level = np.searchsorted(LEVELS, np.add.reduceat(times, start), "right").astype(np.uint8)
+            cell = cell_of(bits[start], cells)
+            own = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            run = np.zeros(int(cell[-1] - cell[0]) + 1, np.uint8)
+            run[cell[own] - cell[0]] = np.maximum.reduceat(level, own)
+            yield pa.RecordBatch.from_arrays([pa.array([int(cell[0])], pa.int64()), pa.array([run.tobytes()], pa.binary())], ["first", "level"])
+
+    blobs = docs.select("text").mapInArrow(count, "r long, bits binary, more binary, n binary, size binary")
+    return blobs.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(merge, "first long, level binary")
+
+
+def levels(runs: DataFrame, cells: int) -> tuple[np.ndarray, int]:
+    """The levels, two to a byte, and the least level that the order heeds: levels below it are left out as needed for half
+    of the cells at most to count, so rare shingles keep apart from frequent ones."""
+    out, taken = np.zeros(cells >> 1, np.uint8), np.zeros(16, np.int64)
+    runs = stored(runs, "levels")
+    for r in runs.toLocalIterator():  # a byte a cell in all, a file at a time
+        first, level = r["first"], np.frombuffer(r["level"], np.uint8)
+        at = first + np.flatnonzero(level)
+        level = level[at - first]
+        for odd in (0, 1):  # the first cell may have been met in the range before
+            own = (at & 1) == odd
+            byte, shift = at[own] >> 1, 4 * odd
+            most = np.maximum((out[byte] >> shift) & 15, level[own])
+            out[byte] = out[byte] & (240 if odd == 0 else 15) | most << shift
+        taken += np.bincount(level, minlength=16)
+    discard(runs)
+    least = 15
+    while least > 1 and taken[least - 1 :].sum() <= cells // 2:
+        least -= 1
+    return out, least
+
+
+def level_of(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return table[cell >> 1] >> (4 * (cell & 1)).astype(np.uint8) & np.uint8(15)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -199,11 +235,13 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-n * PERCENT // 100) + 1
 
 
-def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(a, b): classes that share a shingle of their prefixes, as stars around the smallest class."""
+def candidate_edges(docs: DataFrame, level: np.ndarray, least: int) -> DataFrame:
+    """(a, b): classes that share a shingle of their prefixes, as stars around the smallest class. Shingles of one class
+    alone, whose cell is empty, stay where they are."""
     spark = docs.sparkSession
     ranges = n_ranges(spark)
-    shared = spark.sparkContext.broadcast(level)  # CELLS bytes
+    cells = 2 * len(level)
+    shared = spark.sparkContext.broadcast(level)  # MOST_CELLS / 2 bytes at most
 
     def stars(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct tokens, the smallest class of each, and the forest of the edges between classes of one token."""
@@ -238,11 +276,12 @@ def candidate_edges(docs: DataFrame, level: np.ndarray) -> DataFrame:
             ids, n = class_ids(values, offsets), np.diff(offsets)
             new = new_classes(ids, n, seen)
             v, owner = gather(values, offsets, new)
-            _, bits = places(v, ranges)
-            v = v[by_owner(owner, v, shared.value[(bits % np.uint64(CELLS)).astype(np.int64)])]  # owner stays sorted
+            often = level_of(shared.value, cell_of(places(v), cells))
+            order = by_owner(owner, v, np.where(often < least, np.uint8(0), often))
+            v, often = v[order], often[order]  # owner stays sorted
             n = n[new]
             place = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
-            keep = place < np.repeat(prefix_size(n), n)
+            keep = (place < np.repeat(prefix_size(n), n)) & (often > 0)
             held.append((v[keep], ids[new][owner[keep]]))
             size += int(keep.sum())
             if size > HELD:
@@ -393,9 +432,10 @@ def forest(values: list[np.ndarray], probe: np.ndarray) -> list[tuple[int, int]]
 
 def candidate_bodies(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """cls, body of the candidate classes and some others. Each task sends one body a class, and one of these is kept."""
-    # a fixed-size table of candidates, so that most other texts stay where they are; the later join is exact
-    bits = np.zeros(1 << CANDIDATE_BITS >> 3, np.uint8)
-    cells = roots.select(F.shiftrightunsigned("node", 64 - CANDIDATE_BITS).alias("c"))
+    # a table of candidates, so that most other texts stay where they are; the later join is exact
+    wide = min(MOST_BITS, max(CANDIDATE_BITS, (16 * roots.count()).bit_length()))
+    bits = np.zeros(1 << wide >> 3, np.uint8)
+    cells = roots.select(F.shiftrightunsigned("node", 64 - wide).alias("c"))
     packed = cells.groupBy(F.shiftright("c", 3).alias("byte")).agg(F.bit_or(F.expr("cast(shiftleft(1, cast(c & 7 as int)) as int)")).alias("v"))
     for b in packed.toArrow().to_batches():
         bits[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint8)
@@ -406,7 +446,7 @@ def candidate_bodies(docs: DataFrame, roots: DataFrame) -> DataFrame:
         for _, texts in text_chunks(batches):
             values, offsets = shingles(texts)
             ids, n = class_ids(values, offsets), np.diff(offsets)
-            c = (ids >> np.uint64(64 - CANDIDATE_BITS)).astype(np.int64)
+            c = (ids >> np.uint64(64 - wide)).astype(np.int64)
             listed = (shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1
             new = new_classes(ids, np.where(listed, n, 0), seen)
             yield pa.RecordBatch.from_arrays([signed(ids[new]), pa.array([texts[i] for i in new], pa.binary())], ["cls", "body"])
@@ -474,13 +514,13 @@ def with_families(big: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(spread_join(named, first, ["root"]).withColumn("core", F.col("family") == F.col("first")).drop("family", "first"), "families")
 
 
-def block_groups(big: DataFrame) -> DataFrame:
-    """cls, grp, side: every pair of blocks that can hold a link yet unknown is a group. Blocks are of one component, one
+def block_groups(big: DataFrame, block: int) -> DataFrame:
+    """cls, grp, side: every pair of blocks that can hold a link yet unknown is a group. Blocks of some `block` classes are of one component, one
     size class (factor 100 / PERCENT, so links stay in a class or cross to the next) and of the core or the rest, dealt by
     hash; two blocks of a core have nothing to say to each other."""
     c = big.where(~F.col("settled")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
     kind = ["root", "band", "core"]
-    parts = c.groupBy(*kind).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = c.groupBy(*kind).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     c = spread_join(c, parts, kind).withColumn("p", F.pmod(F.xxhash64(F.lit("block"), "cls"), F.col("parts")).cast("int")).drop("parts")
     other = parts.select("root", F.col("band").alias("band2"), F.col("core").alias("core2"), "parts")
     near = c.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -491,6 +531,83 @@ def block_groups(big: DataFrame) -> DataFrame:
     return each.select("cls", F.xxhash64(F.lit("blocks"), "root", F.least(here, there), F.greatest(here, there)).alias("grp"), side.alias("side"))
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """A bit for each cell, set where an odd number of the set's shingles falls into it; 2 to 4 bits a shingle."""
+    bits = min(SKETCH_BITS, max(256, 1 << (2 * len(values) - 1).bit_length()))
+    cell = (mix64(values + np.uint64(0x5EED)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all as short as the shortest: halves are added up."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def near_sketches(n: np.ndarray, sketches: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may link, a forest that joins the same sets as all of them do. n: sizes of the sets; side: of all pairs if
+    it is 1 for all, else of 1 with 0. Sets that differ in s shingles differ in s bits at most."""
+    probe = np.flatnonzero(side == 1)
+    against = np.flatnonzero(side == 0) if (side == 0).any() else probe
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = max(1, (1 << 20) // max(1, sketches.shape[1] * len(against)))
+    found, size = [], 0
+    for lo in range(0, len(probe), step):
+        x = probe[lo : lo + step]
+        y = against if against is not probe else probe[lo:]
+        differ = np.bitwise_count(sketches[x][:, None] ^ sketches[y][None]).sum(2, dtype=np.int64)
+        i, j = np.nonzero((100 + PERCENT) * differ <= (100 - PERCENT) * (n[x][:, None] + n[y][None]))
+        i, j = x[i], y[j]
+        found.append((i[i != j], j[i != j]))
+        size += len(found[-1][0])
+        if size > 1 << 20 or lo + step >= len(probe):
+            a, b = np.concatenate([a, *[f[0] for f in found]]), np.concatenate([b, *[f[1] for f in found]])
+            found, size = [], 0
+            if len(a):
+                nodes, roots = local_roots(a, b)
+                a, b = roots[nodes != roots], nodes[nodes != roots]
+    return a, b
+
+
+def near(bodies: DataFrame, big: DataFrame) -> DataFrame:
+    """big without the classes that have no link yet unknown, each with its component by near sketches as its root. Only
+    sketches are shuffled; sizes are those of the sets."""
+
+    def sketched(batches):
+        for batch, texts in text_chunks(b.rename_columns(["cls", "text"]) for b in batches):
+            values, offsets = shingles(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array([sketch(v) for v in np.split(values, offsets[1:-1])], pa.binary())], ["cls", "n", "sketch"])
+
+    def compare(batches):
+        now, rows = None, {}
+
+        def solve():
+            if len(rows) < 2:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+            cls = np.array(list(rows), np.int64)
+            side, n, sketches = zip(*rows.values(), strict=True)
+            a, b = near_sketches(np.array(n), folded(list(sketches)), np.array(side))
+            return pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], ["a", "b"])
+
+        for batch in batches:
+            for g, c, *row in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if g != now:
+                    yield solve()
+                    now, rows = g, {}
+                rows[c] = row
+        yield solve()
+
+    sketches = stored(bodies.select("cls", "body").mapInArrow(sketched, "cls long, n long, sketch binary"), "sketches")
+    met = sketches.join(block_groups(big, SKETCHED), "cls").select("grp", "cls", "side", "n", "sketch")
+    edges = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, "a long, b long")
+    roots = components(edges)
+    discard(sketches)
+    return big.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls")
+
+
 def linked(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): links that join what links. classes: cls, n; roots: the candidate components."""
     bodies = candidate_bodies(docs, roots)
@@ -507,7 +624,7 @@ def linked(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     edges, made = stored(links(bodies, groups), "links"), [c, groups]
     for k in range(1, ROUNDS + 1):
         big = with_families(big, edges)
-        groups = stored(pivot_groups(big, k) if k < ROUNDS else block_groups(big), "groups")
+        groups = stored(pivot_groups(big, k) if k < ROUNDS else block_groups(near(bodies, big), BLOCK), "groups")
         made += [big, groups]
         edges = edges.unionByName(stored(links(bodies, groups), "links"))
     discard(bodies, *made)
@@ -518,8 +635,8 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal sets; null for empty ones) and component_id of every row of docs."""
     docs = docs.select("doc_id", "text")
     rows = stored(signatures(docs), "signatures")
-    level = levels(frequencies(docs))
-    roots = components(candidate_edges(docs, level))
+    cells = n_cells(rows.agg(F.sum("n")).first()[0] or 0)
+    roots = components(candidate_edges(docs, *levels(frequencies(docs, cells), cells)))
     classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     found = components(linked(docs, classes.select("cls", "n"), roots)).select(F.col("node").alias("cls"), "root")
     smallest = found.join(classes, "cls").groupBy("root").agg(F.min("first_id").alias("linked_id"))

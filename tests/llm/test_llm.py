@@ -409,6 +409,55 @@ def test_join_of_a_chain(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()} == brute_join(rows)
 
 
+def test_join_sends_no_texts_of_strangers(spark, monkeypatch):
+    """A large component of texts that share a rare passage each with the next, but link with few: their texts do not meet
+    by all pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    sent, links = [], ngram_join.links
+    monkeypatch.setattr(ngram_join, "links", lambda bodies, groups: sent.append(groups.count()) or links(bodies, groups))
+    monkeypatch.setattr(ngram_join, "n_cells", lambda shingles: 2)  # no order by frequency: any shared shingle is met
+    rows = [(k, " ".join([*(f"own{k}x{i}" for i in range(20)), *(f"pass{k // 2 * 2}x{i}" for i in range(12)), *(f"next{(k + 1) // 2}x{i}" for i in range(12))])) for k in range(120)]
+    rows += [(1000 + k, f"{rows[k][1]} end") for k in (3, 50)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_join(rows) and got[1003][1] == 3
+    assert sum(sent) < 3 * len(rows)  # by pairs of blocks some len(rows) ** 2 / 8
+
+
+@pytest.mark.parametrize("size", [3, 40, 300, 5000])
+def test_sketches_lose_no_link(size):
+    rng = np.random.default_rng(size)
+    sets, linked_ = [], set()
+    for k in range(12):
+        own = np.unique(rng.integers(0, 2**63, size, np.uint64))
+        fewer = own[: -(-len(own) * 3 // 4)]  # the most that a link allows
+        linked_.add((2 * k, 2 * k + 1))
+        sets += [own, fewer]
+    n = np.array([len(s) for s in sets])
+    packed = ngram_join.folded([ngram_join.sketch(s) for s in sets])
+    root = lambda side: dict(zip(*(x.tolist() for x in graph.local_roots(*ngram_join.near_sketches(n, packed, side))), strict=True))
+    found = root(np.ones(len(n), int))
+    assert all(found[a] == found[b] for a, b in linked_)
+    found = root(np.arange(len(n)) % 2)
+    assert all(found[a] == found[b] for a, b in linked_)
+    assert len(set(found.values())) == 12  # strangers stay apart
+
+
+def test_levels_of_cells(spark):
+    """Every shingle of two classes or more has a level, the largest of its cell, whatever the number of ranges and cells."""
+    docs = spark.createDataFrame([(" ".join(f"w{j}" for j in range(k, k + 30)),) for k in range(0, 300, 5)], "text string").repartition(3)
+    texts_ = [r[0].encode() for r in docs.distinct().collect()]
+    values, times = np.unique(np.concatenate([ngram_join.shingles([t])[0] for t in texts_]), return_counts=True)
+    for cells in (2, 64, 1 << 16):
+        table_, least = ngram_join.levels(ngram_join.frequencies(docs, cells), cells)
+        assert len(table_) == cells // 2 and least >= 1
+        found = ngram_join.level_of(table_, ngram_join.cell_of(ngram_join.places(values), cells))
+        assert (found[times > 1] > 0).all()
+    assert (found[times == 1] == 0).mean() > 0.9
+    bits = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 999, np.uint64))
+    assert (ngram_join.numbers(ngram_join.steps(bits), 999) == bits).all() and (ngram_join.numbers(ngram_join.steps(bits[:1]), 1) == bits[:1]).all()
+
+
 def test_join_sends_one_body_a_class(spark):
     docs = spark.createDataFrame([(k, "a copied text of six words") for k in range(50)] + [(50, "one two three four five")], "doc_id long, text string").repartition(8)
     classes = ngram_join.signatures(docs).select("cls").distinct()
