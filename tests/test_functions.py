@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -838,3 +839,17 @@ def test_incremental_ingest(spark, tmp_path):
         spark.range(3 + k).select(F.lit("s").alias("source")).write.mode("append").parquet(folder)
         ingest(spark, folder, "source string", out, check)
     assert sinks.read_version(spark, out).agg(F.sum("n")).first()[0] == 7
+
+
+def test_builders_repair_a_text_once(spark):
+    """The filter on the repaired text does not go below the repair, which would then run twice; marks and white space go
+    as before."""
+    from quillspark.sources import builders
+
+    odd = ["", " ", "\u200b", "\u200f a\u200e b\ufeff ", "\x1fab\u3000", "ab", "\ufeff\n\u2028x y\x85", "\u200b  ", "fi\u200bne \ufb01", None, "\xa0e\u0301\xa0"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "idx long, text string")
+    built = builders.BUILDERS["aallail"](df)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("trim(") == 1
+    want = {k: unicodedata.normalize("NFKC", x or "").translate(dict.fromkeys(map(ord, T.MARKS))).strip(T.WHITE) for k, x in enumerate(odd)}
+    assert {r["idx"]: r["response"] for r in built.collect()} == {k: x for k, x in want.items() if len(x) >= 2}
